@@ -24,72 +24,112 @@ BLOCK = 1 << 18
 BLOCKS = "range int, block int, before long, docs array<long>, counts array<int>, n_ids long, bits binary, checkpoints binary"
 
 
+#: Letters below this one are Latin: each has one lower-case letter, whatever stands around it.
+LATIN_END = "\u0100"
+
+
+def byte_alphabet() -> dict[int, int]:
+    """The printable character that stands for each byte in the vocabulary: itself, or the next from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class Numbers(dict):
+    """Numbers pieces by first sight."""
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class ChunkEncoder:
-    """Ids of a text from the ids of its pieces between spaces and line feeds.
+    """Ids of texts from the ids of their pieces between spaces and line feeds.
 
     For a tokenizer that drops white space and never merges across it, the
     pieces' ids strung together are the text's ids.  Pieces repeat, so most
-    ids come from memory; all others from the tokenizers library.
+    ids come from memory; all others from the tokenizers library.  A piece of
+    Latin letters is one word to the tokenizer, whatever follows it, so its
+    lower-case bytes go straight to the library's merges; any other piece
+    takes the library's whole way.  Up to ``bound`` pieces are remembered;
+    those of a batch beyond them are forgotten after it.
     """
 
-    def __init__(self, path: str, bound: int = 400_000):
+    #: A piece that no text has, as it isn't UTF-8: a document's end.
+    STOP = b"\xff"
+
+    def __init__(self, path: str, last: int, bound: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.bound, self.seen = bound, {b"": ()}
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        self.bound, self.tails = bound, {"": ()}
+        self.number = Numbers({self.STOP: 0, b"": 1})
+        self.known, self.used, self.flat, self.starts = 2, 1, np.full(1 << 16, last, np.uint32), np.zeros(1 << 16, np.int64)
+        self.starts[1:3] = 1
 
     def learn(self, pieces: list[bytes]) -> None:
-        if len(self.seen) > self.bound:
-            self.seen = {b"": ()}
-        letters, rest = {}, []
-        for p in pieces:
+        """Append the ids of pieces, in the order of their numbers."""
+        from unicodedata import is_normalized
+
+        found: list[tuple[int, ...]] = [()] * len(pieces)
+        rest, tokenize, alphabet = [], self.model.tokenize, self.alphabet
+        for i, p in enumerate(pieces):
             text = p.decode()
             core = text.rstrip(".,;:!?|")
-            if core.isalpha():
-                letters.setdefault(core, []).append((p, text[len(core) :]))
+            if core.isalpha() and max(core) < LATIN_END and is_normalized("NFC", core):
+                found[i] = tuple([t.id for t in tokenize(core.lower().encode().decode("latin-1").translate(alphabet))]) + self.tail(text[len(core) :])
             else:
-                rest.append((p, text))
-        cores = list(letters)
-        if cores:
-            ids = np.array(self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, np.int64)
-            stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-            if len(stops) == len(cores) and stops[-1] == len(ids):
-                found = [tuple(x.tolist()) for x in np.split(ids, stops[:-1])]
-            else:  # some word is not one piece of the tokenizer's: each by itself
-                found = [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)]
-            for core, ids_ in zip(cores, found, strict=True):
-                for p, tail in letters[core]:
-                    self.seen[p] = ids_ + self.tail(tail)
-        if rest:
-            for (p, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-                self.seen[p] = tuple(e.ids)
+                rest.append((i, text))
+        for (i, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            found[i] = tuple(e.ids)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, self.flat))
+        while self.known + len(found) >= len(self.starts):
+            self.starts = np.concatenate((self.starts, self.starts))
+        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.starts[self.known + 1 : self.known + len(found) + 1] = self.used + np.cumsum(sizes)
+        self.known, self.used = self.known + len(found), self.used + total
 
     def tail(self, text: str) -> tuple[int, ...]:
-        key = b" " + text.encode()  # no piece has a space, so such keys are free
-        if text and key not in self.seen:
-            self.seen[key] = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return self.seen[key] if text else ()
+        if text not in self.tails:
+            self.tails[text] = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.tails[text]
 
-    def __call__(self, texts: list[str | None], last: int) -> list[np.ndarray]:
-        from itertools import chain
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, with the last one."""
+        from itertools import islice
 
-        split = []
+        parts = []
         for t in texts:
             data = (t or "").encode()
-            if b"<|" not in data:  # else a lower-cased piece could become a special token
-                data = data.lower()
-            split.append(data.replace(b"\n", b" ").split(b" "))
-        seen = self.seen
-        new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in seen))
-        if new:
-            keep = seen
-            self.learn(new)
-            if self.seen is not keep:  # memory was cleared: learn all of this batch
-                self.learn(list(dict.fromkeys(p for pieces in split for p in pieces if p not in self.seen)))
-        get = self.seen.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, pieces)), (last,)), np.uint32) for pieces in split]
+            parts.append(data if b"<|" in data else data.lower())  # in lower case, a piece could become a special token
+        pieces = (b" \xff ".join(parts) + b" \xff").replace(b"\n", b" ").split(b" ")
+        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        before, used = self.known, self.used
+        if len(self.number) > before:
+            self.learn(list(islice(self.number, before, None)))
+        sizes = self.starts[numbers + 1] - self.starts[numbers]
+        ends = np.cumsum(sizes)
+        out = self.flat[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
+        if self.known > self.bound:
+            for _ in range(self.known - before):
+                self.number.popitem()
+            self.known, self.used = before, used
+        return np.split(out, ends[numbers == 0])[:-1]
+
+
+def remembered(key, make):
+    """An object that a Python worker keeps for the tasks that follow."""
+    import sys
+    import types
+
+    memory = sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory")).__dict__
+    if key not in memory:
+        memory[key] = make()
+    return memory[key]
 
 
 def tokenise(path: str, last: int):
@@ -99,9 +139,9 @@ def tokenise(path: str, last: int):
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = ChunkEncoder(path)
+        encode = remembered(f"encoder {last} {path}", lambda: ChunkEncoder(path, last))
         for batch in batches:
-            ids = encode(batch.column(1).to_pylist(), last)
+            ids = encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4").tobytes() for x in ids], pa.binary())],
                 names=["doc_id", "n_ids", "ids"],
