@@ -1 +1 @@
-
+"""Parsing, site model, rules, policy, reports and diffs."""

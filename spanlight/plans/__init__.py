@@ -1,9 +1,5 @@
-"""The registry of queries."""
+"""Queries over whole tables, each with the SQL that DuckDB runs for the same rows."""
 
+from .catalogue import oracle_sql, queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["oracle_sql", "queries"]
