@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
@@ -25,6 +26,8 @@ class Plan:
         return text.replace("AS STRING)", "AS VARCHAR)") if self.duckdb else text
 
     def base(self, rich: bool = True) -> str:
+        if not self.duckdb:
+            return f"every AS (SELECT * FROM {'parsed_rich' if rich else 'parsed_raw'}), site AS ({parse.unique_routes('every')})"
         pages = parse.richer() if rich else "SELECT page_id, url, html FROM pages"
         return f"every AS ({parse.parsed(pages, self.duckdb)}), site AS ({parse.unique_routes('every')})"
 
@@ -173,10 +176,25 @@ def texts(duckdb: bool) -> dict[str, str]:
     return {k: p.sql(v) for k, v in out.items()}
 
 
+def parsed_pages(spark: SparkSession, pages: DataFrame, rich: bool) -> DataFrame:
+    """Parsed pages, kept on disk for the queries that follow: all rules read the same parse.
+
+    A lost part is parsed again from the source.  A source of fewer parts than
+    there are cores is dealt out first, as parsing is what takes the time.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    (pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)).createOrReplaceTempView("pages")
+    text = parse.parsed(parse.richer() if rich else "SELECT page_id, url, html FROM pages")
+    return spark.sql(text).persist(StorageLevel.DISK_ONLY)
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     text = texts(duckdb=False)[name]
-    for table in ("pages", "events"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    for rich, view in ((True, "parsed_rich"), (False, "parsed_raw")):
+        if view in text:
+            parsed_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), rich).createOrReplaceTempView(view)
+    if "FROM events" in text:
+        spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
     return spark.sql(text)
 
 
