@@ -24,6 +24,8 @@ from .words import CHUNK, WordHasher, constants, mix, text_buffers
 STEPS, WALKS, KEYS, PLACES = 64, 2, 3, 14
 #: Every so many words of a document start a window.
 STRIDE = 2
+#: Bytes that a walk mostly covers; an item shorter than this is looked for as it is, without edits.
+REACH = 40
 #: Edits allowed for each byte of an item.
 EDITS = 0.2
 #: Bits of the table that sorts out windows before keys are compared.
@@ -118,11 +120,12 @@ class ItemIndex:
             data = np.concatenate((np.frombuffer(item, np.uint8), pad))
             starts = np.flatnonzero((data[:-1] == 32) & (data[1:] != 32)) + 1
             starts = np.concatenate(([0], starts[starts < len(item)]))
-            # A window that leaves the item would need what follows it in the document.
-            starts = starts[(starts == 0) | (starts <= len(item) - STEPS)]
+            # A window that mostly leaves the item would need what follows it in the document.
+            starts = starts[starts <= len(item) - REACH]
             for _, _, keys in window_keys(data, starts):
                 rows.append((keys, np.full(len(starts), n), starts))
         self.keys, self.owner, self.offset = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.short = [(n, x) for n, x in enumerate(self.items) if len(x) < REACH]
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owner, self.offset = self.keys[order], self.owner[order], self.offset[order]
 
@@ -157,6 +160,10 @@ def hits(index: ItemIndex, edits: float):
             while first < len(batch):
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
                 part, cuts = squeezed(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                for n, item in index.short:
+                    for doc in range(last - first):
+                        if item in part[cuts[doc] : cuts[doc + 1]].tobytes():
+                            found[first + doc][n] = (0, 0)
                 if len(part) and len(index.keys):
                     starts, _ = hasher.spans(part, cuts)
                     owner = np.searchsorted(cuts, starts, "right") - 1
@@ -205,8 +212,9 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits:
 
     An item (item_id, text) is in a document if the item, A-Z in lower case and
     with single spaces, is within ``edits`` of its length in bytes of some
-    substring of the document so written.  Null or blank items match nothing;
-    equal items are reported each.  A null or empty text has no items; a
+    substring of the document so written; items of fewer than REACH bytes must
+    occur as they are.  Null or blank items match nothing; equal items are
+    reported each.  A null or empty text has no items; a
     repeated row gives a row each; ids may be null.
     """
     arrow_batches(spark)

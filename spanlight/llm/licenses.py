@@ -35,8 +35,8 @@ TEMPLATES = {
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Least coverage; a stretch may be so many times a template's length, and so many words more.
-COVERAGE, STRETCH, SLACK = 0.85, 1.25, 2
+#: Least coverage; a stretch may be so many times as long as a template.
+COVERAGE, STRETCH = 0.85, 1.25
 WORD = re.compile(r"\w(?:[\w.-]*\w)?")
 
 
@@ -106,7 +106,7 @@ class Templates:
         out = []
         for n, at in spots.items():
             template, counts = self.words[n], self.counts[n]
-            need, span = coverage * len(template), int(STRETCH * len(template)) + SLACK
+            need, span = coverage * len(template), int(STRETCH * len(template))
             i = j = 0
             while i < len(at):
                 j = max(j, i)

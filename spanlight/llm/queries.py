@@ -114,13 +114,13 @@ domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad
 suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM domains GROUP BY suffix),
 whole AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS m FROM suffixes),
 s1 AS (SELECT s.*, w.m FROM suffixes s CROSS JOIN whole w),
-sk AS (SELECT 1 / least(greatest(coalesce(sum((bad - n*m)*(bad - n*m) - n*m*(1-m)) / nullif(sum(n*(n-1)*(m*(1-m))), 0), 0.001), 0.001), 0.5) - 1 AS k FROM s1),
+sk AS (SELECT 1 / least(greatest(coalesce(sum((bad - n*m)*(bad - n*m) - n*m*(1-m)) / nullif(sum(n*(n-1)*(m*(1-m))), 0), 0.5), 0.001), 0.5) - 1 AS k FROM s1),
 s2 AS (SELECT suffix, (bad + k*m) / ((bad + k*m) + (n - bad + k*(1-m))) AS m FROM s1 CROSS JOIN sk),
 d1 AS (SELECT d.*, s2.m FROM domains d JOIN s2 USING (suffix)),
-dk AS (SELECT 1 / least(greatest(coalesce(sum((bad - n*m)*(bad - n*m) - n*m*(1-m)) / nullif(sum(n*(n-1)*(m*(1-m))), 0), 0.001), 0.001), 0.5) - 1 AS k FROM d1),
+dk AS (SELECT 1 / least(greatest(coalesce(sum((bad - n*m)*(bad - n*m) - n*m*(1-m)) / nullif(sum(n*(n-1)*(m*(1-m))), 0), 0.5), 0.001), 0.5) - 1 AS k FROM d1),
 d2 AS (SELECT domain, (bad + k*m) / ((bad + k*m) + (n - bad + k*(1-m))) AS m FROM d1 CROSS JOIN dk),
 h1 AS (SELECT h.host, h.n, h.bad, d2.m FROM hosts h JOIN d2 USING (domain)),
-hk AS (SELECT 1 / least(greatest(coalesce(sum((bad - n*m)*(bad - n*m) - n*m*(1-m)) / nullif(sum(n*(n-1)*(m*(1-m))), 0), 0.001), 0.001), 0.5) - 1 AS k FROM h1),
+hk AS (SELECT 1 / least(greatest(coalesce(sum((bad - n*m)*(bad - n*m) - n*m*(1-m)) / nullif(sum(n*(n-1)*(m*(1-m))), 0), 0.5), 0.001), 0.5) - 1 AS k FROM h1),
 h2 AS (SELECT host, bad + k*m AS alpha, n - bad + k*(1-m) AS beta FROM h1 CROSS JOIN hk),
 r AS (SELECT host, alpha / (alpha + beta) AS share,
              greatest(0.0, alpha / (alpha + beta) - 1.645 * sqrt(alpha*beta / ((alpha+beta)*(alpha+beta)*(alpha+beta+1)))) AS low FROM h2),

@@ -60,7 +60,7 @@ def strength(level: DataFrame) -> DataFrame:
     """One row: how many outcomes the prior of a level counts for, from rows (n, bad, m), m being the parent's share."""
     chance = F.col("m") * (1 - F.col("m"))
     beyond = F.sum((F.col("bad") - F.col("n") * F.col("m")) ** 2 - F.col("n") * chance)
-    rho = F.coalesce(F.try_divide(beyond, F.sum(F.col("n") * (F.col("n") - 1) * chance)), F.lit(0.001))
+    rho = F.coalesce(F.try_divide(beyond, F.sum(F.col("n") * (F.col("n") - 1) * chance)), F.lit(0.5))  # without evidence, the weakest prior
     return level.agg(F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.5)).alias("rho")).select((1 / F.col("rho") - 1).alias("k"))
 
 
