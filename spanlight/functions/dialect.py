@@ -41,6 +41,26 @@ class Spark:
     def fn(self, var: str, body: str) -> str:
         return f"{var} -> {body}"
 
+    def indexed(self, a: str, body: str) -> str:
+        """Each x of an array with its place i; see before() and following()."""
+        return f"transform({a}, (x, i) -> {body})"
+
+    def before(self, a: str) -> str:
+        return f"get({a}, i - 1)"
+
+    def following(self, a: str, n: int) -> str:
+        return f"slice({a}, i + 2, {n})"
+
+    def first(self, a: str, n: int) -> str:
+        return f"slice({a}, 1, {n})"
+
+    def joined(self, a: str, by: str) -> str:
+        return f"array_join({a}, '{by}')"
+
+    def rows(self, columns: str, a: str, name: str, source: str) -> str:
+        """A SELECT of one row for each element."""
+        return f"SELECT {columns}, {name} FROM {source} LATERAL VIEW explode({a}) e AS {name}"
+
     def nth(self, a: str, k: int) -> str:
         return f"try_element_at({a}, {k})"
 
@@ -90,6 +110,24 @@ class DuckDB(Spark):
     def fn(self, var: str, body: str) -> str:
         return f"lambda {var}: {body}"
 
+    def indexed(self, a: str, body: str) -> str:
+        return f"list_transform({a}, lambda x, i: {body})"
+
+    def before(self, a: str) -> str:
+        return f"({a})[i - 1]"
+
+    def following(self, a: str, n: int) -> str:
+        return f"({a})[i + 1:i + {n}]"
+
+    def first(self, a: str, n: int) -> str:
+        return f"({a})[1:{n}]"
+
+    def joined(self, a: str, by: str) -> str:
+        return f"array_to_string({a}, '{by}')"
+
+    def rows(self, columns: str, a: str, name: str, source: str) -> str:
+        return f"SELECT {columns}, unnest({a}) AS {name} FROM {source}"
+
     def nth(self, a: str, k: int) -> str:
         return f"({a})[{k}]"
 
@@ -166,6 +204,10 @@ class Text:
         path = f"CASE WHEN {self.d.like(rest, '/')} THEN {self.d.one(rest, r'^[^/]*(/[\s\S]*)$', 1)} ELSE '/' END"
         return f"coalesce({self.internal(value)}, {self.internal(path)})"
 
+    def unscripted(self, html: str) -> str:
+        """Without scripts, then without styles; one that is not closed hides the rest."""
+        return self.d.sub(self.d.sub(html, r"(?s)<script.*?(?:</script>|\z)", " "), r"(?s)<style.*?(?:</style>|\z)", " ")
+
     def page_kind(self, relative: str, route: str) -> str:
         r, low = self.d, self.lower(route)
         return f"""CASE WHEN {relative} = '404.html' OR {route} = '404' THEN 'not_found' WHEN {route} = '' THEN 'home'

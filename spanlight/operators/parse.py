@@ -18,10 +18,11 @@ def richer(pages: str = "pages") -> str:
       CASE WHEN page_id % 2 = 0 THEN '<meta property="og:title" content="T"><meta property="og:type" content="article">' ELSE '<meta property="og:description" content="D"><meta property="og:url" content="https://other.example/x">' END,
       CASE WHEN page_id % 6 = 1 THEN '<meta name="twitter:card" content="Summary">' WHEN page_id % 6 = 2 THEN '<meta name="twitter:card" content="player">' ELSE '' END,
       CASE WHEN page_id % 5 = 1 THEN '<meta name="robots" content="noindex, NoSnippet , max-snippet:0">' WHEN page_id % 5 = 2 THEN '<meta name="robots" content="nofollow,max-snippet:50">' ELSE '' END,
-      CASE WHEN page_id % 7 = 3 THEN '<link rel="alternate" hreflang="xx_bad" href="/nowhere">' WHEN page_id % 7 = 4 THEN '<link rel="alternate" hreflang="x-default" href="/en/1"><link rel="alternate" hreflang="de-DE" href="/de/2">' ELSE '' END)"""
+      CASE WHEN page_id % 7 = 3 THEN '<link rel="alternate" hreflang="xx_bad" href="/nowhere"><link rel="alternate" type="text/markdown" href="/no.md">' WHEN page_id % 7 = 5 THEN concat('<link rel="alternate" hreflang="fr" href="', url, '"><meta property="og:image" content="/og.png">') WHEN page_id % 7 = 4 THEN '<link rel="alternate" hreflang="x-default" href="/en/1"><link rel="alternate" hreflang="de-DE" href="/de/2">' ELSE '' END)"""
     body = """concat(
       CASE WHEN page_id % 5 = 0 THEN '<section data-ui="hero"><h2>What is this?</h2>Short.</section>' WHEN page_id % 5 = 1 THEN '<section>No heading here</section><section data-ui="faq"><h3>How to start</h3>Thin.</section><section data-ui="faq"><h3>How to start</h3>Thin.</section>' ELSE '' END,
-      CASE WHEN page_id % 4 = 3 THEN '<img src="/a.png"><img src="/b.png" alt="">' ELSE '' END,
+      CASE WHEN page_id % 4 = 3 THEN '<img src="/a.png"><img src="/b.png" alt=""><img src="/c/hero-banner.jpg" alt="Hero Banner"><img src="/d.png" role="none">' ELSE '' END,
+      CASE WHEN page_id % 6 = 4 THEN '<a class="x" href="/en/1"><img src="/a.png"></a><a href="/en/2" title="t"></a><a href="/en/3"><img src="/a.png" alt="A"></a><button> </button><i id="k"></i><i id="k"></i><script>id="k"</script>' ELSE '' END,
       CASE WHEN page_id % 3 = 1 THEN '<main><h4>Deep</h4></main>' ELSE '' END,
       CASE WHEN page_id % 8 = 5 THEN '<div data-nosnippet></div><details>x</details><pre>y</pre>' ELSE '' END, '</body>')"""
     return f"SELECT page_id, url, replace(replace(html, '<head>', {head}), '</body>', {body}) AS html FROM {pages}"
@@ -60,9 +61,9 @@ def parsed(pages: str, duckdb: bool = False) -> str:
           {t.texts('html', 'title')} AS titles, {t.texts('html', 'h1')} AS h1_texts, {canonical} AS canonical, {alternates} AS alternates,
           nullif({t.attribute(d.one('html', '<html[^>]*>', 0), 'lang')}, '') AS html_lang, {visible} AS visible,
           {d.count('html', 'data-nosnippet')} AS nosnippets, {blocks} AS blocks,
-          {d.size(d.all('html', '(?s)<details[^>]*>.*?</details>', 0))} + {d.size(d.all('html', '(?s)<pre[^>]*>.*?</pre>', 0))} AS other_blocks,
+          {d.all('html', '(?s)<details[^>]*>.*?</details>', 0)} AS details, {d.all('html', '(?s)<pre[^>]*>.*?</pre>', 0)} AS pres,
           {d.keep(t.tags('html', 'img'), d.fn('i', t.attribute('i', 'src') + ' IS NOT NULL'))} AS images,
-          {t.lower(d.sub('html', r'(?s)<(?:script|style)[^>]*>.*?</(?:script|style)>', ''))} AS markup FROM ({pages}) p),
+          {t.unscripted('html')} AS cleaned FROM ({pages}) p),
       b AS (SELECT *, CASE WHEN route = '' THEN 'index.html' ELSE concat(route, '/index.html') END AS relative_path,
           {d.nth('titles', 1)} AS title, CAST({d.size('h1_texts')} AS INT) AS h1_count, {meta('name', 'description')} AS description,
           {data('robots')} AS robots, {data('og:title')} AS og_title, {data('og:description')} AS og_description, {data('og:type')} AS og_type,
@@ -71,8 +72,8 @@ def parsed(pages: str, duckdb: bool = False) -> str:
           title, h1_texts, h1_count, description, canonical, {routes} AS canonical_route, alternates, html_lang, robots,
           CASE WHEN robots IS NULL THEN CAST({empty} AS {'VARCHAR[]' if duckdb else 'ARRAY<STRING>'}) ELSE {directives} END AS directives,
           og_title, og_description, og_type, og_url, og_image, twitter_card, twitter_image, visible, CAST({d.octets('visible')} AS INT) AS visible_bytes,
-          CAST(nosnippets AS INT) AS nosnippets, blocks, images, markup,
-          CAST(other_blocks + {d.size(d.keep('blocks', d.fn('b', own)))} AS INT) AS answer_blocks,
+          CAST(nosnippets AS INT) AS nosnippets, blocks, images, details, pres, cleaned, {t.lower('cleaned')} AS markup,
+          CAST({d.size('details')} + {d.size('pres')} + {d.size(d.keep('blocks', d.fn('b', own)))} AS INT) AS answer_blocks,
           CAST({d.size(d.keep('blocks', d.fn('b', f"{d.like('b', '<h[1-6]')} AND {d.octets(t.strip_tags('b'))} >= {BLOCK_BYTES} AND NOT {d.like('coalesce(' + t.lower(t.attribute(d.one('b', '^<[^>]*>', 0), 'data-ui')) + ', ' + chr(39) * 2 + ')', '|'.join(SUPPORTING))}")))} AS INT) AS strong_blocks
       FROM b"""
 
@@ -88,7 +89,7 @@ def links(parsed_table: str, duckdb: bool = False) -> str:
     return f"SELECT page_id, site, route, relative_path, path, href, {t.internal('href')} AS target, text FROM (SELECT page_id, site, route, relative_path, path, {t.attribute(opened, 'href')} AS href, {t.strip_tags(inner)} AS text FROM ({rows}) r) q WHERE href IS NOT NULL"
 
 
-def unique_routes(parsed_table: str) -> str:
-    """One page for each (site, route): a clean path first, then the shorter, then the first."""
+def ranked(parsed_table: str) -> str:
+    """Pages with their place among those of one (site, route), of which place 1 stands for all: a clean path first, then the shorter, then the first."""
     clean = "CASE WHEN relative_path LIKE '%index.html' THEN 0 ELSE 1 END"
-    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, route ORDER BY {clean}, length(relative_path), page_id) AS place FROM {parsed_table}) u WHERE place = 1"
+    return f"SELECT *, row_number() OVER (PARTITION BY site, route ORDER BY {clean}, length(relative_path), page_id) AS place FROM {parsed_table}"

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
-from spanlight.operators import parse, rules
+from spanlight.operators import artifacts, elements, parse, rules
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,9 +27,9 @@ class Plan:
 
     def base(self, rich: bool = True) -> str:
         if not self.duckdb:
-            return f"every AS (SELECT * FROM {'parsed_rich' if rich else 'parsed_raw'}), site AS ({parse.unique_routes('every')})"
+            return f"every AS (SELECT * FROM {'parsed_rich' if rich else 'parsed_raw'}), site AS (SELECT * FROM every WHERE place = 1)"
         pages = parse.richer() if rich else "SELECT page_id, url, html FROM pages"
-        return f"every AS ({parse.parsed(pages, self.duckdb)}), site AS ({parse.unique_routes('every')})"
+        return f"parsed_pages AS ({parse.parsed(pages, self.duckdb)}), every AS ({parse.ranked('parsed_pages')}), site AS (SELECT * FROM every WHERE place = 1)"
 
     def page_findings(self, chosen=rules.PAGE_RULES) -> str:
         """All page-local rules in one pass: an array of findings for each page, exploded."""
@@ -51,7 +51,7 @@ class Plan:
             SELECT site, path, page_kind, strong_blocks, {d.one('b', '^<(section|article)', 1)} AS tag, {ui} AS data_ui, {d.like('b', '<h[1-6]')} AS has_heading, {t.strip_tags(inner)} AS text FROM ({rows}) r) q"""
 
     def block_findings(self) -> str:
-        return " UNION ALL ".join(f"SELECT site, '{r}' AS rule_id, '{s}' AS severity, path, {m} AS message FROM blocks WHERE {c}" for r, s, c, m in rules.BLOCK_RULES)
+        return " UNION ALL ".join([*(f"SELECT site, '{r}' AS rule_id, '{s}' AS severity, path, {m} AS message FROM blocks WHERE {c}" for r, s, c, m in rules.BLOCK_RULES), *elements.block_groups(self)])
 
     def index(self) -> str:
         return "SELECT DISTINCT site, target FROM (SELECT site, route AS target FROM every UNION ALL SELECT site, relative_path FROM every UNION ALL SELECT site, concat(route, '/') FROM every UNION ALL SELECT site, 'robots.txt' FROM every UNION ALL SELECT site, 'llms.txt' FROM every UNION ALL SELECT site, 'sitemap.xml' FROM every) i"
@@ -93,16 +93,27 @@ class Plan:
     def image_findings(self) -> str:
         t = self.t
         rows = "SELECT site, path, unnest(images) AS i FROM site" if self.duckdb else "SELECT site, path, i FROM site LATERAL VIEW explode(images) e AS i"
-        return f"SELECT site, 'CNT003' AS rule_id, 'warning' AS severity, path, concat('inline image is missing alt text: ', src) AS message FROM (SELECT site, path, {t.attribute('i', 'src')} AS src, {t.attribute('i', 'alt')} AS alt FROM ({rows}) r) q WHERE alt IS NULL"
+        found = f"SELECT site, path, {t.attribute('i', 'src')} AS src, {t.attribute('i', 'alt')} AS alt, {t.attribute('i', 'role')} AS role, {t.attribute('i', 'aria-hidden')} AS hidden FROM ({rows}) r"
+        return " UNION ALL ".join(f"SELECT site, '{r}' AS rule_id, '{s}' AS severity, path, {m} AS message FROM ({found}) q WHERE {c}" for r, s, c, m in elements.image_rules(self))
 
     def alternate_findings(self) -> str:
         t, d = self.t, self.d
         rows = "SELECT site, path, route, unnest(alternates) AS a FROM site" if self.duckdb else "SELECT site, path, route, a FROM site LATERAL VIEW explode(alternates) e AS a"
         lang, href = t.attribute("a", "hreflang"), t.attribute("a", "href")
-        found = f"SELECT site, path, route, nullif({lang}, '') AS hreflang, {href} AS href, coalesce({t.internal(href)}, CASE WHEN {d.like(href, '^https?://')} THEN {t.urlish(href)} END) AS target FROM ({rows}) r"
+        found = f"SELECT site, path, route, nullif({lang}, '') AS hreflang, {href} AS href, coalesce({t.internal(href)}, CASE WHEN {d.like(href, '^https?://')} THEN {t.urlish(href)} END) AS target, {t.lower(t.trim('coalesce(' + t.attribute('a', 'type') + ', ' + chr(39) * 2 + ')'))} AS media FROM ({rows}) r"
         return f"""WITH alt AS ({found})
             SELECT site, 'SEO010' AS rule_id, 'warning' AS severity, path, concat('invalid hreflang value: ', hreflang) AS message FROM alt WHERE hreflang <> 'x-default' AND NOT {d.like('hreflang', '^[a-z]{2,3}(-[A-Z]{2})?$')}
-            UNION ALL SELECT site, 'SEO011', 'warning', path, 'hreflang cluster is missing x-default' FROM alt GROUP BY site, path HAVING max(CASE WHEN hreflang = 'x-default' THEN 1 ELSE 0 END) = 0"""
+            UNION ALL SELECT site, 'SEO011', 'warning', path, 'hreflang cluster is missing x-default' FROM alt GROUP BY site, path HAVING max(CASE WHEN hreflang = 'x-default' THEN 1 ELSE 0 END) = 0
+            UNION ALL SELECT a.site, 'SEO009', 'warning', a.path, concat('hreflang alternate points to missing internal path: ', a.href)
+              FROM alt a LEFT JOIN known k ON a.site = k.site AND a.target = k.target WHERE a.target IS NOT NULL AND k.target IS NULL AND (a.hreflang IS NOT NULL OR {t.trim(d.one('a.media', '^([^;]*)', 1))} NOT IN {elements.MACHINE_MEDIA})
+            UNION ALL SELECT a.site, 'SEO012', 'warning', a.path, concat('hreflang alternate /', a.target, ' does not reciprocally reference this page')
+              FROM alt a JOIN site s ON a.site = s.site AND a.target = s.route LEFT JOIN (SELECT DISTINCT site, route, target FROM alt) b ON a.site = b.site AND a.target = b.route AND a.route = b.target WHERE b.target IS NULL"""
+
+    def asset_findings(self) -> str:
+        """Social images at a root-relative path that the site does not have."""
+        values = f"SELECT site, path, 'og:image' AS k, og_image AS v FROM site WHERE {rules.FILE_404} UNION ALL SELECT site, path, 'twitter:image', twitter_image FROM site WHERE {rules.FILE_404}"
+        return f"""SELECT v.site, 'SOC008' AS rule_id, 'warning' AS severity, v.path, concat(v.k, ' points to missing internal asset: ', v.v) AS message
+            FROM (SELECT *, {self.t.internal('v')} AS target FROM ({values}) w) v LEFT JOIN known k ON v.site = k.site AND v.target = k.target WHERE v.target IS NOT NULL AND k.target IS NULL"""
 
     def parts(self) -> dict[str, str]:
         return {
@@ -113,6 +124,13 @@ class Plan:
             "canonical": self.canonical_findings(),
             "image": self.image_findings(),
             "alternate": self.alternate_findings(),
+            "asset": self.asset_findings(),
+            "control": elements.control_findings(self),
+            "id": elements.id_findings(self),
+            "heading": elements.heading_findings(self),
+            "robots": artifacts.robots_findings(self),
+            "sitemap": artifacts.sitemap_findings(self),
+            "llms": artifacts.llms_findings(self),
         }
 
     def findings(self, *names: str) -> str:
@@ -120,9 +138,11 @@ class Plan:
         parts = self.parts()
         chosen = [parts[n] for n in names or parts]
         union = " UNION ALL ".join(f"SELECT site, rule_id, severity, path, message FROM ({p}) f{i}" for i, p in enumerate(chosen))
-        links = f", all_links AS ({parse.links('every', self.duckdb)}), own_links AS ({parse.links('site', self.duckdb)}), known AS ({self.index()})" if not names or "link" in names else ""
+        links = f", all_links AS ({parse.links('every', self.duckdb)}), own_links AS ({parse.links('site', self.duckdb)})" if not names or "link" in names else ""
+        known = f", known AS ({self.index()})" if not names or {"link", "alternate", "asset", "llms"} & set(names) else ""
+        files = f", {artifacts.relations(self)}" if not names or {"robots", "sitemap", "llms"} & set(names) else ""
         blocks = f", blocks AS ({self.block_rows()})" if not names or "block" in names else ""
-        return f"WITH {self.base()}{links}{blocks}, findings AS ({union}) "
+        return f"WITH {self.base()}{links}{known}{files}{blocks}, findings AS ({union}) "
 
 
 GROUPED = "SELECT rule_id, severity, count(*) AS n, count(DISTINCT site) AS sites FROM findings GROUP BY rule_id, severity"
@@ -154,6 +174,11 @@ def texts(duckdb: bool) -> dict[str, str]:
         "rules_canonical": f"{p.findings('canonical')}{FINDING}",
         "rules_images": f"{p.findings('image')}{FINDING}",
         "rules_alternates": f"{p.findings('alternate')}{FINDING}",
+        "rules_assets": f"{p.findings('asset')}{FINDING}",
+        "rules_accessibility": f"{p.findings('control', 'id', 'heading')}{FINDING}",
+        "rules_robots": f"{p.findings('robots')}{FINDING}",
+        "rules_sitemap": f"{p.findings('sitemap')}{FINDING}",
+        "rules_llms": f"{p.findings('llms')}{FINDING}",
         "audit_findings": f"{p.findings()}{FINDING}",
         "audit_summary": f"{p.findings()}{GROUPED}",
         "summary_counts": f"{p.findings('page', 'block')}SELECT count(*) AS total, sum(CASE WHEN severity <> 'warning' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS warnings, sum(CASE WHEN {HEURISTIC} THEN 0 ELSE 1 END) AS actionable, sum(CASE WHEN {HEURISTIC} THEN 1 ELSE 0 END) AS heuristic FROM findings",
@@ -184,7 +209,7 @@ def parsed_pages(spark: SparkSession, pages: DataFrame, rich: bool) -> DataFrame
     """
     cores = spark.sparkContext.defaultParallelism
     (pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)).createOrReplaceTempView("pages")
-    text = parse.parsed(parse.richer() if rich else "SELECT page_id, url, html FROM pages")
+    text = f"WITH parsed_pages AS ({parse.parsed(parse.richer() if rich else 'SELECT page_id, url, html FROM pages')}) {parse.ranked('parsed_pages')}"
     return spark.sql(text).persist(StorageLevel.DISK_ONLY)
 
 

@@ -5,11 +5,12 @@ import os
 import duckdb
 import pytest
 
-from spanlight.operators.parse import links, parsed
+from spanlight.operators.parse import links, parsed, ranked
 from spanlight.plans import oracle_sql, queries
+from spanlight.plans.catalogue import Plan
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["page_parse", "page_links", "rules_page", "rules_blocks", "rules_links", "audit_summary", "finding_scope", "finding_diff", "phase_percentiles"]
+CHECKED = ["page_parse", "page_links", "rules_page", "rules_blocks", "rules_links", "rules_images", "rules_alternates", "rules_assets", "rules_accessibility", "rules_robots", "rules_sitemap", "rules_llms", "audit_summary", "finding_scope", "finding_diff", "phase_percentiles"]
 
 
 def plain(rows):
@@ -60,3 +61,67 @@ def test_empty_and_null_pages(spark):
     assert page(spark, None).title is None
     assert page(spark, "").visible_bytes == 0
     assert page(spark, "<p>x", None).site is None
+
+
+def findings(spark, pages, part, **files):
+    """(rule, path) of a part's findings over hand-made pages of one site, whose files are as told."""
+    plan = Plan(duckdb=False)
+    rows = [(k, url, html) for k, (url, html) in enumerate(pages, 1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").createOrReplaceTempView("hand_pages")
+    spark.sql(f"WITH parsed_pages AS ({parsed('SELECT * FROM hand_pages')}) {ranked('parsed_pages')}").createOrReplaceTempView("parsed_rich")
+    text = plan.findings(part)
+    if files:
+        kinds = ", ".join(f"CAST({'NULL' if files.get(k) is None else 'unhex(' + repr(files[k].encode().hex()) + ')'} AS STRING) AS {k}_text" for k in ("robots", "sitemap", "llms"))
+        head, rest = text.split("robots_lines AS", 1)
+        text = f"{head}told AS (SELECT 'a.example' AS site, {kinds}), robots_lines AS{rest.replace('FROM artifacts', 'FROM told')}"
+    return sorted((r.rule_id, r.path) for r in spark.sql(text + "SELECT * FROM findings").collect())
+
+
+def test_alternates_not_returned(spark):
+    there = '<link rel="alternate" hreflang="x-default" href="/b">'
+    found = findings(spark, [("https://a.example/a", there), ("https://a.example/b", '<link rel="alternate" hreflang="x-default" href="/b">')], "alternate")
+    assert found == [("SEO012", "crawl/a/index.html")]
+
+
+def test_headings_and_ids(spark):
+    html = '<h2>a</h2><h4>b</h4><script><h6 id="x"></script><h3>c</h3><header></header><p id="x"><p id="x"><p id="">'
+    assert findings(spark, [("https://a.example/a", html)], "heading") == [("A11Y004", "crawl/a/index.html")]
+    assert findings(spark, [("https://a.example/a", html)], "id") == [("A11Y003", "crawl/a/index.html")]
+
+
+def test_controls(spark):
+    html = '<a href="/x"> <b></b></a><abbr></abbr><a href="/x" aria-label="t"></a><button><img src="/i" alt="go"></button><button><img src="/i" alt=" "></button>'
+    assert [r for r, _ in findings(spark, [("https://a.example/a", html)], "control")] == ["A11Y002", "A11Y002"]
+
+
+def test_robots_groups(spark):
+    page = [("https://a.example/a", "")]
+    first = "User-agent: *\nAllow: /\nUser-agent: x\nAllow: /\nAllow: /\nAllow: /\nDisallow: /\nUser-agent: *\nDisallow: /a\nDisallow: /b # b\n\nDisallow: /c\nSitemap: s\nContent-Signal: ai-train=no\nUser-agent: GPTBot/1"
+    assert [r for r, _ in findings(spark, page, "robots", robots=first)] == ["ROB007"]
+    assert [r for r, _ in findings(spark, page, "robots", robots=None, llms="x")] == ["ROB001"]
+
+
+def test_sitemap_kinds(spark):
+    page = [("https://a.example/a", '<link rel="canonical" href="https://a.example/a">')]
+    kinds = {" ": "MAP005", "<html>": "MAP006", "text": "MAP007", "<urlset>": "MAP002", "<urlset></urlset>": "MAP003"}
+    for text, rule in kinds.items():
+        assert [r for r, _ in findings(spark, page, "sitemap", sitemap=text)] == [rule]
+    good = "<urlset><url><loc>https://a.example/{}</loc>{}</url></urlset>"
+    assert findings(spark, page, "sitemap", sitemap=good.format("a", "<lastmod>2024-01-02T03:04:05Z</lastmod>")) == []
+    assert [r for r, _ in findings(spark, page, "sitemap", sitemap=good.format("b", "<lastmod>2024-1-2</lastmod>"))] == ["MAP004", "MAP009"]
+    assert [r for r, _ in findings(spark, page, "sitemap", sitemap=good.format("a", ""))] == ["MAP008"]
+    assert [r for r, _ in findings(spark, page, "sitemap", robots="x")] == ["MAP001"]
+
+
+def test_llms_sections_and_links(spark):
+    pages = [("https://a.example/a", ""), ("https://a.example/features/b", "")]
+    assert [r for r, _ in findings(spark, pages, "llms", llms="## Pages\n[x](a) [y](//a#z) [z](https://o.example/q)\n## Feature Pages (1)")] == []
+    assert [r for r, _ in findings(spark, pages, "llms", llms="## Pages\n[x](gone.html)")] == ["LLM003", "LLM004", "LLM005"]
+    assert [r for r, _ in findings(spark, pages, "llms", llms=" \n")] == ["LLM002"]
+
+
+def test_blocks_in_groups(spark):
+    html = '<section data-ui="faq"><h2>How</h2></section><section data-ui="faq"><h2>How</h2></section><article data-ui="x-card"></article><article data-ui="x-card"></article>' + "<section data-ui=\"p\"><h2>In 1999</h2>" + "word " * 40 + "</section>"
+    found = [r for r, _ in findings(spark, [("https://a.example/a", html)], "block")]
+    assert {r: found.count(r) for r in set(found) if r >= "GEO010"} == {"GEO010": 1, "GEO012": 1, "GEO013": 1}
+    assert found.count("GEO003") == 1
