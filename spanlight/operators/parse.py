@@ -79,14 +79,14 @@ def parsed(pages: str, duckdb: bool = False) -> str:
 
 
 def links(parsed_table: str, duckdb: bool = False) -> str:
-    """A SELECT of (page_id, site, route, path, href, target, text, n) for each ``<a`` with an href."""
+    """A SELECT of (page_id, site, route, relative_path, path, place, href, target, text) for each ``<a`` with an href of ranked pages."""
     d = DuckDB() if duckdb else Spark()
     t = Text(d)
     found = d.all("html", r"(?s)<a[^>]*href=[\"'][^>]*>.*?</a>", 0)
-    rows = f"SELECT page_id, site, route, relative_path, path, unnest({found}) AS a FROM {parsed_table}" if duckdb else f"SELECT page_id, site, route, relative_path, path, a FROM {parsed_table} LATERAL VIEW explode({found}) e AS a"
+    rows = d.rows("page_id, site, route, relative_path, path, place", found, "a", parsed_table)
     opened = d.one("a", r"^(<a[^>]*>)", 1)
     inner = d.one("a", r"(?s)^<a[^>]*>(.*)</a>$", 1)
-    return f"SELECT page_id, site, route, relative_path, path, href, {t.internal('href')} AS target, text FROM (SELECT page_id, site, route, relative_path, path, {t.attribute(opened, 'href')} AS href, {t.strip_tags(inner)} AS text FROM ({rows}) r) q WHERE href IS NOT NULL"
+    return f"SELECT page_id, site, route, relative_path, path, place, href, {t.internal('href')} AS target, text FROM (SELECT page_id, site, route, relative_path, path, place, {t.attribute(opened, 'href')} AS href, {t.strip_tags(inner)} AS text FROM ({rows}) r) q WHERE href IS NOT NULL"
 
 
 def ranked(parsed_table: str) -> str:

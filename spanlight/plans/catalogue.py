@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.operators import artifacts, elements, parse, rules
+from spanlight.sources.kept import kept
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -115,6 +115,13 @@ class Plan:
         return f"""SELECT v.site, 'SOC008' AS rule_id, 'warning' AS severity, v.path, concat(v.k, ' points to missing internal asset: ', v.v) AS message
             FROM (SELECT *, {self.t.internal('v')} AS target FROM ({values}) w) v LEFT JOIN known k ON v.site = k.site AND v.target = k.target WHERE v.target IS NOT NULL AND k.target IS NULL"""
 
+    def links(self) -> str:
+        return parse.links("every", self.duckdb)
+
+    def derived(self) -> dict[str, str]:
+        """What is read from parsed pages for many rules, by the name it is kept under."""
+        return {"parsed_links": f"WITH {self.base()} {self.links()}", "parsed_blocks": f"WITH {self.base()} {self.block_rows()}"}
+
     def parts(self) -> dict[str, str]:
         return {
             "page": self.page_findings(),
@@ -138,10 +145,11 @@ class Plan:
         parts = self.parts()
         chosen = [parts[n] for n in names or parts]
         union = " UNION ALL ".join(f"SELECT site, rule_id, severity, path, message FROM ({p}) f{i}" for i, p in enumerate(chosen))
-        links = f", all_links AS ({parse.links('every', self.duckdb)}), own_links AS ({parse.links('site', self.duckdb)})" if not names or "link" in names else ""
+        kept_links, kept_blocks = (self.links(), self.block_rows()) if self.duckdb else ("SELECT * FROM parsed_links", "SELECT * FROM parsed_blocks")
+        links = f", all_links AS ({kept_links}), own_links AS (SELECT * FROM all_links WHERE place = 1)" if not names or "link" in names else ""
         known = f", known AS ({self.index()})" if not names or {"link", "alternate", "asset", "llms"} & set(names) else ""
         files = f", {artifacts.relations(self)}" if not names or {"robots", "sitemap", "llms"} & set(names) else ""
-        blocks = f", blocks AS ({self.block_rows()})" if not names or "block" in names else ""
+        blocks = f", blocks AS ({kept_blocks})" if not names or "block" in names else ""
         return f"WITH {self.base()}{links}{known}{files}{blocks}, findings AS ({union}) "
 
 
@@ -202,22 +210,22 @@ def texts(duckdb: bool) -> dict[str, str]:
 
 
 def parsed_pages(spark: SparkSession, pages: DataFrame, rich: bool) -> DataFrame:
-    """Parsed pages, kept on disk for the queries that follow: all rules read the same parse.
-
-    A lost part is parsed again from the source.  A source of fewer parts than
-    there are cores is dealt out first, as parsing is what takes the time.
-    """
+    """Pages parsed and ranked.  A source of fewer parts than there are cores is dealt out first, as parsing is what takes the time."""
     cores = spark.sparkContext.defaultParallelism
     (pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores)).createOrReplaceTempView("pages")
     text = f"WITH parsed_pages AS ({parse.parsed(parse.richer() if rich else 'SELECT page_id, url, html FROM pages')}) {parse.ranked('parsed_pages')}"
-    return spark.sql(text).persist(StorageLevel.DISK_ONLY)
+    return spark.sql(text)
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     text = texts(duckdb=False)[name]
     for rich, view in ((True, "parsed_rich"), (False, "parsed_raw")):
         if view in text:
-            parsed_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), rich).createOrReplaceTempView(view)
+            pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+            kept(spark, (view, sf_dir), partial(parsed_pages, spark, pages, rich)).createOrReplaceTempView(view)
+    for view, derived in Plan(duckdb=False).derived().items():
+        if view in text:
+            kept(spark, (view, sf_dir), partial(spark.sql, derived)).createOrReplaceTempView(view)
     if "FROM events" in text:
         spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
     return spark.sql(text)

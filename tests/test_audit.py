@@ -52,7 +52,7 @@ def test_bytes_not_characters(spark):
 
 def test_article_is_no_link(spark):
     spark.createDataFrame([(1, "https://a/b", "<article><a href='/c'>t</a></article>")], "page_id long, url string, html string").createOrReplaceTempView("one")
-    spark.sql(parsed("SELECT * FROM one")).createOrReplaceTempView("every_one")
+    spark.sql(f"WITH parsed_pages AS ({parsed('SELECT * FROM one')}) {ranked('parsed_pages')}").createOrReplaceTempView("every_one")
     rows = spark.sql(links("every_one")).collect()
     assert [(r.href, r.target, r.text) for r in rows] == [("/c", "c", "t")]
 
@@ -69,6 +69,8 @@ def findings(spark, pages, part, **files):
     rows = [(k, url, html) for k, (url, html) in enumerate(pages, 1)]
     spark.createDataFrame(rows, "page_id long, url string, html string").createOrReplaceTempView("hand_pages")
     spark.sql(f"WITH parsed_pages AS ({parsed('SELECT * FROM hand_pages')}) {ranked('parsed_pages')}").createOrReplaceTempView("parsed_rich")
+    for view, derived in plan.derived().items():
+        spark.sql(derived).createOrReplaceTempView(view)
     text = plan.findings(part)
     if files:
         kinds = ", ".join(f"CAST({'NULL' if files.get(k) is None else 'unhex(' + repr(files[k].encode().hex()) + ')'} AS STRING) AS {k}_text" for k in ("robots", "sitemap", "llms"))
