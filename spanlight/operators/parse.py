@@ -13,7 +13,8 @@ BLOCK_BYTES = 120
 def richer(pages: str = "pages") -> str:
     """Pages with metadata, alternates, sections and images added by page_id, so that every rule has something to find."""
     head = """concat('<head>',
-      CASE WHEN page_id % 3 <> 0 THEN concat('<meta name="description" content=" About ', CAST(page_id % 7 AS STRING), ' ">') ELSE '' END,
+      CASE WHEN page_id % 2 = 1 AND page_id % 3 <> 0 THEN '<title>Same page</title>' ELSE '' END,
+      CASE WHEN page_id % 3 <> 0 THEN concat('<meta name="description" content=" About ', CAST(page_id % 2 AS STRING), ' ">') ELSE '' END,
       CASE WHEN page_id % 4 = 1 THEN concat('<link rel="canonical" href="', url, '">') WHEN page_id % 4 = 2 THEN '<link rel=''canonical nofollow'' href=''https://other.example/en/1''>' ELSE '' END,
       CASE WHEN page_id % 2 = 0 THEN '<meta property="og:title" content="T"><meta property="og:type" content="article">' ELSE '<meta property="og:description" content="D"><meta property="og:url" content="https://other.example/x">' END,
       CASE WHEN page_id % 6 = 1 THEN '<meta name="twitter:card" content="Summary">' WHEN page_id % 6 = 2 THEN '<meta name="twitter:card" content="player">' ELSE '' END,

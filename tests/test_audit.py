@@ -127,3 +127,10 @@ def test_blocks_in_groups(spark):
     found = [r for r, _ in findings(spark, [("https://a.example/a", html)], "block")]
     assert {r: found.count(r) for r in set(found) if r >= "GEO010"} == {"GEO010": 1, "GEO012": 1, "GEO013": 1}
     assert found.count("GEO003") == 1
+
+
+def test_canonical_elsewhere_and_clusters(spark):
+    same = '<title>Same page</title><meta name="description" content="d">'
+    pages = [("https://a.example/a", same + '<link rel="canonical" href="https://o.example/b">'), ("https://a.example/b", same), ("https://b.example/b", same)]
+    assert findings(spark, pages, "canonical") == [("SEO016", "crawl/a/index.html")]
+    assert findings(spark, pages, "cluster") == [("SEO017", "crawl/a/index.html"), ("SEO017", "crawl/b/index.html")]
