@@ -19,7 +19,9 @@ def richer(pages: str = "pages") -> str:
       CASE WHEN page_id % 2 = 0 THEN '<meta property="og:title" content="T"><meta property="og:type" content="article">' ELSE '<meta property="og:description" content="D"><meta property="og:url" content="https://other.example/x">' END,
       CASE WHEN page_id % 6 = 1 THEN '<meta name="twitter:card" content="Summary">' WHEN page_id % 6 = 2 THEN '<meta name="twitter:card" content="player">' ELSE '' END,
       CASE WHEN page_id % 5 = 1 THEN '<meta name="robots" content="noindex, NoSnippet , max-snippet:0">' WHEN page_id % 5 = 2 THEN '<meta name="robots" content="nofollow,max-snippet:50">' ELSE '' END,
-      CASE WHEN page_id % 7 = 3 THEN '<link rel="alternate" hreflang="xx_bad" href="/nowhere"><link rel="alternate" type="text/markdown" href="/no.md">' WHEN page_id % 7 = 5 THEN concat('<link rel="alternate" hreflang="fr" href="', url, '"><meta property="og:image" content="/og.png">') WHEN page_id % 7 = 4 THEN '<link rel="alternate" hreflang="x-default" href="/en/1"><link rel="alternate" hreflang="de-DE" href="/de/2">' ELSE '' END)"""
+      CASE WHEN page_id % 7 = 3 THEN '<link rel="alternate" hreflang="xx_bad" href="/nowhere"><link rel="alternate" type="text/markdown" href="/no.md">' WHEN page_id % 7 = 5 THEN concat('<link rel="alternate" hreflang="fr" href="', url, '"><meta property="og:image" content="/og.png">') WHEN page_id % 7 = 4 THEN '<link rel="alternate" hreflang="x-default" href="/en/1"><link rel="alternate" hreflang="de-DE" href="/de/2">' ELSE '' END,
+      CASE page_id % 9 WHEN 1 THEN '<script type="application/ld+json"> {"@type": "Organization", "name": "Ann"}</script>' WHEN 2 THEN '<script type=''application/LD+JSON''>{"@graph": [{"@type": ["Organization", "WebSite"], "name": " Bob ", "url": "https://b.example/x"}, {"@type": "Product", "name": "Same", "description": null}]}</script>'
+        WHEN 3 THEN '<script type="application/ld+json">{"@type": </script><script type="application/ld+json"> </script>' WHEN 4 THEN '<script type="application/ld+json">[{"@type": "Article", "headline": "Same-Page!", "author": "Nobody Known", "datePublished": "1889-01-02"}, {"@type": "SoftwareApplication", "name": "q", "publisher": {"@type": "Organization", "name": "Eve"}}]</script>' ELSE '' END)"""
     body = """concat(
       CASE WHEN page_id % 5 = 0 THEN '<section data-ui="hero"><h2>What is this?</h2>Short.</section>' WHEN page_id % 5 = 1 THEN '<section>No heading here</section><section data-ui="faq"><h3>How to start</h3>Thin.</section><section data-ui="faq"><h3>How to start</h3>Thin.</section>' ELSE '' END,
       CASE WHEN page_id % 4 = 3 THEN '<img src="/a.png"><img src="/b.png" alt=""><img src="/c/hero-banner.jpg" alt="Hero Banner"><img src="/d.png" role="none">' ELSE '' END,
@@ -54,6 +56,9 @@ def parsed(pages: str, duckdb: bool = False) -> str:
     blocks = f"{'list_concat' if duckdb else 'concat'}({sections}, {articles})"
     visible = t.strip_tags("html")
     routes = f"CASE WHEN canonical IS NULL THEN route ELSE coalesce({t.internal('canonical')}, CASE WHEN {d.like('canonical', '^https?://')} THEN {t.urlish('canonical')} END, route) END"
+    opening = d.one("x", "^<script[^>]*>", 0)
+    scripts = d.keep(d.all("html", "(?s)<script[^>]*>.*?</script>", 0), d.fn("x", f"{t.lower('coalesce(' + t.attribute(opening, 'type') + ', ' + chr(39) * 2 + ')')} = 'application/ld+json'"))
+    json_ld = d.each(scripts, d.fn("y", t.trim(d.one("y", "(?s)^<script[^>]*>(.*)</script>$", 1))))
     directives = d.sorted(d.keep(d.each(d.split("robots", ","), d.fn("x", t.lower(t.trim("x")))), d.fn("y", "y <> ''")))
     empty = "[]" if duckdb else "array()"
     own = f"({d.like('b', '<h[1-6]')} AND {d.octets(t.strip_tags('b'))} >= {BLOCK_BYTES})"
@@ -64,7 +69,7 @@ def parsed(pages: str, duckdb: bool = False) -> str:
           {d.count('html', 'data-nosnippet')} AS nosnippets, {blocks} AS blocks,
           {d.all('html', '(?s)<details[^>]*>.*?</details>', 0)} AS details, {d.all('html', '(?s)<pre[^>]*>.*?</pre>', 0)} AS pres,
           {d.keep(t.tags('html', 'img'), d.fn('i', t.attribute('i', 'src') + ' IS NOT NULL'))} AS images,
-          {t.unscripted('html')} AS cleaned FROM ({pages}) p),
+          {json_ld} AS ld, {t.unscripted('html')} AS cleaned FROM ({pages}) p),
       b AS (SELECT *, CASE WHEN route = '' THEN 'index.html' ELSE concat(route, '/index.html') END AS relative_path,
           {d.nth('titles', 1)} AS title, CAST({d.size('h1_texts')} AS INT) AS h1_count, {meta('name', 'description')} AS description,
           {data('robots')} AS robots, {data('og:title')} AS og_title, {data('og:description')} AS og_description, {data('og:type')} AS og_type,
@@ -73,7 +78,7 @@ def parsed(pages: str, duckdb: bool = False) -> str:
           title, h1_texts, h1_count, description, canonical, {routes} AS canonical_route, alternates, html_lang, robots,
           CASE WHEN robots IS NULL THEN CAST({empty} AS {'VARCHAR[]' if duckdb else 'ARRAY<STRING>'}) ELSE {directives} END AS directives,
           og_title, og_description, og_type, og_url, og_image, twitter_card, twitter_image, visible, CAST({d.octets('visible')} AS INT) AS visible_bytes,
-          CAST(nosnippets AS INT) AS nosnippets, blocks, images, details, pres, cleaned, {t.lower('cleaned')} AS markup,
+          CAST(nosnippets AS INT) AS nosnippets, blocks, images, details, pres, ld, cleaned, {t.lower('cleaned')} AS markup,
           CAST({d.size('details')} + {d.size('pres')} + {d.size(d.keep('blocks', d.fn('b', own)))} AS INT) AS answer_blocks,
           CAST({d.size(d.keep('blocks', d.fn('b', f"{d.like('b', '<h[1-6]')} AND {d.octets(t.strip_tags('b'))} >= {BLOCK_BYTES} AND NOT {d.like('coalesce(' + t.lower(t.attribute(d.one('b', '^<[^>]*>', 0), 'data-ui')) + ', ' + chr(39) * 2 + ')', '|'.join(SUPPORTING))}")))} AS INT) AS strong_blocks
       FROM b"""

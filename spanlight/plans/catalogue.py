@@ -8,7 +8,8 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
-from spanlight.operators import artifacts, elements, parse, rules
+from spanlight.functions import json_ld
+from spanlight.operators import artifacts, elements, parse, rules, structured
 from spanlight.sources.kept import kept
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,10 +38,15 @@ class Plan:
         snippet = d.nth(d.keep("directives", d.fn("x", d.like("x", "^max-snippet: *(-[0-9]+|0+)$"))), 1)
         facts = f"SELECT *, {d.has('directives', chr(39) + 'nosnippet' + chr(39))} AS has_nosnippet, {snippet} AS max_snippet FROM site"
         if self.duckdb:
-            each = " UNION ALL ".join(f"SELECT site, '{r}' AS rule_id, '{s}' AS severity, path, {m} AS message FROM facts WHERE {c}" for r, s, c, m in chosen)
-            return f"WITH facts AS ({facts}) {each}"
+            return f"WITH facts AS ({facts}) {self.one_pass('facts', chosen)}"
+        return self.one_pass(f"({facts}) q", chosen)
+
+    def one_pass(self, source: str, chosen) -> str:
+        """Findings of all (rule, severity, condition, message) over a relation with site and path, read once."""
+        if self.duckdb:
+            return " UNION ALL ".join(f"SELECT site, '{r}' AS rule_id, '{s}' AS severity, path, {m} AS message FROM {source} WHERE {c}" for r, s, c, m in chosen)
         each = ", ".join(f"CASE WHEN {c} THEN named_struct('rule_id', '{r}', 'severity', '{s}', 'message', {m}) END" for r, s, c, m in chosen)
-        return f"SELECT site, f.rule_id, f.severity, path, f.message FROM (SELECT site, path, explode(filter(array({each}), x -> x IS NOT NULL)) AS f FROM ({facts}) q) r"
+        return f"SELECT site, f.rule_id, f.severity, path, f.message FROM (SELECT site, path, explode(filter(array({each}), x -> x IS NOT NULL)) AS f FROM {source}) r"
 
     def block_rows(self) -> str:
         t, d = self.t, self.d
@@ -120,7 +126,7 @@ class Plan:
 
     def derived(self) -> dict[str, str]:
         """What is read from parsed pages for many rules, by the name it is kept under."""
-        return {"parsed_links": f"WITH {self.base()} {self.links()}", "parsed_blocks": f"WITH {self.base()} {self.block_rows()}"}
+        return {"parsed_links": f"WITH {self.base()} {self.links()}", "parsed_blocks": f"WITH {self.base()} {self.block_rows()}", "parsed_ld": f"WITH {self.base()} {structured.pages(self)}"}
 
     def parts(self) -> dict[str, str]:
         return {
@@ -138,19 +144,33 @@ class Plan:
             "robots": artifacts.robots_findings(self),
             "sitemap": artifacts.sitemap_findings(self),
             "llms": artifacts.llms_findings(self),
+            "structured": structured.findings(self),
+        }
+
+    def optional(self) -> dict[str, str]:
+        """Parts that are off unless asked for."""
+        t, d = self.t, self.d
+        own = "coalesce(canonical_route, route)"
+        href = t.attribute("x", "href")
+        target = f"coalesce({t.internal(href)}, CASE WHEN {d.like(href, '^https?://')} THEN {t.urlish(href)} END)"
+        back = d.size(d.keep("alternates", d.fn("x", f"{target} = {own}")))
+        return {
+            "structured_optional": structured.findings(self, optional=True),
+            "page_optional": self.page_findings((("SOC007", "warning", f"{rules.FILE_404} AND twitter_image IS NULL", "'missing twitter:image'"), ("SEO008", "warning", f"{d.size('alternates')} > 0 AND {back} = 0", "'page has hreflang alternates but no self-referencing hreflang'"))),
         }
 
     def findings(self, *names: str) -> str:
         """The head of a query whose table ``findings`` has the named parts."""
         parts = self.parts()
-        chosen = [parts[n] for n in names or parts]
+        chosen = [(parts | self.optional())[n] for n in names or parts]
         union = " UNION ALL ".join(f"SELECT site, rule_id, severity, path, message FROM ({p}) f{i}" for i, p in enumerate(chosen))
         kept_links, kept_blocks = (self.links(), self.block_rows()) if self.duckdb else ("SELECT * FROM parsed_links", "SELECT * FROM parsed_blocks")
-        links = f", all_links AS ({kept_links}), own_links AS (SELECT * FROM all_links WHERE place = 1)" if not names or "link" in names else ""
+        links = f", all_links AS ({kept_links}), own_links AS (SELECT * FROM all_links WHERE place = 1)" if not names or {"link", "structured"} & set(names) else ""
         known = f", known AS ({self.index()})" if not names or {"link", "alternate", "asset", "llms"} & set(names) else ""
         files = f", {artifacts.relations(self)}" if not names or {"robots", "sitemap", "llms"} & set(names) else ""
         blocks = f", blocks AS ({kept_blocks})" if not names or "block" in names else ""
-        return f"WITH {self.base()}{links}{known}{files}{blocks}, findings AS ({union}) "
+        ld = f", ld_pages AS ({structured.pages(self) if self.duckdb else 'SELECT * FROM parsed_ld'})" if not names or {"structured", "structured_optional"} & set(names) else ""
+        return f"WITH {self.base()}{links}{known}{files}{blocks}{ld}, findings AS ({union}) "
 
 
 GROUPED = "SELECT rule_id, severity, count(*) AS n, count(DISTINCT site) AS sites FROM findings GROUP BY rule_id, severity"
@@ -187,6 +207,8 @@ def texts(duckdb: bool) -> dict[str, str]:
         "rules_robots": f"{p.findings('robots')}{FINDING}",
         "rules_sitemap": f"{p.findings('sitemap')}{FINDING}",
         "rules_llms": f"{p.findings('llms')}{FINDING}",
+        "rules_structured": f"{p.findings('structured')}{FINDING}",
+        "rules_optional": f"{p.findings('page_optional', 'structured_optional')}{FINDING}",
         "audit_findings": f"{p.findings()}{FINDING}",
         "audit_summary": f"{p.findings()}{GROUPED}",
         "summary_counts": f"{p.findings('page', 'block')}SELECT count(*) AS total, sum(CASE WHEN severity <> 'warning' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS warnings, sum(CASE WHEN {HEURISTIC} THEN 0 ELSE 1 END) AS actionable, sum(CASE WHEN {HEURISTIC} THEN 1 ELSE 0 END) AS heuristic FROM findings",
@@ -223,6 +245,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
         if view in text:
             pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
             kept(spark, (view, sf_dir), partial(parsed_pages, spark, pages, rich)).createOrReplaceTempView(view)
+    json_ld.register(spark)
     for view, derived in Plan(duckdb=False).derived().items():
         if view in text:
             kept(spark, (view, sf_dir), partial(spark.sql, derived)).createOrReplaceTempView(view)

@@ -5,12 +5,13 @@ import os
 import duckdb
 import pytest
 
+from spanlight.functions import json_ld
 from spanlight.operators.parse import links, parsed, ranked
 from spanlight.plans import oracle_sql, queries
 from spanlight.plans.catalogue import Plan
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["page_parse", "page_links", "rules_page", "rules_blocks", "rules_links", "rules_images", "rules_alternates", "rules_assets", "rules_accessibility", "rules_robots", "rules_sitemap", "rules_llms", "audit_summary", "finding_scope", "finding_diff", "phase_percentiles"]
+CHECKED = ["page_parse", "page_links", "rules_page", "rules_blocks", "rules_links", "rules_images", "rules_alternates", "rules_assets", "rules_accessibility", "rules_robots", "rules_sitemap", "rules_llms", "rules_structured", "rules_optional", "audit_summary", "finding_scope", "finding_diff", "phase_percentiles"]
 
 
 def plain(rows):
@@ -69,6 +70,7 @@ def findings(spark, pages, part, **files):
     rows = [(k, url, html) for k, (url, html) in enumerate(pages, 1)]
     spark.createDataFrame(rows, "page_id long, url string, html string").createOrReplaceTempView("hand_pages")
     spark.sql(f"WITH parsed_pages AS ({parsed('SELECT * FROM hand_pages')}) {ranked('parsed_pages')}").createOrReplaceTempView("parsed_rich")
+    json_ld.register(spark)
     for view, derived in plan.derived().items():
         spark.sql(derived).createOrReplaceTempView(view)
     text = plan.findings(part)
@@ -134,3 +136,60 @@ def test_canonical_elsewhere_and_clusters(spark):
     pages = [("https://a.example/a", same + '<link rel="canonical" href="https://o.example/b">'), ("https://a.example/b", same), ("https://b.example/b", same)]
     assert findings(spark, pages, "canonical") == [("SEO016", "crawl/a/index.html")]
     assert findings(spark, pages, "cluster") == [("SEO017", "crawl/a/index.html"), ("SEO017", "crawl/b/index.html")]
+
+
+def ld(*blocks):
+    return "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks)
+
+
+def test_json_ld_values():
+    walk = json_ld.block_values
+    assert walk("{") is None and walk("NaN") is None and walk('"\\ud800"') is None
+    assert walk("[" * 127 + "]" * 127) is not None and walk("[" * 128 + "]" * 128) is None and walk("[" * 100000) is None
+    assert walk("3") == [] and json_ld.page_values(None) == {"bads": [], "vals": []}
+    found = walk('{"@type": ["A", 1, "B"], "x": {"name": null, "url": 3}}')
+    assert sorted((v["depth"], v["key"], v["kind"], v["value"]) for v in found if v["value"] or v["kind"] != "item") == [(0, "@type", "array", None), (0, "@type", "item", "A"), (0, "@type", "item", "B"), (1, "name", "null", None), (1, "url", "other", None)]
+    both = json_ld.page_values(['{"name": "a"}', "", "{", '{"name": "b"}'])
+    assert both["bads"] == [2] and [v["obj"] for v in both["vals"]] == [0, 1]
+
+
+def structured_rules(spark, cases):
+    """The rules found on each case, a list of (host, route, html), and how many site-wide ones there are."""
+    found = findings(spark, [(f"https://{host}.example/{route}", html) for host, route, html in cases], "structured")
+    return {route: [r for r, path in found if path == f"crawl/{route}/index.html".replace("//", "/")] for _, route, _ in cases} | {"graph": sum(r == "SCH009" for r, _ in found)}
+
+
+def test_structured_by_intent(spark):
+    cases = {
+        "": ("", ["SCH011"]),
+        "docs/x": ("", ["SCH010", "SCH014"]),
+        "docs/y": (ld('{"@type": "HowTo", "name": "a", "step": 1}'), []),
+        "search": ("", ["SCH015"]),
+        "privacy": (ld('{"publisher": {"@type": "Organization", "name": "n"}}'), ["SCH016"]),
+        "tag/x": ('<a href="/y">y</a>' * 8, []),
+        "tag/y": ('<a href="/y">y</a>' * 9, ["SCH012"]),
+        "tag/z": ("<section></section>" * 4, ["SCH012"]),
+        "product/x": (ld('{"@type": "Offer", "price": 1, "priceCurrency": "e"}'), ["SCH013"]),
+        "product/y": ("<title>A manual</title>" + ld('{"@type": "SoftwareApplication", "name": "A manual"}'), ["SCH006", "SCH013"]),
+    }
+    found = structured_rules(spark, [("a", route, html) for route, (html, _) in cases.items()])
+    assert found == {route: rules for route, (_, rules) in cases.items()} | {"graph": 0}
+
+
+def test_structured_values(spark):
+    article = ld('{"@type": "Article", "headline": "%s", "author": "Ann B", "datePublished": "2001-02-03"}')
+    org = ld('{"@type": "Organization", "name": "%s", "url": "https://a.example/%s"}')
+    canonical = '<link rel="canonical" href="https://a.example/%s">'
+    cases = {
+        "p0": ("a", "<title>The story, told</title>by ANN b in 2001" + canonical % "z" + article % "Story the", []),
+        "p1": ("a", "<title>The story</title><noscript>Ann B 2001</noscript>" + article % "Other", ["SCH005", "SCH017", "SCH018"]),
+        "p2": ("b", org % ("n", "p2") + canonical % "p2", []),
+        "p3": ("b", org % (" n", "p2"), []),
+        "p4": ("c", org % ("n", "p5") + canonical % "p4", ["SCH007"]),
+        "p5": ("c", org % ("m", "p5"), []),
+        "p6": ("d", ld("{", "", "[]"), ["SCH001"]),
+        "p7": ("d", ld('{"x": {"y": {"@type": "Offer"}}}'), []),
+        "p8": ("d", ld('{"x": {"@type": "Offer", "price": null}}'), ["SCH006"]),
+    }
+    found = structured_rules(spark, [(host, route, html) for route, (host, html, _) in cases.items()])
+    assert found == {route: rules for route, (_, _, rules) in cases.items()} | {"graph": 1}
