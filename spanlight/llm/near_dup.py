@@ -11,9 +11,11 @@ A bucket may mix several groups, or documents that only share a passage.  Its
 members that the centre turned down are compared with each other exactly, in
 blocks of bounded size, by the product of their membership matrix with itself;
 a block gives the edges of a spanning forest of its confirmed links, never the
-pairs.  A link between a member that its centre took and one that it turned
-down is found in the other buckets the two share: a pair at the threshold
-shares twelve of 51 on average, and not all of them with the same centre.
+pairs.  Members that a centre turned down are also compared with all those it
+took, in such blocks too.  One minus the similarity is a distance, so only
+those turned down that still lie within twice the threshold's distance of the
+centre can be linked with one it took; the others are left out there without
+loss.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .words import WordHasher, constants, mix, shingle_sets
 BINS, ROWS, BANDS = 256, 5, 51
 #: Members of a star that are confirmed by one task at most, about.
 STAR = 64
-#: Members of a block in which turned-down documents are compared, about.
+#: Members of a block in which documents are compared, about.
 BLOCK = 512
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
@@ -94,7 +96,7 @@ def confirm(n: int, percent: int):
 
         hasher, star, centre = WordHasher(), None, None
         for batch in batches:
-            out = ([], [], [])
+            out = ([], [], [], [])
             keys = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
             for (c, salt, role, doc), own in zip(keys, shingle_sets(batch.column(4), n, hasher), strict=True):
                 if role == 0:
@@ -102,15 +104,17 @@ def confirm(n: int, percent: int):
                 elif star == (c, salt):
                     both = len(np.intersect1d(centre, own, assume_unique=True))
                     union = len(centre) + len(own) - both
-                    for x, y in zip(out, (c, doc, union > 0 and 100 * both >= percent * union), strict=True):
+                    row = (c, doc, union > 0 and 100 * both >= percent * union, union > 0 and 100 * both >= (2 * percent - 100) * union)
+                    for x, y in zip(out, row, strict=True):
                         x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["c", "d", "ok"])
+            types = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["c", "d", "ok", "near"])
 
     return run
 
 
 def verdicts(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(c, d, ok) for each edge; wide stars are dealt out in parts, each with its own copy of the centre."""
+    """(c, d, ok, near) for each edge, near if d can be linked with a document that c took; wide stars are dealt out in parts, each with its own copy of the centre."""
     wide = edges.groupBy("c").count().where(F.col("count") > STAR).select("c", F.ceil(F.col("count") / STAR).alias("parts"))
     salted = edges.join(wide, "c", "left").select("c", F.pmod(F.xxhash64("d"), F.coalesce("parts", F.lit(1))).alias("salt"), "d")
     rows = salted.select("c", "salt", F.lit(1).alias("role"), "d").union(salted.select("c", "salt").distinct().select("c", "salt", F.lit(0), F.col("c")))
@@ -119,7 +123,7 @@ def verdicts(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
         .select("c", "salt", "role", "d", "text")
         .repartition("c", "salt")
         .sortWithinPartitions("c", "salt", "role")
-        .mapInArrow(confirm(n, percent), "c long, d long, ok boolean")
+        .mapInArrow(confirm(n, percent), "c long, d long, ok boolean, near boolean")
     )
 
 
@@ -137,30 +141,47 @@ def set_bytes(n: int):
     return run
 
 
+def overlaps(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """both[i, j]: how many members the i-th of the first sets shares with set j."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((first, len(sets)), np.float32)
+    for low in range(0, int((times > 1).sum()), 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        both += part[:first] @ part.T
+    return both.astype(np.int64)
+
+
 def forest(percent: int):
-    """The edges (c, d) of a spanning forest over one block's confirmed links."""
+    """The edges (c, d) of a spanning forest over one block's confirmed links.
+
+    Where rows have a column ``taken``, only links between rows that have it
+    and rows that don't are looked for.
+    """
 
     def run(table):
         import pyarrow as pa
 
-        ids = table.column("d").to_numpy()
-        ids, first = np.unique(ids, return_index=True)
+        ids, first = np.unique(table.column("d").to_numpy(), return_index=True)
+        down = len(ids)
+        if "taken" in table.column_names:
+            taken = np.asarray(table.column("taken").to_pylist(), bool)[first]
+            order = np.argsort(taken, kind="stable")
+            ids, first, down = ids[order], first[order], int((~taken).sum())
         sets = [np.frombuffer(x, "<u8") for x in table.column("members").take(pa.array(first)).to_pylist()]
         sizes = np.array([len(s) for s in sets], np.int64)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times[column] > 1
-        owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int((times > 1).sum()), 4096):
-            a, b = np.searchsorted(column, (low, low + 4096))
-            part = np.zeros((len(sets), 4096), np.float32)
-            part[owner[a:b], column[a:b] - low] = 1
-            both += part @ part.T
-        both = both.astype(np.int64)
-        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        both = overlaps(sets, down)
+        linked = 100 * both >= percent * (sizes[:down, None] + sizes[None, :] - both)
+        if down < len(ids):
+            across = np.zeros((len(ids), len(ids)), bool)
+            across[:down, down:] = linked[:, down:]
+            linked = across | across.T
         left, edges = np.ones(len(ids), bool), ([], [])
         for start in range(len(ids)):
             if left[start]:
@@ -178,6 +199,22 @@ def forest(percent: int):
     return run
 
 
+def taken_or_not(done: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """Links (c, d) between members that a centre took and near ones that it turned down, in whatever buckets."""
+    sides = done.where("ok or near").select(F.col("c").alias("centre"), "d", F.col("ok").alias("taken"))
+    count = lambda of: F.ceil(F.count(F.when(of, 1)) / BLOCK).cast("int")
+    parts = sides.groupBy("centre").agg(count(~F.col("taken")).alias("down_parts"), count(F.col("taken")).alias("taken_parts")).where("down_parts > 0 and taken_parts > 0")
+    rows = scratch.save(sides.join(parts, "centre"), "sides")
+    texts = docs.join(rows.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sets = scratch.save(texts.mapInArrow(set_bytes(n), "d long, members binary"), "side_sets")
+    own = F.pmod(F.xxhash64("d"), F.when(F.col("taken"), F.col("taken_parts")).otherwise(F.col("down_parts"))).cast("int")
+    across = F.explode(F.sequence(F.lit(0), F.when(F.col("taken"), F.col("down_parts")).otherwise(F.col("taken_parts")) - 1))
+    dealt = rows.select("centre", "d", "taken", own.alias("own"), across.alias("other"))
+    i, j = F.when(F.col("taken"), F.col("other")).otherwise(F.col("own")), F.when(F.col("taken"), F.col("own")).otherwise(F.col("other"))
+    dealt = dealt.select("centre", "d", "taken", i.alias("i"), j.alias("j"))
+    return dealt.join(sets, "d").groupBy("centre", "i", "j").applyInArrow(forest(percent), "c long, d long")
+
+
 def turned_down(active: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     """Links (c, d) among the members (hash, doc_id) that their buckets' centres turned down."""
     parts = active.groupBy("hash").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -212,11 +249,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, perc
     stars = scratch.save(members.join(centres, "hash").where("doc_id <> c").select("hash", "c", F.col("doc_id").alias("d")), "stars")
     scratch.drop("members")
     done = verdicts(stars.select("c", "d").distinct(), docs, shingle, percent)
-    done = scratch.save(done.groupBy("c", "d").agg(F.max("ok").alias("ok")), "verdicts")
+    done = scratch.save(done.groupBy("c", "d").agg(F.max("ok").alias("ok"), F.max("near").alias("near")), "verdicts")
     active = scratch.save(stars.join(done.where("not ok"), ["c", "d"], "left_semi").select("hash", F.col("d").alias("doc_id")), "active")
     scratch.drop("stars")
     more = scratch.save(turned_down(active, docs, scratch, shingle, percent).distinct(), "more")
-    links = done.where("ok").select("c", "d").union(more)
+    scratch.drop("turned_down", "sets", "active")
+    across = scratch.save(taken_or_not(done, docs, scratch, shingle, percent).distinct(), "across")
+    scratch.drop("sides", "side_sets")
+    links = done.where("ok").select("c", "d").union(more).union(across)
     found = components(links, scratch, "c", "d")
     whole = groups.join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     return (

@@ -91,6 +91,23 @@ def test_near_duplicates_among_turned_down(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == linked(rows)
 
 
+def test_near_duplicates_between_taken_and_turned_down(spark):
+    """A base in the middle of light copies with lower ids, heavier copies at its edge: the copies of lowest id are every bucket's centre."""
+    rng = random.Random(12)
+    base = sentence(rng, 200).split()
+
+    def copy(places, mark):
+        return " ".join(f"{mark}x{at}" if at in places else word for at, word in enumerate(base))
+
+    rows = [(i, copy({10 * (i % 10) + 3, 10 * (i // 10 % 10) + 8}, f"light{i}"), "s") for i in range(60)]
+    rows.append((1000, " ".join(base), "s"))
+    rows += [(2000 + i, copy({105 + k * 17 + i for k in range(5)}, f"heavy{i}"), "s") for i in range(8)]
+    found = near_dup.near_duplicates(spark, table(spark, rows)).collect()
+    real = linked(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == real
+    assert {component for _, component in real.values()} == {0}
+
+
 def test_forest_is_exact():
     import pyarrow as pa
 
