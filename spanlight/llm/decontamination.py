@@ -1,55 +1,49 @@
 """Benchmark items inside documents, within an edit distance.
 
-Windows of documents and of items start at words.  A window is walked by the
-CGK embedding: at each step the letter is put out, and a coin that depends on
-the step and the letter decides whether to move on.  Strings a few edits apart
-mostly fall into step again, so their walks differ in few places.  Keys are
-made of sampled places of several independent walks; a document's window that
-shares a key with an item's window is a candidate.  Every word of an item
-starts a window, so one clean run of some fifty bytes anywhere in a passage is
-enough.  Around a candidate, the least edit distance of the whole item to any
-substring of an item-sized stretch is computed exactly.
+Runs of a few bytes that a document and an item share are counted by item and
+by where the item would begin.  An item that is in a document within its edits
+keeps some of its runs, all with beginnings no farther apart than the edits
+allow, so only stretches with enough of them are candidates.  There the least
+edit distance of the whole item to any substring is computed exactly.  Runs are
+taken at every byte, so neither words nor spaces matter.
+
+How many runs are enough: each edit breaks at most as many runs as a run has
+bytes, so short items have a count that no copy can miss (the q-gram lemma).  In
+long items that count is no more than what chance gives; they take the longest
+runs and the highest count that a copy with all its edits at random places
+misses with a probability of at most ``MISS``.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .core import arrow_batches
-from .words import CHUNK, WordHasher, constants, mix, text_buffers
-
-#: Steps of a walk, walks, keys of a walk, places of a key.
-STEPS, WALKS, KEYS, PLACES = 64, 2, 3, 14
-#: Every so many words of a document start a window.
-STRIDE = 2
-#: Bytes that a walk mostly covers; an item shorter than this is looked for as it is, without edits.
-REACH = 40
+from .words import BASE, CHUNK, mix, text_buffers
+
+#: Items of fewer bytes are found for certain, wherever their edits are.
+CERTAIN = 64
+#: Chance at most that a longer item with all its edits at random places is no candidate.
+MISS = 0.01
+#: Lengths of runs in long items, the longest that reaches MISS is taken; least count with which one is taken.
+RUNS, LEAST = (12, 11, 10, 9, 8, 7, 6, 5), 3
 #: Edits allowed for each byte of an item.
 EDITS = 0.2
-#: Bits of the table that sorts out windows before keys are compared.
+#: Bits of the table that sorts out runs before they are looked up.
 TABLE = 1 << 22
+#: Cells and shared runs that are counted together.
+CELLS, PAIRS = 1 << 22, 1 << 22
+#: Items of at most so many bytes are compared so many at once.
+LONG, TOGETHER = 512, 4096
 #: Bytes that all items may have together: the index of items is sent to every
 #: task, so its size is checked; more items must be given in several calls.
 MOST_ITEM_BYTES = 64 << 20
 
 
-def coins(walk: int) -> np.ndarray:
-    """moves[step, letter]: whether the walk moves on."""
-    bits = mix(np.arange(STEPS * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1 + 1_000_003 * walk))
-    return (bits >> np.uint64(40)).astype(np.uint8).reshape(STEPS, 256) & 1
-
-
-def places(walk: int) -> np.ndarray:
-    """used[step, key]: the weight of the step's letter in each key, 0 where it isn't sampled."""
-    out = np.zeros((STEPS, KEYS), np.uint64)
-    for k in range(KEYS):
-        order = np.argsort(mix(np.arange(STEPS, dtype=np.uint64) + np.uint64(7919 * (walk * KEYS + k + 1))), kind="stable")
-        out[order[:PLACES], k] = constants(PLACES, 101 + walk * KEYS + k)
-    return out
-
-
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case, white space as a space."""
     out = data + (((data >= 65) & (data <= 90)) << 5).astype(np.uint8)
@@ -57,21 +51,32 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_keys(data: np.ndarray, starts: np.ndarray):
-    """Yields (walk, key, hashes) for the windows at the starts; data must be followed by STEPS more bytes."""
-    for walk in range(WALKS):
-        moves, used = coins(walk), places(walk)
-        at = starts.astype(np.int64)
-        keys = [np.zeros(len(starts), np.uint64) for _ in range(KEYS)]
-        last = int(np.flatnonzero(used.any(axis=1))[-1])
-        for step in range(last + 1):
-            letters = data[at]
-            for k in range(KEYS):
-                if used[step, k]:
-                    keys[k] += (letters.astype(np.uint64) + np.uint64(1)) * used[step, k]
-            at += moves[step][letters]
-        for k in range(KEYS):
-            yield walk, k, mix(keys[k] + constants(1, 977 + walk * KEYS + k)[0])
+@cache
+def enough(size: int, run: int, most: int) -> int:
+    """The highest count of whole runs that an item of this size with all its edits misses with a chance of at most MISS; 0 if none.
+
+    Taken from 1000 seeded choices of the edited places.
+    """
+    whole = np.ones((1000, size), bool)
+    places = np.random.default_rng(5).random((1000, size)).argpartition(most, axis=1)[:, :most]
+    whole[np.arange(1000)[:, None], places] = False
+    runs = np.lib.stride_tricks.sliding_window_view(whole, run, axis=1).all(axis=2).sum(axis=1)
+    return int(np.sort(runs)[int(MISS * 1000)])
+
+
+def run_and_count(size: int, most: int) -> tuple[int, int]:
+    """Bytes of an item's runs, and how many a stretch must share with it to be a candidate."""
+    if size >= CERTAIN:
+        # The count of a part of a longer item is less than the item's own.
+        part = min(size, 512)
+        for run in RUNS:
+            count = enough(part, run, min(part - 1, -(-most * part // size)))
+            if count >= LEAST:
+                return run, count
+    for run in (4, 3, 2, 1):
+        if size + 1 - run - most * run >= 1:
+            return run, size + 1 - run - most * run
+    return 0, 0
 
 
 def edit_distance_inside(item: bytes, text: bytes) -> tuple[int, int]:
@@ -103,10 +108,122 @@ def edit_distance_inside(item: bytes, text: bytes) -> tuple[int, int]:
     return best, where
 
 
+def edit_distances_inside(items: list[bytes], texts: list[bytes]) -> np.ndarray:
+    """edit_distance_inside for many pairs at once, items of at most LONG bytes."""
+    order = sorted(range(len(items)), key=lambda i: -len(items[i]))
+    numbers: dict[bytes, int] = {}
+    of = np.array([numbers.setdefault(items[i], len(numbers)) for i in order])
+    sizes = np.array([len(items[i]) for i in order])
+    blocks = -(-int(sizes[0]) // 64)
+    peq = np.zeros((blocks, len(numbers) * 256), np.uint64)
+    for item, n in numbers.items():
+        letters = np.frombuffer(item, np.uint8).astype(np.int64)
+        at = np.arange(len(item))
+        np.bitwise_or.at(peq, (at // 64, n * 256 + letters), np.uint64(1) << (at % 64).astype(np.uint64))
+    lengths = np.array([len(texts[i]) for i in order])
+    text = np.zeros((int(lengths.max()), len(order)), np.int64)
+    for k, i in enumerate(order):
+        text[: lengths[k], k] = np.frombuffer(texts[i], np.uint8)
+    text += of * 256
+    one, last = np.uint64(1), np.uint64(63)
+    top = ((sizes - 1) % 64).astype(np.uint64)
+    # Items are in order of falling size, so those with a block b come first.
+    having = [int((sizes > 64 * b).sum()) for b in range(blocks)] + [0]
+    plus = [np.full(h, ~np.uint64(0)) for h in having[:-1]]
+    minus = [np.zeros(h, np.uint64) for h in having[:-1]]
+    score, best = sizes.copy(), sizes.copy()
+    for step in range(len(text)):
+        carry_plus = carry_minus = np.zeros(len(order), np.uint64)
+        for b in range(blocks):
+            n, more = having[b], having[b + 1]
+            p, m, hp, hm = plus[b], minus[b], carry_plus[:n], carry_minus[:n]
+            eq = peq[b].take(text[step, :n])
+            xv = eq | m
+            eq |= hm
+            xh = (((eq & p) + p) ^ p) | eq
+            ph = m | ~(xh | p)
+            mh = p & xh
+            if more < n:
+                score[more:n] += ((ph[more:] >> top[more:n]) & one).astype(np.int64) - ((mh[more:] >> top[more:n]) & one).astype(np.int64)
+            carry_plus, carry_minus = ph >> last, mh >> last
+            ph = (ph << one) | hp
+            mh = (mh << one) | hm
+            plus[b] = mh | ~(xv | ph)
+            minus[b] = ph & xv
+        best = np.where((step < lengths) & (score < best), score, best)
+    out = np.zeros(len(order), np.int64)
+    out[order] = best
+    return out
+
+
+def run_codes(data: np.ndarray, run: int) -> np.ndarray:
+    """Each run of bytes as a number, of up to eight bytes its own."""
+    out = np.zeros(max(0, len(data) - run + 1), np.uint64)
+    by = np.uint64(256 if run <= 8 else BASE)
+    for i in range(run):
+        out *= by
+        out += data[i : i + len(out)]
+    return out
+
+
+class Group:
+    """The runs of some items, all of one length."""
+
+    def __init__(self, run: int, members: list[tuple[int, bytes, int, int]]):
+        self.run = run
+        self.number = np.array([n for n, _, _, _ in members])
+        self.size = np.array([len(x) for _, x, _, _ in members])
+        self.most = np.array([m for _, _, m, _ in members])
+        self.count = np.array([c for _, _, _, c in members])
+        self.width = np.maximum(self.most + 1, 32)
+        codes = [run_codes(np.frombuffer(x, np.uint8), run) for _, x, _, _ in members]
+        owner = np.repeat(np.arange(len(members)), [len(c) for c in codes])
+        offset = np.concatenate([np.arange(len(c)) for c in codes])
+        codes = np.concatenate(codes)
+        order = np.argsort(codes, kind="stable")
+        self.owner, self.offset = owner[order], offset[order]
+        self.codes, self.first, self.times = np.unique(codes[order], return_index=True, return_counts=True)
+
+    def candidates(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray):
+        """(place in the group, from, to): stretches of the part in which the item may begin."""
+        codes = run_codes(part, self.run)
+        at = np.flatnonzero(table[(mix(codes) & np.uint64(TABLE - 1)).astype(np.int64)])
+        at = at[at + self.run <= cuts[np.searchsorted(cuts, at, "right")]]
+        place = np.searchsorted(self.codes, codes[at])
+        place[place == len(self.codes)] = 0
+        same = self.codes[place] == codes[at]
+        at, place = at[same], place[same]
+        longest = int(self.size.max())
+        rows = (len(part) + longest) // self.width + 4
+        base = np.concatenate(([0], np.cumsum(rows)))
+        counts = np.zeros(base[-1], np.int64)
+        times = self.times[place]
+        ends = np.cumsum(times)
+        low = 0
+        while low < len(at):
+            done = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+            n = times[low:high]
+            pair = np.arange(n.sum()) + np.repeat(self.first[place[low:high]] - (ends[low:high] - n - done), n)
+            item = self.owner[pair]
+            counts += np.bincount(base[item] + (np.repeat(at[low:high], n) - self.offset[pair] + longest) // self.width[item], minlength=len(counts))
+            low = high
+        # The beginnings that one copy's runs give lie in three cells side by side.
+        counts[:-2] += counts[1:-1] + counts[2:]
+        flagged = np.flatnonzero(counts >= np.repeat(self.count, rows))
+        item = np.searchsorted(base, flagged, "right") - 1
+        new = np.ones(len(flagged) + 1, bool)
+        new[1:-1] = (np.diff(flagged) > 2) | (np.diff(item) > 0)
+        bounds = np.flatnonzero(new)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            k, width = int(item[a]), int(self.width[item[a]])
+            yield k, int(flagged[a] - base[k]) * width - longest, int(flagged[b - 1] - base[k] + 3) * width - longest
+
+
 class ItemIndex:
-    """Keys of all windows of all items, for every task."""
+    """Runs of all items, for every task."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
         found: dict[bytes, list[int]] = {}
         for number, text in items:
             norm = b" ".join(lowered(np.frombuffer(text.encode(), np.uint8)).tobytes().split())
@@ -114,24 +231,24 @@ class ItemIndex:
                 found.setdefault(norm, []).append(number)
         self.items = sorted(found)
         self.ids = [sorted(found[x]) for x in self.items]
-        pad = np.full(STEPS + 1, 32, np.uint8)
-        rows = []
+        by_run: dict[int, list[tuple[int, bytes, int, int]]] = {}
         for n, item in enumerate(self.items):
-            data = np.concatenate((np.frombuffer(item, np.uint8), pad))
-            starts = np.flatnonzero((data[:-1] == 32) & (data[1:] != 32)) + 1
-            starts = np.concatenate(([0], starts[starts < len(item)]))
-            # A window that mostly leaves the item would need what follows it in the document.
-            starts = starts[starts <= len(item) - REACH]
-            for _, _, keys in window_keys(data, starts):
-                rows.append((keys, np.full(len(starts), n), starts))
-        self.keys, self.owner, self.offset = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.short = [(n, x) for n, x in enumerate(self.items) if len(x) < REACH]
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owner, self.offset = self.keys[order], self.owner[order], self.offset[order]
-
-    def table(self) -> np.ndarray:
-        out = np.zeros(TABLE, bool)
-        out[(self.keys & np.uint64(TABLE - 1)).astype(np.int64)] = True
+            most = int(edits * len(item))
+            run, count = run_and_count(len(item), most)
+            by_run.setdefault(run, []).append((n, item, most, count))
+        #: Items that allow so many edits that no run need stay whole; all documents are compared with them.
+        self.anywhere = [(n, most) for n, _, most, _ in by_run.pop(0, [])]
+        self.groups = []
+        for run, members in sorted(by_run.items()):
+            cells = np.cumsum([CHUNK // max(most + 1, 32) for _, _, most, _ in members]) // CELLS
+            self.groups += [Group(run, [m for m, c in zip(members, cells.tolist(), strict=True) if c == k]) for k in np.unique(cells).tolist()]
+
+    def tables(self) -> list[np.ndarray]:
+        out = []
+        for group in self.groups:
+            table = np.zeros(TABLE, bool)
+            table[(mix(group.codes) & np.uint64(TABLE - 1)).astype(np.int64)] = True
+            out.append(table)
         return out
 
 
@@ -145,52 +262,58 @@ def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return data[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
 
 
-def hits(index: ItemIndex, edits: float):
+def hits(index: ItemIndex):
     """(doc_id, item_ids, distances): every document with the items found in it."""
 
     def run(batches):
         import pyarrow as pa
 
-        hasher, table = WordHasher(), index.table()
-        mask = np.uint64(TABLE - 1)
+        tables = index.tables()
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            found: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(batch))]
+            found: list[dict[int, int]] = [{} for _ in range(len(batch))]
+
+            waiting: list[tuple[int, int, int, bytes]] = []
+
+            def settle() -> None:
+                """Compare what waits; short texts first, so that few wait for a long one."""
+                few = [x for x in waiting if len(index.items[x[1]]) <= LONG and len(x[3]) <= 4 * LONG]
+                few.sort(key=lambda x: len(x[3]))
+                distances = [(x, edit_distance_inside(index.items[x[1]], x[3])[0]) for x in waiting if len(index.items[x[1]]) > LONG or len(x[3]) > 4 * LONG]
+                for k in range(0, len(few), max(256, len(few) // 3 + 1)):
+                    some = few[k : k + max(256, len(few) // 3 + 1)]
+                    distances += zip(some, edit_distances_inside([index.items[x[1]] for x in some], [x[3] for x in some]).tolist(), strict=True)
+                for (doc, n, most, _), distance in distances:
+                    if distance <= min(most, found[doc].get(n, most)):
+                        found[doc][n] = distance
+                waiting.clear()
+
+            def compare(doc: int, n: int, most: int, text: bytes) -> None:
+                waiting.append((doc, n, most, text))
+                if len(waiting) >= TOGETHER:
+                    settle()
+
             first = 0
             while first < len(batch):
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
                 part, cuts = squeezed(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                for n, item in index.short:
+                for n, most in index.anywhere:
                     for doc in range(last - first):
-                        if item in part[cuts[doc] : cuts[doc + 1]].tobytes():
-                            found[first + doc][n] = (0, 0)
-                if len(part) and len(index.keys):
-                    starts, _ = hasher.spans(part, cuts)
-                    owner = np.searchsorted(cuts, starts, "right") - 1
-                    place = np.arange(len(starts)) - np.searchsorted(starts, cuts)[owner]
-                    chosen = place % STRIDE == 0
-                    starts, owner = starts[chosen], owner[chosen]
-                    padded = np.concatenate((part, np.full(STEPS + 1, 32, np.uint8)))
-                    tried: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                    for _, _, keys in window_keys(padded, starts):
-                        maybe = np.flatnonzero(table[(keys & mask).astype(np.int64)])
-                        low = np.searchsorted(index.keys, keys[maybe])
-                        high = np.searchsorted(index.keys, keys[maybe], "right")
-                        for w, a, b in zip(maybe[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                            for e in range(a, b):
-                                n, at = int(index.owner[e]), int(starts[w] - index.offset[e])
-                                doc, item = int(owner[w]), index.items[n]
-                                most = int(edits * len(item))
-                                if (n in found[first + doc]) or any(x <= at <= y for x, y in tried.get((doc, n), ())):
-                                    continue
-                                tried.setdefault((doc, n), []).append((at - 1, at + 1))
-                                begin, end = int(cuts[doc]), int(cuts[doc + 1])
-                                stretch = part[max(begin, at - most) : min(end, at + len(item) + most)].tobytes()
-                                distance, _ = edit_distance_inside(item, stretch)
-                                if distance <= most:
-                                    found[first + doc][n] = (distance, max(0, at - begin))
+                        if cuts[doc] < cuts[doc + 1]:
+                            compare(first + doc, n, most, part[cuts[doc] : cuts[doc + 1]].tobytes())
+                for group, table in zip(index.groups, tables, strict=True):
+                    for k, low, high in group.candidates(part, cuts, table):
+                        n, size, most = int(group.number[k]), int(group.size[k]), int(group.most[k])
+                        low, high = max(0, low), min(len(part), high + size + most)
+                        doc = int(np.searchsorted(cuts, low, "right")) - 1
+                        while doc < last - first and cuts[doc] < high:
+                            text = part[max(low, cuts[doc]) : min(high, cuts[doc + 1])].tobytes()
+                            if len(text) >= size - most:
+                                compare(first + doc, n, most, text)
+                            doc += 1
                 first = last
-            ids = [sorted((i, d) for n, (d, _) in f.items() for i in index.ids[n]) for f in found]
+            settle()
+            ids = [sorted((i, d) for n, d in f.items() for i in index.ids[n]) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([[i for i, _ in x] for x in ids], pa.list_(pa.int64())), pa.array([[d for _, d in x] for x in ids], pa.list_(pa.int32()))],
                 names=["doc_id", "item_ids", "distances"],
@@ -199,12 +322,12 @@ def hits(index: ItemIndex, edits: float):
     return run
 
 
-def item_index(items: DataFrame) -> ItemIndex:
+def item_index(items: DataFrame, edits: float) -> ItemIndex:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     if size > MOST_ITEM_BYTES:
         raise ValueError(f"the items have {size} bytes, more than MOST_ITEM_BYTES; give them in several calls")
-    return ItemIndex([(r.item_id, r.text) for r in items.collect()])
+    return ItemIndex([(r.item_id, r.text) for r in items.collect()], edits)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
@@ -212,12 +335,11 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits:
 
     An item (item_id, text) is in a document if the item, A-Z in lower case and
     with single spaces, is within ``edits`` of its length in bytes of some
-    substring of the document so written; items of fewer than REACH bytes must
-    occur as they are.  Null or blank items match nothing; equal items are
+    substring of the document so written, at words or inside them.  Null or blank items match nothing; equal items are
     reported each.  A null or empty text has no items; a
     repeated row gives a row each; ids may be null.
     """
     arrow_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(hits(item_index(items), edits), "doc_id long, item_ids array<long>, distances array<int>")
+    out = rows.mapInArrow(hits(item_index(items, edits)), "doc_id long, item_ids array<long>, distances array<int>")
     return out.withColumn("contaminated", F.size("item_ids") > 0)

@@ -295,6 +295,26 @@ def test_contamination(spark):
     assert all(not r.contaminated for r in decontamination.contamination(spark, table(spark, docs), bench.limit(0)).collect())
 
 
+def spoilt(rng, item, edits):
+    out = list(item)
+    for _ in range(edits):
+        at, what = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + (what != 1)] = [rng.choice("aeioknrst")] if what != 2 else []
+    return "".join(out)
+
+
+def test_contamination_with_all_edits_allowed(spark):
+    """Copies with 18 to 20 % edits, against the edit distance to the whole document."""
+    rng = random.Random(14)
+    items = [(k, sentence(rng, 10 + k % 50)) for k in range(120)]
+    docs = [(k, f"{sentence(rng, 30)} {spoilt(rng, t, int((0.18 + k % 3 / 100) * len(t)))} {sentence(rng, 30)}", "s") for k, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: set(r.item_ids) for r in decontamination.contamination(spark, table(spark, docs), bench).collect()}
+    real = {(d, k) for d, text, _ in docs for k, t in items if decontamination.edit_distance_inside(t.encode(), text.encode())[0] <= int(0.2 * len(t))}
+    got = {(d, k) for d, ks in found.items() for k in ks}
+    assert got <= real and len(got) >= 0.97 * len(real) and len(real) >= 100
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"]
     docs = [(1, f"intro words {mit.upper()} outro", "s"), (2, "Released under the MIT License.", "s"), (3, None, "s"), (4, "all the rights we reserved", "s"), (5, "x All rights reserved. y " * 2, "s"), (6, mit.replace("charge", "cost").replace("sublicense", "lend"), "s")]
