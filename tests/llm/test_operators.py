@@ -315,6 +315,20 @@ def test_contamination_with_all_edits_allowed(spark):
     assert got <= real and len(got) >= 0.97 * len(real) and len(real) >= 100
 
 
+def test_contamination_short_and_unbroken(spark):
+    """Short items within their edits wherever they begin, and passages inside text without spaces."""
+    rng = random.Random(15)
+    short = [(k, spoilt(rng, sentence(rng, 20), 0)[: 9 + k % 50].strip()) for k in range(100)]
+    signs = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40)) for _ in range(10)]
+    docs = [(k, f"{sentence(rng, 20 + k % 2)} {spoilt(rng, t, len(t) // 10)} {sentence(rng, 9)}", "s") for k, t in short]
+    docs += [(200 + k, "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(50 + k)) + t + "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(70)), "s") for k, t in enumerate(signs)]
+    items = short + [(200 + k, t) for k, t in enumerate(signs)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, k) for r in decontamination.contamination(spark, table(spark, docs), bench).collect() for k in r.item_ids}
+    real = {(d, k) for d, text, _ in docs for k, t in items if decontamination.edit_distance_inside(t.encode(), text.encode())[0] <= int(0.2 * len(t.encode()))}
+    assert got == real and {(k, k) for k, _ in items} <= got
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"]
     docs = [(1, f"intro words {mit.upper()} outro", "s"), (2, "Released under the MIT License.", "s"), (3, None, "s"), (4, "all the rights we reserved", "s"), (5, "x All rights reserved. y " * 2, "s"), (6, mit.replace("charge", "cost").replace("sublicense", "lend"), "s")]
