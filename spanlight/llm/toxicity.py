@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .core import arrow_batches
 from .logistic import sigmoid
-from .samples import labelled
+from .samples import label_ids, labelled
 
 #: Groups of interchangeable mentions; a parameter of the operator.
 IDENTITY_TERMS = (
@@ -112,12 +112,14 @@ def sample_slots(groups):
     return run
 
 
-def fit(rows: list, steps: int = 300) -> tuple[dict[int, float], float]:
-    """Weights by slot and the intercept; Adam on the weighted loss with the counterfactual penalty."""
+def fit(rows: list, steps: int = 300, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[dict[int, float], float]:
+    """Weights by slot and the intercept; Adam on the loss, weighted by class, with the counterfactual penalty."""
     texts = [r for r in rows if r[0] in (0, 1)]
     y = np.array([r[0] for r in texts], float)
+    weight = np.where(y == 1, weights[1], weights[0])
     if not len(texts) or len(set(y)) < 2:
-        return {}, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(texts) else 0.0
+        return {}, float(np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1))) if len(texts) else 0.0
+    weight /= weight.sum()
     n = [np.bincount(np.concatenate([np.asarray(r[2], np.int64) for r in texts if r[0] == k]), minlength=SPACE) for k in (0, 1)]
     total = [(y == k).sum() for k in (0, 1)]
     rate = [(n[k] + 0.5) / (total[k] + 1) for k in (0, 1)]
@@ -143,7 +145,7 @@ def fit(rows: list, steps: int = 300) -> tuple[dict[int, float], float]:
     w, b, m, v = np.zeros(len(keep)), 0.0, np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     for t in range(1, steps + 1):
         p = sigmoid(np.bincount(xr, w[xc], xn) + b)
-        err = (p - y) / xn
+        err = (p - y) * weight
         change = (np.bincount(pr, w[pc], pn) - np.bincount(mr, w[mc], pn)) * (FAIR / max(1, pn))
         g = np.append(np.bincount(xc, err[xr], len(w)) + np.bincount(pc, change[pr], len(w)) - np.bincount(mc, change[mr], len(w)) + RIDGE * w, err.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -172,7 +174,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, train: Column, groups=IDE
     rows = labelled(docs, labels, "toxic", train, FIT_ROWS).select("doc_id", "text", "y").mapInArrow(sample_slots(groups), "y int, doc_id long, plus array<int>, minus array<int>").toArrow()
     rows = rows.sort_by([("y", "ascending"), ("doc_id", "ascending")])
     cols = [rows.column("y").to_pylist(), rows.column("doc_id").to_pylist(), [np.asarray(x.values) for x in rows.column("plus")], [np.asarray(x.values) for x in rows.column("minus")]]
-    return fit(list(zip(*cols, strict=True)))
+    counts = {r.y: r["count"] for r in label_ids(labels, "toxic", train).groupBy("y").count().collect()}
+    # The sample's classes weigh as in all labels.
+    return fit(list(zip(*cols, strict=True)), weights=tuple(max(1.0, counts.get(y, 0) / FIT_ROWS) for y in (0, 1)))
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, groups=IDENTITY_TERMS) -> DataFrame:

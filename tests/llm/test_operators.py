@@ -151,6 +151,13 @@ def test_quality_held_out(spark):
     assert np.mean([(r.score >= 0.3) == (r.doc_id % 3 > 0) for r in found]) > 0.95
 
 
+def test_toxicity_keeps_the_share_of_labels_in_a_sample(spark, monkeypatch):
+    """One label in ten is toxic and the texts don't tell: a bounded sample of both classes must not say a half."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 20)
+    docs, labels = labelled_texts(spark, lambda i: ("words that tell nothing", int(i % 10 == 0)))
+    assert abs(toxicity.toxicity_scores(spark, docs, labels, F.col("doc_id") >= 0).first().score - 0.1) < 0.05
+
+
 def test_toxicity_held_out_and_fair(spark):
     rng = random.Random(1)
 
