@@ -1,47 +1,63 @@
 """Benchmark items inside documents, within an edit distance.
 
-Runs of a few bytes that a document and an item share are counted by item and
-by where the item would begin.  An item that is in a document within its edits
-keeps some of its runs, all with beginnings no farther apart than the edits
-allow, so only stretches with enough of them are candidates.  There the least
-edit distance of the whole item to any substring is computed exactly.  Runs are
-taken at every byte, so neither words nor spaces matter.
-
-How many runs are enough: each edit breaks at most as many runs as a run has
-bytes, so short items have a count that no copy can miss (the q-gram lemma).  In
-long items that count is no more than what chance gives; they take the longest
-runs and the highest count that a copy with all its edits at random places
-misses with a probability of at most ``MISS``.
+Windows of documents and of items start at words, and inside long runs without
+spaces.  A window is walked by the CGK embedding: at each step the byte is put
+out, and a coin that depends on the step and the byte decides whether to move
+on.  Strings a few edits apart mostly fall into step again, so their walks
+differ in few places: edit distance has become Hamming distance.  Keys are
+bytes sampled at some places of a walk.  A window of a document that shares one
+of several keys of several walks with a window of an item is a candidate.  An
+item has a window at each of its words, so that one stretch of some twenty
+bytes with few edits anywhere in a copy is enough, however many edits the rest
+has.
+
+A candidate whose stretch lacks the runs of three and of four bytes that the
+edits must leave whole cannot be a copy and goes (the q-gram lemma).  For the others the
+least edit distance of the whole item to any substring of the stretch is
+computed exactly.
+
+Items of fewer than ``CERTAIN`` bytes have too few windows for chance to work
+with.  Their shared runs of a few bytes are counted by where the item would
+begin, at every byte, with a count that no copy can miss; so they are found for
+certain, wherever their edits are.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .core import arrow_batches
-from .words import BASE, CHUNK, mix, text_buffers
+from .words import CHUNK, WordHasher, constants, mix, text_buffers
 
 #: Items of fewer bytes are found for certain, wherever their edits are.
 CERTAIN = 64
-#: Chance at most that a longer item with all its edits at random places is no candidate.
-MISS = 0.01
-#: Lengths of runs in long items, the longest that reaches MISS is taken; least count with which one is taken.
-RUNS, LEAST = (12, 11, 10, 9, 8, 7, 6, 5), 3
+#: Steps of a walk, walks, keys of a walk, places of a key: of random copies with
+#: all the edits that an item may have, more than 99 of 100 share a key.
+STEPS, WALKS, KEYS, PLACES = 56, 2, 6, 12
+#: Bytes that a walk mostly covers; windows of an item end before its end.
+REACH = 30
+#: Bytes from which a run without spaces has windows inside, and how far they lie apart in documents; in items every byte starts one.
+RUN, APART = 24, 4
 #: Edits allowed for each byte of an item.
 EDITS = 0.2
-#: Bits of the table that sorts out runs before they are looked up.
+#: Bits of the table that sorts out keys and runs before they are looked up.
 TABLE = 1 << 22
-#: Cells and shared runs that are counted together.
-CELLS, PAIRS = 1 << 22, 1 << 22
+#: Windows that are walked together; pairs that are counted together.
+WALKED, PAIRS = 1 << 14, 1 << 20
+#: Lengths of runs of which an item's edits must leave some whole, and the numbers they are hashed to.
+KEPT, GRAMS = (3, 4), 1 << 12
+#: Cells that are counted together.
+CELLS = 1 << 22
 #: Items of at most so many bytes are compared so many at once.
 LONG, TOGETHER = 512, 4096
-#: Bytes that all items may have together: the index of items is sent to every
-#: task, so its size is checked; more items must be given in several calls.
-MOST_ITEM_BYTES = 64 << 20
+#: Pieces of an item that are compared before the whole.
+PIECES = 4
+#: Bytes that all items may have together.  Their index is sent to every task
+#: and takes some forty bytes for each, so its size is checked; more items must
+#: be given in several calls.
+MOST_ITEM_BYTES = 4 << 20
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -51,28 +67,8 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-@cache
-def enough(size: int, run: int, most: int) -> int:
-    """The highest count of whole runs that an item of this size with all its edits misses with a chance of at most MISS; 0 if none.
-
-    Taken from 1000 seeded choices of the edited places.
-    """
-    whole = np.ones((1000, size), bool)
-    places = np.random.default_rng(5).random((1000, size)).argpartition(most, axis=1)[:, :most]
-    whole[np.arange(1000)[:, None], places] = False
-    runs = np.lib.stride_tricks.sliding_window_view(whole, run, axis=1).all(axis=2).sum(axis=1)
-    return int(np.sort(runs)[int(MISS * 1000)])
-
-
 def run_and_count(size: int, most: int) -> tuple[int, int]:
-    """Bytes of an item's runs, and how many a stretch must share with it to be a candidate."""
-    if size >= CERTAIN:
-        # The count of a part of a longer item is less than the item's own.
-        part = min(size, 512)
-        for run in RUNS:
-            count = enough(part, run, min(part - 1, -(-most * part // size)))
-            if count >= LEAST:
-                return run, count
+    """Bytes of a short item's runs, and how many of them its edits must leave whole; (0, 0) if they need leave none."""
     for run in (4, 3, 2, 1):
         if size + 1 - run - most * run >= 1:
             return run, size + 1 - run - most * run
@@ -108,6 +104,34 @@ def edit_distance_inside(item: bytes, text: bytes) -> tuple[int, int]:
     return best, where
 
 
+def one_word_distances(peq: np.ndarray, of: np.ndarray, text: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The distances for items of at most 64 bytes, their letters' places in peq from ``of`` on."""
+    one, top = np.uint64(1), (sizes - 1).astype(np.uint64)
+    plus, minus = np.full(len(of), ~np.uint64(0)), np.zeros(len(of), np.uint64)
+    score, best, shortest = sizes.copy(), sizes.copy(), int(lengths.min())
+    for step, letters in enumerate(text):
+        eq = peq.take(of + letters)
+        xv = eq | minus
+        xh = eq & plus
+        xh += plus
+        xh ^= plus
+        xh |= eq
+        ph = xh | plus
+        np.invert(ph, out=ph)
+        ph |= minus
+        xh &= plus  # the minus bits from here on
+        score += ((ph >> top) & one).view(np.int64)
+        score -= ((xh >> top) & one).view(np.int64)
+        ph <<= one
+        xh <<= one
+        np.bitwise_and(ph, xv, out=minus)
+        ph |= xv
+        np.invert(ph, out=ph)
+        np.bitwise_or(xh, ph, out=plus)
+        np.minimum(best, score, out=best, where=True if step < shortest else step < lengths)
+    return best
+
+
 def edit_distances_inside(items: list[bytes], texts: list[bytes]) -> np.ndarray:
     """edit_distance_inside for many pairs at once, items of at most LONG bytes."""
     order = sorted(range(len(items)), key=lambda i: -len(items[i]))
@@ -121,23 +145,30 @@ def edit_distances_inside(items: list[bytes], texts: list[bytes]) -> np.ndarray:
         at = np.arange(len(item))
         np.bitwise_or.at(peq, (at // 64, n * 256 + letters), np.uint64(1) << (at % 64).astype(np.uint64))
     lengths = np.array([len(texts[i]) for i in order])
-    text = np.zeros((int(lengths.max()), len(order)), np.int64)
+    rows = np.zeros((len(order), int(lengths.max())), np.uint8)
     for k, i in enumerate(order):
-        text[: lengths[k], k] = np.frombuffer(texts[i], np.uint8)
-    text += of * 256
+        rows[k, : lengths[k]] = np.frombuffer(texts[i], np.uint8)
+    text, of = np.ascontiguousarray(rows.T), of * 256
     one, last = np.uint64(1), np.uint64(63)
+    if blocks == 1:
+        best = one_word_distances(peq[0], of, text, lengths, sizes)
+        out = np.zeros(len(order), np.int64)
+        out[order] = best
+        return out
     top = ((sizes - 1) % 64).astype(np.uint64)
     # Items are in order of falling size, so those with a block b come first.
     having = [int((sizes > 64 * b).sum()) for b in range(blocks)] + [0]
     plus = [np.full(h, ~np.uint64(0)) for h in having[:-1]]
     minus = [np.zeros(h, np.uint64) for h in having[:-1]]
     score, best = sizes.copy(), sizes.copy()
+    shortest = int(lengths.min())
     for step in range(len(text)):
+        letters = of + text[step]
         carry_plus = carry_minus = np.zeros(len(order), np.uint64)
         for b in range(blocks):
             n, more = having[b], having[b + 1]
             p, m, hp, hm = plus[b], minus[b], carry_plus[:n], carry_minus[:n]
-            eq = peq[b].take(text[step, :n])
+            eq = peq[b].take(letters[:n])
             xv = eq | m
             eq |= hm
             xh = (((eq & p) + p) ^ p) | eq
@@ -150,24 +181,180 @@ def edit_distances_inside(items: list[bytes], texts: list[bytes]) -> np.ndarray:
             mh = (mh << one) | hm
             plus[b] = mh | ~(xv | ph)
             minus[b] = ph & xv
-        best = np.where((step < lengths) & (score < best), score, best)
+        np.minimum(best, score, out=best, where=True if step < shortest else step < lengths)
     out = np.zeros(len(order), np.int64)
     out[order] = best
     return out
 
 
+def pieces_fit(rows: list[tuple[bytes, int, bytes, int, int]]) -> list[bool]:
+    """Whether pieces of each item have no more edits together than the whole item may have.
+
+    A row is (item, edits, text, clipped, slack): the item begins at most
+    ``slack`` bytes after ``clipped`` bytes before the text.  Pieces fill one
+    machine word, and two or three of them tell unrelated text; no item within
+    its edits is lost.
+    """
+    left = np.array([most for _, most, _, _, _ in rows])
+    for start in range(0, 64 * PIECES, 64):
+        some = [i for i in np.flatnonzero(left >= 0).tolist() if len(rows[i][0]) >= 128 and len(rows[i][0]) >= start + 64]
+        for k in range(0, len(some), TOGETHER):
+            few = some[k : k + TOGETHER]
+            texts = [rows[i][2][max(0, start - rows[i][3]) : max(0, start + 64 + rows[i][4] - rows[i][3])] for i in few]
+            left[few] -= edit_distances_inside([rows[i][0][start : start + 64] for i in few], texts)
+    return (left >= 0).tolist()
+
+
 def run_codes(data: np.ndarray, run: int) -> np.ndarray:
-    """Each run of bytes as a number, of up to eight bytes its own."""
+    """Each run of up to eight bytes as a number of its own."""
     out = np.zeros(max(0, len(data) - run + 1), np.uint64)
-    by = np.uint64(256 if run <= 8 else BASE)
     for i in range(run):
-        out *= by
+        out *= np.uint64(256)
         out += data[i : i + len(out)]
     return out
 
 
+class Steps:
+    """The coins and sampled places of all walks, as tables by byte."""
+
+    def __init__(self):
+        every = np.arange(256, dtype=np.uint64)
+        self.walks = []
+        for walk in range(WALKS):
+            coins = mix(np.arange(STEPS * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1 + 1_000_003 * walk)) >> np.uint64(40)
+            moves = (coins & np.uint64(1)).astype(np.int64).reshape(STEPS, 256)
+            used: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(STEPS)]
+            for k in range(walk * KEYS, (walk + 1) * KEYS):
+                order = np.argsort(mix(np.arange(STEPS, dtype=np.uint64) + np.uint64(7919 * (k + 1))), kind="stable")
+                for step, weight in zip(order[:PLACES].tolist(), constants(PLACES, 101 + k), strict=True):
+                    used[step].append((k % KEYS, (every + np.uint64(1)) * weight))
+            last = max(step for step in range(STEPS) if used[step])
+            self.walks.append((moves[: last + 1], used[: last + 1]))
+
+    def keys(self, data: np.ndarray, starts: np.ndarray):
+        """Yields the windows' hashes, key by key; data must go on for STEPS bytes after each start."""
+        for walk, (moves, used) in enumerate(self.walks):
+            at = starts.copy()
+            keys = [np.full(len(starts), 977 + walk * KEYS + k, np.uint64) for k in range(KEYS)]
+            for move, places in zip(moves, used, strict=True):
+                letters = data.take(at)
+                for k, worth in places:
+                    keys[k] += worth.take(letters)
+                at += move.take(letters)
+            yield from map(mix, keys)
+
+
+def window_starts(data: np.ndarray, cuts: np.ndarray, apart: int) -> np.ndarray:
+    """Where windows start: at words, and in long runs without spaces at every so many bytes."""
+    starts, ends = WordHasher().spans(data, cuts)
+    long = np.flatnonzero(ends - starts >= RUN)
+    if not len(long):
+        return starts
+    n = (ends[long] - starts[long] - 1) // apart
+    inside = np.repeat(starts[long], n) + apart * (spread(np.zeros(len(n), np.int64), n) + 1)
+    return np.sort(np.concatenate((starts, inside)))
+
+
+def grams(data: np.ndarray, run: int) -> np.ndarray:
+    """A hash of the run of bytes at each place, below GRAMS; data must go on for as many bytes."""
+    out = data[: len(data) - run].astype(np.uint32)
+    for k in range(1, run):
+        out = out * np.uint32(65599) + data[k : len(data) - run + k]
+    return ((out * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each, n of them."""
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+class Walked:
+    """The windows of all items that are not short, by their keys."""
+
+    def __init__(self, members: list[tuple[int, bytes, int]]):
+        self.number = np.array([n for n, _, _ in members], np.int64)
+        self.size = np.array([len(x) for _, x, _ in members], np.int64)
+        self.most = np.array([m for _, _, m in members], np.int64)
+        self.width = np.maximum(self.most // 2, 32)
+        steps, rows = Steps(), []
+        pad = np.full(STEPS + 1, 32, np.uint8)
+        self.first = np.cumsum(self.size) - self.size
+        letters = np.concatenate([np.frombuffer(x, np.uint8) for _, x, _ in members])
+        self.grams = {run: grams(np.concatenate((letters, np.zeros(run, np.uint8))), run).astype(np.int16) for run in KEPT}
+        for k, (_, item, _) in enumerate(members):
+            data = np.frombuffer(item, np.uint8)
+            starts = window_starts(data, np.array([0, len(data)]), 1)
+            starts = starts[starts <= len(item) - REACH]
+            for keys in steps.keys(np.concatenate((data, pad)), starts):
+                rows.append((keys, np.full(len(starts), k, np.int32), starts.astype(np.int32)))
+        keys, owner, offset = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(keys, kind="stable")
+        self.owner, self.offset = owner[order], offset[order]
+        self.keys, self.place, self.times = np.unique(keys[order], return_index=True, return_counts=True)
+
+    def table(self) -> np.ndarray:
+        out = np.zeros(TABLE, bool)
+        out[(self.keys & np.uint64(TABLE - 1)).astype(np.int64)] = True
+        return out
+
+    def pairs(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray):
+        """Yields (window's start, entry): arrays of windows of the part that share a key with an item's window."""
+        starts = window_starts(part, cuts, APART)
+        padded, steps = np.concatenate((part, np.full(STEPS + 1, 32, np.uint8))), Steps()
+        for low in range(0, len(starts), WALKED):
+            some = starts[low : low + WALKED]
+            for keys in steps.keys(padded, some):
+                maybe = np.flatnonzero(table.take((keys & np.uint64(TABLE - 1)).view(np.int64)))
+                place = np.searchsorted(self.keys, keys[maybe])
+                place[place == len(self.keys)] = 0
+                same = self.keys[place] == keys[maybe]
+                where, place = some[maybe[same]], place[same]
+                times = self.times[place]
+                ends = np.cumsum(times)
+                a = 0
+                while a < len(where):
+                    done = int(ends[a - 1]) if a else 0
+                    b = max(a + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                    n = times[a:b]
+                    yield np.repeat(where[a:b], n), np.arange(n.sum()) + np.repeat(self.place[place[a:b]] - (ends[a:b] - n - done), n)
+                    a = b
+
+    def candidates(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray):
+        """(place among the members, from, to): stretches of the part in which the item may begin."""
+        longest = int(self.size.max())
+        cells = (len(part) + longest) // 32 + 3
+        found = [np.zeros(0, np.int64)]
+        for where, entry in self.pairs(part, cuts, table):
+            k = self.owner[entry].astype(np.int64)
+            found.append(np.unique(k * cells + (where - self.offset[entry] + longest) // self.width[k]))
+        found = np.unique(np.concatenate(found))
+        own = {run: grams(np.concatenate((part, np.zeros(run, np.uint8))), run) for run in KEPT}
+        # Cells side by side are one stretch.
+        first = np.flatnonzero(np.diff(found, prepend=-9) > 1)
+        many = np.diff(first, append=len(found))
+        for a in range(0, len(first), 256):
+            k, cell = found[first[a : a + 256]] // cells, found[first[a : a + 256]] % cells
+            low = cell * self.width[k] - longest
+            high = low + self.width[k] * many[a : a + 256]
+            # Where the item with its edits may lie.
+            left, right = np.maximum(0, low - self.most[k]), np.minimum(len(part), high + self.size[k] + self.most[k])
+            fits = right - left >= self.size[k] - self.most[k]
+            for run in KEPT:
+                k, low, high, left, right = (x[fits] for x in (k, low, high, left, right))
+                row = np.arange(len(k)) * GRAMS
+                seen = np.zeros(len(k) * GRAMS, bool)
+                seen[own[run].take(spread(left, right - left)) + np.repeat(row, right - left)] = True
+                n = self.size[k] - run + 1
+                there = seen.take(self.grams[run].take(spread(self.first[k], n)) + np.repeat(row, n))
+                kept = np.concatenate(([0], np.cumsum(there)))
+                ends = np.cumsum(n)
+                fits = kept[ends] - kept[ends - n] >= n - run * self.most[k]
+            for x, y, z in zip(k[fits].tolist(), (low - self.most[k])[fits].tolist(), high[fits].tolist(), strict=True):
+                yield x, y, z
+
+
 class Group:
-    """The runs of some items, all of one length."""
+    """The runs of some short items, all of one length."""
 
     def __init__(self, run: int, members: list[tuple[int, bytes, int, int]]):
         self.run = run
@@ -184,6 +371,11 @@ class Group:
         self.owner, self.offset = owner[order], offset[order]
         self.codes, self.first, self.times = np.unique(codes[order], return_index=True, return_counts=True)
 
+    def table(self) -> np.ndarray:
+        out = np.zeros(TABLE, bool)
+        out[(mix(self.codes) & np.uint64(TABLE - 1)).astype(np.int64)] = True
+        return out
+
     def candidates(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray):
         """(place in the group, from, to): stretches of the part in which the item may begin."""
         codes = run_codes(part, self.run)
@@ -221,7 +413,7 @@ class Group:
 
 
 class ItemIndex:
-    """Runs of all items, for every task."""
+    """Windows and runs of all items, for every task."""
 
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
         found: dict[bytes, list[int]] = {}
@@ -232,24 +424,23 @@ class ItemIndex:
         self.items = sorted(found)
         self.ids = [sorted(found[x]) for x in self.items]
         by_run: dict[int, list[tuple[int, bytes, int, int]]] = {}
+        walked: list[tuple[int, bytes, int]] = []
         for n, item in enumerate(self.items):
             most = int(edits * len(item))
+            if len(item) >= CERTAIN:
+                walked.append((n, item, most))
+                continue
             run, count = run_and_count(len(item), most)
             by_run.setdefault(run, []).append((n, item, most, count))
         #: Items that allow so many edits that no run need stay whole; all documents are compared with them.
         self.anywhere = [(n, most) for n, _, most, _ in by_run.pop(0, [])]
-        self.groups = []
+        self.groups: list[Walked | Group] = [Walked(walked)] if walked else []
         for run, members in sorted(by_run.items()):
             cells = np.cumsum([CHUNK // max(most + 1, 32) for _, _, most, _ in members]) // CELLS
             self.groups += [Group(run, [m for m, c in zip(members, cells.tolist(), strict=True) if c == k]) for k in np.unique(cells).tolist()]
 
     def tables(self) -> list[np.ndarray]:
-        out = []
-        for group in self.groups:
-            table = np.zeros(TABLE, bool)
-            table[(mix(group.codes) & np.uint64(TABLE - 1)).astype(np.int64)] = True
-            out.append(table)
-        return out
+        return [group.table() for group in self.groups]
 
 
 def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,24 +464,25 @@ def hits(index: ItemIndex):
             data, offsets = text_buffers(batch.column(1))
             found: list[dict[int, int]] = [{} for _ in range(len(batch))]
 
-            waiting: list[tuple[int, int, int, bytes]] = []
+            waiting: list[tuple[int, int, int, bytes, int, int]] = []
 
             def settle() -> None:
                 """Compare what waits; short texts first, so that few wait for a long one."""
                 few = [x for x in waiting if len(index.items[x[1]]) <= LONG and len(x[3]) <= 4 * LONG]
                 few.sort(key=lambda x: len(x[3]))
+                few = [x for x, fits in zip(few, pieces_fit([(index.items[x[1]], *x[2:]) for x in few]), strict=True) if fits]
                 distances = [(x, edit_distance_inside(index.items[x[1]], x[3])[0]) for x in waiting if len(index.items[x[1]]) > LONG or len(x[3]) > 4 * LONG]
                 for k in range(0, len(few), max(256, len(few) // 3 + 1)):
                     some = few[k : k + max(256, len(few) // 3 + 1)]
                     distances += zip(some, edit_distances_inside([index.items[x[1]] for x in some], [x[3] for x in some]).tolist(), strict=True)
-                for (doc, n, most, _), distance in distances:
+                for (doc, n, most, *_), distance in distances:
                     if distance <= min(most, found[doc].get(n, most)):
                         found[doc][n] = distance
                 waiting.clear()
 
-            def compare(doc: int, n: int, most: int, text: bytes) -> None:
-                waiting.append((doc, n, most, text))
-                if len(waiting) >= TOGETHER:
+            def compare(doc: int, n: int, most: int, text: bytes, clipped: int, slack: int) -> None:
+                waiting.append((doc, n, most, text, clipped, slack))
+                if len(waiting) >= 4 * TOGETHER:
                     settle()
 
             first = 0
@@ -300,16 +492,17 @@ def hits(index: ItemIndex):
                 for n, most in index.anywhere:
                     for doc in range(last - first):
                         if cuts[doc] < cuts[doc + 1]:
-                            compare(first + doc, n, most, part[cuts[doc] : cuts[doc + 1]].tobytes())
+                            compare(first + doc, n, most, part[cuts[doc] : cuts[doc + 1]].tobytes(), 0, int(cuts[doc + 1] - cuts[doc]))
                 for group, table in zip(index.groups, tables, strict=True):
                     for k, low, high in group.candidates(part, cuts, table):
                         n, size, most = int(group.number[k]), int(group.size[k]), int(group.most[k])
+                        begin, slack = low, high - low + most
                         low, high = max(0, low), min(len(part), high + size + most)
                         doc = int(np.searchsorted(cuts, low, "right")) - 1
                         while doc < last - first and cuts[doc] < high:
                             text = part[max(low, cuts[doc]) : min(high, cuts[doc + 1])].tobytes()
                             if len(text) >= size - most:
-                                compare(first + doc, n, most, text)
+                                compare(first + doc, n, most, text, int(max(low, cuts[doc])) - begin, slack)
                             doc += 1
                 first = last
             settle()
