@@ -32,8 +32,9 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         jump = lower.select(F.col("n").alias("j"), F.col("l").alias("jl"))
         new = lower.join(jump, F.col("l") == F.col("j"), "left").select("n", "was", F.least("l", F.coalesce("jl", "l")).alias("l"))
         new = scratch.save(new, f"labels{step}")
-        scratch.drop(f"lower{step}")
+        scratch.drop(f"lower{step}", f"labels{step - 1}")
         changed = new.where("l <> was").limit(1).count()
         labels = new.select("n", "l")
         if not changed:
+            scratch.drop("edges")
             return labels.select(F.col("n").alias("node"), F.col("l").alias("component"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spanlight.sources.kept import shared_folder
 
 #: Rows of an Arrow batch: whole texts are long, so batches stay small.
 ARROW_ROWS = 512
@@ -32,23 +34,44 @@ def label_bucket(doc_id: Column, n: int) -> Column:
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive lost executors.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is
-    unset (single-machine tests) is a local one used.
+    The folder is the one in ``spark.checkpoint.dir``; where that is unset the
+    warehouse, or a temporary one if all runs on this machine.  Tables that are
+    not dropped before go when the session's process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/spanlight-{os.getuid()}"
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.marked = False
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
+        self.mark()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def mark(self) -> None:
+        """Have the folder, which must exist, deleted when the process ends."""
+        if not self.marked:
+            files, path = self.store("")
+            self.marked = files.deleteOnExit(path)
+
+    def store(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            files, path = self.store(name)
+            files.delete(path, True)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that no name clashes with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def with_whole_row(schema: str, docs: DataFrame) -> T.StructType:
+    """A schema with the column ``doc`` of whole_row() at its end."""
+    return T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("doc", docs.schema)])

@@ -21,11 +21,11 @@ loss.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import Scratch, arrow_batches
+from .core import Scratch, arrow_batches, whole_row
 from .words import WordHasher, constants, mix, shingle_sets
 
 #: Bins of a signature (a power of two), rows of a band and bands: at a
@@ -35,7 +35,9 @@ BINS, ROWS, BANDS = 256, 5, 51
 STAR = 64
 #: Members of a block in which documents are compared, about.
 BLOCK = 512
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+#: Shingles of a block, about: a block of long texts has fewer members.
+BLOCK_SHINGLES = 1 << 20
+SKETCH = "row long, doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 def probe_order(bins: int = BINS) -> np.ndarray:
@@ -69,7 +71,7 @@ def sketches(n: int):
 
         hasher, rank = WordHasher(), probe_order()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), n, hasher))
+            sets = list(shingle_sets(batch.column(2), n, hasher))
             full = [i for i, s in enumerate(sets) if len(s)]
             bands = band_hashes(np.stack([signature(sets[i], rank) for i in full])) if full else np.zeros((0, BANDS), np.int64)
             sizes = np.zeros(len(sets) + 1, np.int64)
@@ -77,12 +79,13 @@ def sketches(n: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                     pa.array(np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(sizes.cumsum(), pa.int32()), pa.array(bands.ravel())),
                 ],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                names=["row", "doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
     return run
@@ -119,7 +122,7 @@ def verdicts(edges: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     salted = edges.join(wide, "c", "left").select("c", F.pmod(F.xxhash64("d"), F.coalesce("parts", F.lit(1))).alias("salt"), "d")
     rows = salted.select("c", "salt", F.lit(1).alias("role"), "d").union(salted.select("c", "salt").distinct().select("c", "salt", F.lit(0), F.col("c")))
     return (
-        rows.join(docs.select(F.col("doc_id").alias("d"), "text"), "d")
+        rows.join(docs.select(F.col("row").alias("d"), "text"), "d")
         .select("c", "salt", "role", "d", "text")
         .repartition("c", "salt")
         .sortWithinPartitions("c", "salt", "role")
@@ -199,13 +202,19 @@ def forest(percent: int):
     return run
 
 
-def taken_or_not(done: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+def parts_of(sizes: Column, of: Column | None = None) -> Column:
+    """In how many blocks the members that ``of`` holds for are dealt, by their count and their shingles."""
+    of = F.lit(True) if of is None else of
+    members, amount = F.count(F.when(of, 1)), F.coalesce(F.sum(F.when(of, sizes)), F.lit(0))
+    return F.least(members, F.greatest(F.ceil(members / BLOCK), F.ceil(amount / BLOCK_SHINGLES))).cast("int")
+
+
+def taken_or_not(done: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
     """Links (c, d) between members that a centre took and near ones that it turned down, in whatever buckets."""
-    sides = done.where("ok or near").select(F.col("c").alias("centre"), "d", F.col("ok").alias("taken"))
-    count = lambda of: F.ceil(F.count(F.when(of, 1)) / BLOCK).cast("int")
-    parts = sides.groupBy("centre").agg(count(~F.col("taken")).alias("down_parts"), count(F.col("taken")).alias("taken_parts")).where("down_parts > 0 and taken_parts > 0")
-    rows = scratch.save(sides.join(parts, "centre"), "sides")
-    texts = docs.join(rows.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    sides = done.where("ok or near").select(F.col("c").alias("centre"), "d", F.col("ok").alias("taken")).join(sizes, "d")
+    parts = sides.groupBy("centre").agg(parts_of(F.col("size"), ~F.col("taken")).alias("down_parts"), parts_of(F.col("size"), F.col("taken")).alias("taken_parts")).where("down_parts > 0 and taken_parts > 0")
+    rows = scratch.save(sides.drop("size").join(parts, "centre"), "sides")
+    texts = docs.join(rows.select(F.col("d").alias("row")).distinct(), "row", "left_semi").select("row", "text")
     sets = scratch.save(texts.mapInArrow(set_bytes(n), "d long, members binary"), "side_sets")
     own = F.pmod(F.xxhash64("d"), F.when(F.col("taken"), F.col("taken_parts")).otherwise(F.col("down_parts"))).cast("int")
     across = F.explode(F.sequence(F.lit(0), F.when(F.col("taken"), F.col("down_parts")).otherwise(F.col("taken_parts")) - 1))
@@ -215,57 +224,81 @@ def taken_or_not(done: DataFrame, docs: DataFrame, scratch: Scratch, n: int, per
     return dealt.join(sets, "d").groupBy("centre", "i", "j").applyInArrow(forest(percent), "c long, d long")
 
 
-def turned_down(active: DataFrame, docs: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
-    """Links (c, d) among the members (hash, doc_id) that their buckets' centres turned down."""
-    parts = active.groupBy("hash").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.count("*").alias("m")).where("m > 1").drop("m")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    rows = scratch.save(active.join(parts, "hash").select("hash", F.col("doc_id").alias("d"), own.alias("own"), "parts"), "turned_down")
-    texts = docs.join(rows.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+def turned_down(active: DataFrame, docs: DataFrame, sizes: DataFrame, scratch: Scratch, n: int, percent: int) -> DataFrame:
+    """Links (c, d) among the members (hash, d) that their buckets' centres turned down."""
+    parts = active.join(sizes, "d").groupBy("hash").agg(parts_of(F.col("size")).alias("parts"), F.count("*").alias("m")).where("m > 1").drop("m")
+    own = F.pmod(F.xxhash64("d"), F.col("parts")).cast("int")
+    rows = scratch.save(active.join(parts, "hash").select("hash", "d", own.alias("own"), "parts"), "turned_down")
+    texts = docs.join(rows.select(F.col("d").alias("row")).distinct(), "row", "left_semi").select("row", "text")
     sets = scratch.save(texts.mapInArrow(set_bytes(n), "d long, members binary"), "sets")
     dealt = rows.select("hash", "d", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("hash", "d", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     return dealt.join(sets, "d").groupBy("hash", "i", "j").applyInArrow(forest(percent), "c long, d long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+def grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, first) for rows (row, doc_id, text) of a written table, row being unique.
 
-    Documents are linked when 100 * intersection >= percent * union of their
-    shingle sets.  A null or blank text has no shingles and is linked with
-    nothing; a text of fewer words is one shingle.  Rows with equal sets share
-    a component; a repeated row gets one result row each time.  A row without
-    id keeps a null component and is not kept.  No rows give no rows.
+    ``first`` marks one row of each component: that of the least doc_id, a null
+    one last, and of several such the least row.
     """
-    arrow_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scratch = Scratch(spark, "neardup")
-    all_ = scratch.save(docs.mapInArrow(sketches(shingle), SKETCH), "sketch")
-    groups = scratch.save(
-        all_.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")), "groups"
-    )
-    members = all_.where("n_shingles > 0").select("doc_id", F.posexplode("bands").alias("band", "hash")).join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    members = scratch.save(members.select("hash", "doc_id"), "members")
-    centres = members.groupBy("hash").agg(F.min("doc_id").alias("c"), F.count("*").alias("m")).where("m > 1").select("hash", "c")
-    stars = scratch.save(members.join(centres, "hash").where("doc_id <> c").select("hash", "c", F.col("doc_id").alias("d")), "stars")
+    all_ = scratch.save(docs.select("row", "doc_id", "text").mapInArrow(sketches(shingle), SKETCH), "sketch")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row")).alias("least")
+    groups = scratch.save(all_.where("n_shingles > 0").groupBy("n_shingles", "k1", "k2").agg(first).withColumn("rep", F.col("least.row")), "groups")
+    sizes = groups.select(F.col("rep").alias("d"), F.col("n_shingles").alias("size"))
+    members = all_.where("n_shingles > 0").select("row", F.posexplode("bands").alias("band", "hash")).join(groups.select(F.col("rep").alias("row")), "row", "left_semi")
+    members = scratch.save(members.select("hash", "row"), "members")
+    centres = members.groupBy("hash").agg(F.min("row").alias("c"), F.count("*").alias("m")).where("m > 1").select("hash", "c")
+    stars = scratch.save(members.join(centres, "hash").where("row <> c").select("hash", "c", F.col("row").alias("d")), "stars")
     scratch.drop("members")
     done = verdicts(stars.select("c", "d").distinct(), docs, shingle, percent)
     done = scratch.save(done.groupBy("c", "d").agg(F.max("ok").alias("ok"), F.max("near").alias("near")), "verdicts")
-    active = scratch.save(stars.join(done.where("not ok"), ["c", "d"], "left_semi").select("hash", F.col("d").alias("doc_id")), "active")
+    active = scratch.save(stars.join(done.where("not ok"), ["c", "d"], "left_semi").select("hash", "d"), "active")
     scratch.drop("stars")
-    more = scratch.save(turned_down(active, docs, scratch, shingle, percent).distinct(), "more")
+    more = scratch.save(turned_down(active, docs, sizes, scratch, shingle, percent).distinct(), "more")
     scratch.drop("turned_down", "sets", "active")
-    across = scratch.save(taken_or_not(done, docs, scratch, shingle, percent).distinct(), "across")
+    across = scratch.save(taken_or_not(done, docs, sizes, scratch, shingle, percent).distinct(), "across")
     scratch.drop("sides", "side_sets")
-    links = done.where("ok").select("c", "d").union(more).union(across)
-    found = components(links, scratch, "c", "d")
-    whole = groups.join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    found = components(done.where("ok").select("c", "d").union(more).union(across), scratch, "c", "d")
+    scratch.drop("verdicts", "more", "across")
+    labelled = groups.join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", "least", F.coalesce("component", "rep").alias("label"))
+    labelled = scratch.save(labelled, "labelled")
+    firsts = labelled.groupBy("label").agg(F.min("least").alias("first"))
+    whole = labelled.join(firsts, "label").select("n_shingles", "k1", "k2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
     return (
-        all_.select("doc_id", "n_shingles", "k1", "k2")
+        all_.select("row", "doc_id", "n_shingles", "k1", "k2")
         .join(whole, ["n_shingles", "k1", "k2"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
-        )
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        .select("row", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("first"))
     )
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+
+    Documents are linked when 100 * intersection >= percent * union of their
+    shingle sets.  A null or blank text has no shingles and is linked with
+    nothing; a text of fewer words is one shingle.  Rows with equal sets share
+    a component; a repeated row gets one result row each time, and rows that
+    share an id but not a text are documents of their own.  A row without id
+    links others like any row, but has a null component and is not kept.  No
+    rows give no rows.
+    """
+    arrow_batches(spark)
+    scratch = Scratch(spark, "neardup")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = grouped(scratch.save(rows, "rows"), scratch, shingle, percent)
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, of which one of each group of near duplicates stays.
+
+    It is the one of the least doc_id, a null one last; of rows that share that
+    id one stays.  Rows without words are no near duplicates and all stay.
+    """
+    arrow_batches(spark)
+    scratch = Scratch(spark, "neardup")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), whole_row(docs).alias("doc")), "rows")
+    plain = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    found = grouped(plain, scratch, shingle, percent)
+    return rows.join(found.where("not first").select("row"), "row", "left_anti").select("doc.*")
