@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .core import Scratch, arrow_batches
 from .huffman import Coder, code_lengths
-from .ranges import partitions, range_bounds, range_of
+from .ranges import partitions, range_bounds, range_of, tie_order
 
 #: Ids of a block, about: it ends with the document that reaches the count.
 BLOCK = 1 << 18
@@ -105,7 +105,10 @@ class ChunkEncoder:
         parts = []
         for t in texts:
             data = (t or "").encode()
-            parts.append(data if b"<|" in data else data.lower())  # in lower case, a piece could become a special token
+            # Not in lower case where a piece could become a special token, or a
+            # capital could be one letter with the combining mark after it
+            # (U+0300 to U+037F start with these bytes), which comes first.
+            parts.append(data if b"<|" in data or b"\xcc" in data or b"\xcd" in data else data.lower())
         pieces = (b" \xff ".join(parts) + b" \xff").replace(b"\n", b" ").split(b" ")
         numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         before, used = self.known, self.used
@@ -237,8 +240,9 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer
     """Encode docs(doc_id, text) and write a store at ``path``, documents by rising doc_id.
 
     Null texts are empty and give the end id alone; repeated rows are written
-    each; null ids come first.  Ties of doc_id are in the order of their ids'
-    bytes.  No rows give a store without blocks.
+    each; null ids come first.  Ties of doc_id are in the order of a hash of
+    their ids, so that an id which many rows share, or a null one, is dealt to
+    many tasks.  No rows give a store without blocks.
     """
     arrow_batches(spark)
     scratch = Scratch(spark, "tokens")
@@ -252,8 +256,9 @@ def write_token_files(spark: SparkSession, docs: DataFrame, path: str, tokenizer
     spark.createDataFrame([(bytearray(lengths), max(lengths, default=0))], "lengths binary, longest int").coalesce(1).write.parquet(f"{path}/codebook")
     n = partitions(docs)
     bounds = range_bounds(tokens, "doc_id", 4 * n)
-    dealt = tokens.withColumn("range", range_of("doc_id", bounds)).select("range", "doc_id", "n_ids", "ids")
-    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "doc_id", "ids")
+    tie = F.xxhash64("ids")
+    dealt = tokens.select(range_of("doc_id", bounds, tie).alias("range"), "doc_id", "n_ids", "ids", tie_order(tie).alias("tie"))
+    dealt = dealt.repartition(n, "range").sortWithinPartitions("range", "doc_id", "tie", "ids").drop("tie")
     dealt.mapInArrow(encode_blocks(lengths), BLOCKS).write.parquet(f"{path}/blocks")
     scratch.drop()
 
