@@ -13,15 +13,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import arrow_batches
+from .core import Scratch, arrow_batches
 from .url_filters import host_of, name_of, suffix_of
 
-#: Labelled texts of each language for the trigrams; letters counted of one of them.
-FIT_ROWS, FIT_LETTERS = 1500, 20_000
+#: Labelled texts of each language for the trigrams, which are counted whole; most languages, as a model has half a megabyte for each.
+FIT_ROWS, MOST_LANGUAGES = 1500, 128
 #: What one trigram's evidence counts for, as neighbours overlap, and the most trigrams that count.
 TEMPER, ENOUGH = 0.3, 400
 #: Pages that a parent's shares count for, in a suffix and in a host.
@@ -47,7 +47,7 @@ def count_trigrams(batches):
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             total.setdefault(lang, np.zeros(1 << 16, np.int64))
-            total[lang] += np.bincount(trigrams((text or "")[:FIT_LETTERS]), minlength=1 << 16)
+            total[lang] += np.bincount(trigrams(text or ""), minlength=1 << 16)
     rows = [(lang, int(t), int(c[t])) for lang, c in total.items() for t in np.flatnonzero(c)]
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["lang", "gram", "n"])
 
@@ -55,15 +55,15 @@ def count_trigrams(batches):
 def language_model(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log shares of trigrams, from a bounded sample of texts(text, lang)."""
     known = texts.where("lang is not null and lang <> ''").select("lang", "text", F.xxhash64("text").alias("h"))
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
-    picked = None
-    for lang in langs:
-        rows = known.where(F.col("lang") == lang)
-        ids = rows.select("lang", "h").distinct().orderBy("h").limit(FIT_ROWS)
-        picked = ids if picked is None else picked.union(ids)
-    if picked is None:
+    langs = sorted(r.lang for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than MOST_LANGUAGES = {MOST_LANGUAGES} languages")
+    if not langs:
         return [], np.zeros((0, 1 << 16))
-    rows = known.join(F.broadcast(picked), ["lang", "h"]).select("lang", "text")  # FIT_ROWS of each language at most, but for copies
+    # The FIT_ROWS least hashes of each language; of copies one is taken.
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = known.select("lang", "h").distinct().withColumn("nr", least).where(F.col("nr") <= FIT_ROWS).select("lang", "h")
+    rows = known.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")  # MOST_LANGUAGES * FIT_ROWS pairs at most
     counts = np.zeros((len(langs), 1 << 16))
     for r in rows.mapInArrow(count_trigrams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect():
         counts[langs.index(r.lang), r.gram] = r["n"]
@@ -105,7 +105,8 @@ def languages(spark: SparkSession, pages: DataFrame, texts: DataFrame) -> DataFr
     if not langs:
         return rows.select("page_id", "host", "declared", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"))
     kind = T.StructType([*rows.drop("html").schema.fields, T.StructField("post", T.ArrayType(T.DoubleType()))])
-    seen = rows.mapInArrow(likelihoods(logs), kind)
+    # Written, as both the counts and the scores read it and it takes the most time.
+    seen = Scratch(spark, "languages").save(rows.mapInArrow(likelihoods(logs), kind), "seen")
     sums = [F.sum(F.col("post")[k]).alias(f"s{k}") for k in range(len(langs))]
 
     def total(df: DataFrame, *keys: str) -> DataFrame:
