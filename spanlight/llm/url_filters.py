@@ -5,7 +5,10 @@ shrunk to its registered domain's, that to its suffix's and that to the share
 of all pages.  How strongly is learned at each level from the spread of the
 shares beyond chance (the moments of the beta-binomial).  A host is blocked
 when the lower bound of its posterior share is above a limit.  All steps are
-DataFrame functions; counts are aggregated before any shuffle.
+DataFrame functions; counts are aggregated before any shuffle.  Each level's
+counts are written once, as the level above and its own strength both read
+them.  Hosts with more than a share of all pages are few, so they are joined to
+their pages without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,12 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .core import Scratch
+
 #: (rule, verdict); a rule is a host, then a path that starts with a slash.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Highest accepted share of bad pages; standard deviations below the mean that the bound lies.
 MOST_BAD, DEVIATIONS = 0.3, 1.645
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.in", "co.nz", "co.za")
+#: Hosts with more than one of so many pages are joined by themselves; there are fewer of them than this.
+HOT = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,27 +71,30 @@ def strength(level: DataFrame) -> DataFrame:
     return level.agg(F.least(F.greatest(rho, F.lit(0.001)), F.lit(0.5)).alias("rho")).select((1 / F.col("rho") - 1).alias("k"))
 
 
-def shrunk(level: DataFrame, key: str) -> DataFrame:
-    """(key, n, bad, alpha, beta, share) of rows (key, n, bad, m)."""
+def shrunk(level: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, bad, alpha, beta, share) of rows (keys, n, bad, m)."""
     out = level.crossJoin(F.broadcast(strength(level)))  # one row
     out = out.withColumn("alpha", F.col("bad") + F.col("k") * F.col("m")).withColumn("beta", F.col("n") - F.col("bad") + F.col("k") * (1 - F.col("m")))
-    return out.select(key, "n", "bad", "alpha", "beta", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("share"))
+    return out.select(*keys, "n", "bad", "alpha", "beta", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("share"))
+
 
+def reputations(outcomes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, pages, n, bad, alpha, beta, share, low) from outcomes(host, bad); a null outcome only makes the host known.
 
-def reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, alpha, beta, share, low) from outcomes(host, bad); a null outcome only makes the host known.
+    ``pages`` counts the rows with a null outcome.
 
     ``low`` is the lower bound of the posterior share of bad pages.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    hosts = outcomes.groupBy("host").agg(F.count_if(F.col("bad").isNull()).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     name = name_of(F.col("host"))
-    hosts = hosts.withColumn("domain", domain_of(name)).withColumn("suffix", suffix_of(name))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = scratch.save(hosts.withColumn("domain", domain_of(name)).withColumn("suffix", suffix_of(name)), "hosts")
+    domains = scratch.save(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = scratch.save(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     whole = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("m"))
-    by_suffix = shrunk(suffixes.crossJoin(F.broadcast(whole)), "suffix").select("suffix", F.col("share").alias("m"))  # one row
-    by_domain = shrunk(domains.join(by_suffix, "suffix"), "domain").select("domain", F.col("share").alias("m"))
-    by_host = shrunk(hosts.join(by_domain, "domain").select("host", "n", "bad", "m"), "host")
+    by_suffix = shrunk(scratch.save(suffixes.crossJoin(F.broadcast(whole)), "suffix_means"), "suffix").select("suffix", F.col("share").alias("m"))  # one row
+    by_domain = shrunk(scratch.save(domains.join(by_suffix, "suffix"), "domain_means"), "domain").select("domain", F.col("share").alias("m"))
+    means = scratch.save(hosts.join(by_domain, "domain").select("host", "pages", "n", "bad", "m"), "host_means")
+    by_host = shrunk(means, "host", "pages")
     size = F.col("alpha") + F.col("beta")
     deviation = F.sqrt(F.col("alpha") * F.col("beta") / (size * size * (size + 1)))
     return by_host.withColumn("low", F.greatest(F.lit(0.0), F.col("share") - DEVIATIONS * deviation))
@@ -101,7 +111,13 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, most_bad: f
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.select("host", F.col("bad").cast("long").alias("bad")).unionByName(rows.select("host", F.lit(None).cast("long").alias("bad")))
-    found = reputations(known).select("host", F.col("share").alias("bad_share"), F.col("low").alias("bad_low"))
+    found = Scratch(pages.sparkSession, "hosts")
+    found = found.save(reputations(known, found).select("host", "pages", F.col("share").alias("bad_share"), F.col("low").alias("bad_low")), "found")
+    # Fewer than HOT rows, whatever the pages; a broadcast of proven size.
+    hot = found.crossJoin(F.broadcast(found.agg(F.sum("pages").alias("all")))).where(F.col("pages") * HOT > F.col("all")).select("host", "bad_share", "bad_low")
+    rows = rows.join(F.broadcast(hot), "host", "left")
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_low") > most_bad, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(found, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), "bad_share", "bad_low")
+    others = rows.where("bad_low IS NULL").select("page_id", "host", "path").join(found.select("host", "bad_share", "bad_low"), "host")
+    judged = rows.where("bad_low IS NOT NULL").unionByName(others)
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(says, method).alias("verdict"), "bad_share", "bad_low")
