@@ -2,9 +2,10 @@
 
 Two zstandard dictionaries are built from labelled blocks, one of good and one
 of bad text.  A text is cut into blocks, each packed by itself with either, so
-that a long text cannot become its own dictionary.  The difference of the two
-packed sizes over their larger one, with the packed share of the raw size,
-goes through a logistic curve that is fitted on labelled texts.
+that a long text cannot become its own dictionary.  Of the three sizes, raw,
+packed with good and packed with bad, each two give a normalised difference,
+which is that of the two over the larger one.  These go through a logistic
+curve of second degree that is fitted on labelled texts.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from .samples import labelled
 #: Bytes of a block and of each dictionary, packing level.
 BLOCK, DICTIONARY, LEVEL = 2048, 112_640, 3
 #: Bounds of the fit: labelled rows of each class for the dictionaries and for
-#: the curve, blocks that one document gives to a dictionary.
+#: the curve; blocks, spread over the whole text, that one document gives to a
+#: dictionary, so that a few long documents don't make it up.
 DICTIONARY_ROWS, CURVE_ROWS, BLOCKS_OF_ONE = 400, 3000, 4
 
 
@@ -48,10 +50,10 @@ def packed_sizes(text: str | None, good, bad) -> tuple[int, int, int]:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """Columns for the curve from rows (raw, good, bad); an empty text has neutral ones."""
+    """Columns for the curve from rows (raw, good, bad): normalised differences of two sizes, their squares and a product; an empty text has neutral ones."""
     raw, good, bad = np.maximum(sizes, 1).astype(float).T
-    diff, share, size = (bad - good) / np.maximum(bad, good) * 10, good / raw * 4 - 2, np.log(raw) / 4 - 2
-    x = np.stack([np.ones_like(raw), diff, share, size, diff**2, share**2, diff * share, diff * size, share * size, np.abs(diff), share**3], axis=1)
+    between, by_good, by_bad = (bad - good) / np.maximum(bad, good) * 10, (raw - good) / np.maximum(raw, good) * 4 - 2, (raw - bad) / np.maximum(raw, bad) * 4 - 2
+    x = np.stack([np.ones_like(raw), between, by_good, by_bad, between**2, between * by_good, by_good**2, by_bad**2], axis=1)
     x[sizes[:, 0] == 0, 1:] = 0
     return x
 
@@ -115,7 +117,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, train: Column) -> tuple[by
     y = sizes["y"].to_numpy(float)
     counts = {int(r.y): r["n"] for r in labels.where(F.col("quality").isin(0, 1) & train).groupBy(F.col("quality").alias("y")).agg(F.count("*").alias("n")).collect()}
     if len(set(y)) < 2:  # one class or none: its share is the score
-        return good, bad, [float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)))] + [0.0] * 10
+        return good, bad, [float(np.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)))] + [0.0] * 7
     share = {k: counts[k] / max(1, (y == k).sum()) for k in (0, 1)}  # the sample's classes weigh as in all labels
     weight = np.where(y == 1, share[1], share[0])
     return good, bad, fit_dense(features(sizes[["raw", "good", "bad"]].to_numpy()), y, weight / weight.mean()).tolist()
