@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import arrow_batches
+from .core import arrow_batches, whole_row, with_whole_row
 from .words import CHUNK, WordHasher, constants, mix, text_buffers
 
 #: Items of fewer bytes are found for certain, wherever their edits are.
@@ -508,8 +508,8 @@ def hits(index: ItemIndex):
             settle()
             ids = [sorted((i, d) for n, d in f.items() for i in index.ids[n]) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([[i for i, _ in x] for x in ids], pa.list_(pa.int64())), pa.array([[d for _, d in x] for x in ids], pa.list_(pa.int32()))],
-                names=["doc_id", "item_ids", "distances"],
+                [batch.column(0), pa.array([[i for i, _ in x] for x in ids], pa.list_(pa.int64())), pa.array([[d for _, d in x] for x in ids], pa.list_(pa.int32())), *batch.columns[2:]],
+                names=["doc_id", "item_ids", "distances", *batch.schema.names[2:]],
             )
 
     return run
@@ -523,8 +523,8 @@ def item_index(items: DataFrame, edits: float) -> ItemIndex:
     return ItemIndex([(r.item_id, r.text) for r in items.collect()], edits)
 
 
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
-    """(doc_id, item_ids, distances, contaminated) for each row of docs(doc_id, text).
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS, whole: bool = False) -> DataFrame:
+    """(doc_id, item_ids, distances, contaminated) for each row of docs(doc_id, text); with ``whole`` also ``doc``, the row with all its columns.
 
     An item (item_id, text) is in a document if the item, A-Z in lower case and
     with single spaces, is within ``edits`` of its length in bytes of some
@@ -533,6 +533,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits:
     repeated row gives a row each; ids may be null.
     """
     arrow_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(hits(item_index(items, edits)), "doc_id long, item_ids array<long>, distances array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs).alias("doc")] * whole)
+    out = "doc_id long, item_ids array<long>, distances array<int>"
+    out = rows.mapInArrow(hits(item_index(items, edits)), with_whole_row(out, docs) if whole else out)
     return out.withColumn("contaminated", F.size("item_ids") > 0)

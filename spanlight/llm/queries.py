@@ -67,9 +67,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Scratch(spark, "token_files").root
-    write_token_files(spark, table(spark, sf_dir, "documents"), path, tokenizer_path(), END)
-    return read_token_files(spark, path, digest=True)
+    scratch = Scratch(spark, "token_files")
+    write_token_files(spark, table(spark, sf_dir, "documents"), scratch.root, tokenizer_path(), END)
+    scratch.mark()
+    return read_token_files(spark, scratch.root, digest=True)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

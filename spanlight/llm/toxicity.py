@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import arrow_batches
+from .core import arrow_batches, whole_row, with_whole_row
 from .logistic import sigmoid
 from .samples import label_ids, labelled
 
@@ -163,7 +163,7 @@ def scores_of(weights: dict[int, float], intercept: float):
         slots = Slots({s: i for i, s in enumerate(keys)})
         for batch in batches:
             p = [sigmoid(intercept + sum(w[i] for i in sorted(slots(t)))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), *batch.columns[2:]], names=["doc_id", "score", *batch.schema.names[2:]])
 
     return run
 
@@ -179,8 +179,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, train: Column, groups=IDE
     return fit(list(zip(*cols, strict=True)), weights=tuple(max(1.0, counts.get(y, 0) / FIT_ROWS) for y in (0, 1)))
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, groups=IDENTITY_TERMS) -> DataFrame:
-    """(doc_id, score) for each row of docs(doc_id, text).
+def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, groups=IDENTITY_TERMS, whole: bool = False) -> DataFrame:
+    """(doc_id, score) for each row of docs(doc_id, text); with ``whole`` also ``doc``, the row with all its columns.
 
     ``train`` is the condition on labels' doc_id that admits a label to the
     fit.  A null or empty text scores the intercept; a repeated row scores
@@ -188,5 +188,6 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, tra
     """
     arrow_batches(spark)
     model = toxicity_model(docs, labels, train, groups)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scores_of(*model), "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs).alias("doc")] * whole)
+    out = "doc_id long, score double"
+    return rows.mapInArrow(scores_of(*model), with_whole_row(out, docs) if whole else out)
