@@ -1,4 +1,9 @@
-"""Documents to token files, in five stages of the operators for training data."""
+"""Documents to token files, in five stages of the operators for training data.
+
+Decisions are taken on rows, not on ids: each operator carries the whole row or
+a number of its own for it.  So in every stage null ids, ids that several rows
+share, repeated rows and further columns are allowed, and no rows give no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,45 +13,47 @@ from pyspark.sql import functions as F
 from spanlight.llm.core import Scratch, label_bucket, table
 from spanlight.llm.decontamination import contamination
 from spanlight.llm.mixing import mixed
-from spanlight.llm.near_dup import near_duplicates
+from spanlight.llm.near_dup import without_near_duplicates
 from spanlight.llm.queries import END, THRESHOLD, tokenizer_path
 from spanlight.llm.token_files import read_token_files, write_token_files
 from spanlight.llm.toxicity import toxicity_scores
 
 
-def kept_by(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents whose doc_id is among the decisions; decisions have an id once."""
-    return docs.join(decisions.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold stay; learned as in op8."""
-    scores = toxicity_scores(spark, docs, table(spark, sf_dir, "labels"), label_bucket(F.col("doc_id"), 4) != 2)
-    return kept_by(docs, scores.where(F.col("score") < THRESHOLD))
+    """Documents that score below the threshold stay; learned as in op8.
+
+    Each row is scored by its own text; a null or empty one scores as the
+    intercept says.
+    """
+    scores = toxicity_scores(spark, docs, table(spark, sf_dir, "labels"), label_bucket(F.col("doc_id"), 4) != 2, whole=True)
+    return scores.where(F.col("score") < THRESHOLD).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
-    return kept_by(docs, near_duplicates(spark, docs).where("kept or n_shingles = 0"))
+    """One document of each group of near duplicates stays, the one with the least doc_id, a null one last.
+
+    Of repeated rows one stays; rows without words stay all.
+    """
+    return without_near_duplicates(spark, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item stay."""
-    return kept_by(docs, contamination(spark, docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    """Documents without a benchmark item stay, null and empty texts among them."""
+    return contamination(spark, docs, table(spark, sf_dir, "benchmark"), whole=True).where("not contaminated").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one not taken goes."""
-    taken = mixed(spark, docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("mix_copies"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "mix_id"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Each row as often as the mix takes it; one not taken goes, one without words counts nothing."""
+    taken = mixed(spark, docs, whole=True).where("copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, and what they hold: (doc_id, start, n_tokens, ids_crc32)."""
-    path = Scratch(spark, "token_files").root
-    write_token_files(spark, docs, path, tokenizer_path(), END)
-    return read_token_files(spark, path, digest=True)
+    """Token files of the mix, and what they hold: (doc_id, start, n_tokens, ids_crc32), a row for each row."""
+    scratch = Scratch(spark, "token_files")
+    write_token_files(spark, docs, scratch.root, tokenizer_path(), END)
+    scratch.mark()
+    return read_token_files(spark, scratch.root, digest=True)
 
 
 STAGES = [("toxicity", toxicity), ("minhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate), ("source_mixing", mix), ("token_binary", tokens)]
