@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import arrow_batches, whole_row, with_whole_row
+from .core import arrow_batches, forget, over_whole_rows, whole_row, with_whole_row
 from .words import CHUNK, WordHasher, constants, mix, text_buffers
 
 #: Items of fewer bytes are found for certain, wherever their edits are.
@@ -459,6 +459,7 @@ def hits(index: ItemIndex):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         tables = index.tables()
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
@@ -533,7 +534,9 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits:
     repeated row gives a row each; ids may be null.
     """
     arrow_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs).alias("doc")] * whole)
-    out = "doc_id long, item_ids array<long>, distances array<int>"
-    out = rows.mapInArrow(hits(item_index(items, edits)), with_whole_row(out, docs) if whole else out)
-    return out.withColumn("contaminated", F.size("item_ids") > 0)
+    out, search = "doc_id long, item_ids array<long>, distances array<int>", hits(item_index(items, edits))
+    if whole:
+        found = docs.select(whole_row(docs).alias("doc")).mapInArrow(over_whole_rows(search), with_whole_row(out, docs))
+    else:
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, out)
+    return found.withColumn("contaminated", F.size("item_ids") > 0)

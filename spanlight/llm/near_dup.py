@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .core import Scratch, arrow_batches, whole_row
+from .core import Scratch, arrow_batches, forget, whole_row
 from .words import WordHasher, constants, mix, shingle_sets
 
 #: Bins of a signature (a power of two), rows of a band and bands: at a
@@ -69,6 +69,7 @@ def sketches(n: int):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         hasher, rank = WordHasher(), probe_order()
         for batch in batches:
             sets = list(shingle_sets(batch.column(2), n, hasher))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .core import Scratch, arrow_batches
+from .core import Scratch, arrow_batches, remembered
 from .huffman import Coder, code_lengths
 from .ranges import partitions, range_bounds, range_of, tie_order
 
@@ -58,7 +58,7 @@ class ChunkEncoder:
     #: A piece that no text has, as it isn't UTF-8: a document's end.
     STOP = b"\xff"
 
-    def __init__(self, path: str, last: int, bound: int = 800_000):
+    def __init__(self, path: str, last: int, bound: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -124,17 +124,6 @@ class ChunkEncoder:
         return np.split(out, ends[numbers == 0])[:-1]
 
 
-def remembered(key, make):
-    """An object that a Python worker keeps for the tasks that follow."""
-    import sys
-    import types
-
-    memory = sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory")).__dict__
-    if key not in memory:
-        memory[key] = make()
-    return memory[key]
-
-
 def tokenise(path: str, last: int):
     def run(batches):
         import os

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import arrow_batches, whole_row, with_whole_row
+from .core import arrow_batches, forget, over_whole_rows, whole_row, with_whole_row
 from .logistic import sigmoid
 from .samples import label_ids, labelled
 
@@ -158,6 +158,7 @@ def scores_of(weights: dict[int, float], intercept: float):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         keys = sorted(weights)
         w = [weights[k] for k in keys]
         slots = Slots({s: i for i, s in enumerate(keys)})
@@ -188,6 +189,8 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, tra
     """
     arrow_batches(spark)
     model = toxicity_model(docs, labels, train, groups)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[whole_row(docs).alias("doc")] * whole)
     out = "doc_id long, score double"
-    return rows.mapInArrow(scores_of(*model), with_whole_row(out, docs) if whole else out)
+    if whole:
+        return docs.select(whole_row(docs).alias("doc")).mapInArrow(over_whole_rows(scores_of(*model)), with_whole_row(out, docs))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scores_of(*model), out)
