@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spanlight.sources.kept import shared_folder
 
@@ -72,19 +71,6 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def over_whole_rows(run):
-    """A function of Arrow batches (doc_id, text, doc) as one of batches of ``doc`` alone, so that texts are sent once."""
-
-    def apart(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            doc = batch.column(0)
-            yield pa.RecordBatch.from_arrays([doc.field("doc_id").cast(pa.int64()), doc.field("text").cast(pa.string()), doc], names=["doc_id", "text", "doc"])
-
-    return lambda batches: run(apart(batches))
-
-
 def remembered(key, make):
     """An object that a Python worker keeps for the tasks that follow."""
     import sys
@@ -100,9 +86,7 @@ def forget() -> None:
     """Give up what the worker remembers, at the start of work that has other needs."""
     import sys
 
-    sys.modules.pop("_worker_memory", None)
-
+    import pyarrow as pa
 
-def with_whole_row(schema: str, docs: DataFrame) -> T.StructType:
-    """A schema with the column ``doc`` of whole_row() at its end."""
-    return T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("doc", docs.schema)])
+    sys.modules.pop("_worker_memory", None)
+    pa.default_memory_pool().release_unused()

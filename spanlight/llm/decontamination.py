@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import arrow_batches, forget, over_whole_rows, whole_row, with_whole_row
+from .core import arrow_batches, forget
 from .words import CHUNK, WordHasher, constants, mix, text_buffers
 
 #: Items of fewer bytes are found for certain, wherever their edits are.
@@ -524,8 +524,8 @@ def item_index(items: DataFrame, edits: float) -> ItemIndex:
     return ItemIndex([(r.item_id, r.text) for r in items.collect()], edits)
 
 
-def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS, whole: bool = False) -> DataFrame:
-    """(doc_id, item_ids, distances, contaminated) for each row of docs(doc_id, text); with ``whole`` also ``doc``, the row with all its columns.
+def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits: float = EDITS, hashed: bool = False) -> DataFrame:
+    """(doc_id, item_ids, distances, contaminated) for each row of docs(doc_id, text); with ``hashed`` also ``text_hash``, the text's xxhash64.
 
     An item (item_id, text) is in a document if the item, A-Z in lower case and
     with single spaces, is within ``edits`` of its length in bytes of some
@@ -534,9 +534,6 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, edits:
     repeated row gives a row each; ids may be null.
     """
     arrow_batches(spark)
-    out, search = "doc_id long, item_ids array<long>, distances array<int>", hits(item_index(items, edits))
-    if whole:
-        found = docs.select(whole_row(docs).alias("doc")).mapInArrow(over_whole_rows(search), with_whole_row(out, docs))
-    else:
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(search, out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.xxhash64("text").alias("text_hash")] * hashed)
+    found = rows.mapInArrow(hits(item_index(items, edits)), "doc_id long, item_ids array<long>, distances array<int>" + ", text_hash long" * hashed)
     return found.withColumn("contaminated", F.size("item_ids") > 0)

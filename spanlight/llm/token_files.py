@@ -24,6 +24,8 @@ BLOCK = 1 << 18
 BLOCKS = "range int, block int, before long, docs array<long>, counts array<int>, n_ids long, bits binary, checkpoints binary"
 
 
+#: Pieces that the library encodes at once; letters that are cut into pieces at once.
+SOME, LETTERS = 2000, 1 << 18
 #: Letters below this one are Latin: each has one lower-case letter, whatever stands around it.
 LATIN_END = "\u0100"
 
@@ -81,8 +83,10 @@ class ChunkEncoder:
                 found[i] = tuple([t.id for t in tokenize(core.lower().encode().decode("latin-1").translate(alphabet))]) + self.tail(text[len(core) :])
             else:
                 rest.append((i, text))
-        for (i, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
-            found[i] = tuple(e.ids)
+        for k in range(0, len(rest), SOME):  # the library's results take far more memory than the ids
+            some = rest[k : k + SOME]
+            for (i, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                found[i] = tuple(e.ids)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
@@ -133,7 +137,13 @@ def tokenise(path: str, last: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = remembered(f"encoder {last} {path}", lambda: ChunkEncoder(path, last))
         for batch in batches:
-            ids = encode(batch.column(1).to_pylist())
+            ids, texts = [], batch.column(1).to_pylist()
+            ends = np.cumsum([len(t or "") for t in texts])
+            first = 0
+            while first < len(texts):  # some letters at a time, as their pieces take many times the memory
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LETTERS, "right")))
+                ids += encode(texts[first:last])
+                first = last
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4").tobytes() for x in ids], pa.binary())],
                 names=["doc_id", "n_ids", "ids"],

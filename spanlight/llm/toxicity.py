@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import arrow_batches, forget, over_whole_rows, whole_row, with_whole_row
+from .core import arrow_batches, forget
 from .logistic import sigmoid
 from .samples import label_ids, labelled
 
@@ -180,8 +180,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, train: Column, groups=IDE
     return fit(list(zip(*cols, strict=True)), weights=tuple(max(1.0, counts.get(y, 0) / FIT_ROWS) for y in (0, 1)))
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, groups=IDENTITY_TERMS, whole: bool = False) -> DataFrame:
-    """(doc_id, score) for each row of docs(doc_id, text); with ``whole`` also ``doc``, the row with all its columns.
+def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, groups=IDENTITY_TERMS, hashed: bool = False) -> DataFrame:
+    """(doc_id, score) for each row of docs(doc_id, text); with ``hashed`` also ``text_hash``, the text's xxhash64.
 
     ``train`` is the condition on labels' doc_id that admits a label to the
     fit.  A null or empty text scores the intercept; a repeated row scores
@@ -189,8 +189,5 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, tra
     """
     arrow_batches(spark)
     model = toxicity_model(docs, labels, train, groups)
-    out = "doc_id long, score double"
-    if whole:
-        return docs.select(whole_row(docs).alias("doc")).mapInArrow(over_whole_rows(scores_of(*model)), with_whole_row(out, docs))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scores_of(*model), out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.xxhash64("text").alias("text_hash")] * hashed)
+    return rows.mapInArrow(scores_of(*model), "doc_id long, score double" + ", text_hash long" * hashed)

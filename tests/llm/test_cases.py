@@ -278,13 +278,14 @@ def test_contamination_against_brute_force(spark):
     rows = [(k % 3 or None, f"{sentence(rng, 9)} {t.replace('ka', 'kx', 3)} {sentence(rng, 4)}", "s") for k, t in items[:8]]
     rows += [(5, rows[0][1], "s"), (5, rows[0][1], "s"), (6, None, "s"), (6, "", "s"), (7, "x" * 200_000 + " " + items[3][1], "s"), (8, "é" * 69, "s"), (9, "É" * 60 + "éé" + "É" * 9, "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontamination.contamination(spark, table(spark, rows), bench, whole=True).collect()
+    found = decontamination.contamination(spark, table(spark, rows), bench, hashed=True).collect()
     low = lambda t: b" ".join(decontamination.lowered(np.frombuffer((t or "").encode(), np.uint8)).tobytes().split())
     want = []
     for i, t, _ in rows:
         hits = [n for n, item in items if n is not None and item and decontamination.edit_distance_inside(low(item), low(t))[0] <= int(0.2 * len(low(item)))]
         want.append((i, t, hits))
-    assert plain((r.doc_id, r.doc.text, sorted(r.item_ids)) for r in found) == plain(want)
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for _, t, _ in rows], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    assert plain((r.doc_id, r.text_hash, sorted(r.item_ids)) for r in found) == plain((i, hashes[t], hits) for i, t, hits in want)
     assert decontamination.contamination(spark, table(spark, rows).limit(0), bench).count() == 0
 
 
