@@ -1,7 +1,7 @@
 """Documents to token files, in five stages of the operators for training data.
 
-Decisions are taken on rows, not on ids: each operator carries the whole row or
-a number of its own for it.  So in every stage null ids, ids that several rows
+Decisions are taken on rows, not on ids: an operator carries the row, has a
+number of its own for it, or gives the hash of its text.  So in every stage null ids, ids that several rows
 share, repeated rows and further columns are allowed, and no rows give no rows.
 """
 
@@ -19,14 +19,20 @@ from spanlight.llm.token_files import read_token_files, write_token_files
 from spanlight.llm.toxicity import toxicity_scores
 
 
+def kept_by(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs whose id, which may be null, and text are among the decisions (doc_id, text_hash)."""
+    keys = decisions.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash")), "left_semi")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold stay; learned as in op8.
 
     Each row is scored by its own text; a null or empty one scores as the
     intercept says.
     """
-    scores = toxicity_scores(spark, docs, table(spark, sf_dir, "labels"), label_bucket(F.col("doc_id"), 4) != 2, whole=True)
-    return scores.where(F.col("score") < THRESHOLD).select("doc.*")
+    scores = toxicity_scores(spark, docs, table(spark, sf_dir, "labels"), label_bucket(F.col("doc_id"), 4) != 2, hashed=True)
+    return kept_by(docs, scores.where(F.col("score") < THRESHOLD))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item stay, null and empty texts among them."""
-    return contamination(spark, docs, table(spark, sf_dir, "benchmark"), whole=True).where("not contaminated").select("doc.*")
+    return kept_by(docs, contamination(spark, docs, table(spark, sf_dir, "benchmark"), hashed=True).where("not contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
