@@ -141,9 +141,9 @@ def tokenise(path: str, last: int):
             ends = np.cumsum([len(t or "") for t in texts])
             first = 0
             while first < len(texts):  # some letters at a time, as their pieces take many times the memory
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LETTERS, "right")))
-                ids += encode(texts[first:last])
-                first = last
+                upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LETTERS, "right")))
+                ids += encode(texts[first:upto])
+                first = upto
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2" if x.max(initial=0) < 1 << 16 else "<u4").tobytes() for x in ids], pa.binary())],
                 names=["doc_id", "n_ids", "ids"],
