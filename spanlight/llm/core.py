@@ -45,7 +45,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         self.mark()
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -249,9 +249,10 @@ def grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> Da
     sizes = groups.select(F.col("rep").alias("d"), F.col("n_shingles").alias("size"))
     members = all_.where("n_shingles > 0").select("row", F.posexplode("bands").alias("band", "hash")).join(groups.select(F.col("rep").alias("row")), "row", "left_semi")
     members = scratch.save(members.select("hash", "row"), "members")
+    keys = scratch.save(all_.drop("bands"), "keys")
     centres = members.groupBy("hash").agg(F.min("row").alias("c"), F.count("*").alias("m")).where("m > 1").select("hash", "c")
     stars = scratch.save(members.join(centres, "hash").where("row <> c").select("hash", "c", F.col("row").alias("d")), "stars")
-    scratch.drop("members")
+    scratch.drop("members", "sketch")
     done = verdicts(stars.select("c", "d").distinct(), docs, shingle, percent)
     done = scratch.save(done.groupBy("c", "d").agg(F.max("ok").alias("ok"), F.max("near").alias("near")), "verdicts")
     active = scratch.save(stars.join(done.where("not ok"), ["c", "d"], "left_semi").select("hash", "d"), "active")
@@ -267,8 +268,7 @@ def grouped(docs: DataFrame, scratch: Scratch, shingle: int, percent: int) -> Da
     firsts = labelled.groupBy("label").agg(F.min("least").alias("first"))
     whole = labelled.join(firsts, "label").select("n_shingles", "k1", "k2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
     return (
-        all_.select("row", "doc_id", "n_shingles", "k1", "k2")
-        .join(whole, ["n_shingles", "k1", "k2"], "left")
+        keys.join(whole, ["n_shingles", "k1", "k2"], "left")
         .select("row", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce(F.col("row") == F.col("first_row"), F.lit(True)).alias("first"))
     )
 
