@@ -8,8 +8,10 @@ the blocks, not the pages.
 from __future__ import annotations
 
 import json
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udf
 
@@ -40,6 +42,8 @@ TYPE = f"struct<bads:array<int>,vals:array<{VALUE}>>"
 _VALUES = pa.list_(pa.struct([("obj", pa.int32()), ("depth", pa.int32()), ("key", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
 _ROW = pa.struct([("bads", pa.list_(pa.int32())), ("vals", _VALUES)])
 _KEYS = frozenset(KEYS)
+#: Workers get these functions by value, as they need not have the library on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _never(name: str) -> None:

@@ -18,23 +18,33 @@ NL = "\n"
 
 
 def relations(p) -> str:
-    """The stand-in ``artifacts`` and what is read from it: ``robots_lines``, ``map_facts``, ``map_routes``."""
+    """``artifacts``, from the view ``site_files(site, kind, text)`` or stand-ins, and what is read from it: ``robots_lines``, ``map_facts``, ``map_routes``."""
     d, t = p.d, p.t
     lines = d.keep(d.each(d.split("robots_text", NL), d.fn("x", t.lower(t.trim(d.sub("x", "#.*", ""))))), d.fn("y", "y <> ''"))
     within = lambda tag: d.each(d.all("sitemap_text", f"(?s)<{tag}>(.*?)</{tag}>", 1), d.fn("x", t.trim("x")))
     low = t.lower("sitemap_text")
     loc = lambda r: f"'<url><loc>https://', site, '/', {r}, '</loc>'"
-    return f"""artifacts AS (SELECT site,
-          CASE length(site) % 4 WHEN 1 THEN 'User-agent: *{NL}Disallow: / # all{NL}' WHEN 2 THEN 'User-agent: *{NL}Disallow: /a{NL}Disallow: /b{NL}Disallow: /c{NL}Sitemap: /sitemap.xml' WHEN 3 THEN 'User-Agent: GPTBot{NL}Disallow:{NL}Content-Signal: ai-train=no{NL}Sitemap: /sitemap.xml' END AS robots_text,
-          CASE length(site) % 7 WHEN 1 THEN ' ' WHEN 2 THEN '<html><body>404</body></html>' WHEN 3 THEN concat('<urlset>', {loc('least')}, '<lastmod>yesterday</lastmod></url></urlset>') WHEN 4 THEN concat('<urlset>', {loc('least')}, '</url>', {loc('most')}, '</url></urlset>') WHEN 5 THEN '<urlset></urlset>' WHEN 6 THEN '<urlset><url>' END AS sitemap_text,
-          CASE length(site) % 5 WHEN 1 THEN ' ' WHEN 2 THEN concat('# S{NL}## Pages{NL}- [a](/', least, ')') WHEN 3 THEN '# S{NL}- [b](missing.html){NL}- [c](https://other.example/x)' WHEN 4 THEN '## Pages{NL}[d](/no/such?q)' END AS llms_text
-        FROM (SELECT site, min(route) AS least, max(route) AS most FROM every WHERE site IS NOT NULL GROUP BY site) g),
+    if p.files:
+        one = lambda kind: f"max(CASE WHEN kind = '{kind}' THEN text END) AS {kind}_text"
+        made = f"SELECT s.site, f.robots_text, f.sitemap_text, f.llms_text FROM (SELECT DISTINCT site FROM every WHERE site IS NOT NULL) s LEFT JOIN (SELECT site, {one('robots')}, {one('sitemap')}, {one('llms')} FROM site_files GROUP BY site) f ON s.site = f.site"
+    else:
+        made = stand_ins(loc)
+    return f"""artifacts AS ({made}),
       robots_lines AS (SELECT site, {lines} AS lines FROM artifacts WHERE robots_text IS NOT NULL),
       map_facts AS (SELECT *, sitemap_text IS NOT NULL AND NOT is_index AND NOT {d.like(low, '</urlset>|<urlset[^>]*/>')} OR is_index AND NOT {d.like(low, '</sitemapindex>')} AS broken FROM (
         SELECT site, sitemap_text, {t.trim(low)} AS low, coalesce({d.like(low, '<sitemapindex')}, FALSE) AS is_index, {within('loc')} AS locs, {within('lastmod')} AS lastmods FROM artifacts) f),
       map_routes AS (SELECT DISTINCT site, {t.urlish('u')} AS route FROM ({d.rows('site', 'locs', 'u', 'map_facts')}) r)"""
 
 
+def stand_ins(loc) -> str:
+    """Files for test data that has none, from a site's name and routes."""
+    return f"""SELECT site,
+          CASE length(site) % 4 WHEN 1 THEN 'User-agent: *{NL}Disallow: / # all{NL}' WHEN 2 THEN 'User-agent: *{NL}Disallow: /a{NL}Disallow: /b{NL}Disallow: /c{NL}Sitemap: /sitemap.xml' WHEN 3 THEN 'User-Agent: GPTBot{NL}Disallow:{NL}Content-Signal: ai-train=no{NL}Sitemap: /sitemap.xml' END AS robots_text,
+          CASE length(site) % 7 WHEN 1 THEN ' ' WHEN 2 THEN '<html><body>404</body></html>' WHEN 3 THEN concat('<urlset>', {loc('least')}, '<lastmod>yesterday</lastmod></url></urlset>') WHEN 4 THEN concat('<urlset>', {loc('least')}, '</url>', {loc('most')}, '</url></urlset>') WHEN 5 THEN '<urlset></urlset>' WHEN 6 THEN '<urlset><url>' END AS sitemap_text,
+          CASE length(site) % 5 WHEN 1 THEN ' ' WHEN 2 THEN concat('# S{NL}## Pages{NL}- [a](/', least, ')') WHEN 3 THEN '# S{NL}- [b](missing.html){NL}- [c](https://other.example/x)' WHEN 4 THEN '## Pages{NL}[d](/no/such?q)' END AS llms_text
+        FROM (SELECT site, min(route) AS least, max(route) AS most FROM every WHERE site IS NOT NULL GROUP BY site) g"""
+
+
 def union(*selects: tuple[str, str, str, str, str]) -> str:
     """(rule, severity, path, message, rest of the query) as one query."""
     return " UNION ALL ".join(f"SELECT a.site, '{r}' AS rule_id, '{s}' AS severity, {p} AS path, {m} AS message {rest}" for r, s, p, m, rest in selects)

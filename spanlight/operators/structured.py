@@ -105,7 +105,7 @@ def findings(p, optional: bool = False) -> str:
     """SCH001, 003, 005-007, 009-018; with optional, SCH002, 004 and 008 instead."""
     d, t, f = p.d, p.t, Facts(p)
     typed, like = f.typed, d.like
-    known = f"ld_facts AS ({facts(p)})"
+    known = f"ld_facts AS ({facts(p) if p.duckdb else 'SELECT * FROM parsed_ld_facts'})"
     if optional:
         rows = [
             *(("SCH002", "error", f"NOT {typed(x)}", f"'missing JSON-LD schema type: {x}'") for x in REQUIRED_TYPES),

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, elements, parse, rules, structured
-from spanlight.sources.kept import kept
+from spanlight.operators import artifacts, elements, intelligence, parse, reports, rules, structured
+from spanlight.plans import intelligence_sql
+from spanlight.sources.kept import kept, shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,8 +21,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 class Plan:
     """The audit's relations in one dialect, as common table expressions."""
 
-    def __init__(self, duckdb: bool):
-        self.duckdb = duckdb
+    def __init__(self, duckdb: bool, files: bool = False):
+        """With ``files``, a site's files are those of the view site_files, else stand-ins."""
+        self.duckdb, self.files = duckdb, files
         self.d = DuckDB() if duckdb else Spark()
         self.t = Text(self.d)
 
@@ -80,14 +84,16 @@ class Plan:
         d, t = self.d, self.t
         others = (lambda a: f"array_to_string(({a})[1:3], ', ')") if self.duckdb else (lambda a: f"array_join(slice({a}, 1, 3), ', ')")
         all_ = "list_sort(list(route))" if self.duckdb else "array_sort(collect_list(route))"
+        group = "(PARTITION BY site, k ORDER BY route)"
 
         def shared(rule: str, source: str, key: str, text: str, fits: str) -> str:
-            # Members are gathered for keys that repeat only, and of those three examples besides the page itself are told.
-            return f"""SELECT m.site, '{rule}' AS rule_id, 'warning' AS severity, m.path, concat('{text}', CAST(g.n - 1 AS STRING), ' other route(s): ',
+            # Of a key's members the first four are gathered, as three besides the page itself are told.
+            members = f"SELECT site, path, route, {key} AS k FROM {source} WHERE {fits}"
+            return f"""SELECT m.site, '{rule}' AS rule_id, 'warning' AS severity, m.path, concat('{text}', CAST(n.n - 1 AS STRING), ' other route(s): ',
                   {others(d.keep('g.routes', d.fn('x', 'x <> m.route')))}) AS message
-                FROM (SELECT site, path, route, {key} AS k FROM {source} WHERE {fits}) m
-                JOIN (SELECT site, k, n, routes FROM (
-                  SELECT site, {key} AS k, count(*) AS n, {all_} AS routes FROM {source} WHERE {fits} GROUP BY site, {key}) z WHERE n > 1) g ON m.site = g.site AND m.k = g.k"""
+                FROM ({members}) m
+                JOIN (SELECT site, k, count(*) AS n FROM ({members}) c GROUP BY site, k HAVING count(*) > 1) n ON m.site = n.site AND m.k = n.k
+                JOIN (SELECT site, k, {all_} AS routes FROM (SELECT site, k, route, row_number() OVER {group} AS nr FROM ({members}) o) z WHERE nr <= 4 GROUP BY site, k) g ON m.site = g.site AND m.k = g.k"""
 
         meta = f"concat({t.lower('title')}, chr(1), {t.lower(t.trim('description'))})"
         visible = f"md5({t.lower('visible')})"
@@ -126,7 +132,8 @@ class Plan:
 
     def derived(self) -> dict[str, str]:
         """What is read from parsed pages for many rules, by the name it is kept under."""
-        return {"parsed_links": f"WITH {self.base()} {self.links()}", "parsed_blocks": f"WITH {self.base()} {self.block_rows()}", "parsed_ld": f"WITH {self.base()} {structured.pages(self)}"}
+        facts = f"WITH ld_pages AS (SELECT * FROM parsed_ld) {structured.facts(self)}"
+        return {"parsed_links": f"WITH {self.base()} {self.links()}", "parsed_blocks": f"WITH {self.base()} {self.block_rows()}", "parsed_ld": f"WITH {self.base()} {structured.pages(self)}", "parsed_ld_facts": facts}
 
     def parts(self) -> dict[str, str]:
         return {
@@ -175,8 +182,68 @@ class Plan:
 
 GROUPED = "SELECT rule_id, severity, count(*) AS n, count(DISTINCT site) AS sites FROM findings GROUP BY rule_id, severity"
 FINDING = "SELECT site, rule_id, severity, path, message FROM findings"
-SCOPE = f"CASE WHEN {rules.sitewide()} THEN 'sitewide' WHEN count(*) OVER (PARTITION BY site, rule_id, message) >= 3 THEN 'template' ELSE 'page' END"
-HEURISTIC = f"{rules.rule_class()} = 'heuristic'"
+#: Stand-ins for what the test data lacks: a policy, an export of citations, two runs' metrics.
+POLICY = {
+    "ignore_rules": ["SOC006", "SEO001"],
+    "ignore_paths": ["/es/"],
+    "severity_overrides": {"SEO004": "warning"},
+    "suppressions": [{"rule_id": "CNT001", "path_pattern": "/de/"}, {"rule_id": "SOC004", "path_pattern": "/fr/"}, {"rule_id": "SEO005", "path_pattern": "/", "expires": "2020-01-01"}],
+}
+ROUTE_KINDS = {"first": {"match": ["/en/1"], "skip_rules": ["CNT001", "A11Y005", "GEO008"]}}
+CITATIONS = "SELECT url, page_id % 5 + 1 AS citations FROM pages UNION ALL SELECT concat(url, '/gone'), 2 FROM pages WHERE page_id % 50 = 0 UNION ALL SELECT url, 3 FROM pages WHERE page_id % 7 = 0"
+WAS, NOW = "rule_id NOT LIKE 'SOC00%' OR path LIKE '%1%'", "rule_id NOT LIKE 'SEO00%' OR path LIKE '%2%'"
+BUDGET = {"phase.click.elapsed_ms": 1, "phase.view.elapsed_ms": 10**12, "phase.none.elapsed_ms": 5, "crawl.click.per_minute": 3}
+
+
+def metrics(k: int) -> str:
+    return f"SELECT concat('phase.', event_type, '.elapsed_ms') AS metric, 'ms' AS unit, 'lower_is_better' AS direction, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS value FROM events WHERE event_id % 2 = {k} GROUP BY event_type UNION ALL SELECT concat('crawl.', event_type, '.per_minute'), 'per_minute', 'higher_is_better', count(*) FROM events WHERE event_id % 3 = {k} GROUP BY event_type"
+
+
+def report_texts() -> dict[str, str]:
+    """The reports' SQL for the oracle; the reports themselves are DataFrame functions."""
+    p = Plan(duckdb=True)
+    every = p.findings()
+    error, warning = "sum(CASE WHEN severity <> 'warning' THEN 1 ELSE 0 END)", "sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END)"
+    heuristic = f"{rules.rule_class()} = 'heuristic'"
+    layers = " UNION ALL ".join(f"SELECT '{x}' AS layer" for x in reports.LAYERS)
+    filled = lambda name, text, values: f"SELECT s.site, '{name}' AS dimension, v.value, coalesce(n, 0) AS n FROM (SELECT DISTINCT site FROM findings) s CROSS JOIN ({' UNION ALL '.join(f'SELECT {x!r} AS value' for x in values)}) v LEFT JOIN (SELECT site, {text} AS value, count(*) AS n FROM findings GROUP BY ALL) f ON s.site IS NOT DISTINCT FROM f.site AND v.value = f.value"
+    keys = "site, rule_id, path, 1 AS line, 1 AS \"column\", message"
+    route = "regexp_extract(path, '^crawl/(.*?)(/?index[.]html)?$', 1)"
+    return {
+        "summary_counts": f"{every}SELECT site, count(*) AS total, {error} AS errors, {warning} AS warnings, sum(CASE WHEN {heuristic} THEN 0 ELSE 1 END) AS actionable, sum(CASE WHEN {heuristic} THEN 1 ELSE 0 END) AS heuristic FROM findings GROUP BY site",
+        "summary_by_layer": f"{every}, layers AS ({layers}), n AS (SELECT site, {rules.layer()} AS layer, count(*) AS total, {error} AS errors FROM findings GROUP BY ALL) SELECT s.site, l.layer, coalesce(total, 0) AS total, coalesce(errors, 0) AS errors, coalesce(total - errors, 0) AS warnings FROM (SELECT DISTINCT site FROM findings) s CROSS JOIN layers l LEFT JOIN n ON s.site IS NOT DISTINCT FROM n.site AND l.layer = n.layer",
+        "rule_mix": f"{every}{filled('class', rules.rule_class(), reports.CLASSES)} UNION ALL {filled('confidence', rules.confidence(), reports.CONFIDENCES)}",
+        "rule_metadata": f"{every}SELECT site, rule_id, {rules.rule_class()} AS class, {rules.confidence()} AS confidence, {rules.layer()} AS layer, {rules.group()} AS rule_group, count(*) AS n FROM findings GROUP BY site, rule_id",
+        "finding_scope": f"{every}SELECT site, rule_id, path, message, CASE WHEN {rules.sitewide()} THEN 'sitewide' WHEN count(*) OVER (PARTITION BY site, rule_id, message) >= 3 THEN 'template' ELSE 'page' END AS scope FROM findings",
+        "finding_clusters": f"{every}SELECT site, {rules.group()} AS rule_group, rule_id, message, severity, count(*) AS n, array_to_string(list_sort(list(DISTINCT path))[1:5], ' | ') AS examples FROM findings GROUP BY site, rule_id, message, severity",
+        "repeated_issues": f"{every}SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY n DESC, rule_id, message) AS place FROM (SELECT site, CASE WHEN {heuristic} THEN 'heuristic' ELSE 'actionable' END AS kind, rule_id, message, count(*) AS n FROM findings GROUP BY ALL HAVING count(*) > 1) a) b WHERE place <= 3",
+        "largest_groups": f"{every}SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, rule_group) AS place FROM (SELECT site, {rules.group()} AS rule_group, count(*) AS n FROM findings GROUP BY ALL) a) b WHERE place <= 5",
+        "policy_applied": f"{every}SELECT site, rule_id, CASE WHEN rule_id = 'SEO004' THEN 'warning' ELSE severity END AS severity, path, message FROM findings WHERE rule_id NOT IN ('SOC006', 'SEO001') AND NOT contains(path, '/es/') AND NOT (rule_id = 'CNT001' AND contains(path, '/de/')) AND NOT (rule_id = 'SOC004' AND contains(path, '/fr/')) AND NOT (rule_id IN ('CNT001', 'GEO008') AND contains(path, '/en/1'))",
+        "finding_diff": f"{every}, was AS (SELECT DISTINCT {keys} FROM findings WHERE {WAS}), now AS (SELECT DISTINCT {keys} FROM findings WHERE {NOW}) SELECT *, 'unchanged' AS status FROM (SELECT * FROM was INTERSECT SELECT * FROM now) a UNION ALL SELECT *, 'new' FROM (SELECT * FROM now EXCEPT SELECT * FROM was) b UNION ALL SELECT *, 'resolved' FROM (SELECT * FROM was EXCEPT SELECT * FROM now) c",
+        "search_export": f"{every}SELECT site, path, count(*) AS findings, {error} AS errors, {warning} AS warnings, array_to_string(list_sort(list(DISTINCT rule_id)), ' | ') AS rules FROM findings GROUP BY site, path",
+        "opportunity_score": f"{every}, c AS (SELECT url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS site, trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/') AS route, sum(citations) AS citations, count(*) AS rows FROM ({CITATIONS}) q GROUP BY ALL), f AS (SELECT site, {route} AS route, count(*) AS n, {error} AS e, {warning} AS w FROM findings GROUP BY ALL), o AS (SELECT c.*, coalesce(n, 0) AS audit_findings, coalesce(e, 0) AS audit_errors, coalesce(w, 0) AS audit_warnings, n IS NOT NULL AS matched, 5 * citations + 50 * coalesce(e, 0) + 10 * coalesce(w, 0) + CASE WHEN n IS NULL THEN 75 ELSE 0 END AS score FROM c LEFT JOIN f ON c.site = f.site AND c.route = f.route) SELECT site, url, route, citations, rows, audit_findings, audit_errors, audit_warnings, matched, score, CASE WHEN score >= 200 THEN 'critical' WHEN score >= 80 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS priority FROM o WHERE score > 0",
+        "performance_diff": f"SELECT *, CASE WHEN delta IS NULL THEN 'missing' WHEN delta = 0 OR abs(basis_points) < 1000 THEN 'unchanged' WHEN (delta > 0) = (direction = 'lower_is_better') THEN 'regressed' ELSE 'improved' END AS status FROM (SELECT coalesce(a.metric, b.metric) AS metric, coalesce(a.unit, b.unit) AS unit, coalesce(a.direction, b.direction) AS direction, a.value AS baseline, b.value AS current, b.value - a.value AS delta, CASE WHEN a.value <> 0 THEN CAST(trunc((b.value - a.value) * 10000 / a.value) AS BIGINT) END AS basis_points FROM ({metrics(0)}) a FULL OUTER JOIN ({metrics(1)}) b ON a.metric = b.metric) q",
+        "performance_budget": f"SELECT l.metric, value, budget, CASE WHEN value IS NULL THEN 'unknown' WHEN value > budget THEN 'over' ELSE 'within' END AS status FROM ({' UNION ALL '.join(f'SELECT {k!r} AS metric, {v} AS budget' for k, v in BUDGET.items())}) l LEFT JOIN ({metrics(0)}) m ON l.metric = m.metric",
+        "phase_percentiles": f"SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, {', '.join(f'list_sort(list(value))[1 + CAST(ceil((count(*) - 1) * {q}) AS INT)] AS p{int(q * 100)}' for q in SHARES)} FROM events GROUP BY event_type",
+    }
+
+
+SHARES = (0.5, 0.75, 0.95, 0.99)
+
+
+def percentiles(events: DataFrame, scratch: str) -> DataFrame:
+    """By event_type: how many, least, most and the values at shares of the order, by places in a sorted table and so without gathering a type's values."""
+    sorted_ = events.select("event_type", "value").repartitionByRange("event_type", "value").sortWithinPartitions("event_type", "value").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    sorted_.write.mode("overwrite").parquet(scratch)
+    rows = events.sparkSession.read.parquet(scratch)
+    # A row for each type in each part of the sorted table.
+    parts = rows.groupBy("event_type", "part").agg(F.count("*").alias("k"), F.min("at").alias("first"), F.min("value").alias("low"), F.max("value").alias("high"))
+    before = parts.withColumn("before", F.sum("k").over(Window.partitionBy("event_type").orderBy("part")) - F.col("k"))
+    totals = parts.groupBy("event_type").agg(F.sum("k").alias("n"), F.min("low").alias("least"), F.max("high").alias("most"))
+    wanted = lambda q: (1 + F.ceil((F.col("n") - 1) * q)).cast("long")
+    placed = rows.join(F.broadcast(before.select("event_type", "part", "first", "before")), ["event_type", "part"]).join(F.broadcast(totals), "event_type").withColumn("place", F.col("at") - F.col("first") + F.col("before") + 1)
+    at = [F.max(F.when(F.col("place") == wanted(q), F.col("value"))).alias(f"p{int(q * 100)}") for q in SHARES]
+    return placed.groupBy("event_type", "n", "least", "most").agg(*at)
 
 
 def texts(duckdb: bool) -> dict[str, str]:
@@ -185,8 +252,6 @@ def texts(duckdb: bool) -> dict[str, str]:
     base = f"WITH {p.base()} "
     raw = f"WITH {p.base(rich=False)} "
     join = (lambda a: f"array_to_string({a}, ' | ')") if duckdb else (lambda a: f"array_join({a}, ' | ')")
-    top = "slice(array_sort(collect_set(path)), 1, 5)" if not duckdb else "list_sort(list(DISTINCT path))[1:5]"
-    order = (lambda k, n: f"list_sort(list({k}))[{n}]") if duckdb else (lambda k, n: f"element_at(array_sort(collect_list({k})), CAST({n} AS INT))")
     out = {
         "page_parse": f"{base}SELECT page_id, site, route, relative_path, page_kind, title, h1_count, description, canonical, canonical_route, html_lang, robots, twitter_card, nosnippets, answer_blocks, strong_blocks FROM every",
         "visible_text": f"{raw}SELECT page_id, visible, visible_bytes FROM every",
@@ -211,20 +276,9 @@ def texts(duckdb: bool) -> dict[str, str]:
         "rules_optional": f"{p.findings('page_optional', 'structured_optional')}{FINDING}",
         "audit_findings": f"{p.findings()}{FINDING}",
         "audit_summary": f"{p.findings()}{GROUPED}",
-        "summary_counts": f"{p.findings('page', 'block')}SELECT count(*) AS total, sum(CASE WHEN severity <> 'warning' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS warnings, sum(CASE WHEN {HEURISTIC} THEN 0 ELSE 1 END) AS actionable, sum(CASE WHEN {HEURISTIC} THEN 1 ELSE 0 END) AS heuristic FROM findings",
-        "summary_by_layer": f"{p.findings('page', 'block', 'link')}, layers AS (SELECT 'retrievability' AS layer UNION ALL SELECT 'citability' UNION ALL SELECT 'absorbability' UNION ALL SELECT 'entity_legitimacy' UNION ALL SELECT 'accessibility'), n AS (SELECT {rules.layer()} AS layer, count(*) AS total, sum(CASE WHEN severity <> 'warning' THEN 1 ELSE 0 END) AS errors FROM findings GROUP BY 1) SELECT l.layer, coalesce(total, 0) AS total, coalesce(errors, 0) AS errors, coalesce(total - errors, 0) AS warnings FROM layers l LEFT JOIN n ON l.layer = n.layer",
-        "rule_metadata": f"{p.findings('page', 'block')}SELECT rule_id, {rules.rule_class()} AS class, {rules.confidence()} AS confidence, {rules.layer()} AS layer, {rules.group()} AS rule_group, count(*) AS n FROM findings GROUP BY rule_id",
-        "finding_scope": f"{p.findings('page', 'link')}SELECT site, rule_id, path, message, {SCOPE} AS scope FROM findings",
-        "finding_clusters": f"{p.findings('page', 'block')}SELECT {rules.group()} AS rule_group, rule_id, message, severity, count(*) AS n, {join(top)} AS examples FROM findings GROUP BY rule_id, message, severity",
-        "repeated_issues": f"{p.findings('page')}SELECT rule_id, message, count(*) AS n FROM findings GROUP BY rule_id, message HAVING count(*) > 1 ORDER BY n DESC, rule_id, message LIMIT 3",
-        "policy_applied": f"{p.findings('page')}SELECT site, rule_id, CASE WHEN rule_id = 'SEO004' THEN 'warning' ELSE severity END AS severity, path, message FROM findings f WHERE rule_id NOT IN ('SOC006', 'SEO001') AND path NOT LIKE '%/es/%' AND NOT EXISTS (SELECT 1 FROM (SELECT 'CNT001' AS r, '/de/' AS p UNION ALL SELECT 'SOC004', '/fr/') s WHERE s.r = f.rule_id AND f.path LIKE concat('%', s.p, '%'))",
-        "finding_diff": f"{p.findings('page')}, was AS (SELECT DISTINCT site, rule_id, path, message FROM findings WHERE rule_id NOT LIKE 'SOC00%' OR path LIKE '%1%'), now AS (SELECT DISTINCT site, rule_id, path, message FROM findings WHERE rule_id NOT LIKE 'SEO00%' OR path LIKE '%2%') SELECT coalesce(w.site, n.site) AS site, coalesce(w.rule_id, n.rule_id) AS rule_id, coalesce(w.path, n.path) AS path, coalesce(w.message, n.message) AS message, CASE WHEN w.site IS NULL THEN 'new' WHEN n.site IS NULL THEN 'resolved' ELSE 'unchanged' END AS status FROM was w FULL OUTER JOIN now n ON w.site = n.site AND w.rule_id = n.rule_id AND w.path = n.path AND w.message = n.message",
-        "search_export": f"{p.findings('page')}SELECT site, path, count(*) AS findings, sum(CASE WHEN severity <> 'warning' THEN 1 ELSE 0 END) AS errors, {join('list_sort(list(DISTINCT rule_id))' if duckdb else 'array_sort(collect_set(rule_id))')} AS rules FROM findings GROUP BY site, path",
-        "phase_percentiles": f"SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, {', '.join(f'{order("value", f"1 + ceil((count(*) - 1) * {q})")} AS p{int(q * 100)}' for q in (0.5, 0.75, 0.95, 0.99))} FROM events GROUP BY event_type" if not duckdb else f"SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, {', '.join(f'list_sort(list(value))[1 + CAST(ceil((count(*) - 1) * {q}) AS INT)] AS p{int(q * 100)}' for q in (0.5, 0.75, 0.95, 0.99))} FROM events GROUP BY event_type",
         "phase_shares": f"SELECT event_type, n, CAST(floor(n * 10000 / total) AS BIGINT) AS basis_points FROM (SELECT event_type, n, sum(n) OVER () AS total FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) a) b",
         "trend_delta": f"SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS was, coalesce(b.n, 0) AS now, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'lost' WHEN b.n > a.n THEN 'increased' WHEN b.n < a.n THEN 'decreased' ELSE 'unchanged' END AS status FROM (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY user_id) a FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY user_id) b ON a.user_id = b.user_id",
         "citation_rollup": f"{raw}SELECT site, route, count(*) AS rows, sum(page_id % 5 + 1) AS citations, max(page_id) AS last_page FROM every GROUP BY site, route",
-        "opportunity_score": f"{p.findings('page')}SELECT site, path, errors, warnings, 50 * errors + 10 * warnings AS score, CASE WHEN 50 * errors + 10 * warnings >= 200 THEN 'critical' WHEN 50 * errors + 10 * warnings >= 80 THEN 'high' WHEN 50 * errors + 10 * warnings >= 40 THEN 'medium' ELSE 'low' END AS band FROM (SELECT site, path, sum(CASE WHEN severity <> 'warning' THEN 1 ELSE 0 END) AS errors, sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END) AS warnings FROM findings GROUP BY site, path) f",
         "llms_index": f"{raw}SELECT site, count(*) AS routes, {join('list_sort(list(route))' if duckdb else 'array_sort(collect_list(route))')} AS routes_text FROM site GROUP BY site",
         "sitemap_xml": f"{raw}SELECT site, route, concat('<url><loc>https://', site, '/', replace(replace(replace(route, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '</loc></url>') AS entry FROM site",
     }
@@ -239,24 +293,92 @@ def parsed_pages(spark: SparkSession, pages: DataFrame, rich: bool) -> DataFrame
     return spark.sql(text)
 
 
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = texts(duckdb=False)[name]
+def prepare(spark: SparkSession, sf_dir: str, text: str) -> None:
+    """The views that a text names, parsed or derived once a session."""
+    derived = Plan(duckdb=False).derived()
+    if "parsed_ld_facts" in text:
+        text += "parsed_ld "
+    if any(view in text for view in derived):
+        text += "parsed_rich"
     for rich, view in ((True, "parsed_rich"), (False, "parsed_raw")):
         if view in text:
             pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
             kept(spark, (view, sf_dir), partial(parsed_pages, spark, pages, rich)).createOrReplaceTempView(view)
     json_ld.register(spark)
-    for view, derived in Plan(duckdb=False).derived().items():
+    for view, sql in derived.items():
         if view in text:
-            kept(spark, (view, sf_dir), partial(spark.sql, derived)).createOrReplaceTempView(view)
+            kept(spark, (view, sf_dir), partial(spark.sql, sql)).createOrReplaceTempView(view)
     if "FROM events" in text:
         spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("events")
+
+
+def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = texts(duckdb=False)[name]
+    prepare(spark, sf_dir, text)
     return spark.sql(text)
 
 
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit's findings, written once a session, as every report reads them."""
+    text = texts(duckdb=False)["audit_findings"]
+    prepare(spark, sf_dir, text)
+    return kept(spark, ("findings", sf_dir), partial(spark.sql, text))
+
+
+def stand_in(spark: SparkSession, sf_dir: str, table: str, text: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return spark.sql(text)
+
+
+def placed(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("line", F.lit(1)).withColumn("column", F.lit(1))
+
+
+def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    plain = {"summary_counts": reports.summary, "summary_by_layer": reports.by_layer, "rule_mix": reports.mix, "rule_metadata": reports.by_rule, "finding_clusters": reports.clusters, "repeated_issues": reports.repeated, "largest_groups": reports.largest_groups, "search_export": reports.search_export}
+    out = {name: partial(lambda f, spark, sf_dir: f(all_findings(spark, sf_dir)), f) for name, f in plain.items()}
+    out["finding_scope"] = lambda spark, sf_dir: reports.with_scope(all_findings(spark, sf_dir)).select("site", "rule_id", "path", "message", "scope")
+    out["policy_applied"] = lambda spark, sf_dir: reports.apply_policy(all_findings(spark, sf_dir), POLICY, ROUTE_KINDS)
+    out["finding_diff"] = lambda spark, sf_dir: reports.diff(placed(all_findings(spark, sf_dir).where(WAS)), placed(all_findings(spark, sf_dir).where(NOW)))
+    out["opportunity_score"] = lambda spark, sf_dir: reports.opportunities(stand_in(spark, sf_dir, "pages", CITATIONS), all_findings(spark, sf_dir))
+    out["performance_diff"] = lambda spark, sf_dir: reports.metric_diff(stand_in(spark, sf_dir, "events", metrics(0)), stand_in(spark, sf_dir, "events", metrics(1)))
+    out["performance_budget"] = lambda spark, sf_dir: reports.over_budget(stand_in(spark, sf_dir, "events", metrics(0)), BUDGET)
+    out["phase_percentiles"] = lambda spark, sf_dir: percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), f"{shared_folder(spark).rstrip('/')}/sorted-{uuid.uuid4().hex}")
+    return out
+
+
+def intelligence_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+        prepare(spark, sf_dir, "parsed_rich parsed_links parsed_blocks parsed_ld")
+        read = lambda view: spark.table(view)
+        return [read("parsed_rich").where("place = 1"), read("parsed_blocks"), read("parsed_ld"), read("parsed_links").where("place = 1")]
+
+    def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages, blocks, ld, _ = tables(spark, sf_dir)
+        return kept(spark, ("grounding", sf_dir), lambda: intelligence.grounding(pages, blocks, ld))
+
+    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages, blocks, _, links = tables(spark, sf_dir)
+        return kept(spark, ("evidence", sf_dir), lambda: intelligence.evidence(intelligence.evidence_sections(pages, blocks, links)))
+
+    return {
+        "grounding_routes": lambda s, d: intelligence.routes_report(ground(s, d)),
+        "grounding_intents": lambda s, d: intelligence.intent_counts(ground(s, d)),
+        "topic_clusters": lambda s, d: intelligence.topic_counts(ground(s, d)),
+        "evidence_routes": found,
+        "evidence_sites": lambda s, d: intelligence.evidence_by_site(found(s, d)),
+        "route_scores": lambda s, d: intelligence.route_scores(ground(s, d), found(s, d)),
+        "site_scores": lambda s, d: intelligence.site_scores(intelligence.route_scores(ground(s, d), found(s, d))),
+        "intelligence_blockers": lambda s, d: intelligence.blockers(ground(s, d), found(s, d)),
+        "fanout_queries": lambda s, d: intelligence.fanout(ground(s, d)),
+        "fanout_sites": lambda s, d: intelligence.fanout_by_site(intelligence.fanout(ground(s, d))),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in texts(duckdb=False)}
+    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return texts(duckdb=True)
+    p = Plan(duckdb=True)
+    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p)).items()}
