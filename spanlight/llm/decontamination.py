@@ -24,6 +24,8 @@ certain, wherever their edits are.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -276,7 +278,7 @@ class Walked:
         self.size = np.array([len(x) for _, x, _ in members], np.int64)
         self.most = np.array([m for _, _, m in members], np.int64)
         self.width = np.maximum(self.most // 2, 32)
-        steps, rows = Steps(), []
+        self.steps, rows = Steps(), []
         pad = np.full(STEPS + 1, 32, np.uint8)
         self.first = np.cumsum(self.size) - self.size
         letters = np.concatenate([np.frombuffer(x, np.uint8) for _, x, _ in members])
@@ -285,7 +287,7 @@ class Walked:
             data = np.frombuffer(item, np.uint8)
             starts = window_starts(data, np.array([0, len(data)]), 1)
             starts = starts[starts <= len(item) - REACH]
-            for keys in steps.keys(np.concatenate((data, pad)), starts):
+            for keys in self.steps.keys(np.concatenate((data, pad)), starts):
                 rows.append((keys, np.full(len(starts), k, np.int32), starts.astype(np.int32)))
         keys, owner, offset = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(keys, kind="stable")
@@ -300,10 +302,11 @@ class Walked:
     def pairs(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray):
         """Yields (window's start, entry): arrays of windows of the part that share a key with an item's window."""
         starts = window_starts(part, cuts, APART)
-        padded, steps = np.concatenate((part, np.full(STEPS + 1, 32, np.uint8))), Steps()
+        # As wide as an index, so that no step has to widen the letters for each of its tables.
+        padded = np.concatenate((part, np.full(STEPS + 1, 32, np.uint8))).astype(np.int64)
         for low in range(0, len(starts), WALKED):
             some = starts[low : low + WALKED]
-            for keys in steps.keys(padded, some):
+            for keys in self.steps.keys(padded, some):
                 maybe = np.flatnonzero(table.take((keys & np.uint64(TABLE - 1)).view(np.int64)))
                 place = np.searchsorted(self.keys, keys[maybe])
                 place[place == len(self.keys)] = 0
@@ -494,16 +497,17 @@ def hits(index: ItemIndex):
                     for doc in range(last - first):
                         if cuts[doc] < cuts[doc + 1]:
                             compare(first + doc, n, most, part[cuts[doc] : cuts[doc + 1]].tobytes(), 0, int(cuts[doc + 1] - cuts[doc]))
+                ends = cuts.tolist()
                 for group, table in zip(index.groups, tables, strict=True):
                     for k, low, high in group.candidates(part, cuts, table):
                         n, size, most = int(group.number[k]), int(group.size[k]), int(group.most[k])
                         begin, slack = low, high - low + most
                         low, high = max(0, low), min(len(part), high + size + most)
-                        doc = int(np.searchsorted(cuts, low, "right")) - 1
-                        while doc < last - first and cuts[doc] < high:
-                            text = part[max(low, cuts[doc]) : min(high, cuts[doc + 1])].tobytes()
+                        doc = bisect_right(ends, low) - 1
+                        while doc < last - first and ends[doc] < high:
+                            text = part[max(low, ends[doc]) : min(high, ends[doc + 1])].tobytes()
                             if len(text) >= size - most:
-                                compare(first + doc, n, most, text, int(max(low, cuts[doc])) - begin, slack)
+                                compare(first + doc, n, most, text, max(low, ends[doc]) - begin, slack)
                             doc += 1
                 first = last
             settle()
