@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, elements, intelligence, parse, reports, rules, structured
-from spanlight.plans import intelligence_sql
+from spanlight.operators import artifacts, elements, intelligence, parse, reports, rules, structured, surfaces
+from spanlight.plans import intelligence_sql, surfaces_sql
 from spanlight.sources.kept import kept, shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -375,10 +375,32 @@ def intelligence_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]
     }
 
 
+def surface_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+        prepare(spark, sf_dir, "parsed_rich parsed_links parsed_ld")
+        p, made = Plan(duckdb=False), surfaces_sql.stand_ins()
+        head = f"WITH {p.base()}, {artifacts.relations(p)}, files AS ({made['files']})"
+        read = lambda text: spark.sql(p.sql(f"{head} {text}"))
+        return {"pages": spark.table("parsed_rich").where("place = 1"), "links": spark.table("parsed_links").where("place = 1"), "ld": spark.table("parsed_ld"), "known": read(surfaces_sql.known(p, "files")), "listed": read("SELECT site, route FROM map_routes"), "robots": read("SELECT site FROM artifacts WHERE robots_text IS NOT NULL")} | {k: read(v if k != "files" else "SELECT * FROM files") for k, v in made.items()}
+
+    def with_tables(function: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: function(*map(tables(spark, sf_dir).get, names))
+
+    capable = ("pages", "ld", "files", "headers", "llms")
+    return {
+        "route_surfaces": with_tables(surfaces.route_surfaces, "pages", "links", "known"),
+        "rules_surfaces": with_tables(surfaces.surface_findings, "pages", "links", "known", "llms"),
+        "site_capabilities": with_tables(surfaces.capabilities, *capable),
+        "rules_well_known": with_tables(lambda files, *of: surfaces.well_known_findings(surfaces.capabilities(*of), files), "files", *capable),
+        "rules_agents": with_tables(surfaces.agent_findings, "pages", "known"),
+        "rules_headers": with_tables(surfaces.header_findings, "pages", "headers", "listed", "robots"),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries()
+    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | surface_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     p = Plan(duckdb=True)
-    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p)).items()}
+    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | surfaces_sql.texts(p)).items()}
