@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.functions import json_ld
-from spanlight.operators import parse, reports
+from spanlight.operators import artifacts, parse, reports, surfaces
+from spanlight.plans import surfaces_sql
 from spanlight.plans.catalogue import Plan
 from spanlight.sources.kept import shared_folder
 
 FILES = "site string, kind string, text string"
+HEADERS = "site string, route string, name string, value string"
 #: Settings that audit() reads.
-KNOWN = {"policy", "route_kinds", "rules"}
+KNOWN = {"agent_discovery", "policy", "route_kinds", "rules"}
 
 
 def named_apart(text: str, mark: str) -> str:
@@ -23,13 +25,16 @@ def named_apart(text: str, mark: str) -> str:
     return re.sub(r"\b(parsed_rich|parsed_links|parsed_blocks|parsed_ld_facts|parsed_ld|site_files)\b", rf"\1_{mark}", text)
 
 
-def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None, settings: dict | None = None) -> DataFrame:
+def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None, settings: dict | None = None, headers: DataFrame | None = None) -> DataFrame:
     """(site, rule_id, message, path, line, column, severity, suggestion, scope) of pages(page_id, url, html).
 
     ``files`` (site, kind, text) holds the sites' own files, of kind robots,
-    sitemap or llms; a site without one lacks it.  ``settings`` may have
-    ``rules`` with ``optional = true`` for the rules that are off unless asked
-    for, and ``policy`` and ``route_kinds`` as in reports.apply_policy.  Parsed
+    sitemap or llms, or else with the path as the kind, such as
+    ``.well-known/mcp.json`` or ``docs.md``; a site without one lacks it.
+    ``headers`` (site, route, name, value) are the pages' response headers.
+    ``settings`` may have ``rules`` with ``optional = true`` for the rules that
+    are off unless asked for, ``agent_discovery`` with ``enabled = true``, and
+    ``policy`` and ``route_kinds`` as in reports.apply_policy.  Parsed
     pages and what is derived from them are written to the session's shared
     folder, so each is computed once.  Lines and columns are 1 and suggestions
     null.  No pages give no findings.
@@ -53,5 +58,21 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
         keep(spark.sql(named_apart(text, mark)), name)
     parts = list(plan.parts()) + (list(plan.optional()) if settings.get("rules", {}).get("optional") else [])
     found = spark.sql(named_apart(plan.findings(*parts) + "SELECT site, rule_id, severity, path, message FROM findings", mark))
+    head = f"WITH {plan.base()}, {artifacts.relations(plan)}"
+    read = lambda text: spark.sql(named_apart(plan.sql(f"{head} {text}"), mark))
+    own = "SELECT site, CASE kind WHEN 'robots' THEN 'robots.txt' WHEN 'sitemap' THEN 'sitemap.xml' WHEN 'llms' THEN 'llms.txt' ELSE kind END AS path, text FROM site_files"
+    site, links, known = spark.table(f"parsed_rich_{mark}").where("place = 1"), spark.table(f"parsed_links_{mark}").where("place = 1"), read(surfaces_sql.known(plan, f"({own})"))
+    paths, llms = read(own), read("SELECT site, llms_text AS text FROM artifacts WHERE llms_text IS NOT NULL")
+    sent = (spark.createDataFrame([], HEADERS) if headers is None else headers).select("site", "route", "name", "value")
+    more = [
+        surfaces.surface_findings(site, links, known, llms),
+        surfaces.well_known_findings(surfaces.capabilities(site, spark.table(f"parsed_ld_{mark}"), paths, sent, llms), paths),
+        surfaces.header_findings(site, sent, read("SELECT site, route FROM map_routes"), read("SELECT site FROM artifacts WHERE robots_text IS NOT NULL")),
+    ]
+    if settings.get("agent_discovery", {}).get("enabled"):
+        more.append(surfaces.agent_findings(site, known))
+    # Written, as scopes count what policy reads again.
+    keep(surfaces.union([found, *more]), "all_findings")
+    found = spark.table(f"all_findings_{mark}")
     judged = reports.apply_policy(reports.with_scope(found), settings.get("policy", {}), settings.get("route_kinds"))
     return judged.select("site", "rule_id", "message", "path", F.lit(1).cast("long").alias("line"), F.lit(1).cast("long").alias("column"), "severity", F.lit(None).cast("string").alias("suggestion"), "scope")
