@@ -74,5 +74,6 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
     # Written, as scopes count what policy reads again.
     keep(surfaces.union([found, *more]), "all_findings")
     found = spark.table(f"all_findings_{mark}")
-    judged = reports.apply_policy(reports.with_scope(found), settings.get("policy", {}), settings.get("route_kinds"))
+    scoped = reports.with_scope(found).withColumn("scope", F.when(F.col("rule_id").isin(*surfaces.SITEWIDE), "sitewide").otherwise(F.col("scope")))
+    judged = reports.apply_policy(scoped, settings.get("policy", {}), settings.get("route_kinds"))
     return judged.select("site", "rule_id", "message", "path", F.lit(1).cast("long").alias("line"), F.lit(1).cast("long").alias("column"), "severity", F.lit(None).cast("string").alias("suggestion"), "scope")

@@ -94,7 +94,9 @@ def test_audit_reads_files_and_headers(spark):
     pages = spark.createDataFrame([(i, url, page.format(i, head, body)) for i, (url, head, body) in enumerate(rows)], "page_id long, url string, html string")
     files = spark.createDataFrame([("a.example", "llms", "# A\n## Skills\n[x](/gone.md) [y](/c.md) [z](/llms.txt)"), ("a.example", "c.md", None), ("a.example", "facts.json", "{}"), ("a.example", ".well-known/mcp/x", None)], FILES)
     headers = spark.createDataFrame([("a.example", "", "Server", "s")], HEADERS)
-    found = {(r.rule_id, r.path) for r in audit(spark, pages, files, {"agent_discovery": {"enabled": True}}, headers).collect()}
+    rows = audit(spark, pages, files, {"agent_discovery": {"enabled": True}}, headers).collect()
+    assert {r.rule_id: r.scope for r in rows if r.rule_id in ("SRF004", "SRF006", "LNK020", "AGT001")} == {"SRF004": "page", "SRF006": "sitewide", "LNK020": "sitewide", "AGT001": "sitewide"}
+    found = {(r.rule_id, r.path) for r in rows}
     mine = {(r, p) for r, p in found if r[:3] in ("SRF", "AGT") or r == "LNK020"}
     assert mine == {
         ("SRF004", "crawl/index.html"), ("SRF005", "crawl/c/index.html"), ("SRF006", "llms.txt"),
