@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, elements, intelligence, parse, reports, rules, structured, surfaces
-from spanlight.plans import intelligence_sql, surfaces_sql
+from spanlight.operators import artifacts, elements, intelligence, parse, reports, rules, structured, suggestions, surfaces
+from spanlight.plans import intelligence_sql, suggestions_sql, surfaces_sql
 from spanlight.sources.kept import kept, shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -397,10 +397,31 @@ def surface_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark, sf_dir, "parsed_rich parsed_links")
+        return spark.table("parsed_rich").where("place = 1")
+
+    def with_records(function: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows, made = pages(spark, sf_dir), suggestions_sql.stand_ins()
+            records, facts = (spark.sql(f"WITH {Plan(duckdb=False).base()} {made[k]}") for k in ("records", "facts"))
+            return function(records, rows, facts)
+
+        return query
+
+    return {
+        "schema_suggestions": lambda s, d: suggestions.schema_suggestions(pages(s, d)),
+        "top_routes": lambda s, d: suggestions.top_routes(pages(s, d), s.table("parsed_links")),
+        "trust_issues": with_records(suggestions.trust_issues),
+        "trust_sources": with_records(suggestions.trust_sources),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | surface_queries()
+    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | surface_queries() | suggestion_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     p = Plan(duckdb=True)
-    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | surfaces_sql.texts(p)).items()}
+    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}
