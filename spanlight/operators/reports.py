@@ -12,6 +12,7 @@ from spanlight.operators import rules
 
 LAYERS = ("retrievability", "citability", "absorbability", "entity_legitimacy", "accessibility")
 CLASSES, CONFIDENCES = ("hard", "policy", "heuristic"), ("high", "medium", "low")
+SCOPES = ("sitewide", "template", "page")
 #: What makes a finding the same in two audits.
 FINGERPRINT = ("site", "rule_id", "path", "line", "column", "message")
 #: Findings of a rule with one message from which they are taken for a template's.
@@ -84,6 +85,10 @@ def with_scope(findings: DataFrame) -> DataFrame:
     return rows.withColumn("scope", F.when(F.expr(rules.sitewide()), "sitewide").when(F.col("n_same") >= TEMPLATE, "template").otherwise("page")).drop("n_same")
 
 
+def by_scope(findings: DataFrame) -> DataFrame:
+    return filled(with_scope(findings), "scope", SCOPES, {"n": F.count("*")})
+
+
 def clusters(findings: DataFrame, examples: int = 5) -> DataFrame:
     """Findings that say the same, with the first paths by name; no group's paths are gathered beyond those."""
     keys = ["site", "rule_id", "message", "severity"]
@@ -145,6 +150,11 @@ def diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return rows.select(*map(value, FINGERPRINT), status.alias("status"))
 
 
+def regressions(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """The fingerprints that the baseline does not have."""
+    return diff(baseline, current).where("status = 'new'").drop("status")
+
+
 def search_export(findings: DataFrame) -> DataFrame:
     """By page: findings, errors, warnings and rules; there are no more rules in a list than the audit has."""
     return findings.groupBy("site", "path").agg(F.count("*").alias("findings"), counted(is_error()).alias("errors"), counted(~is_error()).alias("warnings"), F.array_join(F.array_sort(F.collect_set("rule_id")), " | ").alias("rules"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, elements, intelligence, parse, reports, rules, structured, suggestions, surfaces
+from spanlight.operators import artifacts, claims, elements, intelligence, parse, reports, rules, structured, suggestions, surfaces
 from spanlight.plans import intelligence_sql, suggestions_sql, surfaces_sql
 from spanlight.sources.kept import kept, shared_folder
 
@@ -215,6 +215,8 @@ def report_texts() -> dict[str, str]:
         "rule_mix": f"{every}{filled('class', rules.rule_class(), reports.CLASSES)} UNION ALL {filled('confidence', rules.confidence(), reports.CONFIDENCES)}",
         "rule_metadata": f"{every}SELECT site, rule_id, {rules.rule_class()} AS class, {rules.confidence()} AS confidence, {rules.layer()} AS layer, {rules.group()} AS rule_group, count(*) AS n FROM findings GROUP BY site, rule_id",
         "finding_scope": f"{every}SELECT site, rule_id, path, message, CASE WHEN {rules.sitewide()} THEN 'sitewide' WHEN count(*) OVER (PARTITION BY site, rule_id, message) >= 3 THEN 'template' ELSE 'page' END AS scope FROM findings",
+        "finding_scopes": f"{every}, s AS (SELECT site, CASE WHEN {rules.sitewide()} THEN 'sitewide' WHEN count(*) OVER (PARTITION BY site, rule_id, message) >= 3 THEN 'template' ELSE 'page' END AS scope FROM findings) SELECT site, scope, n FROM (SELECT site, count(*) FILTER (WHERE scope = 'sitewide') AS sitewide, count(*) FILTER (WHERE scope = 'template') AS template, count(*) FILTER (WHERE scope = 'page') AS page FROM s GROUP BY site) UNPIVOT (n FOR scope IN (sitewide, template, page))",
+        "finding_regressions": f"{every}SELECT DISTINCT {keys} FROM findings WHERE {NOW} EXCEPT SELECT {keys} FROM findings WHERE {WAS}",
         "finding_clusters": f"{every}SELECT site, {rules.group()} AS rule_group, rule_id, message, severity, count(*) AS n, array_to_string(list_sort(list(DISTINCT path))[1:5], ' | ') AS examples FROM findings GROUP BY site, rule_id, message, severity",
         "repeated_issues": f"{every}SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY n DESC, rule_id, message) AS place FROM (SELECT site, CASE WHEN {heuristic} THEN 'heuristic' ELSE 'actionable' END AS kind, rule_id, message, count(*) AS n FROM findings GROUP BY ALL HAVING count(*) > 1) a) b WHERE place <= 3",
         "largest_groups": f"{every}SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, rule_group) AS place FROM (SELECT site, {rules.group()} AS rule_group, count(*) AS n FROM findings GROUP BY ALL) a) b WHERE place <= 5",
@@ -335,11 +337,12 @@ def placed(findings: DataFrame) -> DataFrame:
 
 
 def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = {"summary_counts": reports.summary, "summary_by_layer": reports.by_layer, "rule_mix": reports.mix, "rule_metadata": reports.by_rule, "finding_clusters": reports.clusters, "repeated_issues": reports.repeated, "largest_groups": reports.largest_groups, "search_export": reports.search_export}
+    plain = {"summary_counts": reports.summary, "summary_by_layer": reports.by_layer, "rule_mix": reports.mix, "rule_metadata": reports.by_rule, "finding_scopes": reports.by_scope, "finding_clusters": reports.clusters, "repeated_issues": reports.repeated, "largest_groups": reports.largest_groups, "search_export": reports.search_export}
     out = {name: partial(lambda f, spark, sf_dir: f(all_findings(spark, sf_dir)), f) for name, f in plain.items()}
     out["finding_scope"] = lambda spark, sf_dir: reports.with_scope(all_findings(spark, sf_dir)).select("site", "rule_id", "path", "message", "scope")
     out["policy_applied"] = lambda spark, sf_dir: reports.apply_policy(all_findings(spark, sf_dir), POLICY, ROUTE_KINDS)
     out["finding_diff"] = lambda spark, sf_dir: reports.diff(placed(all_findings(spark, sf_dir).where(WAS)), placed(all_findings(spark, sf_dir).where(NOW)))
+    out["finding_regressions"] = lambda spark, sf_dir: reports.regressions(placed(all_findings(spark, sf_dir).where(WAS)), placed(all_findings(spark, sf_dir).where(NOW)))
     out["opportunity_score"] = lambda spark, sf_dir: reports.opportunities(stand_in(spark, sf_dir, "pages", CITATIONS), all_findings(spark, sf_dir))
     out["performance_diff"] = lambda spark, sf_dir: reports.metric_diff(stand_in(spark, sf_dir, "events", metrics(0)), stand_in(spark, sf_dir, "events", metrics(1)))
     out["performance_budget"] = lambda spark, sf_dir: reports.over_budget(stand_in(spark, sf_dir, "events", metrics(0)), BUDGET)
@@ -415,6 +418,7 @@ def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_routes": lambda s, d: suggestions.top_routes(pages(s, d), s.table("parsed_links")),
         "trust_issues": with_records(suggestions.trust_issues),
         "trust_sources": with_records(suggestions.trust_sources),
+        "rules_claims": lambda s, d: claims.generic_findings(pages(s, d).withColumn("visible", F.expr(suggestions_sql.COPY))),
     }
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from spanlight.operators.claims import ABSTRACT, AFTER, BEFORE, CONCRETE, SPECIFIC, TOLD, TRIGGERS, WINDOW, any_word
+from spanlight.operators.rules import THIN
 from spanlight.operators.suggestions import BARE, CHILD, HOST, NO_DESCRIPTOR, NO_LABEL, NO_ROUTE, TOP_ROUTES
 from spanlight.plans.intelligence_sql import listed, low
 
+#: A page's text with copy that test data lacks.
+COPY = "concat(visible, CASE page_id % 7 WHEN 0 THEN ' A shop Needs  growth and needs 3 things' WHEN 1 THEN ' designed for ease. Wants the best speed, of all there is in the whole wide world' WHEN 2 THEN ' looking for our case study on growth; looking for Clarity' WHEN 3 THEN ' user needs speedometers' ELSE '' END)"
+
 
 def stand_ins() -> dict[str, str]:
     """records and facts, over the relation site; alike in both engines."""
@@ -37,4 +42,11 @@ def texts(p) -> dict[str, str]:
       UNION ALL SELECT site, source_type, url, target, 'descriptor_gap', '{NO_DESCRIPTOR}' FROM j WHERE own AND {about('descriptor')}
       UNION ALL SELECT j.site, source_type, url, CASE WHEN own THEN target END, 'forbidden_terminology', concat('record uses forbidden term ''', f.term, ''' instead of preferred ''', coalesce(f.preferred, ''), '''') FROM j JOIN facts f ON f.site = j.site AND f.kind = 'forbidden' AND contains(j.t, {low('f.term')})"""
     sources = f"{trust} SELECT site, source_type, count(*) AS rows, count(*) FILTER (WHERE own AND has) AS matched_routes, count(*) FILTER (WHERE NOT own) AS offsite FROM j GROUP BY site, source_type"
-    return {"schema_suggestions": schema, "top_routes": top, "trust_issues": issues, "trust_sources": sources}
+    quoted = lambda x: x.replace("'", "''")
+    triggers = ", ".join(f"({nr}, '{x}')" for nr, x in enumerate(TRIGGERS))
+    told = f"array_to_string(list_filter(regexp_split_to_array(sample, '\\s+'), lambda w: w <> '')[1:{TOLD}], ' ')"
+    claims = f"""WITH {p.base()}, c AS (SELECT site, path, {low(COPY)} AS t, string_split(t, trigger) AS parts, nr, trigger FROM site, (VALUES {triggers}) AS v(nr, trigger) WHERE page_kind NOT IN {THIN}),
+      w AS (SELECT *, substr(t, 1 + CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) AS BIGINT) + i * length(trigger), {WINDOW}) AS sample FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM c) q)
+      SELECT site, 'CNT006' AS rule_id, 'warning' AS severity, path, concat('{quoted(BEFORE)}', arg_min(concat(trigger, {told}), nr * 1000000 + i), '{quoted(AFTER)}') AS message FROM w
+      WHERE regexp_matches(sample, '{any_word(ABSTRACT)}') AND NOT regexp_matches(sample, '{quoted(any_word(CONCRETE))}') AND NOT regexp_matches(sample, '{quoted(SPECIFIC)}') GROUP BY site, path"""
+    return {"rules_claims": claims, "schema_suggestions": schema, "top_routes": top, "trust_issues": issues, "trust_sources": sources}

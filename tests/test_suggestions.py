@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from spanlight.operators import suggestions
+from spanlight.operators import claims, suggestions
 from spanlight.plans import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -16,7 +16,7 @@ def plain(rows):
     return sorted(tuple("-" if v is None else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["schema_suggestions", "top_routes", "trust_issues", "trust_sources"])
+@pytest.mark.parametrize("name", ["schema_suggestions", "top_routes", "trust_issues", "trust_sources", "rules_claims", "finding_scopes", "finding_regressions"])
 def test_same_as_duckdb(spark, name):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{SF}/pages.parquet')")
@@ -64,3 +64,13 @@ def test_trust(spark):
     counted = {(r.site, r.source_type): (r.rows, r.matched_routes, r.offsite) for r in suggestions.trust_sources(records, pages, facts).collect()}
     assert counted == {("a.example", "news"): (2, 1, 0), ("a.example", "blog"): (2, 0, 2), ("a.example", None): (1, 0, 1), ("z.example", "news"): (1, 0, 0), (None, "news"): (1, 0, 1)}
     assert suggestions.trust_issues(records.limit(0), pages, facts.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "near"),
+    [("It Needs Speed.", "needs speed."), ("needs speedo", None), ("needs speed 9", None), ("needs a team's speed", None), ('needs "speed"', None), ("needs 1 wants focus", "wants focus"), ("needs 1 and more of the many things that are told of at such a great length here; needs focus a b c d e f", "needs focus a b c d e"), ("designed for ease, needs growth", "needs growth"), ("needs " + "x" * 75 + " ease", "needs " + "x" * 75 + " ease"), ("needs " + "x" * 75 + " speed", None), ("", None), (None, None)],
+)
+def test_generic_copy(spark, text, near):
+    rows = spark.createDataFrame([("a", "p", "generic", text), ("a", "q", "search", text)], "site string, path string, page_kind string, visible string")
+    found = claims.generic_findings(rows).collect()
+    assert [(r.path, r.message) for r in found] == ([("p", claims.BEFORE + near + claims.AFTER)] if near else [])
