@@ -177,7 +177,7 @@ def evidence_sections(pages: DataFrame, blocks: DataFrame, links: DataFrame) ->
     text = low(F.col("text"))
     signals = [points(n, holds(text, needles)) for n, needles in SIGNALS.values()] + [points(SOME, F.col("away") > 0), points(AUTHORITATIVE, F.col("good") > 0), points(SEVERAL, F.col("away") >= 3)]
     rows = rows.withColumns({"quality": F.least(F.lit(100), reduce(lambda a, b: a + b, signals)), "words": words(F.col("text"))})
-    sentences = F.filter(F.transform(F.split("text", r"[.!?\n]"), F.trim), lambda s: words(s) >= 5)
+    sentences = F.filter(F.transform(F.split("text", r"[.!?\n]"), lambda s: F.trim(s)), lambda s: words(s) >= 5)
     kinds = lambda s: F.struct(F.rlike(s, F.lit("[0-9%]")).alias("numeric"), F.rlike(s, F.lit(COMPARATIVE)).alias("comparative"), F.rlike(s, F.lit(TEMPORAL)).alias("temporal"), F.rlike(s, F.lit(SUPERLATIVE)).alias("superlative"))
     claims = F.filter(F.transform(sentences, lambda s: kinds(low(s))), lambda k: k.numeric | k.comparative | k.temporal | k.superlative)
     rows = rows.withColumn("claims", claims)
