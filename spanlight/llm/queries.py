@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decoded, bpe_encoded, id_digest
+from .centroids import cluster_report, clusters
 from .core import Scratch, label_bucket, table
 from .decontamination import contamination
 from .fingerprints import fingerprints
@@ -18,15 +20,16 @@ from .quality import quality_scores
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity_scores
 from .url_filters import RULES, host_of, url_verdicts
+from .variants import spelling_variants
 
 #: Score from which a label of 1 is predicted; id of a document's end.
 THRESHOLD, END = 0.3, 2
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def predicted(scores: DataFrame, held_out) -> DataFrame:
@@ -91,8 +94,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_report(spark, *clusters(spark, table(spark, sf_dir, "embeddings")))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = bpe_decoded(spark, bpe_encoded(spark, table(spark, sf_dir, "documents"), path), path)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), id_digest(F.col("ids")).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_classifier, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_language_id, op6_token_binary, op7_fingerprints, op8_toxicity, op9_decontamination, op10_source_mixing)
+    own = (op1_quality_classifier, op2_url_filters, op3_minhash_near_dedup, op4_license_scans, op5_language_id, op6_token_binary, op7_fingerprints, op8_toxicity, op9_decontamination, op10_source_mixing, op11_spelling_variants, op12_centroid_clustering, op13_bpe)
     return {f.__name__: f for f in own}
 
 
