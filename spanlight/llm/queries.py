@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decoded, bpe_encoded, id_digest
-from .centroids import cluster_report, clusters
+from .centroids import CENTROIDS, ROUNDS, cluster_report, clusters
 from .core import Scratch, label_bucket, table
 from .decontamination import contamination
 from .fingerprints import fingerprints
@@ -154,5 +154,38 @@ FROM j
 """
 
 
+#: op11 in SQL: a run's bytes and their crc32 by a table, near words by one letter blanked or left out, roots by recursion.
+OP11_SQL = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS i) q) z),
+runs AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) q WHERE length(run) >= 5 GROUP BY 1, 2),
+bytes AS (SELECT run, k, flatten(list_transform(list_transform(string_split(concat(id, ':', run), ''), lambda ch: unicode(ch)), lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + u // 64, 128 + u % 64] END)) AS b FROM runs),
+hashed AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(b, lambda y: CAST(y AS BIGINT))), lambda a, y: xor(a // 256, tab[1 + xor(a % 256, y)]))) AS h FROM bytes, tab),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN concat(run[:h % length(run)], run[h % length(run) + 2:]) ELSE run END AS word FROM hashed) q WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+without AS MATERIALIZED (SELECT DISTINCT word, n, unnest(list_transform(range(length(word)), lambda i: concat(word[:i], word[i + 2:]))) AS v FROM words),
+blank AS MATERIALIZED (SELECT word, n, unnest(list_transform(range(length(word)), lambda i: concat(word[:i], '.', word[i + 2:]))) AS v FROM words),
+pairs AS MATERIALIZED (SELECT a.word, a.n, b.word AS other, b.n AS m FROM blank a JOIN blank b ON a.v = b.v AND a.word <> b.word
+  UNION ALL SELECT a.word, a.n, b.word, b.n FROM words a JOIN without b ON a.word = b.v UNION ALL SELECT b.word, b.n, a.word, a.n FROM words a JOIN without b ON a.word = b.v),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS m FROM pairs GROUP BY word),
+forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN form END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (SELECT word, form AS here, 1 AS k FROM forms WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON c.here = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, k) AS root FROM chain GROUP BY word)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM forms f LEFT JOIN ends e ON f.word = e.word
+"""
+
+
+def op12_sql(k: int = CENTROIDS, rounds: int = ROUNDS) -> str:
+    """op12 in SQL: every vector meets every centroid whole, a pair of tables for each round."""
+    found = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64)""",
+        "parts AS MATERIALIZED (SELECT r, unnest(range(1, 65)) AS d, unnest(e) AS x FROM v)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256(concat('2:', CAST(vec_id AS VARCHAR))) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k}) q)"]
+    for i in range(rounds + 1):
+        found.append(f"a{i} AS MATERIALIZED (SELECT r, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (SELECT v.r, c.c, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS dist FROM v CROSS JOIN c{i} c) q GROUP BY r)")
+        if i < rounds:
+            found.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.e, c.e) AS e FROM c{i} c LEFT JOIN (SELECT c, list(x ORDER BY d) AS e FROM (SELECT c, d, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS x FROM (SELECT a.c, p.d, CAST(sum(p.x) AS BIGINT) AS s, count(*) AS n FROM parts p JOIN a{i} a ON p.r = a.r GROUP BY a.c, p.d) q) z GROUP BY c) n ON c.c = n.c)")
+    return f"WITH {', '.join(found)} SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, a.dist AS distance, CAST(sum(a.dist) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM v JOIN a{rounds} a ON v.r = a.r JOIN c{rounds} c ON a.c = c.c"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2_SQL}
+    return {"op2_url_filters": OP2_SQL, "op11_spelling_variants": OP11_SQL, "op12_centroid_clustering": op12_sql()}
