@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, elements, intelligence, parse, reports, rules, structured, suggestions, surfaces
+from spanlight.operators import artifacts, claims, elements, intelligence, link_suggestions, parse, reports, rules, structured, suggestions, surfaces
 from spanlight.plans import intelligence_sql, suggestions_sql, surfaces_sql
 from spanlight.sources.kept import kept, shared_folder
 
@@ -413,7 +413,13 @@ def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
+    def suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark, sf_dir, "parsed_rich parsed_links parsed_blocks")
+        save = lambda rows, name: kept(spark, (f"link_{name}", sf_dir), lambda: rows)
+        return link_suggestions.link_suggestions(pages(spark, sf_dir), spark.table("parsed_blocks"), spark.table("parsed_links"), save)
+
     return {
+        "link_suggestions": suggested,
         "schema_suggestions": lambda s, d: suggestions.schema_suggestions(pages(s, d)),
         "top_routes": lambda s, d: suggestions.top_routes(pages(s, d), s.table("parsed_links")),
         "trust_issues": with_records(suggestions.trust_issues),

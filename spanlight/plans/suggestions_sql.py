@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from spanlight.operators.claims import ABSTRACT, AFTER, BEFORE, CONCRETE, SPECIFIC, TOLD, TRIGGERS, WINDOW, any_word
+from spanlight.operators.link_suggestions import BLOCK_BYTES, BLOCK_WORDS, FEW_LINKS, LEAST_POINTS, PREFIX, TOLD
 from spanlight.operators.rules import THIN
 from spanlight.operators.suggestions import BARE, CHILD, HOST, NO_DESCRIPTOR, NO_LABEL, NO_ROUTE, TOP_ROUTES
 from spanlight.plans.intelligence_sql import listed, low
@@ -49,4 +50,15 @@ def texts(p) -> dict[str, str]:
       w AS (SELECT *, substr(t, 1 + CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) AS BIGINT) + i * length(trigger), {WINDOW}) AS sample FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM c) q)
       SELECT site, 'CNT006' AS rule_id, 'warning' AS severity, path, concat('{quoted(BEFORE)}', arg_min(concat(trigger, {told}), nr * 1000000 + i), '{quoted(AFTER)}') AS message FROM w
       WHERE regexp_matches(sample, '{any_word(ABSTRACT)}') AND NOT regexp_matches(sample, '{quoted(any_word(CONCRETE))}') AND NOT regexp_matches(sample, '{quoted(SPECIFIC)}') GROUP BY site, path"""
-    return {"rules_claims": claims, "schema_suggestions": schema, "top_routes": top, "trust_issues": issues, "trust_sources": sources}
+    said = f"concat_ws(' ', data_ui, CASE WHEN has_heading OR strlen(text) > {BLOCK_BYTES} THEN array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:{BLOCK_WORDS}], ' ') END)"
+    word = lambda x: f"unnest(regexp_extract_all({low(x)}, '[a-z0-9]+'))"
+    (few, high), (some, weak) = FEW_LINKS
+    suggested = f"""WITH {p.base()}, l AS ({p.links()}), blocks AS ({p.block_rows()}), own AS (SELECT * FROM site WHERE route <> '404'),
+      words AS (SELECT site, route, {word("concat_ws(' ', route, title, description, array_to_string(h1_texts, ' '))")} AS w FROM own UNION SELECT s.site, s.route, {word(said)} FROM own s JOIN blocks b ON s.site = b.site AND s.path = b.path),
+      bags AS (SELECT o.site, o.route, o.relative_path, list(w) FILTER (WHERE w IS NOT NULL) AS bag FROM own o LEFT JOIN words w ON o.site = w.site AND o.route = w.route GROUP BY ALL),
+      inbound AS (SELECT o.site, o.route, count(DISTINCT l.relative_path) AS n FROM own o JOIN l ON o.site = l.site AND o.route = l.target AND o.relative_path <> l.relative_path GROUP BY ALL),
+      met AS (SELECT a.site, a.route, b.route AS target, coalesce(len(list_intersect(a.bag, b.bag)), 0) + CASE WHEN split_part(a.route, '/', 1) = split_part(b.route, '/', 1) THEN {PREFIX} ELSE 0 END + CASE WHEN coalesce(i.n, 0) < {few} THEN {high} WHEN i.n < {some} THEN {weak} ELSE 0 END AS score
+        FROM bags a JOIN bags b ON a.site = b.site AND a.route <> b.route LEFT JOIN inbound i ON b.site = i.site AND b.route = i.route
+        WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.place = 1 AND l.site = a.site AND l.relative_path = a.relative_path AND l.target = b.route))
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, route ORDER BY score DESC, target) AS place FROM met WHERE score >= {LEAST_POINTS}) q WHERE place <= {TOLD}"""
+    return {"link_suggestions": suggested, "rules_claims": claims, "schema_suggestions": schema, "top_routes": top, "trust_issues": issues, "trust_sources": sources}
