@@ -37,9 +37,9 @@ APP_FIELDS = ("applicationCategory", "operatingSystem", "browserRequirements", "
 KEYS = tuple(sorted({"@type", "datePublished", "dateModified", *APP_FIELDS, *(f for fields in REQUIRED.values() for f in fields)}))
 #: A block that nests as deep as this is no JSON for the audit.
 DEEPEST = 127
-VALUE = "struct<obj:int,depth:int,key:string,kind:string,value:string>"
+VALUE = "struct<obj:int,block:int,depth:int,key:string,kind:string,value:string>"
 TYPE = f"struct<bads:array<int>,vals:array<{VALUE}>>"
-_VALUES = pa.list_(pa.struct([("obj", pa.int32()), ("depth", pa.int32()), ("key", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
+_VALUES = pa.list_(pa.struct([("obj", pa.int32()), ("block", pa.int32()), ("depth", pa.int32()), ("key", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
 _ROW = pa.struct([("bads", pa.list_(pa.int32())), ("vals", _VALUES)])
 _KEYS = frozenset(KEYS)
 #: Workers get these functions by value, as they need not have the library on their path.
@@ -101,7 +101,7 @@ def page_values(blocks: list[str] | None) -> dict:
         if found is None:
             bads.append(place)
         else:
-            vals += sorted(found, key=lambda v: v["obj"])
+            vals += [v | {"block": place} for v in sorted(found, key=lambda v: v["obj"])]
     return {"bads": bads, "vals": vals}
 
 

@@ -31,13 +31,13 @@ def pages(p) -> str:
     counts = f"{d.size('details')} AS n_details, {d.size('pres')} AS n_pres, {d.size('blocks')} AS n_blocks"
     if not p.duckdb:
         return f"SELECT {COLUMNS}, {counts}, walked.bads AS bads, walked.vals AS vals FROM (SELECT *, walk_json_ld(ld) AS walked FROM site) w"
-    struct = "STRUCT(obj BIGINT, depth BIGINT, key VARCHAR, kind VARCHAR, value VARCHAR)[]"
+    struct = "STRUCT(obj BIGINT, block BIGINT, depth BIGINT, key VARCHAR, kind VARCHAR, value VARCHAR)[]"
     return f"""WITH texts AS (SELECT site, path, unnest(ld) AS j, generate_subscripts(ld, 1) AS nr FROM site),
         tree AS MATERIALIZED (SELECT b.site, b.path, b.nr, t.id, t.parent, t.key, t.type, t.path AS spot, json_extract_string(t.value, '$') AS value FROM (SELECT site, path, nr, CASE WHEN json_valid(j) THEN j ELSE 'null' END AS j FROM texts WHERE j <> '') b, json_tree(b.j) t),
         fields AS (SELECT * FROM tree WHERE key IN ({listed(KEYS)})),
         flat AS (SELECT site, path, nr, parent, spot, key, CASE type WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'other' END AS kind, CASE WHEN type = 'VARCHAR' THEN value END AS value FROM fields
           UNION ALL SELECT f.site, f.path, f.nr, f.parent, f.spot, f.key, 'item', i.value FROM fields f JOIN tree i ON f.site = i.site AND f.path = i.path AND f.nr = i.nr AND i.parent = f.id WHERE f.type = 'ARRAY' AND i.type = 'VARCHAR'),
-        vals AS (SELECT site, path, list(struct_pack(obj := nr * 1000000 + parent, depth := CAST(len(regexp_extract_all(spot, '[.\\[]')) AS BIGINT), key := key, kind := kind, value := value)) AS vals FROM flat GROUP BY site, path),
+        vals AS (SELECT site, path, list(struct_pack(obj := nr * 1000000 + parent, block := nr, depth := CAST(len(regexp_extract_all(spot, '[.\\[]')) AS BIGINT), key := key, kind := kind, value := value)) AS vals FROM flat GROUP BY site, path),
         bads AS (SELECT site, path, list(nr) AS bads FROM texts WHERE j <> '' AND NOT json_valid(j) GROUP BY site, path)
         SELECT {', '.join('s.' + c for c in COLUMNS.split(', '))}, {counts}, coalesce(b.bads, []) AS bads, coalesce(v.vals, CAST([] AS {struct})) AS vals
         FROM site s LEFT JOIN vals v ON s.site = v.site AND s.path = v.path LEFT JOIN bads b ON s.site = b.site AND s.path = b.path"""

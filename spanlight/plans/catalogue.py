@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, elements, intelligence, link_suggestions, parse, reports, rules, structured, suggestions, surfaces
-from spanlight.plans import intelligence_sql, suggestions_sql, surfaces_sql
+from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, reports, rules, structured, suggestions, surfaces
+from spanlight.plans import facts_sql, intelligence_sql, suggestions_sql, surfaces_sql
 from spanlight.sources.kept import kept, shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -378,6 +378,54 @@ def intelligence_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]
     }
 
 
+class SiteFacts:
+    """A site's facts and how its pages keep to them, each written once a session; with ``home``, over pages that have home pages."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, home: bool = True):
+        self.spark, self.sf_dir, self.home = spark, sf_dir, home
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return kept(self.spark, (f"facts_{name}_{self.home}", self.sf_dir), make)
+
+    def pages(self) -> DataFrame:
+        def made() -> DataFrame:
+            prepare(self.spark, self.sf_dir, "parsed_rich parsed_ld")
+            pages = self.spark.sql(f"WITH {Plan(duckdb=False).base()} {facts_sql.homes()}") if self.home else self.spark.table("parsed_rich").where("place = 1")
+            return facts.page_facts(pages, self.spark.table("parsed_ld"))
+
+        return self.kept("pages", made)
+
+    def drafts(self) -> DataFrame:
+        return self.kept("drafts", lambda: facts.manifest(self.pages()))
+
+    def given(self) -> DataFrame:
+        """The site's draft, and stand-ins for terms that a draft never has."""
+
+        def made() -> DataFrame:
+            self.pages().createOrReplaceTempView("pages_of_facts")
+            return facts.terms(self.drafts()).union(self.spark.sql(facts_sql.added().replace("FROM site ", "FROM pages_of_facts ")))
+
+        return self.kept("given", made)
+
+    def mismatches(self) -> DataFrame:
+        return self.kept("mismatches", lambda: facts.mismatches(self.pages(), self.given()))
+
+    def assessment(self) -> DataFrame:
+        return self.kept("assessment", lambda: facts.assessment(self.pages(), self.given(), self.mismatches()))
+
+
+def facts_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    joined = lambda rows, *names: rows.withColumns({c: F.array_join(c, " | ") for c in names})
+    lists = ("aliases", "descriptors", "product_descriptors", "features")
+    return {
+        "facts_manifest": lambda s, d: joined(SiteFacts(s, d).drafts(), *lists),
+        "facts_curated": lambda s, d: joined(facts.curated(SiteFacts(s, d).drafts()), *lists).select("site", "organization", "product", *lists),
+        "facts_validation": lambda s, d: joined(facts.validation(SiteFacts(s, d).drafts()), "errors", "warnings"),
+        "facts_mismatches": lambda s, d: SiteFacts(s, d).mismatches(),
+        "facts_assessment": lambda s, d: SiteFacts(s, d).assessment(),
+    }
+
+
 def surface_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         prepare(spark, sf_dir, "parsed_rich parsed_links parsed_ld")
@@ -429,9 +477,9 @@ def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | surface_queries() | suggestion_queries()
+    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | facts_queries() | surface_queries() | suggestion_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     p = Plan(duckdb=True)
-    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}
+    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | facts_sql.texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}
