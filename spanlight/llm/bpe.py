@@ -2,11 +2,15 @@
 
 A text is cut where something that is no white space meets white space, as no
 piece of the tokenizer's pattern spans such a place.  The cuts repeat, so their
-ids mostly come from a bounded memory.  A new one is cut into pieces by the
-library's own pattern and each piece is merged here: its symbols are a doubly
-linked list, a heap holds every neighbouring pair that has a merge by rank and
-place, and an entry whose pair is no longer there when it is popped is passed
-over.  Decoding strings the vocabulary's entries together.
+ids mostly come from a bounded memory.  A new one is split into pieces by the
+tokenizer's pattern and each piece is merged here: its symbols are a doubly
+linked list, a priority queue holds every neighbouring pair that has a merge by
+rank and place, and an entry whose pair is no longer there when it is popped is
+passed over.  A long piece has a heap of its own.  Short pieces go together,
+thousands at once: their lists lie in arrays, their queues in one sorted array,
+and each round pops the first entry of every piece, so a step is a handful of
+array operations for all of them.  Decoding strings the vocabulary's entries
+together.
 
 Nulls count as empty texts, an empty text has no ids, repeated rows are encoded
 alike, an empty table gives none, and other columns stay as they are.  A very
@@ -17,10 +21,14 @@ does null.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
 import uuid
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +38,15 @@ from pyspark.sql import functions as F
 from .core import arrow_batches, remembered
 from .token_files import byte_alphabet
 
-#: Unicode white space, as the tokenizer's pattern has it.
+#: Unicode white space, as the tokenizer's pattern has it, and that pattern.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Characters that are encoded at once; characters of a cut that is remembered; cuts remembered.
-SEGMENT, SHORT, MEMORY = 1 << 20, 48, 200_000
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Below this character all versions of Unicode agree on what is a letter, a number or a space.
+AGREED = "\u0530"
+#: Characters that are encoded at once; characters of a cut that is remembered; cuts remembered twice over; bytes of a piece that is merged with others; bytes decoded at once.
+SEGMENT, SHORT, MEMORY, TOGETHER, SOME = 1 << 21, 48, 250_000, 64, 1 << 20
+#: Bits of a place and of a rank in an entry of the queue of many pieces.
+PLACE, RANK = 24, 20
 
 
 def read_vocabulary(path: str) -> dict:
@@ -55,97 +68,198 @@ class Vocabulary:
     """Encodes and decodes in one Python worker."""
 
     def __init__(self, found: dict):
+        import regex
+
         vocab = found["vocab"]
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(found["merges"])}
+        self.size = max([*vocab.values(), *found["added"].values()]) + 1
+        # A pair's rank by left * size + right, and what the merge of a rank makes.
+        self.ranks = {vocab[a] * self.size + vocab[b]: rank for rank, (a, b) in enumerate(found["merges"])}
+        self.made = [vocab[a + b] for a, b in found["merges"]]
+        self.pair_keys = np.array(sorted(self.ranks) or [-1], np.int64)
+        self.pair_ranks = np.array([self.ranks.get(k, -1) for k in self.pair_keys.tolist()], np.int64)
+        self.made_ids = np.array(self.made or [0], np.int64)
         self.added, self.prefix_space = found["added"], found["prefix_space"]
         hidden = byte_alphabet()
         byte_of = {chr(hidden.get(b, b)): b for b in range(256)}
-        self.symbol = {c: vocab[c] for c in byte_of}
+        self.byte_ids = np.array([vocab[c] for c in sorted(byte_of, key=byte_of.get)], np.int64)
         entries = {i: t for t, i in (vocab | self.added).items()}
-        self.entries = [bytes(byte_of[c] for c in t) if (t := entries.get(i, "")) and all(c in byte_of for c in t) else t.encode() for i in range(max(entries) + 1)]
+        strings = [bytes(byte_of[c] for c in t) if (t := entries.get(i, "")) and all(c in byte_of for c in t) else t.encode() for i in range(self.size)]
+        self.flat, self.sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([*map(len, strings)], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.cuts = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
         self.turn = re.compile(f"[^{SPACE}](?=[{SPACE}])")
         named = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.names = re.compile(f"({named})") if named else None
-        self.memory: dict[str, tuple[int, ...]] = {}
-        self.pieces = None
+        self.agreed, self.pieces = regex.compile(PIECE), None
+        self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols with all merges applied: the least rank first, of equals the leftmost."""
-        n, merges = len(symbols), self.merges
+        size, rank_of, made, push, pop = self.size, self.ranks.get, self.made, heapq.heappush, heapq.heappop
+        n = len(symbols)
+        # An entry is a rank and a place in one number.
+        heap = [rank << 32 | i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (rank := rank_of(a * size + b)) is not None]
+        if not heap:
+            return symbols
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(m[0], i) for i in range(n - 1) if (m := merges.get((symbols[i], symbols[i + 1])))]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] < 0 or j < 0:
-                continue
-            merge = merges.get((symbols[i], symbols[j]))
-            if merge is None or merge[0] != rank:
+            entry = pop(heap)
+            i = entry & 0xFFFFFFFF
+            left, j = symbols[i], after[i]
+            if left < 0 or j < 0 or rank_of(left * size + symbols[j]) != entry >> 32:
                 continue  # stale: one of the two has been merged since
-            symbols[i], symbols[j] = merge[1], -1
+            new = symbols[i] = made[entry >> 32]
+            symbols[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if m := merges.get((merge[1], symbols[k])):
-                    heapq.heappush(heap, (m[0], i))
+                if (rank := rank_of(new * size + symbols[k])) is not None:
+                    push(heap, rank << 32 | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((symbols[h], merge[1]))):
-                heapq.heappush(heap, (m[0], h))
+            if h >= 0 and (rank := rank_of(symbols[h] * size + new)) is not None:
+                push(heap, rank << 32 | h)
         return [s for s in symbols if s >= 0]
 
-    def cut_ids(self, cut: str) -> list[int]:
-        """The ids of one cut, by the library's pattern and own merges."""
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 without one."""
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
+
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of many short pieces, each as its bytes' symbols with all merges applied."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        symbols = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        n, starts = len(symbols), np.cumsum(sizes) - sizes
+        # Place n is beyond every end, and before every start.
+        symbols = np.append(symbols, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[starts + sizes - 1], before[starts] = n, n
+        piece = np.repeat(np.arange(len(pieces)), sizes)
+        ranks = np.full(n + 1, -1, np.int64)  # of the pair that starts at a place
+        first = np.flatnonzero(after[:n] < n)
+        ranks[first] = self.pair_rank(symbols[first], symbols[after[first]])
+        entries = lambda at: (piece[at] << (PLACE + RANK)) | (ranks[at] << PLACE) | at
+        queue = np.sort(entries(np.flatnonzero(ranks >= 0)))
+        while len(queue):
+            owner = queue >> (PLACE + RANK)
+            least = np.append(True, owner[1:] != owner[:-1])
+            popped, queue = queue[least], queue[~least]
+            i, rank = popped & ((1 << PLACE) - 1), (popped >> PLACE) & ((1 << RANK) - 1)
+            live = ranks[i] == rank  # others are stale: one of the two has been merged since
+            i, rank = i[live], rank[live]
+            j = after[i]
+            symbols[i], symbols[j], ranks[j] = self.made_ids[rank], -1, -1
+            k, h = after[j], before[i]
+            after[i], before[k] = k, i
+            ranks[i] = np.where(k < n, self.pair_rank(symbols[i], symbols[k]), -1)
+            some = h < n
+            h, i_after = h[some], i[some]
+            ranks[h] = self.pair_rank(symbols[h], symbols[i_after])
+            pushed = np.concatenate((i[ranks[i] >= 0], h[ranks[h] >= 0]))
+            queue = np.sort(np.concatenate((queue, entries(pushed))), kind="stable")
+        ids = symbols[:n].astype(np.int32)
+        counts = np.add.reduceat(ids >= 0, starts) if n else sizes
+        data, ends = ids[ids >= 0].tobytes(), (np.cumsum(counts) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def split(self, cut: str) -> list[str]:
+        """The pieces of a cut: by the pattern where it is certain, else by the library's own."""
+        if cut.isascii() or max(cut) < AGREED:
+            core = cut.rstrip(".,;:!?")
+            if core[core[:1] == " " :].isalpha():
+                return [core, cut[len(core) :]] if len(core) < len(cut) else [cut]
+            return self.agreed.findall(cut)
         if self.pieces is None:
             from tokenizers.pre_tokenizers import ByteLevel
 
             self.pieces = ByteLevel(add_prefix_space=False, use_regex=True)
-        out: list[int] = []
-        for piece, _ in self.pieces.pre_tokenize_str(cut):
-            out += self.merged([self.symbol[c] for c in piece])
-        return out
-
-    def plain_ids(self, text: str) -> list[int]:
-        """The ids of a text without added tokens."""
-        if self.prefix_space and text and not text[0].isspace():
-            text = " " + text
-        out: list[int] = []
-        memory, start = self.memory, 0
-        while start < len(text):
-            end = len(text)
-            if end - start > SEGMENT and (turn := self.turn.search(text, start + SEGMENT)):
-                end = turn.end()
-            for cut in self.cuts.findall(text, start, end):
-                ids = memory.get(cut)
-                if ids is None:
-                    ids = tuple(self.cut_ids(cut))
-                    if len(cut) <= SHORT:
-                        memory[cut] = ids
-                out += ids
-            start = end
-            if len(memory) > MEMORY:
-                memory.clear()
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if self.names is None:
-            return self.plain_ids(text)
-        out: list[int] = []
-        for k, part in enumerate(self.names.split(text)):
+        return [cut[a:b] for _, (a, b) in self.pieces.pre_tokenize_str(cut)]
+
+    def learn(self, cuts: set[str]) -> list[str]:
+        """Have the ids of all cuts in memory; gives those that are too long to stay there."""
+        memory, older = self.memory, self.older
+        fresh = cuts.difference(memory)
+        known = fresh.intersection(older)
+        memory.update(zip(known, map(older.__getitem__, known), strict=True))
+        rest = list(fresh.difference(known))
+        split = [self.split(cut) for cut in rest]
+        number = {piece: k for k, piece in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        pieces = [piece.encode() for piece in number]
+        ids = [b""] * len(pieces)
+        short = [k for k, p in enumerate(pieces) if len(p) <= TOGETHER]
+        for k, found in zip(short, self.merged_together([pieces[k] for k in short]) if short else [], strict=True):
+            ids[k] = found
+        for k, p in enumerate(pieces):
+            if len(p) > TOGETHER:
+                ids[k] = array("i", self.merged(self.byte_ids[np.frombuffer(p, np.uint8)].tolist())).tobytes()
+        for cut, parts in zip(rest, split, strict=True):
+            memory[cut] = ids[number[parts[0]]] if len(parts) == 1 else b"".join([ids[number[p]] for p in parts])
+        return [cut for cut in rest if len(cut) > SHORT]
+
+    def segments(self, text: str) -> Iterator[str | bytes]:
+        """A text in parts that are encoded by themselves; the id of an added token as bytes."""
+        for k, part in enumerate(self.names.split(text) if self.names else [text]):
             if k % 2:
-                out.append(self.added[part])
-            elif part:
-                out += self.plain_ids(part)
-        return out
-
-    def decode(self, ids: list[int | None] | None) -> str:
-        entries = self.entries
-        known = ids is not None and all(i is not None and 0 <= i < len(entries) for i in ids)
-        chosen = ids if known else [i for i in ids or () if i is not None and 0 <= i < len(entries)]
-        return b"".join(map(entries.__getitem__, chosen)).decode("utf-8", "replace")
+                yield array("i", [self.added[part]]).tobytes()
+                continue
+            if self.prefix_space and part and not part[0].isspace():
+                part = " " + part
+            start = 0
+            while start < len(part):
+                end = len(part)
+                if end - start > SEGMENT and (turn := self.turn.search(part, start + SEGMENT)):
+                    end = turn.end()
+                yield part[start:end]
+                start = end
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as 32-bit integers."""
+        collected = gc.isenabled()
+        gc.disable()  # nothing here is in a cycle, and looking through what is remembered takes long
+        try:
+            return self.encoded(texts)
+        finally:
+            if collected:
+                gc.enable()
+
+    def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, str | bytes]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for part in self.segments(text or ""):
+                waiting.append((k, part))
+                size += len(part)
+                if size >= SEGMENT:
+                    self.settle(waiting, out)
+                    waiting, size = [], 0
+        self.settle(waiting, out)
+        return [np.frombuffer(b"".join(parts), np.int32) for parts in out]
+
+    def settle(self, waiting: list[tuple[int, str | bytes]], out: list[list[bytes]]) -> None:
+        cuts = [part if isinstance(part, bytes) else self.cuts.findall(part) for _, part in waiting]
+        long = self.learn(set().union(*(c for c in cuts if not isinstance(c, bytes))))
+        for (k, _), found in zip(waiting, cuts, strict=True):
+            out[k].append(found if isinstance(found, bytes) else b"".join(map(self.memory.__getitem__, found)))
+        for cut in long:
+            del self.memory[cut]
+        if len(self.memory) > MEMORY:
+            self.older, self.memory = self.memory, {}
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The vocabulary's entries strung together; an id that it lacks is passed over."""
+        ids = ids[(ids >= 0) & (ids < self.size)]
+        ends = np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(ends, np.arange(SOME, int(ends[-1]) + SOME, SOME)) if len(ids) else []
+        out = []
+        for some in np.split(ids, cuts):
+            sizes = self.sizes[some]
+            at = np.cumsum(sizes) - sizes
+            out.append(self.flat[np.repeat(self.starts[some] - at, sizes) + np.arange(int(sizes.sum()))].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 class Bpe:
@@ -165,8 +279,7 @@ class Bpe:
 
         @F.arrow_udf("array<int>")
         def ids(texts: pa.Array) -> pa.Array:
-            encode = vocabulary().encode
-            parts = [np.array(encode(t.as_py()), np.int32) for t in texts]
+            parts = vocabulary().encode(texts.to_pylist())
             ends = np.cumsum([0, *map(len, parts)])
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
 
@@ -178,7 +291,8 @@ class Bpe:
         @F.arrow_udf("string")
         def texts(rows: pa.Array) -> pa.Array:
             decode = vocabulary().decode
-            return pa.array((decode(row.as_py()) for row in rows), pa.string())
+            values, ends = rows.values.fill_null(-1).to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+            return pa.array((decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)), pa.string())
 
         return texts(ids)
 
