@@ -8,8 +8,10 @@ the same in both.  A word so is joined on its three rarest bigrams, each once
 with all before it and once with all after it, which holds its place from the
 start or from the end to the same one, and only with words as long or one
 longer.  Where the third rarest occurs more than once in a word, all its places
-count, else the lemma would not hold.  Each pair so found is verified by its
-edit distance.
+count, else the lemma would not hold.  An edit inside a word leaves its ends, so
+the letter at the other end is part of the key; an edit at an end leaves all
+the rest, which is a key by itself.  Each pair so found is verified by its edit
+distance.
 
 Bigrams of an alphabet of 90 letters are 8,100 at most, so their order is an
 array in the expression; nothing else is gathered.  Texts are counted with
@@ -68,20 +70,31 @@ def rare_first(words: DataFrame) -> list[int]:
     return place
 
 
-def join_keys(words: DataFrame, order: list[int]) -> DataFrame:
-    """(word, n, length, key): the three rarest bigrams of each word with what stands before them, and with what stands after them."""
+def rarest(words: DataFrame, order: list[int]) -> DataFrame:
+    """(word, n, keys): the three rarest bigrams of each word with all before them and the last letter, and with all after them and the first."""
     ranks = F.split(F.lit(",".join(map(str, order))), ",").cast("array<int>")  # folded to one literal
     ranked = words.select("word", "n", F.array_sort(F.transform(bigrams(F.col("word")), lambda g: F.struct(F.get(ranks, g.gram).alias("rank"), g.at.alias("at")))).alias("grams"))
     rare = ranked.select("word", "n", F.filter("grams", lambda g: g.rank <= F.get("grams", F.lit(2)).rank).alias("grams"))
-    keyed = F.flatten(F.transform("grams", lambda g: F.array(F.concat(F.lit("<"), F.substr("word", F.lit(1), g.at + 1)), F.concat(F.lit(">"), F.substr("word", g.at)))))
-    return rare.select("word", "n", F.length("word").alias("length"), F.explode(keyed).alias("key"))
+    first, last = F.substr("word", F.lit(1), F.lit(1)), F.substr("word", F.length("word"), F.lit(1))
+    # What would hold the whole word is left out: an edit beyond it is one at the end.
+    left = F.transform(F.filter("grams", lambda g: g.at < F.length("word") - 1), lambda g: F.concat(F.lit("<"), last, F.substr("word", F.lit(1), g.at + 1)))
+    right = F.transform(F.filter("grams", lambda g: g.at > 1), lambda g: F.concat(F.lit(">"), first, F.substr("word", g.at)))
+    return rare.select("word", "n", F.concat(left, right).alias("keys"))
 
 
 def near_pairs(words: DataFrame, order: list[int]) -> DataFrame:
     """(a, n_a, b, n_b): each pair of words one edit apart, once."""
-    keys = join_keys(words, order)
-    short = keys.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "key", "length")
-    long = keys.select(F.col("word").alias("b"), F.col("n").alias("n_b"), "key", F.explode(F.array("length", F.col("length") - 1)).alias("length"))
+    size, word = F.length("word"), F.col("word")
+    rows = rarest(words, order)
+    but_last, but_first = F.substr(word, F.lit(1), size - 1), F.substr(word, F.lit(2))
+    key = lambda mark, text: F.concat(F.lit(mark), text)
+    at = lambda length, keys: F.transform(keys, lambda k: F.struct(length.alias("length"), k.alias("key")))
+    # A letter replaced at an end, and one added there.
+    ends = F.array(key("$", but_last), key("^", but_first))
+    mine = at(size, F.concat("keys", ends, F.array(key("+", word), key("*", word))))
+    longer = at(size - 1, F.concat("keys", F.array(key("+", but_last), key("*", but_first))))
+    short = rows.select(word.alias("a"), F.col("n").alias("n_a"), F.explode(mine).alias("k")).select("a", "n_a", "k.*")
+    long = rows.select(word.alias("b"), F.col("n").alias("n_b"), F.explode(F.concat(at(size, F.concat("keys", ends)), longer)).alias("k")).select("b", "n_b", "k.*")
     met = short.join(long, ["key", "length"]).where((F.length("b") > F.col("length")) | (F.col("a") < F.col("b")))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
