@@ -64,6 +64,13 @@ SEEDS = {
 }
 #: Words of an answer block, routes told of a query, blockers told of a site.
 ANSWER_WORDS, MATCHES, BLOCKERS = 30, 5, 25
+#: How well a route stands with other sites by the gravest issue, severity of a mismatch by its kind.
+TRUST = {"forbidden_terminology": 35, "route_not_in_site": 45, "missing_canonical_entity": 55, "descriptor_gap": 70}
+MISMATCHES = {"error": 90, "warning": 65}
+#: What a route loses for each mismatch, of how many at most, the truth below which it is told; what a site loses for an issue, of how many at most, its least trust.
+LOST, LOST_AT_MOST, TRUE, ISSUE, ISSUES_AT_MOST, LEAST_TRUST = 10, 4, 80, 7, 10, 40
+#: Weights of readiness, truth, answer pack and trust, with and without the last.
+WEIGHTS, WEIGHTS_WITH_TRUST = (40, 35, 25, 0), (35, 30, 25, 10)
 TEXT = Text(Spark())
 
 
@@ -209,31 +216,81 @@ def evidence_by_site(found: DataFrame) -> DataFrame:
     )
 
 
-def route_scores(ground: DataFrame, found: DataFrame, truth: int = 100) -> DataFrame:
-    """(site, route, readiness, truth, answer_pack, overall, blockers); ``truth`` is how far the site keeps to its facts, 100 without any."""
+def overall(trusted: bool) -> Column:
+    weights = WEIGHTS_WITH_TRUST if trusted else WEIGHTS
+    columns = ("readiness", "truth", "answer_pack", "trust")[: 4 if trusted else 3]
+    return F.expr(f"({' + '.join(f'{c} * {w}' for c, w in zip(columns, weights, strict=False))}) div 100").alias("overall")
+
+
+def chosen(of: Column, values: dict) -> Column:
+    return reduce(lambda otherwise, x: F.when(of == x[0], x[1]).otherwise(otherwise), values.items(), F.lit(0))
+
+
+def route_scores(ground: DataFrame, found: DataFrame, assessed: DataFrame, odd: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """(site, route, readiness, truth, answer_pack, [trust,] overall, blockers).
+
+    ``assessed`` and ``odd`` are facts.assessment and facts.mismatches: a
+    route's truth is its site's, less its own mismatches.  ``issues`` are
+    suggestions.trust_issues; with them a route has a trust, by its gravest
+    issue, which weighs too.
+    """
     step = lambda c, *parts: reduce(lambda otherwise, p: F.when(F.col(c) >= p[0], p[1]).otherwise(otherwise), parts, F.lit(0))
-    base = reduce(lambda otherwise, b: F.when(F.col("primary_intent") == b[0], b[1]).otherwise(otherwise), BASELINES.items(), F.lit(0))
     rows = ground.withColumn("others", F.size("intents") - 1)
-    cost = F.aggregate("gaps", F.lit(0), lambda a, g: a + reduce(lambda otherwise, x: F.when(g == x[0], x[1][1]).otherwise(otherwise), GAPS.items(), F.lit(0)))
-    pack = base + step("answer_blocks", (1, 4), (2, 9), (4, 12)) + step("heading_count", (2, 3), (3, 6), (5, 8)) + step("others", (1, 2), (2, 4)) + points(4, (F.col("page_kind") == "detail") & (F.col("answer_blocks") >= 2)) - cost
+    cost = F.aggregate("gaps", F.lit(0), lambda a, g: a + chosen(g, {k: c for k, (_, c) in GAPS.items()}))
+    pack = chosen(F.col("primary_intent"), BASELINES) + step("answer_blocks", (1, 4), (2, 9), (4, 12)) + step("heading_count", (2, 3), (3, 6), (5, 8)) + step("others", (1, 2), (2, 4)) + points(4, (F.col("page_kind") == "detail") & (F.col("answer_blocks") >= 2)) - cost
     rows = rows.select("site", "route", "gaps", F.least(F.lit(100), F.greatest(F.lit(0), pack)).cast("long").alias("answer_pack")).join(found.select("site", "route", "readiness", "unsupported"), ["site", "route"], "left")
-    rows = rows.withColumns({"readiness": F.coalesce("readiness", F.lit(75)), "truth": F.lit(truth).cast("long")})
-    said = F.concat(F.filter(F.array(F.when(F.col("unsupported") > 0, F.concat(F.col("unsupported").cast("string"), F.lit(" unsupported claims")))), lambda x: x.isNotNull()), "gaps")
-    overall = F.expr("(readiness * 40 + truth * 35 + answer_pack * 25) div 100")
-    return rows.select("site", "route", "readiness", "truth", "answer_pack", overall.alias("overall"), F.array_join(F.array_sort(said), " | ").alias("blockers"))
+    rows = rows.join(assessed.select("site", "score"), "site", "left").join(odd.groupBy("site", "route").agg(F.count("*").alias("odd")), ["site", "route"], "left")
+    truth = F.greatest(F.lit(0), F.coalesce("score", F.lit(100)) - LOST * F.least(F.lit(LOST_AT_MOST), F.coalesce("odd", F.lit(0))))
+    rows = rows.withColumns({"readiness": F.coalesce("readiness", F.lit(75)), "truth": truth.cast("long")})
+    if issues is not None:
+        gravest = issues.where("route IS NOT NULL").groupBy("site", "route").agg(F.min(chosen(F.col("kind"), TRUST)).alias("trust"))
+        rows = rows.join(gravest, ["site", "route"], "left").withColumn("trust", F.coalesce("trust", F.lit(100)).cast("long"))
+    told = [F.when(F.col("unsupported") > 0, F.concat(F.col("unsupported").cast("string"), F.lit(" unsupported claims"))), F.when(F.col("truth") < TRUE, "truth_consistency_gap")]
+    if issues is not None:
+        told.append(F.when(F.col("trust") < 100, "external_trust_alignment_gap"))
+    said = F.concat(F.filter(F.array(*told), lambda x: x.isNotNull()), "gaps")
+    return rows.select("site", "route", "readiness", "truth", "answer_pack", *(["trust"] if issues is not None else []), overall(issues is not None), F.array_join(F.array_sort(said), " | ").alias("blockers"))
+
+
+def site_scores(scores: DataFrame, assessed: DataFrame, issues: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """One row a site: means of its routes, its own truth, and with records of other sites the trust that they give it."""
+    rows = scores.groupBy("site").agg(*[F.expr(f"sum({c}) div count(1)").alias(c) for c in ("readiness", "answer_pack")])
+    rows = rows.join(assessed.select("site", F.col("score").cast("long").alias("truth")), "site", "left").withColumn("truth", F.coalesce("truth", F.lit(100)))
+    if issues is None:
+        return rows.select("site", "readiness", "truth", "answer_pack", overall(False))
+    read = sources.groupBy("site").agg(F.sum("rows").alias("read"), F.sum("matched_routes").alias("matched"))
+    rows = rows.join(read, "site", "left").join(issues.groupBy("site").agg(F.count("*").alias("issues")), "site", "left")
+    trust = F.greatest(F.lit(LEAST_TRUST), F.greatest(F.lit(0), F.expr("matched * 100 div read") - ISSUE * F.least(F.lit(ISSUES_AT_MOST), F.coalesce("issues", F.lit(0)))))
+    rows = rows.withColumn("trust", F.when(F.coalesce("read", F.lit(0)) == 0, 100).otherwise(trust).cast("long"))
+    return rows.select("site", "readiness", "truth", "answer_pack", "trust", overall(True))
+
+
+def blockers(ground: DataFrame, found: DataFrame, odd: DataFrame, issues: DataFrame | None = None, top: int = BLOCKERS) -> DataFrame:
+    """The gravest gaps of each site: (site, category, route, severity, message, place)."""
+    row = lambda rows, category, severity, message: rows.select("site", F.lit(category).alias("category"), "route", severity.cast("int").alias("severity"), message.alias("message"))
+    truth = row(odd, "truth", chosen(F.col("severity"), MISMATCHES), F.concat("field", F.lit(" expected '"), "expected", F.lit("' but observed '"), "observed", F.lit("'")))
+    claims = row(found.where("unsupported > 0"), "evidence", F.lit(80), F.concat(F.col("unsupported").cast("string"), F.lit(" unsupported claims and fidelity risk "), F.col("risk").cast("string")))
+    gaps = ground.select("site", "route", F.explode("gaps").alias("message"))
+    every = truth.union(claims).union(row(gaps, "answer_pack", chosen(F.col("message"), {k: s for k, (s, _) in GAPS.items()}), F.col("message")))
+    if issues is not None:
+        every = every.union(row(issues, "trust", chosen(F.col("kind"), TRUST) - 10, F.col("message")))
+    return best(every, ["site"], [F.desc("severity"), "category", F.asc_nulls_first("route"), "message"], top)
 
 
-def site_scores(scores: DataFrame) -> DataFrame:
-    rows = scores.groupBy("site").agg(*[F.expr(f"sum({c}) div count(1)").alias(c) for c in ("readiness", "truth", "answer_pack")])
-    return rows.withColumn("overall", F.expr("(readiness * 40 + truth * 35 + answer_pack * 25) div 100"))
+def weakest_routes(scores: DataFrame, top: int = BLOCKERS) -> DataFrame:
+    """A site's routes of the lowest overall score, of equals those with more blockers first, with their place."""
+    n = F.when(F.col("blockers") == "", 0).otherwise(F.size(F.split("blockers", r" \| ")))
+    return best(scores.withColumn("n", n), ["site"], ["overall", F.desc("n"), "route"], top).drop("n")
 
 
-def blockers(ground: DataFrame, found: DataFrame, top: int = BLOCKERS) -> DataFrame:
-    """The gravest gaps of each site: (site, category, route, severity, message, place)."""
-    claims = found.where("unsupported > 0").select("site", F.lit("evidence").alias("category"), "route", F.lit(80).alias("severity"), F.concat(F.col("unsupported").cast("string"), F.lit(" unsupported claims and fidelity risk "), F.col("risk").cast("string")).alias("message"))
-    grave = reduce(lambda otherwise, x: F.when(F.col("message") == x[0], x[1][0]).otherwise(otherwise), GAPS.items(), F.lit(0))
-    gaps = ground.select("site", F.lit("answer_pack").alias("category"), "route", F.explode("gaps").alias("message")).select("site", "category", "route", grave.alias("severity"), "message")
-    return best(claims.union(gaps), ["site"], [F.desc("severity"), "category", "route", "message"], top)
+def riskiest_routes(found: DataFrame, top: int = BLOCKERS) -> DataFrame:
+    """A site's routes whose claims are the least supported."""
+    return best(found.select("site", "route", "risk", "unsupported", "claims"), ["site"], [F.desc("risk"), F.desc("unsupported"), "route"], top)
+
+
+def least_covered(queries: DataFrame, top: int = BLOCKERS) -> DataFrame:
+    """A site's queries that its routes answer worst."""
+    return best(queries.select("site", "family", "query", "coverage"), ["site"], ["coverage", "family", "query"], top)
 
 
 def seed_topic(c: Column) -> Column:

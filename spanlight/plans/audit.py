@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, parse, reports, surfaces
+from spanlight.operators import artifacts, claims, parse, positions, reports, surfaces
 from spanlight.plans import surfaces_sql
 from spanlight.plans.catalogue import Plan
 from spanlight.sources.kept import shared_folder
@@ -36,8 +36,9 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
     are off unless asked for, ``agent_discovery`` with ``enabled = true``, and
     ``policy`` and ``route_kinds`` as in reports.apply_policy.  Parsed
     pages and what is derived from them are written to the session's shared
-    folder, so each is computed once.  Lines and columns are 1 and suggestions
-    null.  No pages give no findings.
+    folder, so each is computed once.  Findings over links, blocks,
+    images and controls have their element's line and column, others 1 and 1;
+    suggestions are null.  No pages give no findings.
     """
     settings = settings or {}
     if odd := sorted(set(settings) - KNOWN):
@@ -57,7 +58,7 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
     for name, text in plan.derived().items():
         keep(spark.sql(named_apart(text, mark)), name)
     parts = list(plan.parts()) + (list(plan.optional()) if settings.get("rules", {}).get("optional") else [])
-    found = spark.sql(named_apart(plan.findings(*parts) + "SELECT site, rule_id, severity, path, message FROM findings", mark))
+    found = spark.sql(named_apart(f"{plan.findings(*parts)}, {plan.spots()} SELECT site, rule_id, severity, path, message, line, col FROM ({positions.located(plan)}) x", mark))
     head = f"WITH {plan.base()}, {artifacts.relations(plan)}"
     read = lambda text: spark.sql(named_apart(plan.sql(f"{head} {text}"), mark))
     own = "SELECT site, CASE kind WHEN 'robots' THEN 'robots.txt' WHEN 'sitemap' THEN 'sitemap.xml' WHEN 'llms' THEN 'llms.txt' ELSE kind END AS path, text FROM site_files"
@@ -73,8 +74,9 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
     if settings.get("agent_discovery", {}).get("enabled"):
         more.append(surfaces.agent_findings(site, known))
     # Written, as scopes count what policy reads again.
-    keep(surfaces.union([found, *more]), "all_findings")
+    at_start = {c: F.lit(1).cast("long") for c in ("line", "col")}
+    keep(found.unionByName(surfaces.union(more).withColumns(at_start)), "all_findings")
     found = spark.table(f"all_findings_{mark}")
     scoped = reports.with_scope(found).withColumn("scope", F.when(F.col("rule_id").isin(*surfaces.SITEWIDE), "sitewide").otherwise(F.col("scope")))
     judged = reports.apply_policy(scoped, settings.get("policy", {}), settings.get("route_kinds"))
-    return judged.select("site", "rule_id", "message", "path", F.lit(1).cast("long").alias("line"), F.lit(1).cast("long").alias("column"), "severity", F.lit(None).cast("string").alias("suggestion"), "scope")
+    return judged.select("site", "rule_id", "message", "path", "line", F.col("col").alias("column"), "severity", F.lit(None).cast("string").alias("suggestion"), "scope")

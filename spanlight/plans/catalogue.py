@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, reports, rules, structured, suggestions, surfaces
+from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, positions, reports, rules, structured, suggestions, surfaces
 from spanlight.plans import facts_sql, intelligence_sql, suggestions_sql, surfaces_sql
 from spanlight.sources.kept import kept, shared_folder
 
@@ -127,6 +127,10 @@ class Plan:
         return f"""SELECT v.site, 'SOC008' AS rule_id, 'warning' AS severity, v.path, concat(v.k, ' points to missing internal asset: ', v.v) AS message
             FROM (SELECT *, {self.t.internal('v')} AS target FROM ({values}) w) v LEFT JOIN known k ON v.site = k.site AND v.target = k.target WHERE v.target IS NOT NULL AND k.target IS NULL"""
 
+    def spots(self) -> str:
+        """Relations for the places of findings, after base() and known."""
+        return f"elements AS ({positions.elements(self)}), spots AS ({positions.places(self)})"
+
     def links(self) -> str:
         return parse.links("every", self.duckdb)
 
@@ -276,6 +280,7 @@ def texts(duckdb: bool) -> dict[str, str]:
         "rules_llms": f"{p.findings('llms')}{FINDING}",
         "rules_structured": f"{p.findings('structured')}{FINDING}",
         "rules_optional": f"{p.findings('page_optional', 'structured_optional')}{FINDING}",
+        "finding_positions": f"{p.findings('block', 'link', 'image', 'control')}, {p.spots()} SELECT site, rule_id, path, message, line, col FROM ({positions.located(p)}) x",
         "audit_findings": f"{p.findings()}{FINDING}",
         "audit_summary": f"{p.findings()}{GROUPED}",
         "phase_shares": f"SELECT event_type, n, CAST(floor(n * 10000 / total) AS BIGINT) AS basis_points FROM (SELECT event_type, n, sum(n) OVER () AS total FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) a) b",
@@ -364,17 +369,35 @@ def intelligence_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]
         pages, blocks, _, links = tables(spark, sf_dir)
         return kept(spark, ("evidence", sf_dir), lambda: intelligence.evidence(intelligence.evidence_sections(pages, blocks, links)))
 
+    def trust(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+        pages, made = tables(spark, sf_dir)[0], suggestions_sql.stand_ins()
+        records, terms = (spark.sql(f"WITH {Plan(duckdb=False).base()} {made[k]}") for k in ("records", "facts"))
+        return [kept(spark, ("trust_issues", sf_dir), lambda: suggestions.trust_issues(records, pages, terms)), suggestions.trust_sources(records, pages, terms)]
+
+    def scores(spark: SparkSession, sf_dir: str, trusted: bool = False) -> DataFrame:
+        known = SiteFacts(spark, sf_dir, home=False)
+        return intelligence.route_scores(ground(spark, sf_dir), found(spark, sf_dir), known.assessment(), known.mismatches(), trust(spark, sf_dir)[0] if trusted else None)
+
+    def blocked(spark: SparkSession, sf_dir: str, trusted: bool = False) -> DataFrame:
+        return intelligence.blockers(ground(spark, sf_dir), found(spark, sf_dir), SiteFacts(spark, sf_dir, home=False).mismatches(), trust(spark, sf_dir)[0] if trusted else None)
+
     return {
         "grounding_routes": lambda s, d: intelligence.routes_report(ground(s, d)),
         "grounding_intents": lambda s, d: intelligence.intent_counts(ground(s, d)),
         "topic_clusters": lambda s, d: intelligence.topic_counts(ground(s, d)),
         "evidence_routes": found,
         "evidence_sites": lambda s, d: intelligence.evidence_by_site(found(s, d)),
-        "route_scores": lambda s, d: intelligence.route_scores(ground(s, d), found(s, d)),
-        "site_scores": lambda s, d: intelligence.site_scores(intelligence.route_scores(ground(s, d), found(s, d))),
-        "intelligence_blockers": lambda s, d: intelligence.blockers(ground(s, d), found(s, d)),
+        "riskiest_routes": lambda s, d: intelligence.riskiest_routes(found(s, d)),
+        "route_scores": scores,
+        "route_scores_trust": lambda s, d: scores(s, d, True),
+        "weakest_routes": lambda s, d: intelligence.weakest_routes(scores(s, d)),
+        "site_scores": lambda s, d: intelligence.site_scores(scores(s, d), SiteFacts(s, d, home=False).assessment()),
+        "site_scores_trust": lambda s, d: intelligence.site_scores(scores(s, d, True), SiteFacts(s, d, home=False).assessment(), *trust(s, d)),
+        "intelligence_blockers": blocked,
+        "intelligence_blockers_trust": lambda s, d: blocked(s, d, True),
         "fanout_queries": lambda s, d: intelligence.fanout(ground(s, d)),
         "fanout_sites": lambda s, d: intelligence.fanout_by_site(intelligence.fanout(ground(s, d))),
+        "least_covered_queries": lambda s, d: intelligence.least_covered(intelligence.fanout(ground(s, d))),
     }
 
 

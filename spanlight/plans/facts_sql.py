@@ -49,7 +49,12 @@ def homes() -> str:
     return f"SELECT s.site, s.path, CASE WHEN s.route = f.first THEN '' WHEN s.page_id % 3 = 0 THEN concat('features/', s.route) ELSE s.route END AS route, s.page_kind, CASE WHEN s.route = f.first AND length(s.site) % 2 = 0 THEN concat('Open Terminal — ', coalesce(s.title, 'Home'), ' | ', s.site) ELSE s.title END AS title, s.h1_texts, CASE WHEN s.route = f.first THEN {told} ELSE s.description END AS description, CASE WHEN s.route = f.first AND length(s.site) % 5 = 0 THEN concat('HTTPS://', upper(s.site), ':8080/x') ELSE s.canonical END AS canonical, s.ld, CASE WHEN s.route = f.first THEN concat('<meta property=\"og:description\" content=\"terminal workflow agents for macos\"><meta name=\"twitter:description\" content=\"free local agents everything, local agents\">', s.html) ELSE s.html END AS html FROM site s JOIN (SELECT site, min(route) AS first FROM site GROUP BY site) f ON s.site = f.site"
 
 
-def ctes(p, home: bool = True) -> str:
+def ctes(p) -> str:
+    return f"WITH {p.base()}, ld_pages AS MATERIALIZED ({structured.pages(p)}),{body(p)}"
+
+
+def body(p, home: bool = True) -> str:
+    """After site and ld_pages, up to mis and assessed."""
     fields = "SELECT site, path, v.block, v.value FROM (SELECT site, path, unnest(vals) AS v FROM ld_pages) q WHERE v.kind IN ('string', 'item') AND v.key ="
     segments = "SELECT site, path, route, trim(x) AS name, i FROM (SELECT site, path, route, unnest(regexp_split_to_array(title, '[|—·-]')) AS x, generate_subscripts(regexp_split_to_array(title, '[|—·-]'), 1) AS i FROM pf) q"
     (th, ta), (hh, ha), (sh, sa) = (NAME_WEIGHTS[k] for k in ("title", "h1", "schema"))
@@ -57,10 +62,10 @@ def ctes(p, home: bool = True) -> str:
     wrong = " OR ".join(f"contains({low('x')}, {quoted([e])})" for e in ERRORS)
     words = f"list_filter(string_split(regexp_replace({low('said')}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
     sources = " UNION ALL ".join(f"SELECT site, {c} AS said, {n} AS n FROM pf WHERE route = ''" for c, n in (("description", 4), ("og_description", 3), ("twitter_description", 2), ("h1_texts[1]", 2), ("title", 1)))
-    runs = " UNION ALL ".join(f"SELECT site, brand, n, w[i:i + {k - 1}] AS run FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS i FROM told) t{k}" for k in (2, 3))
+    runs = " UNION ALL ".join(f"SELECT site, brand, n, w[i:i + {k - 1}] AS run FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS i FROM f_told) t{k}" for k in (2, 3))
     rows = lambda kind, c: f"SELECT site, '{kind}' AS kind, {c} AS term, CAST(NULL AS VARCHAR) AS preferred, 0 AS position FROM manifest WHERE {c} IS NOT NULL"
     many = lambda kind, c: f"SELECT site, '{kind}', unnest({c}), NULL, unnest(range(len({c}))) FROM manifest"
-    return f"""WITH {p.base()}, ld_pages AS MATERIALIZED ({structured.pages(p)}),
+    return f"""
       pf AS MATERIALIZED (SELECT s.site, s.path, s.route, s.page_kind, s.title, s.h1_texts, s.description, s.canonical, len(s.ld) AS blocks, s.html, {meta(p, 'property', 'og:title')} AS og_title, {meta(p, 'property', 'og:description')} AS og_description, {meta(p, 'name', 'twitter:description')} AS twitter_description,
         len(list_filter(list_prepend(s.title, s.h1_texts), lambda x: {wrong})) > 0 AS error FROM ({homes() if home else 'SELECT * FROM site'}) s),
       f_name AS MATERIALIZED ({fields} 'name'), f_url AS MATERIALIZED ({fields} 'url'), f_type AS MATERIALIZED ({fields} '@type'),
@@ -79,7 +84,7 @@ def ctes(p, home: bool = True) -> str:
         WHERE NOT p.error AND {viable('f.value')} AND NOT {generic('f.value')} AND EXISTS (SELECT 1 FROM f_type t WHERE t.site = f.site AND t.path = f.path AND t.block = f.block AND t.value IN ('SoftwareApplication', 'Product')) GROUP BY ALL) q),
       leads AS (SELECT site, path, route, arg_min(name, i) AS lead FROM ({segments}) q WHERE {viable('name')} GROUP BY ALL),
       feats AS (SELECT site, list(feature ORDER BY feature)[1:{PRODUCT_FEATURES}] AS features FROM (SELECT DISTINCT p.site, coalesce(p.h1_texts[1], l.lead) AS feature FROM pf p LEFT JOIN leads l ON p.site = l.site AND p.path = l.path WHERE starts_with(p.route, 'features/')) q WHERE feature IS NOT NULL GROUP BY site),
-      told AS (SELECT q.site, q.n, list_filter(string_split(regexp_replace({low("coalesce(o.organization, '')")}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS brand, {words} AS w FROM ({sources}) q LEFT JOIN orgs o ON q.site = o.site WHERE said IS NOT NULL),
+      f_told AS (SELECT q.site, q.n, list_filter(string_split(regexp_replace({low("coalesce(o.organization, '')")}, '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS brand, {words} AS w FROM ({sources}) q LEFT JOIN orgs o ON q.site = o.site WHERE said IS NOT NULL),
       mined AS (SELECT site, array_to_string(run, ' ') AS phrase, sum(n) AS n FROM ({runs}) q WHERE NOT list_has_any(run, [{quoted(STOPS)}]) AND NOT list_has_any(run, brand) AND NOT regexp_matches(array_to_string(run, ' '), '[0-9]') AND length(run[1]) >= 4 AND length(run[-1]) >= 4 AND length(array_to_string(run, ' ')) >= 8 GROUP BY ALL),
       phrased AS (SELECT site, list(phrase ORDER BY s DESC, n DESC, len(string_split(phrase, ' ')), phrase) AS ranked FROM (SELECT *, {points('phrase')} AS s FROM mined) q WHERE s >= {LEAST_POINTS} AND n >= {LEAST_WEIGHT} GROUP BY site),
       descs AS (SELECT site, {apart('ranked', DESCRIPTORS)} AS descriptors FROM phrased),
@@ -92,20 +97,20 @@ def ctes(p, home: bool = True) -> str:
       hits AS MATERIALIZED (SELECT s.site, s.path, s.route, f.kind, f.term, f.preferred FROM surfaces s JOIN facts f ON s.site = f.site AND contains(s.text, {low("CASE WHEN f.kind = 'preferred' THEN f.preferred ELSE f.term END")})),
       who AS (SELECT site, 0 AS o, term AS name, low_ AS names FROM (SELECT site, term, [{low('term')}] AS low_ FROM facts WHERE kind = 'product') q
         UNION ALL SELECT g.site, 1, g.term, list_distinct(list_concat([{low('g.term')}], coalesce(a.names, []))) FROM facts g LEFT JOIN (SELECT site, list({low('term')}) AS names FROM facts WHERE kind = 'alias' GROUP BY site) a ON g.site = a.site WHERE g.kind = 'organization'),
-      met AS (SELECT p.site, p.path, p.route, p.title, p.og_title, p.description, p.h1_texts, arg_min(w.name, o) AS name, arg_min(w.names, o) AS names FROM pf p JOIN surfaces s ON p.site = s.site AND p.path = s.path JOIN who w ON p.site = w.site AND len(list_filter(w.names, lambda n: contains(s.text, n))) > 0
+      f_met AS (SELECT p.site, p.path, p.route, p.title, p.og_title, p.description, p.h1_texts, arg_min(w.name, o) AS name, arg_min(w.names, o) AS names FROM pf p JOIN surfaces s ON p.site = s.site AND p.path = s.path JOIN who w ON p.site = w.site AND len(list_filter(w.names, lambda n: contains(s.text, n))) > 0
         WHERE p.title IS NOT NULL AND p.route <> '' AND p.page_kind NOT IN ({quoted(UNNAMED)}) GROUP BY ALL),
       declares AS (SELECT site FROM pf GROUP BY site HAVING max(blocks) > 0),
       schema AS (SELECT DISTINCT site, 'name' AS what, value FROM f_name UNION SELECT DISTINCT site, 'url', value FROM f_url),
       shown AS (SELECT site, what, concat(array_to_string(list(value ORDER BY value)[1:{OBSERVED}], ', '), CASE WHEN count(*) > {OBSERVED} THEN concat(' and ', count(*) - {OBSERVED}, ' more') ELSE '' END) AS observed FROM schema GROUP BY ALL),
       mis AS MATERIALIZED (SELECT site, route, 'terminology' AS field, coalesce(preferred, '') AS expected, term AS observed, 'visible_text' AS source, 'warning' AS severity FROM hits WHERE kind = 'forbidden'
-        UNION ALL SELECT m.site, m.route, 'title', m.name, m.title, 'manifest', 'warning' FROM met m WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(m.names) AS n) k, (SELECT unnest(list_concat([m.title, m.og_title, m.description], m.h1_texts, coalesce((SELECT list(value) FROM f_name f WHERE f.site = m.site AND f.path = m.path), []))) AS said) z WHERE contains({low('said')}, n))
+        UNION ALL SELECT m.site, m.route, 'title', m.name, m.title, 'manifest', 'warning' FROM f_met m WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(m.names) AS n) k, (SELECT unnest(list_concat([m.title, m.og_title, m.description], m.h1_texts, coalesce((SELECT list(value) FROM f_name f WHERE f.site = m.site AND f.path = m.path), []))) AS said) z WHERE contains({low('said')}, n))
         UNION ALL SELECT w.site, '(sitewide)', 'organization_schema.name', w.name, coalesce(x.observed, ''), 'schema', 'error' FROM who w JOIN declares USING (site) LEFT JOIN shown x ON w.site = x.site AND x.what = 'name' WHERE w.o = 1 AND NOT EXISTS (SELECT 1 FROM schema c WHERE c.site = w.site AND c.what = 'name' AND len(list_filter(w.names, lambda n: contains({low('c.value')}, n))) > 0)
         UNION ALL SELECT f.site, '(sitewide)', 'organization_schema.url', f.term, coalesce(x.observed, ''), 'schema', 'warning' FROM facts f JOIN declares USING (site) LEFT JOIN shown x ON f.site = x.site AND x.what = 'url' WHERE f.kind = 'website' AND EXISTS (SELECT 1 FROM who w WHERE w.site = f.site AND w.o = 1) AND NOT EXISTS (SELECT 1 FROM schema c WHERE c.site = f.site AND c.what = 'url' AND c.value = f.term)),
-      typed AS (SELECT site, value, count(*) AS n FROM (SELECT DISTINCT site, path, block, value FROM f_type) q GROUP BY ALL),
+      f_typed AS (SELECT site, value, count(*) AS n FROM (SELECT DISTINCT site, path, block, value FROM f_type) q GROUP BY ALL),
       assessed AS MATERIALIZED (SELECT *, greatest(0, ceiling - least({MISMATCH[1]}, mismatches) * {MISMATCH[0]} - least({FORBIDDEN[1]}, forbidden_hits) * {FORBIDDEN[0]} - CASE WHEN organization_blocks = 0 THEN {NO_ORGANIZATION} ELSE 0 END - CASE WHEN website_blocks = 0 THEN {NO_WEBSITE} ELSE 0 END) AS score FROM (
         SELECT *, CASE source {' '.join(f"WHEN '{k}' THEN {v}" for k, v in CEILINGS.items())} END AS ceiling FROM (
         SELECT site, CASE WHEN pages_with_schema > 0 AND given THEN 'schema_and_manifest' WHEN pages_with_schema > 0 THEN 'schema' WHEN given THEN 'manifest' ELSE 'none' END AS source, pages, pages_with_schema,
-          coalesce((SELECT n FROM typed t WHERE t.site = a.site AND t.value = 'Organization'), 0) AS organization_blocks, coalesce((SELECT n FROM typed t WHERE t.site = a.site AND t.value = 'WebSite'), 0) AS website_blocks,
+          coalesce((SELECT n FROM f_typed t WHERE t.site = a.site AND t.value = 'Organization'), 0) AS organization_blocks, coalesce((SELECT n FROM f_typed t WHERE t.site = a.site AND t.value = 'WebSite'), 0) AS website_blocks,
           (SELECT count(*) FROM hits h WHERE h.site = a.site AND h.kind IN ('organization', 'product', 'preferred')) AS preferred_hits, (SELECT count(*) FROM hits h WHERE h.site = a.site AND h.kind = 'forbidden') AS forbidden_hits, (SELECT count(*) FROM mis m WHERE m.site = a.site) AS mismatches
         FROM (SELECT site, count(*) AS pages, count(*) FILTER (WHERE blocks > 0) AS pages_with_schema, EXISTS (SELECT 1 FROM facts f WHERE f.site = pf.site) AS given FROM pf GROUP BY site) a) b) c)"""
 

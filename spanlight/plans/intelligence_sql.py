@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from spanlight.functions.dialect import LOWER, UPPER
 from spanlight.operators import structured
-from spanlight.operators.intelligence import ANSWER_WORDS, AUTHORITATIVE, BASELINES, BLOCKERS, COMPARATIVE, FAMILIES, GAPS, HOSTS, HOSTS_AND_BELOW, LOW_SIGNAL, MATCHES, SEEDS, SEVERAL, SIGNALS, SOME, SUFFIXES, SUPERLATIVE, TEMPORAL, TITLE_CUES
+from spanlight.operators.intelligence import ANSWER_WORDS, AUTHORITATIVE, BASELINES, BLOCKERS, COMPARATIVE, FAMILIES, GAPS, HOSTS, HOSTS_AND_BELOW, ISSUE, ISSUES_AT_MOST, LEAST_TRUST, LOST, LOST_AT_MOST, LOW_SIGNAL, MATCHES, MISMATCHES, SEEDS, SEVERAL, SIGNALS, SOME, SUFFIXES, SUPERLATIVE, TEMPORAL, TITLE_CUES, TRUE, TRUST, WEIGHTS, WEIGHTS_WITH_TRUST
 
 
 def low(x: str) -> str:
@@ -36,7 +36,7 @@ def case(column: str, pairs) -> str:
 
 
 def head(p) -> str:
-    return f"WITH {p.base()}, blocks AS ({p.block_rows()}), ld_pages AS ({structured.pages(p)}), links AS ({p.links()})"
+    return f"WITH {p.base()}, blocks AS MATERIALIZED ({p.block_rows()}), ld_pages AS MATERIALIZED ({structured.pages(p)}), links AS MATERIALIZED ({p.links()})"
 
 
 def grounding() -> str:
@@ -78,7 +78,7 @@ def grounding() -> str:
       c2 AS (SELECT site, path, topic, sum(n) AS n, len(string_split(topic, ' ')) AS w FROM c1 WHERE len(string_split(topic, ' ')) BETWEEN 2 AND 8 AND topic NOT IN ({listed(LOW_SIGNAL)}) GROUP BY site, path, topic),
       topical AS (SELECT site, path, list(topic ORDER BY nr) AS topics FROM (SELECT *, row_number() OVER (PARTITION BY site, path ORDER BY n DESC, w DESC, topic) AS nr FROM c2) k WHERE nr <= 5 GROUP BY site, path),
       g3 AS (SELECT g.*, coalesce(c.intents, ['generic']) AS intents, coalesce(p.priced, 0) AS priced, coalesce(k.topics, []) AS topics FROM g2 g LEFT JOIN chosen c ON g.site = c.site AND g.path = c.path LEFT JOIN price p ON g.site = p.site AND g.path = p.path LEFT JOIN topical k ON g.site = k.site AND g.path = k.path),
-      ground AS (SELECT site, route, replace(page_kind, '_', '') AS page_kind, coalesce(topics[1], '(unclassified)') AS primary_topic, topics[2:5] AS secondary_topics, intents[1] AS primary_intent, intents,
+      ground AS MATERIALIZED (SELECT site, route, replace(page_kind, '_', '') AS page_kind, coalesce(topics[1], '(unclassified)') AS primary_topic, topics[2:5] AS secondary_topics, intents[1] AS primary_intent, intents,
         list_filter([{', '.join(f"CASE WHEN {c} THEN '{k}' END" for k, c in gaps.items())}], lambda x: x IS NOT NULL) AS gaps, answers AS answer_blocks, 1 + len(h2s) + len(h3s) AS heading_count, types AS schema_types FROM g3)"""
 
 
@@ -101,7 +101,7 @@ def evidence() -> str:
       e4 AS (SELECT *, bad_bold + bad_plain AS unsupported, CASE WHEN claims = 0 THEN 0 ELSE least(100, 18 * (bad_bold + bad_plain) + {pts(12, 'quality = 0')} + {pts(10, 'words > 120')} + {pts(10, 'claims > 3')} + {pts(20, 'bad_bold > 0')}) END AS risk FROM e3),
       e5 AS (SELECT site, route, n_blocks, sum(claims) AS claims, sum(unsupported) AS unsupported, sum(quality) // count(*) AS quality, max(risk) AS risk, {sums} FROM e4 GROUP BY site, route, n_blocks),
       e6 AS (SELECT *, CASE WHEN claims > 0 THEN (claims - unsupported) * 100 // claims WHEN n_blocks = 0 THEN 75 ELSE 90 END AS density FROM e5),
-      found AS (SELECT site, route, claims, unsupported, quality, risk, {', '.join(kinds)}, density, greatest(0, (density * 65 + quality * 35) // 100 - {pts(10, 'n_blocks < 2')}) AS readiness FROM e6)"""
+      found AS MATERIALIZED (SELECT site, route, claims, unsupported, quality, risk, {', '.join(kinds)}, density, greatest(0, (density * 65 + quality * 35) // 100 - {pts(10, 'n_blocks < 2')}) AS readiness FROM e6)"""
 
 
 def scores() -> str:
@@ -110,7 +110,15 @@ def scores() -> str:
     pack = f"{case('primary_intent', BASELINES.items())} + {step('answer_blocks', (1, 4), (2, 9), (4, 12))} + {step('heading_count', (2, 3), (3, 6), (5, 8))} + {step('len(intents) - 1', (1, 2), (2, 4))} + {pts(4, "page_kind = 'detail' AND answer_blocks >= 2")} - ({cost})"
     return f"""
       packs AS (SELECT site, route, gaps, least(100, greatest(0, {pack})) AS answer_pack FROM ground),
-      routed AS (SELECT p.site, p.route, coalesce(f.readiness, 75) AS readiness, 100 AS truth, p.answer_pack, list_sort(list_concat(CASE WHEN f.unsupported > 0 THEN [concat(f.unsupported, ' unsupported claims')] ELSE [] END, gaps)) AS said FROM packs p LEFT JOIN found f ON p.site = f.site AND p.route = f.route)"""
+      oddities AS (SELECT site, route, count(*) AS odd FROM mis GROUP BY site, route),
+      gravest AS (SELECT site, route, min({case('kind', TRUST.items())}) AS trust FROM issues WHERE route IS NOT NULL GROUP BY site, route),
+      valued AS (SELECT p.*, f.unsupported, coalesce(f.readiness, 75) AS readiness, greatest(0, a.score - {LOST} * least({LOST_AT_MOST}, coalesce(o.odd, 0))) AS truth, coalesce(g.trust, 100) AS trust FROM packs p LEFT JOIN found f ON p.site = f.site AND p.route = f.route
+        LEFT JOIN assessed a ON p.site = a.site LEFT JOIN oddities o ON p.site = o.site AND p.route = o.route LEFT JOIN gravest g ON p.site = g.site AND p.route = g.route),
+      routed AS (SELECT *, list_sort(list_concat(list_filter([CASE WHEN unsupported > 0 THEN concat(unsupported, ' unsupported claims') END, CASE WHEN truth < {TRUE} THEN 'truth_consistency_gap' END], lambda x: x IS NOT NULL), gaps)) AS said, list_sort(list_concat(list_filter([CASE WHEN unsupported > 0 THEN concat(unsupported, ' unsupported claims') END, CASE WHEN truth < {TRUE} THEN 'truth_consistency_gap' END, CASE WHEN trust < 100 THEN 'external_trust_alignment_gap' END], lambda x: x IS NOT NULL), gaps)) AS said_trusted FROM valued)"""
+
+
+def weighed(weights) -> str:
+    return f"({' + '.join(f'{c} * {w}' for c, w in zip(('readiness', 'truth', 'answer_pack', 'trust'), weights) if w)}) // 100 AS overall"
 
 
 def fanout() -> str:
@@ -129,21 +137,35 @@ def fanout() -> str:
 
 
 def texts(p) -> dict[str, str]:
+    from spanlight.plans import facts_sql, suggestions_sql
+
     joined = lambda c: f"array_to_string({c}, ' | ') AS {c}"
     ground, found = f"{head(p)},{grounding()}", f"{head(p)},{evidence()}"
-    both = f"{head(p)},{grounding()},{evidence()},{scores()}"
+    both = f"{head(p)},{facts_sql.body(p, home=False)},{suggestions_sql.trust_ctes(p)},{grounding()},{evidence()},{scores()}"
     means = lambda *cs: ", ".join(f"sum({c}) // count(*) AS {c}" for c in cs)
-    overall = "(readiness * 40 + truth * 35 + answer_pack * 25) // 100 AS overall"
+    overall, trusted = weighed(WEIGHTS), weighed(WEIGHTS_WITH_TRUST)
     grave = case("message", [(k, s) for k, (s, _) in GAPS.items()])
+    placed = lambda rows, order: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {order}) AS place FROM ({rows}) u) w WHERE place <= {BLOCKERS}"
+    gravest = f"SELECT site, 'evidence' AS category, route, 80 AS severity, concat(unsupported, ' unsupported claims and fidelity risk ', risk) AS message FROM found WHERE unsupported > 0 UNION ALL SELECT site, 'answer_pack', route, {grave}, message FROM (SELECT site, route, unnest(gaps) AS message FROM ground) g UNION ALL SELECT site, 'truth', route, {case('severity', MISMATCHES.items())}, concat(field, ' expected \'\'', expected, '\'\' but observed \'\'', observed, '\'\'') FROM mis"
+    by_trust = f"SELECT site, 'trust', route, {case('kind', TRUST.items())} - 10, message FROM issues"
+    first = "severity DESC, category, route NULLS FIRST, message"
+    site = f"SELECT q.site, readiness, answer_pack, a.score AS truth, CASE WHEN coalesce(t.rows, 0) = 0 THEN 100 ELSE greatest({LEAST_TRUST}, t.matched * 100 // t.rows - {ISSUE} * least({ISSUES_AT_MOST}, coalesce(i.n, 0))) END AS trust FROM (SELECT site, {means('readiness', 'answer_pack')} FROM routed GROUP BY site) q LEFT JOIN assessed a ON q.site = a.site LEFT JOIN (SELECT site, sum(rows) AS rows, sum(matched_routes) AS matched FROM sources GROUP BY site) t ON q.site = t.site LEFT JOIN (SELECT site, count(*) AS n FROM issues GROUP BY site) i ON q.site = i.site"
+    scored = f"SELECT site, route, readiness, truth, answer_pack, {overall}, array_to_string(said, ' | ') AS blockers FROM routed"
     return {
         "grounding_routes": f"{ground} SELECT site, route, page_kind, primary_topic, {joined('secondary_topics')}, primary_intent, {joined('intents')}, {joined('gaps')}, answer_blocks, heading_count, {joined('schema_types')} FROM ground",
         "grounding_intents": f"{ground} SELECT site, intent, count(*) AS pages, sum(CASE WHEN intent = primary_intent THEN 1 ELSE 0 END) AS primary_pages FROM (SELECT site, primary_intent, unnest(intents) AS intent FROM ground) q GROUP BY site, intent",
         "topic_clusters": f"{ground} SELECT site, primary_topic AS topic, count(*) AS routes, min(route) AS first_route FROM ground GROUP BY site, primary_topic",
         "evidence_routes": f"{found} SELECT * FROM found",
         "evidence_sites": f"{found} SELECT site, count(*) AS pages, sum(CASE WHEN claims > 0 THEN 1 ELSE 0 END) AS routes_with_claims, sum(claims) AS claims, sum(unsupported) AS unsupported, {means('density', 'quality', 'readiness', 'risk')}, sum(numeric) AS numeric, sum(comparative) AS comparative, sum(temporal) AS temporal, sum(superlative) AS superlative FROM found GROUP BY site",
-        "route_scores": f"{both} SELECT site, route, readiness, truth, answer_pack, {overall}, array_to_string(said, ' | ') AS blockers FROM routed",
-        "site_scores": f"{both} SELECT *, {overall} FROM (SELECT site, {means('readiness', 'truth', 'answer_pack')} FROM routed GROUP BY site) q",
-        "intelligence_blockers": f"{both} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY severity DESC, category, route, message) AS place FROM (SELECT site, 'evidence' AS category, route, 80 AS severity, concat(unsupported, ' unsupported claims and fidelity risk ', risk) AS message FROM found WHERE unsupported > 0 UNION ALL SELECT site, 'answer_pack', route, {grave}, message FROM (SELECT site, route, unnest(gaps) AS message FROM ground) g) u) w WHERE place <= {BLOCKERS}",
+        "riskiest_routes": f"{found} {placed('SELECT site, route, risk, unsupported, claims FROM found', 'risk DESC, unsupported DESC, route')}",
+        "route_scores": f"{both} {scored}",
+        "route_scores_trust": f"{both} SELECT site, route, readiness, truth, answer_pack, trust, {trusted}, array_to_string(said_trusted, ' | ') AS blockers FROM routed",
+        "weakest_routes": f"{both}, s AS ({scored}) SELECT * EXCLUDE (n) FROM ({placed('SELECT s.*, len(r.said) AS n FROM s JOIN routed r ON s.site = r.site AND s.route = r.route', 'overall, n DESC, route')}) z",
+        "site_scores": f"{both} SELECT site, readiness, truth, answer_pack, {overall} FROM ({site}) q",
+        "site_scores_trust": f"{both} SELECT site, readiness, truth, answer_pack, trust, {trusted} FROM ({site}) q",
+        "intelligence_blockers": f"{both} {placed(gravest, first)}",
+        "intelligence_blockers_trust": f"{both} {placed(f'{gravest} UNION ALL {by_trust}', first)}",
+        "least_covered_queries": f"{ground},{fanout()} {placed('SELECT site, family, query, coverage FROM asked', 'coverage, family, query')}",
         "fanout_queries": f"{ground},{fanout()} SELECT * FROM asked",
         "fanout_sites": f"{ground},{fanout()} SELECT site, count(*) AS queries, sum(CASE WHEN coverage >= 60 AND gaps = '' THEN 1 ELSE 0 END) AS covered, sum(CASE WHEN coverage >= 60 AND gaps = '' THEN 1 ELSE 0 END) * 100 // count(*) AS coverage FROM asked GROUP BY site",
     }

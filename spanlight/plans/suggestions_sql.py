@@ -20,8 +20,21 @@ def stand_ins() -> dict[str, str]:
     }
 
 
-def texts(p) -> dict[str, str]:
+def trust_ctes(p) -> str:
+    """Records of other sites, what is wrong with them, and their counts: issues and sources."""
     made = stand_ins()
+    about = lambda kind: f"EXISTS (SELECT 1 FROM trust_facts f WHERE f.site = j.site AND kind = '{kind}') AND NOT EXISTS (SELECT 1 FROM trust_facts f WHERE f.site = j.site AND kind = '{kind}' AND contains(j.t, {low('f.term')}))"
+    before, after = NO_ROUTE.split("{}")
+    return f"""trust_facts AS MATERIALIZED ({made['facts']}), r AS (SELECT *, {low("concat_ws(' ', title, snippet, entity)")} AS t, lower(regexp_extract(url, '{HOST}', 1)) = site AS own, {p.t.urlish('url')} AS target FROM ({made['records']}) q),
+      j AS MATERIALIZED (SELECT r.*, EXISTS (SELECT 1 FROM site s WHERE s.site = r.site AND s.route = r.target) AS has FROM r),
+      issues AS (SELECT site, source_type, url, target AS route, 'route_not_in_site' AS kind, concat('{before}', coalesce(target, '(unresolved)'), '{after}') AS message FROM j WHERE own AND NOT has
+      UNION ALL SELECT site, source_type, url, CASE WHEN own THEN target END, 'missing_canonical_entity', '{NO_LABEL}' FROM j WHERE {about('label')}
+      UNION ALL SELECT site, source_type, url, target, 'descriptor_gap', '{NO_DESCRIPTOR}' FROM j WHERE own AND {about('descriptor')}
+      UNION ALL SELECT j.site, source_type, url, CASE WHEN own THEN target END, 'forbidden_terminology', concat('record uses forbidden term ''', f.term, ''' instead of preferred ''', coalesce(f.preferred, ''), '''') FROM j JOIN trust_facts f ON f.site = j.site AND f.kind = 'forbidden' AND contains(j.t, {low('f.term')})),
+      sources AS (SELECT site, source_type, count(*) AS rows, count(*) FILTER (WHERE own AND has) AS matched_routes, count(*) FILTER (WHERE NOT own) AS offsite FROM j GROUP BY site, source_type)"""
+
+
+def texts(p) -> dict[str, str]:
     case = lambda c: f"array_to_string(list_transform(list_filter(string_split({c}, '-'), lambda x: x <> ''), lambda x: concat(translate(x[1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), x[2:])), ' ')"
     base = "concat('https://', s.site, '/')"
     head = f"WITH {p.base()}, inner_ AS (SELECT * FROM site WHERE route <> '404' AND page_kind NOT IN ({listed(BARE)}, 'home'))"
@@ -34,15 +47,9 @@ def texts(p) -> dict[str, str]:
       UNION ALL SELECT s.site, s.route, 'ItemList', row_number() OVER (PARTITION BY s.site, s.route ORDER BY below), coalesce(c.title, c.h1, {case('c.part')}), concat({base}, below), NULL FROM inner_ s JOIN ({child}) c ON s.site = c.site AND s.route = c.parent WHERE part <> ''
       UNION ALL SELECT s.site, s.route, 'TechArticle', 0, coalesce(title, h1_texts[1], {case('s.route')}), concat({base}, s.route), description FROM inner_ s WHERE page_kind = 'docs'"""
     top = f"WITH {p.base()}, l AS ({p.links()}) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY inbound DESC, route) AS place FROM (SELECT s.site, s.route, count(DISTINCT l.relative_path) AS inbound, any_value(s.title) AS title FROM site s LEFT JOIN l ON s.site = l.site AND s.route = l.target AND s.relative_path <> l.relative_path WHERE s.route <> '404' GROUP BY s.site, s.route) a) b WHERE place <= {TOP_ROUTES}"
-    trust = f"""WITH {p.base()}, facts AS ({made['facts']}), r AS (SELECT *, {low("concat_ws(' ', title, snippet, entity)")} AS t, lower(regexp_extract(url, '{HOST}', 1)) = site AS own, {p.t.urlish('url')} AS target FROM ({made['records']}) q),
-      j AS (SELECT r.*, EXISTS (SELECT 1 FROM site s WHERE s.site = r.site AND s.route = r.target) AS has FROM r)"""
-    about = lambda kind: f"EXISTS (SELECT 1 FROM facts f WHERE f.site = j.site AND kind = '{kind}') AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.site = j.site AND kind = '{kind}' AND contains(j.t, {low('f.term')}))"
-    before, after = NO_ROUTE.split("{}")
-    issues = f"""{trust} SELECT site, source_type, url, target AS route, 'route_not_in_site' AS kind, concat('{before}', coalesce(target, '(unresolved)'), '{after}') AS message FROM j WHERE own AND NOT has
-      UNION ALL SELECT site, source_type, url, CASE WHEN own THEN target END, 'missing_canonical_entity', '{NO_LABEL}' FROM j WHERE {about('label')}
-      UNION ALL SELECT site, source_type, url, target, 'descriptor_gap', '{NO_DESCRIPTOR}' FROM j WHERE own AND {about('descriptor')}
-      UNION ALL SELECT j.site, source_type, url, CASE WHEN own THEN target END, 'forbidden_terminology', concat('record uses forbidden term ''', f.term, ''' instead of preferred ''', coalesce(f.preferred, ''), '''') FROM j JOIN facts f ON f.site = j.site AND f.kind = 'forbidden' AND contains(j.t, {low('f.term')})"""
-    sources = f"{trust} SELECT site, source_type, count(*) AS rows, count(*) FILTER (WHERE own AND has) AS matched_routes, count(*) FILTER (WHERE NOT own) AS offsite FROM j GROUP BY site, source_type"
+    trust = f"WITH {p.base()}, {trust_ctes(p)}"
+    issues = f"{trust} SELECT * FROM issues"
+    sources = f"{trust} SELECT * FROM sources"
     quoted = lambda x: x.replace("'", "''")
     triggers = ", ".join(f"({nr}, '{x}')" for nr, x in enumerate(TRIGGERS))
     told = f"array_to_string(list_filter(regexp_split_to_array(sample, '\\s+'), lambda w: w <> '')[1:{TOLD}], ' ')"

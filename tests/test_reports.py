@@ -119,7 +119,7 @@ def page(route, title, body, kind="generic"):
 def intel(spark, rows, blocks=()):
     pages = spark.createDataFrame(rows, "site string, path string, route string, page_kind string, html string, title string, h1_texts array<string>, blocks array<string>")
     block = spark.createDataFrame(list(blocks), "site string, path string, text string")
-    ld = spark.createDataFrame([], "site string, path string, vals array<struct<obj:int,depth:int,key:string,kind:string,value:string>>")
+    ld = spark.createDataFrame([], "site string, path string, vals array<struct<obj:int,block:int,depth:int,key:string,kind:string,value:string>>")
     return pages, block, ld
 
 
