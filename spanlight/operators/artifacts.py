@@ -18,7 +18,10 @@ NL = "\n"
 
 
 def relations(p) -> str:
-    """``artifacts``, from the view ``site_files(site, kind, text)`` or stand-ins, and what is read from it: ``robots_lines``, ``map_facts``, ``map_routes``."""
+    """``artifacts``, from the view ``site_files(site, kind, text)`` or stand-ins, and what is read from it: ``robots_lines``, ``map_facts``, ``map_routes``.
+
+    Of given files the sets are those of operators.sitemaps, in the views site_map_sets and site_map_routes.
+    """
     d, t = p.d, p.t
     lines = d.keep(d.each(d.split("robots_text", NL), d.fn("x", t.lower(t.trim(d.sub("x", "#.*", ""))))), d.fn("y", "y <> ''"))
     within = lambda tag: d.each(d.all("sitemap_text", f"(?s)<{tag}>(.*?)</{tag}>", 1), d.fn("x", t.trim("x")))
@@ -29,11 +32,14 @@ def relations(p) -> str:
         made = f"SELECT s.site, f.robots_text, f.sitemap_text, f.llms_text FROM (SELECT DISTINCT site FROM every WHERE site IS NOT NULL) s LEFT JOIN (SELECT site, {one('robots')}, {one('sitemap')}, {one('llms')} FROM site_files GROUP BY site) f ON s.site = f.site"
     else:
         made = stand_ins(loc)
+    is_list = d.like("sitemap_text", "<urlset")
+    listed = f"SELECT DISTINCT site, route FROM (SELECT site, {t.urlish('u')} AS route FROM ({d.rows('site', 'locs', 'u', f'(SELECT * FROM map_texts WHERE NOT is_index)')}) r) w WHERE route IS NOT NULL"
+    routes, broken = ("SELECT site, route FROM site_map_routes", "SELECT site, broken FROM site_map_sets") if p.files else (listed, f"SELECT site, NOT {d.like('sitemap_text', '<sitemapindex')} AND NOT {is_list} AS broken FROM map_texts WHERE sitemap_text IS NOT NULL")
     return f"""artifacts AS ({made}),
       robots_lines AS (SELECT site, {lines} AS lines FROM artifacts WHERE robots_text IS NOT NULL),
-      map_facts AS (SELECT *, sitemap_text IS NOT NULL AND NOT is_index AND NOT {d.like(low, '</urlset>|<urlset[^>]*/>')} OR is_index AND NOT {d.like(low, '</sitemapindex>')} AS broken FROM (
-        SELECT site, sitemap_text, {t.trim(low)} AS low, coalesce({d.like(low, '<sitemapindex')}, FALSE) AS is_index, {within('loc')} AS locs, {within('lastmod')} AS lastmods FROM artifacts) f),
-      map_routes AS (SELECT DISTINCT site, {t.urlish('u')} AS route FROM ({d.rows('site', 'locs', 'u', 'map_facts')}) r)"""
+      map_texts AS (SELECT site, sitemap_text, {t.trim(low)} AS low, coalesce({d.like(low, '<sitemapindex')}, FALSE) AS is_index, {within('loc')} AS locs, {within('lastmod')} AS lastmods FROM artifacts),
+      map_routes AS ({routes}),
+      map_facts AS (SELECT f.site, f.sitemap_text, f.low, f.is_index, f.lastmods, coalesce(b.broken, FALSE) AS broken, coalesce(c.n, 0) AS n_routes FROM map_texts f LEFT JOIN ({broken}) b ON f.site = b.site LEFT JOIN (SELECT site, count(*) AS n FROM map_routes GROUP BY site) c ON f.site = c.site)"""
 
 
 def stand_ins(loc) -> str:
@@ -74,18 +80,17 @@ def robots_findings(p) -> str:
 
 
 def sitemap_findings(p) -> str:
-    """MAP001-009.  A sitemap without its closing tag does not parse; of such a one only that is told, and so of one without addresses."""
+    """MAP001-009.  A set with a file that is neither an index nor a list is invalid; of such a one only that is told, and so of one without addresses."""
     d, t = p.d, p.t
     path = "'crawl/sitemap.xml'"
-    count = d.size("a.locs")
-    wrong = f"FROM map_facts a WHERE broken AND NOT (is_index AND {count} > 0) AND "
-    empty = f"FROM map_facts a WHERE NOT coalesce(broken, FALSE) AND NOT is_index AND "
-    good = f"NOT a.broken AND {count} > 0"
+    wrong = "FROM map_facts a WHERE broken AND "
+    empty = "FROM map_facts a WHERE NOT broken AND NOT is_index AND "
+    good = "NOT a.broken AND a.n_routes > 0"
     html, known = d.like("low", "<html|<!doctype html"), d.like("low", "<urlset|<sitemapindex")
     bad = d.keep("a.lastmods", d.fn("x", f"NOT {d.like('x', '^[0-9]{4}-[0-9]{2}-[0-9]{2}(T|$)')}"))
     return union(
         ("MAP001", "error", path, "'missing sitemap.xml'", empty + "sitemap_text IS NULL"),
-        ("MAP003", "error", path, "'sitemap set contains no URLs'", empty + f"sitemap_text IS NOT NULL AND {count} = 0"),
+        ("MAP003", "error", path, "'sitemap set contains no URLs'", empty + "sitemap_text IS NOT NULL AND n_routes = 0"),
         ("MAP005", "error", path, "'sitemap.xml exists but is empty'", wrong + "low = ''"),
         ("MAP006", "error", path, "'sitemap.xml returned HTML instead of sitemap XML'", wrong + html),
         ("MAP007", "error", path, "'sitemap.xml exists but is not recognizable sitemap XML'", wrong + f"low <> '' AND NOT {html} AND NOT {known}"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, parse, positions, reports, surfaces
+from spanlight.operators import artifacts, claims, parse, positions, reports, sitemaps, surfaces
 from spanlight.plans import surfaces_sql
 from spanlight.plans.catalogue import Plan
 from spanlight.sources.kept import shared_folder
@@ -22,7 +22,7 @@ KNOWN = {"agent_discovery", "policy", "route_kinds", "rules"}
 
 def named_apart(text: str, mark: str) -> str:
     """The text with the names of an audit's views marked, so that audits of one session don't share any."""
-    return re.sub(r"\b(parsed_rich|parsed_links|parsed_blocks|parsed_ld_facts|parsed_ld|site_files)\b", rf"\1_{mark}", text)
+    return re.sub(r"\b(parsed_rich|parsed_links|parsed_blocks|parsed_ld_facts|parsed_ld|site_files|site_map_sets|site_map_routes)\b", rf"\1_{mark}", text)
 
 
 def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None, settings: dict | None = None, headers: DataFrame | None = None) -> DataFrame:
@@ -52,6 +52,14 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
 
     pages.select("page_id", "url", "html").createOrReplaceTempView(f"pages_{mark}")
     (spark.createDataFrame([], FILES) if files is None else files.select("site", "kind", "text")).createOrReplaceTempView(f"site_files_{mark}")
+    own = "SELECT site, CASE kind WHEN 'robots' THEN 'robots.txt' WHEN 'sitemap' THEN 'sitemap.xml' WHEN 'llms' THEN 'llms.txt' ELSE kind END AS path, text FROM site_files"
+
+    def save(rows: DataFrame, name: str) -> DataFrame:
+        keep(rows, f"sitemap_{name}")
+        return spark.table(f"sitemap_{name}_{mark}")
+
+    for rows, name in zip(sitemaps.sitemap_sets(spark.sql(named_apart(own, mark)), save), ("site_map_sets", "site_map_routes"), strict=True):
+        rows.createOrReplaceTempView(f"{name}_{mark}")
     parsed = parse.parsed(f"SELECT * FROM pages_{mark}")
     keep(spark.sql(f"WITH parsed_pages AS ({parsed}) {parse.ranked('parsed_pages')}"), "parsed_rich")
     json_ld.register(spark)
@@ -61,7 +69,6 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
     found = spark.sql(named_apart(f"{plan.findings(*parts)}, {plan.spots()} SELECT site, rule_id, severity, path, message, line, col FROM ({positions.located(plan)}) x", mark))
     head = f"WITH {plan.base()}, {artifacts.relations(plan)}"
     read = lambda text: spark.sql(named_apart(plan.sql(f"{head} {text}"), mark))
-    own = "SELECT site, CASE kind WHEN 'robots' THEN 'robots.txt' WHEN 'sitemap' THEN 'sitemap.xml' WHEN 'llms' THEN 'llms.txt' ELSE kind END AS path, text FROM site_files"
     site, links, known = spark.table(f"parsed_rich_{mark}").where("place = 1"), spark.table(f"parsed_links_{mark}").where("place = 1"), read(surfaces_sql.known(plan, f"({own})"))
     paths, llms = read(own), read("SELECT site, llms_text AS text FROM artifacts WHERE llms_text IS NOT NULL")
     sent = (spark.createDataFrame([], HEADERS) if headers is None else headers).select("site", "route", "name", "value")

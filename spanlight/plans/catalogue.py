@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, positions, reports, rules, structured, suggestions, surfaces
+from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, positions, reports, rules, sitemaps, structured, suggestions, surfaces
 from spanlight.plans import facts_sql, intelligence_sql, suggestions_sql, surfaces_sql
 from spanlight.sources.kept import kept, shared_folder
 
@@ -489,7 +489,14 @@ def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         save = lambda rows, name: kept(spark, (f"link_{name}", sf_dir), lambda: rows)
         return link_suggestions.link_suggestions(pages(spark, sf_dir), spark.table("parsed_blocks"), spark.table("parsed_links"), save)
 
+    def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages(spark, sf_dir).createOrReplaceTempView("site_of_maps")
+        files = spark.sql(suggestions_sql.sitemap_files().replace("FROM site)", "FROM site_of_maps)").replace("FROM site GROUP", "FROM site_of_maps GROUP"))
+        found, routes = sitemaps.sitemap_sets(files, lambda rows, name: kept(spark, (f"maps_{name}", sf_dir), lambda: rows))
+        return found.join(routes, "site", "left")
+
     return {
+        "sitemap_sets": sets,
         "link_suggestions": suggested,
         "schema_suggestions": lambda s, d: suggestions.schema_suggestions(pages(s, d)),
         "top_routes": lambda s, d: suggestions.top_routes(pages(s, d), s.table("parsed_links")),

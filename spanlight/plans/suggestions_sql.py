@@ -20,6 +20,15 @@ def stand_ins() -> dict[str, str]:
     }
 
 
+def sitemap_files() -> str:
+    """Stand-in sets of sitemaps over site: an index of indexes and lists, some in a circle, some broken."""
+    base = "concat('https://', site, '/"
+    page = f"concat('<urlset><url><loc> ', {base}', route, ' </loc></url></urlset>'))"
+    return f"""SELECT site, 'sitemap.xml' AS path, CASE WHEN length(site) % 4 = 0 THEN {base}x</loc><urlset><loc>/one</loc>') ELSE concat('<sitemapindex><loc>', {base}maps/a.xml?x</loc><loc>'), {base}sitemap.xml#y</loc><loc>/gone.xml</loc>')) END AS text FROM (SELECT DISTINCT site FROM site) s
+      UNION ALL SELECT site, 'a.xml', CASE WHEN length(site) % 5 = 0 THEN '<html></html>' ELSE '<sitemapindex><loc>b0.xml</loc><loc>b1.xml</loc><loc>b2.xml</loc><loc>sitemap.xml</loc></sitemapindex>' END FROM (SELECT DISTINCT site FROM site) s
+      UNION ALL SELECT site, CASE nr WHEN 0 THEN 'b0.xml' WHEN 1 THEN 'b1.xml' ELSE 'unlisted.xml' END, {page} FROM (SELECT site, min(route) AS route, page_id % 3 AS nr FROM site GROUP BY site, page_id % 3) g"""
+
+
 def trust_ctes(p) -> str:
     """Records of other sites, what is wrong with them, and their counts: issues and sources."""
     made = stand_ins()
@@ -57,6 +66,14 @@ def texts(p) -> dict[str, str]:
       w AS (SELECT *, substr(t, 1 + CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) AS BIGINT) + i * length(trigger), {WINDOW}) AS sample FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM c) q)
       SELECT site, 'CNT006' AS rule_id, 'warning' AS severity, path, concat('{quoted(BEFORE)}', arg_min(concat(trigger, {told}), nr * 1000000 + i), '{quoted(AFTER)}') AS message FROM w
       WHERE regexp_matches(sample, '{any_word(ABSTRACT)}') AND NOT regexp_matches(sample, '{quoted(any_word(CONCRETE))}') AND NOT regexp_matches(sample, '{quoted(SPECIFIC)}') GROUP BY site, path"""
+    nested = "regexp_extract(regexp_extract(loc, '^([^?#]*)', 1), '([^/]*)$', 1)"
+    maps = f"""WITH RECURSIVE {p.base()}, files AS MATERIALIZED ({sitemap_files()}),
+      named AS MATERIALIZED (SELECT site, path, {nested} AS child FROM (SELECT site, path, trim(unnest(regexp_extract_all(text, '<loc>((?s:.*?))</loc>', 1))) AS loc FROM files WHERE contains(text, '<sitemapindex')) q),
+      reached AS (SELECT site, path FROM files WHERE path = 'sitemap.xml' UNION SELECT n.site, n.child FROM reached r JOIN named n ON r.site = n.site AND r.path = n.path JOIN files f ON f.site = n.site AND f.path = n.child),
+      read AS MATERIALIZED (SELECT f.* FROM (SELECT DISTINCT site, path FROM reached) r JOIN files f ON r.site = f.site AND r.path = f.path),
+      sets AS (SELECT site, count(*) AS files_read, bool_or(NOT contains(text, '<sitemapindex') AND NOT contains(text, '<urlset')) AS broken FROM read GROUP BY site),
+      found AS (SELECT DISTINCT site, {p.t.urlish('loc')} AS route FROM (SELECT site, trim(unnest(regexp_extract_all(text, '<loc>((?s:.*?))</loc>', 1))) AS loc FROM read WHERE contains(text, '<urlset') AND NOT contains(text, '<sitemapindex')) q)
+      SELECT s.site, files_read, broken, CASE WHEN broken THEN NULL ELSE f.route END AS route FROM sets s LEFT JOIN found f ON s.site = f.site AND NOT broken AND f.route IS NOT NULL"""
     said = f"concat_ws(' ', data_ui, CASE WHEN has_heading OR strlen(text) > {BLOCK_BYTES} THEN array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:{BLOCK_WORDS}], ' ') END)"
     word = lambda x: f"unnest(regexp_extract_all({low(x)}, '[a-z0-9]+'))"
     (few, high), (some, weak) = FEW_LINKS
@@ -68,4 +85,4 @@ def texts(p) -> dict[str, str]:
         FROM bags a JOIN bags b ON a.site = b.site AND a.route <> b.route LEFT JOIN inbound i ON b.site = i.site AND b.route = i.route
         WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.place = 1 AND l.site = a.site AND l.relative_path = a.relative_path AND l.target = b.route))
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, route ORDER BY score DESC, target) AS place FROM met WHERE score >= {LEAST_POINTS}) q WHERE place <= {TOLD}"""
-    return {"link_suggestions": suggested, "rules_claims": claims, "schema_suggestions": schema, "top_routes": top, "trust_issues": issues, "trust_sources": sources}
+    return {"sitemap_sets": maps, "link_suggestions": suggested, "rules_claims": claims, "schema_suggestions": schema, "top_routes": top, "trust_issues": issues, "trust_sources": sources}

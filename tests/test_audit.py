@@ -107,7 +107,7 @@ def test_robots_groups(spark):
 
 def test_sitemap_kinds(spark):
     page = [("https://a.example/a", '<link rel="canonical" href="https://a.example/a">')]
-    kinds = {" ": "MAP005", "<html>": "MAP006", "text": "MAP007", "<urlset>": "MAP002", "<urlset></urlset>": "MAP003"}
+    kinds = {" ": "MAP005", "<html>": "MAP006", "text": "MAP007", "<URLSET>": "MAP002", "<urlset>": "MAP003", "<urlset></urlset>": "MAP003"}
     for text, rule in kinds.items():
         assert [r for r, _ in findings(spark, page, "sitemap", sitemap=text)] == [rule]
     good = "<urlset><url><loc>https://a.example/{}</loc>{}</url></urlset>"
