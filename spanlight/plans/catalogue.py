@@ -13,7 +13,8 @@ from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
 from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, positions, reports, rules, sitemaps, structured, suggestions, surfaces
 from spanlight.plans import facts_sql, intelligence_sql, suggestions_sql, surfaces_sql
-from spanlight.sources.kept import kept, shared_folder
+from spanlight.sources.kept import folder, kept, shared_folder
+from spanlight.streaming import crawl
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -471,6 +472,58 @@ def surface_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Bounds of the queries' crawl.
+CRAWLED, RETRIES, DEEPEST = 12, 1, 40
+
+
+def crawl_inputs() -> dict[str, str]:
+    """Stand-in starts and attempts over site, alike in both engines: a site's first route, and attempts that fail by page_id."""
+    return {
+        "starts": "SELECT site, min(route) AS route FROM site GROUP BY site",
+        "fetches": "SELECT site, route, CAST(1 AS INT) AS attempt, page_id % 5 <> 0 AS ok, CAST(page_id % 97 AS BIGINT) AS fetch_ms, CAST(page_id % 7 AS BIGINT) AS process_ms FROM site UNION ALL SELECT site, route, 2, page_id % 10 <> 0, CAST(page_id % 31 AS BIGINT), 1 FROM site WHERE page_id % 5 = 0 UNION ALL SELECT site, route, 3, TRUE, 1, 1 FROM site WHERE page_id % 5 = 0",
+    }
+
+
+def crawl_texts(p: Plan) -> dict[str, str]:
+    made = crawl_inputs()
+    head = f"""WITH RECURSIVE {p.base()}, links AS MATERIALIZED ({p.links()}), fetches AS ({made['fetches']}),
+      ends AS (SELECT site, route, min(attempt) FILTER (WHERE ok) AS won, max(attempt) AS most FROM fetches WHERE attempt BETWEEN 1 AND {1 + RETRIES} GROUP BY ALL),
+      done AS MATERIALIZED (SELECT e.site, e.route, won IS NOT NULL AS ok, coalesce(won, most) AS attempts, CAST(sum(f.fetch_ms) AS BIGINT) AS fetch_ms, CAST(sum(f.process_ms) AS BIGINT) AS process_ms FROM ends e JOIN fetches f ON e.site = f.site AND e.route = f.route AND f.attempt <= coalesce(won, most) GROUP BY ALL),
+      edges AS MATERIALIZED (SELECT DISTINCT l.site, l.route, l.target FROM links l JOIN done d ON l.site = d.site AND l.route = d.route WHERE d.ok AND l.place = 1 AND l.target IS NOT NULL),
+      walked AS (SELECT site, route, 0 AS depth FROM ({made['starts']}) s UNION SELECT w.site, e.target, w.depth + 1 FROM walked w JOIN edges e ON w.site = e.site AND w.route = e.route WHERE w.depth < {DEEPEST}),
+      ranked AS MATERIALIZED (SELECT site, route, depth, row_number() OVER (PARTITION BY site ORDER BY depth, route) AS place FROM (SELECT site, route, min(depth) AS depth FROM walked GROUP BY ALL) q),
+      seen AS MATERIALIZED (SELECT r.*, d.ok, d.attempts, d.fetch_ms, d.process_ms FROM ranked r LEFT JOIN done d ON r.site = d.site AND r.route = d.route WHERE place <= {CRAWLED})"""
+    return {
+        "crawl_visited": f"{head} SELECT site, route, depth, place FROM seen",
+        "crawl_stats": f"""{head} SELECT *, fetch_ms // visited_pages AS average_fetch_ms, process_ms // visited_pages AS average_process_ms, coalesce(visited_pages * 60000 // nullif(fetch_ms + process_ms, 0), 0) AS pages_per_minute FROM (SELECT site, count(*) AS visited_pages, count(*) FILTER (WHERE NOT coalesce(ok, FALSE)) AS fetch_failures, CAST(coalesce(sum(attempts - 1), 0) AS BIGINT) AS fetch_retries, CAST(coalesce(sum(fetch_ms), 0) AS BIGINT) AS fetch_ms, CAST(coalesce(sum(process_ms), 0) AS BIGINT) AS process_ms FROM seen GROUP BY site) q""",
+        "crawl_slowest": f"{head} SELECT * FROM (SELECT site, route, fetch_ms, process_ms, row_number() OVER (PARTITION BY site ORDER BY fetch_ms + process_ms DESC, route) AS place FROM seen WHERE fetch_ms IS NOT NULL) q WHERE place <= {crawl.SLOWEST}",
+        "crawl_failures": f"{head} SELECT site, 'CRW001' AS rule_id, 'error' AS severity, CASE WHEN route = '' THEN 'crawl/index.html' ELSE concat('crawl/', route, '/index.html') END AS path, concat('{crawl.UNFETCHED}https://', site, '/', route) AS message FROM seen WHERE NOT coalesce(ok, FALSE)",
+    }
+
+
+def crawl_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """A crawl along the pages' links that is stopped after its first step and taken up again."""
+
+    def crawled(spark: SparkSession, sf_dir: str) -> tuple[crawl.Crawl, DataFrame]:
+        prepare(spark, sf_dir, "parsed_rich parsed_links")
+        spark.table("parsed_rich").where("place = 1").createOrReplaceTempView("site_of_crawl")
+        made = {k: spark.sql(v.replace("FROM site ", "FROM site_of_crawl ")) for k, v in crawl_inputs().items()}
+        done = kept(spark, ("crawl_done", sf_dir), lambda: crawl.outcomes(made["fetches"], RETRIES))
+        whole = crawl.Crawl(spark, folder(spark, ("crawl", sf_dir)), CRAWLED)
+        edges = spark.table("parsed_links").where("place = 1 AND target IS NOT NULL").select("site", "route", "target")
+        if not whole.steps():
+            whole.advance(made["starts"], edges, done, most=1)
+        whole.advance(made["starts"], edges, done)
+        return whole, done
+
+    return {
+        "crawl_visited": lambda s, d: crawled(s, d)[0].visited(),
+        "crawl_stats": lambda s, d: (lambda c, done: c.stats(done).drop("queued_pages"))(*crawled(s, d)),
+        "crawl_slowest": lambda s, d: (lambda c, done: c.slowest(done))(*crawled(s, d)),
+        "crawl_failures": lambda s, d: (lambda c, done: c.findings(done).where("rule_id = 'CRW001'"))(*crawled(s, d)),
+    }
+
+
 def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark, sf_dir, "parsed_rich parsed_links")
@@ -507,9 +560,9 @@ def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | facts_queries() | surface_queries() | suggestion_queries()
+    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | facts_queries() | crawl_queries() | surface_queries() | suggestion_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     p = Plan(duckdb=True)
-    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | facts_sql.texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}
+    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | facts_sql.texts(p) | crawl_texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from spanlight.operators.claims import ABSTRACT, AFTER, BEFORE, CONCRETE, SPECIFIC, TOLD, TRIGGERS, WINDOW, any_word
-from spanlight.operators.link_suggestions import BLOCK_BYTES, BLOCK_WORDS, FEW_LINKS, LEAST_POINTS, PREFIX, TOLD
+from spanlight.operators.link_suggestions import BLOCK_BYTES, BLOCK_WORDS, FEW_LINKS, LEAST_POINTS, PREFIX
+from spanlight.operators.link_suggestions import TOLD as LINKS_TOLD
 from spanlight.operators.rules import THIN
 from spanlight.operators.suggestions import BARE, CHILD, HOST, NO_DESCRIPTOR, NO_LABEL, NO_ROUTE, TOP_ROUTES
 from spanlight.plans.intelligence_sql import listed, low
@@ -84,5 +85,5 @@ def texts(p) -> dict[str, str]:
       met AS (SELECT a.site, a.route, b.route AS target, coalesce(len(list_intersect(a.bag, b.bag)), 0) + CASE WHEN split_part(a.route, '/', 1) = split_part(b.route, '/', 1) THEN {PREFIX} ELSE 0 END + CASE WHEN coalesce(i.n, 0) < {few} THEN {high} WHEN i.n < {some} THEN {weak} ELSE 0 END AS score
         FROM bags a JOIN bags b ON a.site = b.site AND a.route <> b.route LEFT JOIN inbound i ON b.site = i.site AND b.route = i.route
         WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.place = 1 AND l.site = a.site AND l.relative_path = a.relative_path AND l.target = b.route))
-      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, route ORDER BY score DESC, target) AS place FROM met WHERE score >= {LEAST_POINTS}) q WHERE place <= {TOLD}"""
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, route ORDER BY score DESC, target) AS place FROM met WHERE score >= {LEAST_POINTS}) q WHERE place <= {LINKS_TOLD}"""
     return {"sitemap_sets": maps, "link_suggestions": suggested, "rules_claims": claims, "schema_suggestions": schema, "top_routes": top, "trust_issues": issues, "trust_sources": sources}

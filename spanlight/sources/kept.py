@@ -25,6 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
+def folder(spark: SparkSession, key: tuple[str, ...]) -> str:
+    """A folder of its own for each key of a session, dropped with the session."""
+    key = (spark.sparkContext.applicationId, "folder", *key)
+    if key not in _written:
+        path = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _written[key] = path
+    return _written[key]
+
+
 def kept(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
     """What make() gives, written at the first call of the session with this key and dropped with the session.
 
