@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, positions, reports, rules, sitemaps, structured, suggestions, surfaces
+from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, positions, reports, rules, sitemaps, structured, submissions, suggestions, surfaces
 from spanlight.plans import facts_sql, intelligence_sql, suggestions_sql, surfaces_sql
 from spanlight.sources.kept import folder, kept, shared_folder
 from spanlight.streaming import crawl
@@ -524,6 +524,49 @@ def crawl_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Addresses of the queries' payloads, and batches of a site that are tried again.
+PACKED, AGAIN = 3, 2
+
+
+def submission_inputs() -> dict[str, str]:
+    """Stand-in addresses and a ledger over site, alike in both engines: some addresses odd, attempts that fail by page_id."""
+    url = "concat('https://', site, '/', route)"
+    return {
+        "addresses": f"SELECT site, CASE page_id % 9 WHEN 1 THEN concat(' ', {url}, ' ') WHEN 2 THEN concat('ftp://', site, '/', route) WHEN 3 THEN 'https://other.example/x' WHEN 4 THEN route WHEN 5 THEN ' ' ELSE {url} END AS url FROM site UNION ALL SELECT site, {url} FROM site ",
+        "ledger": f"SELECT CAST(NULL AS TIMESTAMP) AS submitted_at, CAST(n AS INT) AS attempt, CASE WHEN page_id % 2 = 0 THEN 'https://one.example' ELSE 'https://two.example' END AS endpoint, site, concat('d', CAST(page_id % 4 AS STRING)) AS digest, route, CASE (page_id + n) % 5 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 404 END AS status_code, CASE WHEN (page_id + n) % 5 = 4 THEN 'timed out' END AS error FROM (SELECT *, page_id % 3 AS n FROM site) s",
+    }
+
+
+def submission_texts(p: Plan) -> dict[str, str]:
+    made, address = submission_inputs(), submissions.ADDRESS
+    head = f"WITH {p.base()}, urls AS MATERIALIZED (SELECT DISTINCT site, trim(url) AS url FROM ({made['addresses']}) q WHERE trim(url) <> ''), parts AS (SELECT *, lower(regexp_extract(url, '{address}', 1)) AS scheme, lower(regexp_extract(url, '{address}', 2)) AS host FROM urls)"
+    ledger = f"WITH {p.base()}, entries AS ({made['ledger'].replace(', route, CASE', ', [route] AS urls, CASE')}), numbered AS (SELECT *, row_number() OVER (PARTITION BY endpoint, site, digest ORDER BY attempt DESC, urls DESC) AS nr FROM entries)"
+    again = "status_code IS NULL OR status_code = 429 OR status_code >= 500"
+    return {
+        "submission_rejected": f"{head} SELECT site, url, 'invalid URL' AS error FROM parts WHERE host = '' UNION ALL SELECT site, url, 'must use http or https' FROM parts WHERE host <> '' AND scheme NOT IN ('http', 'https') UNION ALL SELECT site, url, 'is not owned by the site' FROM parts WHERE host <> '' AND host <> site",
+        "submission_batches": f"{head}, good AS (SELECT site, url, (row_number() OVER (PARTITION BY site ORDER BY url) - 1) // {PACKED} AS number FROM parts WHERE host = site AND scheme IN ('http', 'https')) SELECT site, number, count(*) AS n_urls, sha256(string_agg(url, chr(10) ORDER BY url)) AS digest FROM good GROUP BY site, number",
+        "submission_retries": f"{ledger} SELECT site, endpoint, digest, attempt, place FROM (SELECT site, endpoint, digest, attempt + 1 AS attempt, row_number() OVER (PARTITION BY site ORDER BY endpoint, urls) AS place FROM numbered WHERE nr = 1 AND ({again})) q WHERE place <= {AGAIN}",
+    }
+
+
+def submission_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+        prepare(spark, sf_dir, "parsed_rich")
+        spark.table("parsed_rich").where("place = 1").createOrReplaceTempView("site_of_submissions")
+        return spark.sql(submission_inputs()[name].replace("FROM site ", "FROM site_of_submissions ").replace("FROM site)", "FROM site_of_submissions)").replace("FROM site UNION", "FROM site_of_submissions UNION") + " ")
+
+    def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # Of what one attempt's number has several of, the last address stands for the batch.
+        rows = made(spark, sf_dir, "ledger").withColumn("urls", F.array("route")).drop("route")
+        return rows.groupBy("attempt", "endpoint", "site", "digest").agg(F.max_by(F.struct("submitted_at", "urls", "status_code", "error"), "urls").alias("r")).select("attempt", "endpoint", "site", "digest", "r.*")
+
+    return {
+        "submission_rejected": lambda s, d: submissions.rejected(made(s, d, "addresses")),
+        "submission_batches": lambda s, d: submissions.batches(made(s, d, "addresses"), PACKED).select("site", "number", F.size("urls").alias("n_urls"), "digest"),
+        "submission_retries": lambda s, d: submissions.retries(ledger(s, d), AGAIN).select("site", "endpoint", "digest", "attempt", "place"),
+    }
+
+
 def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark, sf_dir, "parsed_rich parsed_links")
@@ -560,9 +603,9 @@ def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | facts_queries() | crawl_queries() | surface_queries() | suggestion_queries()
+    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | facts_queries() | crawl_queries() | submission_queries() | surface_queries() | suggestion_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     p = Plan(duckdb=True)
-    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | facts_sql.texts(p) | crawl_texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}
+    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | facts_sql.texts(p) | crawl_texts(p) | submission_texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}
