@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, parse, positions, reports, sitemaps, surfaces
+from spanlight.operators import artifacts, claims, identity, parse, positions, reports, sitemaps, surfaces
 from spanlight.plans import surfaces_sql
 from spanlight.plans.catalogue import Plan
 from spanlight.sources.kept import shared_folder
@@ -74,6 +74,7 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
     sent = (spark.createDataFrame([], HEADERS) if headers is None else headers).select("site", "route", "name", "value")
     more = [
         claims.generic_findings(site),
+        identity.identity_findings(site, spark.table(f"parsed_ld_{mark}")),
         surfaces.surface_findings(site, links, known, llms),
         surfaces.well_known_findings(surfaces.capabilities(site, spark.table(f"parsed_ld_{mark}"), paths, sent, llms), paths),
         surfaces.header_findings(site, sent, read("SELECT site, route FROM map_routes"), read("SELECT site FROM artifacts WHERE robots_text IS NOT NULL")),

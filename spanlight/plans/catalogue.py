@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
-from spanlight.operators import artifacts, claims, elements, facts, intelligence, link_suggestions, parse, positions, reports, rules, sitemaps, structured, submissions, suggestions, surfaces
-from spanlight.plans import facts_sql, intelligence_sql, suggestions_sql, surfaces_sql
+from spanlight.operators import artifacts, claims, elements, facts, identity, intelligence, link_suggestions, parse, positions, reports, rules, sitemaps, structured, submissions, suggestions, surfaces
+from spanlight.plans import facts_sql, identity_sql, intelligence_sql, suggestions_sql, surfaces_sql
 from spanlight.sources.kept import folder, kept, shared_folder
 from spanlight.streaming import crawl
 
@@ -524,6 +524,21 @@ def crawl_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def identity_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def over(function: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark, sf_dir, "parsed_rich parsed_ld")
+            return function(spark.table("parsed_rich").where("place = 1"), spark.table("parsed_ld"))
+
+        return query
+
+    return {
+        "page_identity": over(lambda pages, ld: identity.identities(pages, ld).select("site", "route", "identity", "source", F.size("drift").alias("n_drift"))),
+        "identity_drift": over(lambda pages, ld: identity.drift_rows(identity.identities(pages, ld))),
+        "rules_identity": over(identity.identity_findings),
+    }
+
+
 #: Addresses of the queries' payloads, and batches of a site that are tried again.
 PACKED, AGAIN = 3, 2
 
@@ -603,9 +618,9 @@ def suggestion_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | facts_queries() | crawl_queries() | submission_queries() | surface_queries() | suggestion_queries()
+    return {name: partial(run, name) for name in texts(duckdb=False)} | report_queries() | intelligence_queries() | facts_queries() | crawl_queries() | submission_queries() | identity_queries() | surface_queries() | suggestion_queries()
 
 
 def oracle_sql() -> dict[str, str]:
     p = Plan(duckdb=True)
-    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | facts_sql.texts(p) | crawl_texts(p) | submission_texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}
+    return texts(duckdb=True) | {k: p.sql(v) for k, v in (report_texts() | intelligence_sql.texts(p) | facts_sql.texts(p) | crawl_texts(p) | submission_texts(p) | identity_sql.texts(p) | surfaces_sql.texts(p) | suggestions_sql.texts(p)).items()}
