@@ -45,6 +45,8 @@ BLOCK_RULES = (
     ("GEO004", "warning", "tag = 'section' AND NOT has_heading", "'<section> is missing a heading'"),
     ("GEO007", "warning", "has_heading AND bytes < 120 AND NOT (supporting AND strong_blocks > 0)", "'semantic block is too thin to answer a focused query'"),
 )
+#: Rules over machine surfaces that hold of a whole site.
+SITEWIDE = ("SRF001", "SRF002", "SRF003", "SRF006", "SRF010", "SRF011", "SRF015", "SRF016", "SRF020", "SRF021", "SRF025", "SRF026", "AGT001", "AGT002", "LNK020")
 CLASSES = {"SEO": ("hard", "high"), "LNK": ("hard", "high"), "MAP": ("hard", "high"), "SOC": ("hard", "high"), "A11Y": ("hard", "high"), "ROB": ("policy", "high"), "SRF": ("policy", "high"), "DEP": ("policy", "high"), "SCH": ("policy", "medium"), "LLM": ("policy", "medium"), "CNT": ("policy", "medium"), "QLT": ("policy", "medium"), "AGT": ("policy", "medium"), "CRW": ("heuristic", "low"), "GEO": ("heuristic", "low")}
 LAYERS = {"retrievability": ("LNK", "MAP", "ROB", "SRF", "CRW", "AGT"), "absorbability": ("LLM",), "entity_legitimacy": ("FACTS",), "accessibility": ("A11Y",)}
 GROUPS = {"SEO": "HTML Metadata", "LNK": "Internal Links", "MAP": "Sitemaps", "ROB": "Robots", "SOC": "Social Metadata", "SCH": "Structured Data", "LLM": "LLM Artifacts", "CNT": "Content Policy", "GEO": "Retrieval Structure", "CRW": "Runtime Crawl", "DEP": "Deployment Model", "QLT": "Internal Quality"}
@@ -76,4 +78,5 @@ def group() -> str:
 
 
 def sitewide() -> str:
-    return f"({prefix()} IN ('MAP', 'ROB', 'LLM', 'DEP', 'QLT') OR rule_id IN ('SCH009', 'SEO011', 'SEO017', 'CRW003'))"
+    alone = ", ".join(f"'{r}'" for r in ("SCH009", "SEO011", "SEO017", "CRW003", *SITEWIDE))
+    return f"({prefix()} IN ('MAP', 'ROB', 'LLM', 'DEP', 'QLT') OR rule_id IN ({alone}))"

@@ -70,8 +70,6 @@ SURFACE_MESSAGES = {
 }
 NO_LINK_HEADER = "homepage response sends no Link headers; agents can't discover related resources (api-catalog, service-doc, …) via RFC 8288"
 NOINDEX_LISTED = "page is listed in sitemap.xml but declares noindex via X-Robots-Tag"
-#: Rules here whose findings are of the whole site, however often they are told.
-SITEWIDE = ("SRF001", "SRF002", "SRF003", "SRF006", "SRF010", "SRF011", "SRF015", "SRF016", "SRF020", "SRF021", "SRF025", "SRF026", "AGT001", "AGT002", "LNK020")
 TEXT = Text(Spark())
 
 

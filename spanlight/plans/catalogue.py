@@ -204,10 +204,17 @@ def metrics(k: int) -> str:
     return f"SELECT concat('phase.', event_type, '.elapsed_ms') AS metric, 'ms' AS unit, 'lower_is_better' AS direction, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS value FROM events WHERE event_id % 2 = {k} GROUP BY event_type UNION ALL SELECT concat('crawl.', event_type, '.per_minute'), 'per_minute', 'higher_is_better', count(*) FROM events WHERE event_id % 3 = {k} GROUP BY event_type"
 
 
+def whole_audit(p: Plan) -> str:
+    """The oracle's head whose table ``findings`` has those of all rules that are on by default."""
+    apart = suggestions_sql.texts(p) | surfaces_sql.texts(p) | identity_sql.texts(p)
+    more = "".join(f" UNION ALL SELECT site, rule_id, severity, path, message FROM ({apart[name]}) {name}" for name in APART)
+    return f"WITH first AS ({p.findings()}{FINDING}), findings AS MATERIALIZED (SELECT * FROM first{more}) "
+
+
 def report_texts() -> dict[str, str]:
     """The reports' SQL for the oracle; the reports themselves are DataFrame functions."""
     p = Plan(duckdb=True)
-    every = p.findings()
+    every = whole_audit(p)
     error, warning = "sum(CASE WHEN severity <> 'warning' THEN 1 ELSE 0 END)", "sum(CASE WHEN severity = 'warning' THEN 1 ELSE 0 END)"
     heuristic = f"{rules.rule_class()} = 'heuristic'"
     layers = " UNION ALL ".join(f"SELECT '{x}' AS layer" for x in reports.LAYERS)
@@ -236,6 +243,8 @@ def report_texts() -> dict[str, str]:
 
 
 SHARES = (0.5, 0.75, 0.95, 0.99)
+#: Queries whose findings are part of the whole audit beside those of Plan.parts().
+APART = ("rules_claims", "rules_surfaces", "rules_well_known", "rules_headers", "rules_identity")
 
 
 def percentiles(events: DataFrame, scratch: str) -> DataFrame:
@@ -282,8 +291,8 @@ def texts(duckdb: bool) -> dict[str, str]:
         "rules_structured": f"{p.findings('structured')}{FINDING}",
         "rules_optional": f"{p.findings('page_optional', 'structured_optional')}{FINDING}",
         "finding_positions": f"{p.findings('block', 'link', 'image', 'control')}, {p.spots()} SELECT site, rule_id, path, message, line, col FROM ({positions.located(p)}) x",
-        "audit_findings": f"{p.findings()}{FINDING}",
-        "audit_summary": f"{p.findings()}{GROUPED}",
+        "audit_findings": f"{whole_audit(p) if duckdb else p.findings()}{FINDING}",
+        "audit_summary": f"{whole_audit(p) if duckdb else p.findings()}{GROUPED}",
         "phase_shares": f"SELECT event_type, n, CAST(floor(n * 10000 / total) AS BIGINT) AS basis_points FROM (SELECT event_type, n, sum(n) OVER () AS total FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) a) b",
         "trend_delta": f"SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS was, coalesce(b.n, 0) AS now, CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'lost' WHEN b.n > a.n THEN 'increased' WHEN b.n < a.n THEN 'decreased' ELSE 'unchanged' END AS status FROM (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY user_id) a FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY user_id) b ON a.user_id = b.user_id",
         "citation_rollup": f"{raw}SELECT site, route, count(*) AS rows, sum(page_id % 5 + 1) AS citations, max(page_id) AS last_page FROM every GROUP BY site, route",
@@ -326,11 +335,20 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text)
 
 
-def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole audit's findings, written once a session, as every report reads them."""
+def found_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit's findings: those of the parts, and of the rules that are DataFrame functions."""
     text = texts(duckdb=False)["audit_findings"]
     prepare(spark, sf_dir, text)
-    return kept(spark, ("findings", sf_dir), partial(spark.sql, text))
+    found = spark.sql(text)
+    more = surface_queries() | suggestion_queries() | identity_queries()
+    for name in APART:
+        found = found.unionByName(more[name](spark, sf_dir).select("site", "rule_id", "severity", "path", "message"))
+    return found
+
+
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit's findings, written once a session, as every report reads them."""
+    return kept(spark, ("findings", sf_dir), lambda: found_anew(spark, sf_dir))
 
 
 def stand_in(spark: SparkSession, sf_dir: str, table: str, text: str) -> DataFrame:
@@ -345,6 +363,8 @@ def placed(findings: DataFrame) -> DataFrame:
 def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = {"summary_counts": reports.summary, "summary_by_layer": reports.by_layer, "rule_mix": reports.mix, "rule_metadata": reports.by_rule, "finding_scopes": reports.by_scope, "finding_clusters": reports.clusters, "repeated_issues": reports.repeated, "largest_groups": reports.largest_groups, "search_export": reports.search_export}
     out = {name: partial(lambda f, spark, sf_dir: f(all_findings(spark, sf_dir)), f) for name, f in plain.items()}
+    out["audit_findings"] = all_findings
+    out["audit_summary"] = lambda spark, sf_dir: all_findings(spark, sf_dir).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("site").alias("sites"))
     out["finding_scope"] = lambda spark, sf_dir: reports.with_scope(all_findings(spark, sf_dir)).select("site", "rule_id", "path", "message", "scope")
     out["policy_applied"] = lambda spark, sf_dir: reports.apply_policy(all_findings(spark, sf_dir), POLICY, ROUTE_KINDS)
     out["finding_diff"] = lambda spark, sf_dir: reports.diff(placed(all_findings(spark, sf_dir).where(WAS)), placed(all_findings(spark, sf_dir).where(NOW)))
