@@ -12,7 +12,7 @@ from spanlight.functions import json_ld
 from spanlight.operators import artifacts, claims, identity, parse, positions, reports, sitemaps, surfaces
 from spanlight.plans import surfaces_sql
 from spanlight.plans.catalogue import Plan
-from spanlight.sources.kept import shared_folder
+from spanlight.sources.kept import fresh_folder
 
 FILES = "site string, kind string, text string"
 HEADERS = "site string, route string, name string, value string"
@@ -44,7 +44,7 @@ def audit(spark: SparkSession, pages: DataFrame, files: DataFrame | None = None,
     if odd := sorted(set(settings) - KNOWN):
         raise ValueError(f"unknown settings: {', '.join(odd)}")
     mark, plan = uuid.uuid4().hex, Plan(duckdb=False, files=True)
-    folder = f"{shared_folder(spark).rstrip('/')}/audit-{mark}"
+    folder = fresh_folder(spark, "audit")
 
     def keep(frame: DataFrame, name: str) -> None:
         frame.write.parquet(f"{folder}/{name}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -13,7 +12,7 @@ from spanlight.functions.dialect import DuckDB, Spark, Text
 from spanlight.functions import json_ld
 from spanlight.operators import artifacts, claims, elements, facts, identity, intelligence, link_suggestions, parse, positions, reports, rules, sitemaps, structured, submissions, suggestions, surfaces
 from spanlight.plans import facts_sql, identity_sql, intelligence_sql, suggestions_sql, surfaces_sql
-from spanlight.sources.kept import folder, kept, shared_folder
+from spanlight.sources.kept import folder, fresh_folder, kept
 from spanlight.streaming import crawl
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -372,7 +371,7 @@ def report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["opportunity_score"] = lambda spark, sf_dir: reports.opportunities(stand_in(spark, sf_dir, "pages", CITATIONS), all_findings(spark, sf_dir))
     out["performance_diff"] = lambda spark, sf_dir: reports.metric_diff(stand_in(spark, sf_dir, "events", metrics(0)), stand_in(spark, sf_dir, "events", metrics(1)))
     out["performance_budget"] = lambda spark, sf_dir: reports.over_budget(stand_in(spark, sf_dir, "events", metrics(0)), BUDGET)
-    out["phase_percentiles"] = lambda spark, sf_dir: percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), f"{shared_folder(spark).rstrip('/')}/sorted-{uuid.uuid4().hex}")
+    out["phase_percentiles"] = lambda spark, sf_dir: percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), f"{fresh_folder(spark, 'sorted')}/rows")
     return out
 
 

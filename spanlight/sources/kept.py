@@ -25,16 +25,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, dropped with the session."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def folder(spark: SparkSession, key: tuple[str, ...]) -> str:
-    """A folder of its own for each key of a session, dropped with the session."""
+    """A folder of its own for each key of a session."""
     key = (spark.sparkContext.applicationId, "folder", *key)
     if key not in _written:
-        path = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(place)
-        files.deleteOnExit(place)
-        _written[key] = path
+        _written[key] = fresh_folder(spark, "kept")
     return _written[key]
 
 

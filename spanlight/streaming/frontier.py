@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from spanlight.sources.kept import shared_folder
+from spanlight.sources.kept import fresh_folder
 
 
 def frontier(spark: SparkSession, starts: DataFrame, edges: DataFrame, max_pages: int, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -19,7 +17,7 @@ def frontier(spark: SparkSession, starts: DataFrame, edges: DataFrame, max_pages
     include if there are any, is not visited.  Each level is written, so a lost
     executor costs one level at most; the driver sees one number a level.
     """
-    folder = f"{shared_folder(spark).rstrip('/')}/frontier-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "frontier")
     wanted = F.lit(True)
     if include:
         wanted = wanted & F.exists(F.array(*[F.lit(x) for x in include]), lambda x: F.contains(F.col("route"), x))
