@@ -18,7 +18,7 @@ PAGES = [
     ("h1", "generic", None, ["Head", "Other"], "Head line", ['{"@type": ["x", "Article"], "headline": "Else"}', '{"@type": "BreadcrumbList", "name": "Crumb", "itemListElement": [{"@type": "Product", "name": "Deep"}]}']),
     ("name", "generic", " ", [], None, ['{"@type": "Product", "name": "Bee", "headline": "Buzz"}', '{"@type": "Person", "name": "Ann"}', '{"@type": "Person", "name": "Bee"}']),
     ("none", "generic", None, [], None, None),
-    ("brand", "generic", "Terminal Search | Chau Terminal", ["Terminal Search | Chau Terminal"], None, ['{"@type": "SoftwareApplication", "name": "Chau Terminal"}']),
+    ("brand", "generic", "Terminal Search | Kite Terminal", ["Terminal Search | Kite Terminal"], None, ['{"@type": "SoftwareApplication", "name": "Kite Terminal"}']),
     ("odds", "generic", "Red fruit pie", ["Blue metal car"], None, None),
     ("near", "generic", "Red fruit pie", ["Our fruit pie shop"], None, None),
     ("search", "search", "Red fruit pie", ["Blue metal car"], None, None),
