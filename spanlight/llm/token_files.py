@@ -10,6 +10,7 @@ and needs only the codebook, so blocks are decoded independently.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .core import Scratch, arrow_batches, remembered
 from .huffman import Coder, code_lengths
+from .pieces import distinct, letters_meet_marks, strung
 from .ranges import partitions, range_bounds, range_of, tie_order
 
 #: Ids of a block, about: it ends with the document that reaches the count.
@@ -25,7 +27,7 @@ BLOCKS = "range int, block int, before long, docs array<long>, counts array<int>
 
 
 #: Pieces that the library encodes at once; letters that are cut into pieces at once.
-SOME, LETTERS = 2000, 1 << 18
+SOME, LETTERS = 2000, 1 << 21
 #: Letters below this one are Latin: each has one lower-case letter, whatever stands around it.
 LATIN_END = "\u0100"
 
@@ -37,24 +39,16 @@ def byte_alphabet() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
-class Numbers(dict):
-    """Numbers pieces by first sight."""
-
-    def __missing__(self, piece: bytes) -> int:
-        self[piece] = n = len(self)
-        return n
-
-
 class ChunkEncoder:
-    """Ids of texts from the ids of their pieces between spaces and line feeds.
-
-    For a tokenizer that drops white space and never merges across it, the
-    pieces' ids strung together are the text's ids.  Pieces repeat, so most
-    ids come from memory; all others from the tokenizers library.  A piece of
-    Latin letters is one word to the tokenizer, whatever follows it, so its
-    lower-case bytes go straight to the library's merges; any other piece
-    takes the library's whole way.  Up to ``bound`` pieces are remembered;
-    those of a batch beyond them are forgotten after it.
+    """Ids of texts from the ids of their pieces between spaces, line feeds, and letters and marks.
+
+    For a tokenizer that drops white space and never merges across it nor
+    across letters and marks, the pieces' ids strung together are the text's
+    ids.  Pieces repeat, so most ids come from memory; all others from the
+    tokenizers library.  A piece of Latin letters is one word to the tokenizer,
+    whatever follows it, so its lower-case bytes go straight to the library's
+    merges; any other piece takes the library's whole way.  Up to ``bound``
+    pieces are remembered; those of a batch beyond them are forgotten after it.
     """
 
     #: A piece that no text has, as it isn't UTF-8: a document's end.
@@ -65,47 +59,33 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
-        self.bound, self.tails = bound, {"": ()}
-        self.number = Numbers({self.STOP: 0, b"": 1})
-        self.known, self.used, self.flat, self.starts = 2, 1, np.full(1 << 16, last, np.uint32), np.zeros(1 << 16, np.int64)
-        self.starts[1:3] = 1
+        self.bound = bound
+        self.memory = {self.STOP: array("I", [last]).tobytes()}
 
-    def learn(self, pieces: list[bytes]) -> None:
-        """Append the ids of pieces, in the order of their numbers."""
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces as 32-bit integers."""
         from unicodedata import is_normalized
 
-        found: list[tuple[int, ...]] = [()] * len(pieces)
+        found: list[bytes] = [b""] * len(pieces)
         rest, tokenize, alphabet = [], self.model.tokenize, self.alphabet
         for i, p in enumerate(pieces):
             text = p.decode()
-            core = text.rstrip(".,;:!?|")
-            if core.isalpha() and max(core) < LATIN_END and is_normalized("NFC", core):
-                found[i] = tuple([t.id for t in tokenize(core.lower().encode().decode("latin-1").translate(alphabet))]) + self.tail(text[len(core) :])
+            if p.isalpha():
+                word = text.lower()
+            elif text.isalpha() and max(text) < LATIN_END and is_normalized("NFC", text):
+                word = text.lower().encode().decode("latin-1").translate(alphabet)
             else:
                 rest.append((i, text))
+                continue
+            found[i] = array("I", [t.id for t in tokenize(word)]).tobytes()
         for k in range(0, len(rest), SOME):  # the library's results take far more memory than the ids
             some = rest[k : k + SOME]
             for (i, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
-                found[i] = tuple(e.ids)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate((self.flat, self.flat))
-        while self.known + len(found) >= len(self.starts):
-            self.starts = np.concatenate((self.starts, self.starts))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.starts[self.known + 1 : self.known + len(found) + 1] = self.used + np.cumsum(sizes)
-        self.known, self.used = self.known + len(found), self.used + total
-
-    def tail(self, text: str) -> tuple[int, ...]:
-        if text not in self.tails:
-            self.tails[text] = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return self.tails[text]
+                found[i] = array("I", e.ids).tobytes()
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, with the last one."""
-        from itertools import islice
-
         parts = []
         for t in texts:
             data = (t or "").encode()
@@ -113,19 +93,27 @@ class ChunkEncoder:
             # capital could be one letter with the combining mark after it
             # (U+0300 to U+037F start with these bytes), which comes first.
             parts.append(data if b"<|" in data or b"\xcc" in data or b"\xcd" in data else data.lower())
-        pieces = (b" \xff ".join(parts) + b" \xff").replace(b"\n", b" ").split(b" ")
-        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        before, used = self.known, self.used
-        if len(self.number) > before:
-            self.learn(list(islice(self.number, before, None)))
-        sizes = self.starts[numbers + 1] - self.starts[numbers]
-        ends = np.cumsum(sizes)
-        out = self.flat[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(int(ends[-1]))]
-        if self.known > self.bound:
-            for _ in range(self.known - before):
-                self.number.popitem()
-            self.known, self.used = before, used
-        return np.split(out, ends[numbers == 0])[:-1]
+        data = np.frombuffer(b" \xff ".join(parts) + b" \xff", np.uint8)
+        kept = (data != 32) & (data != 10)
+        first = letters_meet_marks(data)
+        ends = np.cumsum([len(p) + 3 for p in parts])
+        for end, p in zip(ends.tolist(), parts, strict=True):
+            if b"<|" in p:  # a special token is one piece
+                first[end - 3 - len(p) : end - 3] = False
+        first[1:] |= ~kept[:-1]
+        first[:1] = True
+        which, pieces = distinct(data[kept], np.flatnonzero(first[kept]))
+        memory = self.memory
+        found = list(map(memory.get, pieces))
+        places = [k for k, x in enumerate(found) if x is None]
+        fresh = [pieces[k] for k in places]
+        for k, p, x in zip(places, fresh, self.learn(fresh), strict=True):
+            found[k] = memory[p] = x
+        ids, ends = strung(which, found)
+        if len(memory) > self.bound:
+            for _ in fresh:
+                memory.popitem()
+        return np.split(ids.view(np.uint32), ends[which == pieces.index(self.STOP)])[:-1]
 
 
 def tokenise(path: str, last: int):
@@ -161,8 +149,11 @@ def id_counts(batches):
 
     total = np.zeros(0, np.int64)
     for batch in batches:
+        packed: dict[bool, list[bytes]] = {False: [], True: []}
         for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.bincount(unpacked(n, data))
+            packed[len(data) == 2 * n].append(data)
+        for short, some in packed.items():
+            got = np.bincount(np.frombuffer(b"".join(some), "<u2" if short else "<u4"))
             if len(got) > len(total):
                 total = np.concatenate((total, np.zeros(len(got) - len(total), np.int64)))
             total[: len(got)] += got
