@@ -11,10 +11,10 @@ item has a window at each of its words, so that one stretch of some twenty
 bytes with few edits anywhere in a copy is enough, however many edits the rest
 has.
 
-A candidate whose stretch lacks the runs of three and of four bytes that the
-edits must leave whole cannot be a copy and goes (the q-gram lemma).  For the others the
-least edit distance of the whole item to any substring of the stretch is
-computed exactly.
+A candidate in whose stretch the item's first pieces of 64 bytes need more edits
+together than the whole item may have cannot be a copy and goes; thousands are
+looked at together.  For the others the least edit distance of the whole item to
+any substring of the stretch is computed exactly.
 
 Items of fewer than ``CERTAIN`` bytes have too few windows for chance to work
 with.  Their shared runs of a few bytes are counted by where the item would
@@ -46,16 +46,17 @@ RUN, APART = 24, 4
 EDITS = 0.2
 #: Bits of the table that sorts out keys and runs before they are looked up.
 TABLE = 1 << 22
+HIGH = np.uint64(64 - 22)
 #: Windows that are walked together; pairs that are counted together.
-WALKED, PAIRS = 1 << 14, 1 << 20
-#: Lengths of runs of which an item's edits must leave some whole, and the numbers they are hashed to.
-KEPT, GRAMS = (3, 4), 1 << 12
+WALKED, PAIRS = 1 << 13, 1 << 20
+#: Bytes of documents whose candidates are looked at together; candidates fewer than that are compared one by one.
+BATCH, FEW = 1 << 22, 128
 #: Cells that are counted together.
 CELLS = 1 << 22
 #: Items of at most so many bytes are compared so many at once.
 LONG, TOGETHER = 512, 4096
-#: Pieces of an item that are compared before the whole.
-PIECES = 4
+#: Pieces of an item that are compared before the whole, and their bytes.
+PIECES, PIECE = 4, 64
 #: Bytes that all items may have together.  Their index is sent to every task
 #: and takes some forty bytes for each, so its size is checked; more items must
 #: be given in several calls.
@@ -108,30 +109,52 @@ def edit_distance_inside(item: bytes, text: bytes) -> tuple[int, int]:
 
 def one_word_distances(peq: np.ndarray, of: np.ndarray, text: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The distances for items of at most 64 bytes, their letters' places in peq from ``of`` on."""
-    one, top = np.uint64(1), (sizes - 1).astype(np.uint64)
-    plus, minus = np.full(len(of), ~np.uint64(0)), np.zeros(len(of), np.uint64)
-    score, best, shortest = sizes.copy(), sizes.copy(), int(lengths.min())
-    for step, letters in enumerate(text):
-        eq = peq.take(of + letters)
-        xv = eq | minus
-        xh = eq & plus
+    order = np.argsort(-lengths, kind="stable")  # so that texts that have ended are the last
+    active = np.searchsorted(-lengths[order], -np.arange(len(text)), "left").tolist()
+    text, of, sizes = text.take(order, axis=1), of[order], sizes[order]
+    top = (sizes - 1).astype(np.uint64)
+    last = np.uint64(1) << top if (top < 63).any() else None
+    n = len(of)
+    plus, minus = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+    place, eq, xh, ph, at_end, bit = np.empty(n, np.int64), *(np.empty(n, np.uint64) for _ in range(3)), np.empty(n, bool), np.empty(n, np.uint64)
+    score, zero = sizes.astype(np.int8), np.zeros(1, np.int64)
+    best = score.copy()
+    lowest = best
+    for letters, more in zip(text, active, strict=True):
+        if more < n:
+            n = more
+            if not n:
+                break
+            of, plus, minus, place, eq, xh, ph, at_end, bit, score, lowest = (x[:n] for x in (of, plus, minus, place, eq, xh, ph, at_end, bit, score, lowest))
+            last = last if last is None else last[:n]
+        np.add(of, letters[:n], out=place)
+        peq.take(place, out=eq, mode="clip")
+        np.bitwise_and(eq, plus, out=xh)
         xh += plus
         xh ^= plus
         xh |= eq
-        ph = xh | plus
+        np.bitwise_or(xh, plus, out=ph)
         np.invert(ph, out=ph)
         ph |= minus
         xh &= plus  # the minus bits from here on
-        score += ((ph >> top) & one).view(np.int64)
-        score -= ((xh >> top) & one).view(np.int64)
-        ph <<= one
-        xh <<= one
-        np.bitwise_and(ph, xv, out=minus)
-        ph |= xv
+        eq |= minus
+        for bits, change in ((ph, np.add), (xh, np.subtract)):
+            if last is None:
+                np.less(bits.view(np.int64), zero, out=at_end)
+            else:
+                np.bitwise_and(bits, last, out=bit)
+                np.not_equal(bit, zero.view(np.uint64), out=at_end)
+            change(score, at_end.view(np.int8), out=score)
+        ph += ph
+        xh += xh
+        np.bitwise_and(ph, eq, out=minus)
+        ph |= eq
         np.invert(ph, out=ph)
         np.bitwise_or(xh, ph, out=plus)
-        np.minimum(best, score, out=best, where=True if step < shortest else step < lengths)
-    return best
+        np.minimum(lowest, score, out=lowest)
+    out = np.empty(len(best), np.int64)
+    out[order] = best
+    return out
 
 
 def edit_distances_inside(items: list[bytes], texts: list[bytes]) -> np.ndarray:
@@ -189,24 +212,6 @@ def edit_distances_inside(items: list[bytes], texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def pieces_fit(rows: list[tuple[bytes, int, bytes, int, int]]) -> list[bool]:
-    """Whether pieces of each item have no more edits together than the whole item may have.
-
-    A row is (item, edits, text, clipped, slack): the item begins at most
-    ``slack`` bytes after ``clipped`` bytes before the text.  Pieces fill one
-    machine word, and two or three of them tell unrelated text; no item within
-    its edits is lost.
-    """
-    left = np.array([most for _, most, _, _, _ in rows])
-    for start in range(0, 64 * PIECES, 64):
-        some = [i for i in np.flatnonzero(left >= 0).tolist() if len(rows[i][0]) >= 128 and len(rows[i][0]) >= start + 64]
-        for k in range(0, len(some), TOGETHER):
-            few = some[k : k + TOGETHER]
-            texts = [rows[i][2][max(0, start - rows[i][3]) : max(0, start + 64 + rows[i][4] - rows[i][3])] for i in few]
-            left[few] -= edit_distances_inside([rows[i][0][start : start + 64] for i in few], texts)
-    return (left >= 0).tolist()
-
-
 def run_codes(data: np.ndarray, run: int) -> np.ndarray:
     """Each run of up to eight bytes as a number of its own."""
     out = np.zeros(max(0, len(data) - run + 1), np.uint64)
@@ -217,33 +222,58 @@ def run_codes(data: np.ndarray, run: int) -> np.ndarray:
 
 
 class Steps:
-    """The coins and sampled places of all walks, as tables by byte."""
+    """The coins and sampled places of all walks.
+
+    A byte and its coins in all steps of a walk are one number, so that a step
+    looks up one number for each window.
+    """
+
+    #: Where the byte stands in its number, above the coins.
+    BYTE = np.uint64(STEPS)
 
     def __init__(self):
         every = np.arange(256, dtype=np.uint64)
         self.walks = []
         for walk in range(WALKS):
             coins = mix(np.arange(STEPS * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1 + 1_000_003 * walk)) >> np.uint64(40)
-            moves = (coins & np.uint64(1)).astype(np.int64).reshape(STEPS, 256)
-            used: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(STEPS)]
-            for k in range(walk * KEYS, (walk + 1) * KEYS):
-                order = np.argsort(mix(np.arange(STEPS, dtype=np.uint64) + np.uint64(7919 * (k + 1))), kind="stable")
-                for step, weight in zip(order[:PLACES].tolist(), constants(PLACES, 101 + k), strict=True):
-                    used[step].append((k % KEYS, (every + np.uint64(1)) * weight))
+            moves = (coins & np.uint64(1)).reshape(STEPS, 256)
+            numbers = every << self.BYTE
+            for step in range(STEPS):
+                numbers |= moves[step] << np.uint64(step)
+            used: list[list[tuple[int, np.uint64]]] = [[] for _ in range(STEPS)]
+            begin = np.zeros(KEYS, np.uint64)
+            for k in range(KEYS):
+                n = walk * KEYS + k
+                order = np.argsort(mix(np.arange(STEPS, dtype=np.uint64) + np.uint64(7919 * (n + 1))), kind="stable")
+                weights = constants(PLACES, 101 + n)
+                # A sampled byte counts as the next number, so that zero does too.
+                begin[k] = weights.sum(dtype=np.uint64) + np.uint64(977 + n)
+                for step, weight in zip(order[:PLACES].tolist(), weights, strict=True):
+                    used[step].append((k, weight))
             last = max(step for step in range(STEPS) if used[step])
-            self.walks.append((moves[: last + 1], used[: last + 1]))
+            self.walks.append((numbers, used[: last + 1], begin))
+
+    def numbers(self, data: np.ndarray) -> list[np.ndarray]:
+        """Each byte's number, for each walk."""
+        return [numbers.take(data) for numbers, _, _ in self.walks]
 
-    def keys(self, data: np.ndarray, starts: np.ndarray):
-        """Yields the windows' hashes, key by key; data must go on for STEPS bytes after each start."""
-        for walk, (moves, used) in enumerate(self.walks):
+    def keys(self, numbers: list[np.ndarray], starts: np.ndarray):
+        """Yields the windows' hashes, key by key, the high bits being the best; the data must go on for STEPS bytes after each start."""
+        one, here, part = np.ones(1, np.uint64), np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+        for (_, used, begin), own in zip(self.walks, numbers, strict=True):
             at = starts.copy()
-            keys = [np.full(len(starts), 977 + walk * KEYS + k, np.uint64) for k in range(KEYS)]
-            for move, places in zip(moves, used, strict=True):
-                letters = data.take(at)
-                for k, worth in places:
-                    keys[k] += worth.take(letters)
-                at += move.take(letters)
-            yield from map(mix, keys)
+            keys = [np.full(len(starts), x) for x in begin]
+            for step, places in enumerate(used):
+                own.take(at, out=here, mode="clip")
+                np.right_shift(here, np.uint64(step), out=part)
+                part &= one
+                at += part.view(np.int64)
+                if places:
+                    here >>= self.BYTE
+                    for k, weight in places:
+                        np.multiply(here, weight, out=part)
+                        keys[k] += part
+            yield from keys
 
 
 def window_starts(data: np.ndarray, cuts: np.ndarray, apart: int) -> np.ndarray:
@@ -257,14 +287,6 @@ def window_starts(data: np.ndarray, cuts: np.ndarray, apart: int) -> np.ndarray:
     return np.sort(np.concatenate((starts, inside)))
 
 
-def grams(data: np.ndarray, run: int) -> np.ndarray:
-    """A hash of the run of bytes at each place, below GRAMS; data must go on for as many bytes."""
-    out = data[: len(data) - run].astype(np.uint32)
-    for k in range(1, run):
-        out = out * np.uint32(65599) + data[k : len(data) - run + k]
-    return ((out * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
-
-
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The places first, first + 1, ... of each, n of them."""
     return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
@@ -281,13 +303,12 @@ class Walked:
         self.steps, rows = Steps(), []
         pad = np.full(STEPS + 1, 32, np.uint8)
         self.first = np.cumsum(self.size) - self.size
-        letters = np.concatenate([np.frombuffer(x, np.uint8) for _, x, _ in members])
-        self.grams = {run: grams(np.concatenate((letters, np.zeros(run, np.uint8))), run).astype(np.int16) for run in KEPT}
+        self.letters = np.concatenate([np.frombuffer(x, np.uint8) for _, x, _ in members])
         for k, (_, item, _) in enumerate(members):
             data = np.frombuffer(item, np.uint8)
             starts = window_starts(data, np.array([0, len(data)]), 1)
             starts = starts[starts <= len(item) - REACH]
-            for keys in self.steps.keys(np.concatenate((data, pad)), starts):
+            for keys in self.steps.keys(self.steps.numbers(np.concatenate((data, pad))), starts):
                 rows.append((keys, np.full(len(starts), k, np.int32), starts.astype(np.int32)))
         keys, owner, offset = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(keys, kind="stable")
@@ -296,18 +317,17 @@ class Walked:
 
     def table(self) -> np.ndarray:
         out = np.zeros(TABLE, bool)
-        out[(self.keys & np.uint64(TABLE - 1)).astype(np.int64)] = True
+        out[(self.keys >> HIGH).view(np.int64)] = True
         return out
 
     def pairs(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray):
         """Yields (window's start, entry): arrays of windows of the part that share a key with an item's window."""
         starts = window_starts(part, cuts, APART)
-        # As wide as an index, so that no step has to widen the letters for each of its tables.
-        padded = np.concatenate((part, np.full(STEPS + 1, 32, np.uint8))).astype(np.int64)
+        numbers = self.steps.numbers(np.concatenate((part, np.full(STEPS + 1, 32, np.uint8))))
         for low in range(0, len(starts), WALKED):
             some = starts[low : low + WALKED]
-            for keys in self.steps.keys(padded, some):
-                maybe = np.flatnonzero(table.take((keys & np.uint64(TABLE - 1)).view(np.int64)))
+            for keys in self.steps.keys(numbers, some):
+                maybe = np.flatnonzero(table.take((keys >> HIGH).view(np.int64), mode="clip"))
                 place = np.searchsorted(self.keys, keys[maybe])
                 place[place == len(self.keys)] = 0
                 same = self.keys[place] == keys[maybe]
@@ -322,8 +342,8 @@ class Walked:
                     yield np.repeat(where[a:b], n), np.arange(n.sum()) + np.repeat(self.place[place[a:b]] - (ends[a:b] - n - done), n)
                     a = b
 
-    def candidates(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray):
-        """(place among the members, from, to): stretches of the part in which the item may begin."""
+    def candidates(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Rows of places among the members, from and to: stretches of the part in which the item may begin."""
         longest = int(self.size.max())
         cells = (len(part) + longest) // 32 + 3
         found = [np.zeros(0, np.int64)]
@@ -331,29 +351,45 @@ class Walked:
             k = self.owner[entry].astype(np.int64)
             found.append(np.unique(k * cells + (where - self.offset[entry] + longest) // self.width[k]))
         found = np.unique(np.concatenate(found))
-        own = {run: grams(np.concatenate((part, np.zeros(run, np.uint8))), run) for run in KEPT}
         # Cells side by side are one stretch.
         first = np.flatnonzero(np.diff(found, prepend=-9) > 1)
         many = np.diff(first, append=len(found))
-        for a in range(0, len(first), 256):
-            k, cell = found[first[a : a + 256]] // cells, found[first[a : a + 256]] % cells
-            low = cell * self.width[k] - longest
-            high = low + self.width[k] * many[a : a + 256]
-            # Where the item with its edits may lie.
-            left, right = np.maximum(0, low - self.most[k]), np.minimum(len(part), high + self.size[k] + self.most[k])
-            fits = right - left >= self.size[k] - self.most[k]
-            for run in KEPT:
-                k, low, high, left, right = (x[fits] for x in (k, low, high, left, right))
-                row = np.arange(len(k)) * GRAMS
-                seen = np.zeros(len(k) * GRAMS, bool)
-                seen[own[run].take(spread(left, right - left)) + np.repeat(row, right - left)] = True
-                n = self.size[k] - run + 1
-                there = seen.take(self.grams[run].take(spread(self.first[k], n)) + np.repeat(row, n))
-                kept = np.concatenate(([0], np.cumsum(there)))
-                ends = np.cumsum(n)
-                fits = kept[ends] - kept[ends - n] >= n - run * self.most[k]
-            for x, y, z in zip(k[fits].tolist(), (low - self.most[k])[fits].tolist(), high[fits].tolist(), strict=True):
-                yield x, y, z
+        k, cell = found[first] // cells, found[first] % cells
+        low = cell * self.width[k] - longest
+        high = low + self.width[k] * many
+        # Where the item with its edits may lie.
+        left, right = np.maximum(0, low - self.most[k]), np.minimum(len(part), high + self.size[k] + self.most[k])
+        fits = right - left >= self.size[k] - self.most[k]
+        return np.stack((k, low - self.most[k], high))[:, fits]
+
+    def fitting(self, text: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The candidates in which the first pieces of their item need no more edits together than the whole may have.
+
+        Item k begins from ``low`` on, and before ``high`` but for its edits.
+        Pieces fill one machine word, and two or three of them tell unrelated
+        text; no item within its edits is lost.  Long stretches all stay.
+        """
+        k, low, high = found
+        left, reach = self.most[k], PIECE + high - low + self.most[k]
+        order = np.argsort(reach, kind="stable")
+        order = order[: int(np.searchsorted(reach[order], 4 * LONG, "right"))]
+        for start in range(0, PIECE * PIECES, PIECE):
+            order = order[(left[order] >= 0) & (self.size[k[order]] >= start + PIECE)]
+            a = 0
+            while a < len(order):
+                # Some at a time, each as far as the longest of them reaches.
+                few = order[a : a + TOGETHER]
+                few = few[: max(1, int(np.searchsorted(reach[few] * np.arange(1, len(few) + 1), CELLS, "right")))]
+                a += len(few)
+                items, of = np.unique(k[few], return_inverse=True)
+                peq = np.zeros(len(items) * 256, np.uint64)
+                for place in range(PIECE):
+                    peq[np.arange(len(items)) * 256 + self.letters[self.first[items] + start + place]] |= np.uint64(1 << place)
+                begin, end = np.maximum(0, low[few] + start), np.minimum(len(text), low[few] + start + reach[few])
+                lengths = np.maximum(0, end - begin)
+                letters = text.take(begin + np.arange(int(lengths.max()))[:, None], mode="clip")
+                left[few] -= one_word_distances(peq, of * 256, letters, lengths, np.full(len(few), PIECE))
+        return found[:, left >= 0]
 
 
 class Group:
@@ -379,8 +415,8 @@ class Group:
         out[(mix(self.codes) & np.uint64(TABLE - 1)).astype(np.int64)] = True
         return out
 
-    def candidates(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray):
-        """(place in the group, from, to): stretches of the part in which the item may begin."""
+    def candidates(self, part: np.ndarray, cuts: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Rows of places in the group, from and to: stretches of the part in which the item may begin."""
         codes = run_codes(part, self.run)
         at = np.flatnonzero(table[(mix(codes) & np.uint64(TABLE - 1)).astype(np.int64)])
         at = at[at + self.run <= cuts[np.searchsorted(cuts, at, "right")]]
@@ -410,9 +446,13 @@ class Group:
         new = np.ones(len(flagged) + 1, bool)
         new[1:-1] = (np.diff(flagged) > 2) | (np.diff(item) > 0)
         bounds = np.flatnonzero(new)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            k, width = int(item[a]), int(self.width[item[a]])
-            yield k, int(flagged[a] - base[k]) * width - longest, int(flagged[b - 1] - base[k] + 3) * width - longest
+        a, b = bounds[:-1], bounds[1:] - 1
+        k = item[a]
+        return np.stack((k, (flagged[a] - base[k]) * self.width[k] - longest, (flagged[b] - base[k] + 3) * self.width[k] - longest))
+
+    def fitting(self, text: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """All candidates: short items are soon compared."""
+        return found
 
 
 class ItemIndex:
@@ -468,46 +508,49 @@ def hits(index: ItemIndex):
             data, offsets = text_buffers(batch.column(1))
             found: list[dict[int, int]] = [{} for _ in range(len(batch))]
 
-            waiting: list[tuple[int, int, int, bytes, int, int]] = []
+            waiting: list[tuple[int, int, int, bytes]] = []
 
             def settle() -> None:
                 """Compare what waits; short texts first, so that few wait for a long one."""
-                few = [x for x in waiting if len(index.items[x[1]]) <= LONG and len(x[3]) <= 4 * LONG]
+                few = [x for x in waiting if len(index.items[x[1]]) <= LONG and len(x[3]) <= 4 * LONG] if len(waiting) >= FEW else []
                 few.sort(key=lambda x: len(x[3]))
-                few = [x for x, fits in zip(few, pieces_fit([(index.items[x[1]], *x[2:]) for x in few]), strict=True) if fits]
-                distances = [(x, edit_distance_inside(index.items[x[1]], x[3])[0]) for x in waiting if len(index.items[x[1]]) > LONG or len(x[3]) > 4 * LONG]
+                distances = [(x, edit_distance_inside(index.items[x[1]], x[3])[0]) for x in waiting if not few or len(index.items[x[1]]) > LONG or len(x[3]) > 4 * LONG]
                 for k in range(0, len(few), max(256, len(few) // 3 + 1)):
                     some = few[k : k + max(256, len(few) // 3 + 1)]
                     distances += zip(some, edit_distances_inside([index.items[x[1]] for x in some], [x[3] for x in some]).tolist(), strict=True)
-                for (doc, n, most, *_), distance in distances:
+                for (doc, n, most, _), distance in distances:
                     if distance <= min(most, found[doc].get(n, most)):
                         found[doc][n] = distance
                 waiting.clear()
 
-            def compare(doc: int, n: int, most: int, text: bytes, clipped: int, slack: int) -> None:
-                waiting.append((doc, n, most, text, clipped, slack))
+            def compare(doc: int, n: int, most: int, text: bytes) -> None:
+                waiting.append((doc, n, most, text))
                 if len(waiting) >= 4 * TOGETHER:
                     settle()
 
             first = 0
             while first < len(batch):
-                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
-                part, cuts = squeezed(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BATCH, "right")) - 1)
+                text, cuts = squeezed(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 for n, most in index.anywhere:
                     for doc in range(last - first):
                         if cuts[doc] < cuts[doc + 1]:
-                            compare(first + doc, n, most, part[cuts[doc] : cuts[doc + 1]].tobytes(), 0, int(cuts[doc + 1] - cuts[doc]))
+                            compare(first + doc, n, most, text[cuts[doc] : cuts[doc + 1]].tobytes())
                 ends = cuts.tolist()
                 for group, table in zip(index.groups, tables, strict=True):
-                    for k, low, high in group.candidates(part, cuts, table):
+                    found_in, a = [], 0
+                    while a < last - first:
+                        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + CHUNK, "right")) - 1)
+                        found_in.append(group.candidates(text[cuts[a] : cuts[b]], cuts[a : b + 1] - cuts[a], table) + [[0], [cuts[a]], [cuts[a]]])
+                        a = b
+                    for k, low, high in group.fitting(text, np.concatenate(found_in, axis=1)).T.tolist():
                         n, size, most = int(group.number[k]), int(group.size[k]), int(group.most[k])
-                        begin, slack = low, high - low + most
-                        low, high = max(0, low), min(len(part), high + size + most)
+                        low, high = max(0, low), min(len(text), high + size + most)
                         doc = bisect_right(ends, low) - 1
                         while doc < last - first and ends[doc] < high:
-                            text = part[max(low, ends[doc]) : min(high, ends[doc + 1])].tobytes()
-                            if len(text) >= size - most:
-                                compare(first + doc, n, most, text, max(low, ends[doc]) - begin, slack)
+                            part = text[max(low, ends[doc]) : min(high, ends[doc + 1])].tobytes()
+                            if len(part) >= size - most:
+                                compare(first + doc, n, most, part)
                             doc += 1
                 first = last
             settle()
