@@ -1,9 +1,10 @@
 """Byte-level BPE: texts to ids and back, as columns.
 
-A text is cut where something that is no white space meets white space, as no
-piece of the tokenizer's pattern spans such a place.  The cuts repeat, so their
-ids mostly come from a bounded memory.  A new one is split into pieces by the
-tokenizer's pattern and each piece is merged here: its symbols are a doubly
+A text is cut where something that is no white space meets white space of ASCII,
+and where letters and marks meet, as no piece of the tokenizer's pattern spans
+such a place.  The cuts repeat, so each distinct one of many texts is looked up
+once, and its ids mostly come from a bounded memory.  A new one is split into
+pieces by the tokenizer's pattern and each piece is merged here: its symbols are a doubly
 linked list, a priority queue holds every neighbouring pair that has a merge by
 rank and place, and an entry whose pair is no longer there when it is popped is
 passed over.  A long piece has a heap of its own.  Short pieces go together,
@@ -28,7 +29,6 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .core import arrow_batches, remembered
+from .pieces import distinct, letters_meet_marks, strung, white_ends
 from .token_files import byte_alphabet
 
 #: Unicode white space, as the tokenizer's pattern has it, and that pattern.
@@ -43,7 +44,7 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Below this character all versions of Unicode agree on what is a letter, a number or a space.
 AGREED = "\u0530"
-#: Characters that are encoded at once; characters of a cut that is remembered; cuts remembered twice over; bytes of a piece that is merged with others; bytes decoded at once.
+#: Characters that are encoded at once; bytes of a cut that is remembered; cuts remembered twice over; bytes of a piece that is merged with others; bytes decoded at once.
 SEGMENT, SHORT, MEMORY, TOGETHER, SOME = 1 << 21, 48, 250_000, 64, 1 << 20
 #: Bits of a place and of a rank in an entry of the queue of many pieces.
 PLACE, RANK = 24, 20
@@ -91,8 +92,8 @@ class Vocabulary:
         named = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.names = re.compile(f"({named})") if named else None
         self.agreed, self.pieces = regex.compile(PIECE), None
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """The symbols with all merges applied: the least rank first, of equals the leftmost."""
@@ -178,16 +179,16 @@ class Vocabulary:
             self.pieces = ByteLevel(add_prefix_space=False, use_regex=True)
         return [cut[a:b] for _, (a, b) in self.pieces.pre_tokenize_str(cut)]
 
-    def learn(self, cuts: set[str]) -> list[str]:
-        """Have the ids of all cuts in memory; gives those that are too long to stay there."""
-        memory, older = self.memory, self.older
-        fresh = cuts.difference(memory)
-        known = fresh.intersection(older)
-        memory.update(zip(known, map(older.__getitem__, known), strict=True))
-        rest = list(fresh.difference(known))
-        split = [self.split(cut) for cut in rest]
-        number = {piece: k for k, piece in enumerate(dict.fromkeys(chain.from_iterable(split)))}
-        pieces = [piece.encode() for piece in number]
+    def learn(self, cuts: list[bytes]) -> list[bytes]:
+        """The ids of cuts as 32-bit integers."""
+        number: dict[bytes, int] = {}
+        split: list[int | list[int]] = []
+        for cut in cuts:
+            if cut.isalpha() or (cut[0] == 32 and cut[1:].isalpha()):
+                split.append(number.setdefault(cut, len(number)))
+            else:
+                split.append([number.setdefault(piece.encode(), len(number)) for part in self.cuts.findall(cut.decode()) for piece in self.split(part)])
+        pieces = list(number)
         ids = [b""] * len(pieces)
         short = [k for k, p in enumerate(pieces) if len(p) <= TOGETHER]
         for k, found in zip(short, self.merged_together([pieces[k] for k in short]) if short else [], strict=True):
@@ -195,9 +196,7 @@ class Vocabulary:
         for k, p in enumerate(pieces):
             if len(p) > TOGETHER:
                 ids[k] = array("i", self.merged(self.byte_ids[np.frombuffer(p, np.uint8)].tolist())).tobytes()
-        for cut, parts in zip(rest, split, strict=True):
-            memory[cut] = ids[number[parts[0]]] if len(parts) == 1 else b"".join([ids[number[p]] for p in parts])
-        return [cut for cut in rest if len(cut) > SHORT]
+        return [ids[k] if isinstance(k, int) else b"".join([ids[n] for n in k]) for k in split]
 
     def segments(self, text: str) -> Iterator[str | bytes]:
         """A text in parts that are encoded by themselves; the id of an added token as bytes."""
@@ -226,7 +225,7 @@ class Vocabulary:
                 gc.enable()
 
     def encoded(self, texts: list[str | None]) -> list[np.ndarray]:
-        out: list[list[bytes]] = [[] for _ in texts]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in texts]
         waiting: list[tuple[int, str | bytes]] = []
         size = 0
         for k, text in enumerate(texts):
@@ -237,17 +236,42 @@ class Vocabulary:
                     self.settle(waiting, out)
                     waiting, size = [], 0
         self.settle(waiting, out)
-        return [np.frombuffer(b"".join(parts), np.int32) for parts in out]
-
-    def settle(self, waiting: list[tuple[int, str | bytes]], out: list[list[bytes]]) -> None:
-        cuts = [part if isinstance(part, bytes) else self.cuts.findall(part) for _, part in waiting]
-        long = self.learn(set().union(*(c for c in cuts if not isinstance(c, bytes))))
-        for (k, _), found in zip(waiting, cuts, strict=True):
-            out[k].append(found if isinstance(found, bytes) else b"".join(map(self.memory.__getitem__, found)))
-        for cut in long:
-            del self.memory[cut]
-        if len(self.memory) > MEMORY:
-            self.older, self.memory = self.memory, {}
+        return list(map(np.concatenate, out))
+
+    def settle(self, waiting: list[tuple[int, str | bytes]], out: list[list[np.ndarray]]) -> None:
+        raw = [part.encode() for _, part in waiting if isinstance(part, str)]
+        ids = iter(self.ids_of(raw) if raw else [])
+        for k, part in waiting:
+            out[k].append(np.frombuffer(part, np.int32) if isinstance(part, bytes) else next(ids))
+
+    def ids_of(self, parts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each part, none empty."""
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        first = letters_meet_marks(data)
+        space, white = white_ends(data)
+        first[1:] |= space[1:] & ~white[:-1]
+        first[np.cumsum(sizes) - sizes] = True
+        starts = np.flatnonzero(first)
+        which, cuts = distinct(data, starts)
+        memory, older = self.memory, self.older
+        found = list(map(memory.get, cuts))
+        fresh = []
+        for k, x in enumerate(found):
+            if x is None:
+                found[k] = x = older.get(cuts[k])
+                if x is None:
+                    fresh.append(k)
+                else:
+                    memory[cuts[k]] = x
+        for k, x in zip(fresh, self.learn([cuts[k] for k in fresh]), strict=True):
+            found[k] = x
+            if len(cuts[k]) <= SHORT:
+                memory[cuts[k]] = x
+        if len(memory) > MEMORY:
+            self.older, self.memory = memory, {}
+        ids, ends = strung(which, found)
+        return np.split(ids, ends[np.searchsorted(starts, np.cumsum(sizes)[:-1]) - 1])
 
     def decode(self, ids: np.ndarray) -> str:
         """The vocabulary's entries strung together; an id that it lacks is passed over."""

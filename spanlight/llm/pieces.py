@@ -14,6 +14,9 @@ import pyarrow as pa
 LETTER, MARK, APOSTROPHE = 1, 2, 3
 KINDS = np.array([LETTER if chr(b).isalpha() else APOSTROPHE if b == 39 else MARK if 32 < b < 127 and not chr(b).isdigit() else 0 for b in range(128)] + [0] * 128, np.uint8)
 
+#: White space of three bytes.
+WIDE_WHITE = [int.from_bytes(chr(c).encode()) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
 
 def letters_meet_marks(data: np.ndarray) -> np.ndarray:
     """True where a piece of UTF-8 may start, as a mark follows a letter or a letter a mark.
@@ -32,6 +35,18 @@ def letters_meet_marks(data: np.ndarray) -> np.ndarray:
     return first
 
 
+def white_ends(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where UTF-8 has white space of ASCII, and where any Unicode white space has its last byte."""
+    ascii_white = (data == 32) | ((data >= 9) & (data <= 13))
+    white = ascii_white.copy()
+    at = np.flatnonzero(data == 0xC2) + 1
+    white[at] = (data[at] == 0x85) | (data[at] == 0xA0)
+    at = np.flatnonzero((data >= 0xE1) & (data <= 0xE3))
+    if len(at):
+        white[at + 2] = np.isin(data[at].astype(np.int32) << 16 | data[at + 1].astype(np.int32) << 8 | data[at + 2], WIDE_WHITE)
+    return ascii_white, white
+
+
 def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Which of the distinct pieces each piece is, and those; pieces start at ``starts``, the first at 0."""
     ends = np.append(starts, len(data)).astype(np.int64)
