@@ -10,8 +10,9 @@ start or from the end to the same one, and only with words as long or one
 longer.  Where the third rarest occurs more than once in a word, all its places
 count, else the lemma would not hold.  An edit inside a word leaves its ends, so
 the letter at the other end is part of the key; an edit at an end leaves all
-the rest, which is a key by itself.  Each pair so found is verified by its edit
-distance.
+the rest, which is a key by itself.  Keys are joined by 64 bits of their hash,
+as rows with a number are half as wide and sort faster than rows with a text;
+each pair so found, by chance too, is verified by its lengths and edit distance.
 
 Bigrams of an alphabet of 90 letters are 8,100 at most, so their order is an
 array in the expression; nothing else is gathered.  Texts are counted with
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .core import Scratch
 
-#: Runs of letters that are words, and the letters that remain after lowering A-Z, by code point.
-RUN, LATIN = r"[A-Za-z\u00C0-\u00FF]+", (0xC0, 0xFF)
 LEAST_LENGTH, LEAST_COUNT, SPOILT, TIMES = 5, 3, 97, 2
+#: Whole runs of letters that may be words (a letter can only be lost, so shorter ones are none), and the letters that remain after lowering A-Z, by code point.
+RUN, LATIN = rf"[A-Za-z\u00C0-\u00FF]{{{LEAST_LENGTH},}}", (0xC0, 0xFF)
 LETTERS = 26 + LATIN[1] - LATIN[0] + 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,8 +42,7 @@ def dictionary(docs: DataFrame) -> DataFrame:
     letter that the hash points to.
     """
     runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(RUN), 0)).alias("run"))
-    # A letter can only be lost, so shorter runs are no words.
-    runs = runs.where(F.length("run") >= LEAST_LENGTH).select("id", F.translate("run", UPPER, LOWER).alias("run"))
+    runs = runs.select("id", lowered(F.col("run")).alias("run"))
     runs = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run").cast("binary")).alias("h"))
     at = (F.col("h") % F.length("run")).cast("int")
     spoilt = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
@@ -50,6 +50,11 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return words.where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
+def lowered(run: Column) -> Column:
+    """A-Z in lower case; where all letters are among those and a-z, the faster function does the same."""
+    return F.when(F.octet_length(run) == F.length(run), F.lower(run)).otherwise(F.translate(run, UPPER, LOWER))
+
+
 def letter(word: Column, at: Column) -> Column:
     code = F.ascii(F.substr(word, at, F.lit(1)))
     return F.when(code < 128, code - ord("a")).otherwise(code - LATIN[0] + 26)
@@ -82,20 +87,26 @@ def rarest(words: DataFrame, order: list[int]) -> DataFrame:
     return rare.select("word", "n", F.concat(left, right).alias("keys"))
 
 
+def joined_by(length: Column, key: Column) -> Column:
+    """What rows of a key and the shorter word's length meet on, as others may by chance."""
+    return F.xxhash64(length, key)
+
+
 def near_pairs(words: DataFrame, order: list[int]) -> DataFrame:
     """(a, n_a, b, n_b): each pair of words one edit apart, once."""
     size, word = F.length("word"), F.col("word")
     rows = rarest(words, order)
     but_last, but_first = F.substr(word, F.lit(1), size - 1), F.substr(word, F.lit(2))
     key = lambda mark, text: F.concat(F.lit(mark), text)
-    at = lambda length, keys: F.transform(keys, lambda k: F.struct(length.alias("length"), k.alias("key")))
+    at = lambda length, keys: F.transform(keys, lambda k: joined_by(length, k))
     # A letter replaced at an end, and one added there.
     ends = F.array(key("$", but_last), key("^", but_first))
     mine = at(size, F.concat("keys", ends, F.array(key("+", word), key("*", word))))
     longer = at(size - 1, F.concat("keys", F.array(key("+", but_last), key("*", but_first))))
-    short = rows.select(word.alias("a"), F.col("n").alias("n_a"), F.explode(mine).alias("k")).select("a", "n_a", "k.*")
-    long = rows.select(word.alias("b"), F.col("n").alias("n_b"), F.explode(F.concat(at(size, F.concat("keys", ends)), longer)).alias("k")).select("b", "n_b", "k.*")
-    met = short.join(long, ["key", "length"]).where((F.length("b") > F.col("length")) | (F.col("a") < F.col("b")))
+    short = rows.select(word.alias("a"), F.col("n").alias("n_a"), F.explode(mine).alias("key"))
+    long = rows.select(word.alias("b"), F.col("n").alias("n_b"), F.explode(F.concat(at(size, F.concat("keys", ends)), longer)).alias("key"))
+    more = F.length("b") - F.length("a")
+    met = short.join(long, "key").where((more == 1) | (more == 0) & (F.col("a") < F.col("b")))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 

@@ -103,6 +103,24 @@ def test_rarest_bigrams_and_their_join_keys(spark):
     assert keys["é" * 5] == {"<é" + "é" * k for k in range(2, 5)} | {">é" + "é" * k for k in range(2, 5)}
 
 
+def test_near_words_are_joined_by_a_number_and_met_by_chance_too(spark, monkeypatch):
+    """With the same number for all keys each word meets each other, and only those one edit apart remain, once."""
+    pool = ["abcde", "abcdef", "bcdef", "abcxe", "éabcde", "abcdé", "aaaaa", "aaaaaa", "aaaaaaa", "straße", "strasse"]
+    words = spark.createDataFrame([(w, 3 + k) for k, w in enumerate(pool)], "word string, n long")
+    order = variants.rare_first(words)
+    first = lambda a, b: (len(a), a) < (len(b), b)
+    wanted = sorted((a, 3 + pool.index(a), b, 3 + pool.index(b)) for a in pool for b in pool if near(a, b) and first(a, b))
+    assert sorted(map(tuple, variants.near_pairs(words, order).collect())) == wanted
+    assert dict(words.select(variants.joined_by(F.length("word"), F.col("word")).alias("key")).dtypes) == {"key": "bigint"}
+    monkeypatch.setattr(variants, "joined_by", lambda length, key: F.lit(1).cast("long"))
+    assert sorted(map(tuple, variants.near_pairs(words, order).collect())) == wanted
+
+
+def test_only_a_to_z_are_lowered(spark):
+    words = spark.createDataFrame([(w,) for w in ("ABCxyz", "ÀÞÉaZ", "İK", "", "Straße")], "word string")
+    assert [r[0] for r in words.select(variants.lowered(F.col("word"))).collect()] == ["abcxyz", "ÀÞÉaz", "İk", "", "straße"]
+
+
 def kmeans(rows, k, rounds, salt):
     """Plain integers throughout."""
     kept = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
