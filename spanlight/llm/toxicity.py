@@ -38,6 +38,8 @@ STARTS = (4, 5, 6)
 RIDGE, FAIR = 2e-4, 4.0
 #: Standard errors by which a feature's share must differ between the classes.
 TELLING = 5.0
+#: Rows whose features are looked up at once.
+SOME = 256
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -112,36 +114,57 @@ def sample_slots(groups):
     return run
 
 
-def fit(rows: list, steps: int = 300, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[dict[int, float], float]:
-    """Weights by slot and the intercept; Adam on the loss, weighted by class, with the counterfactual penalty."""
-    texts = [r for r in rows if r[0] in (0, 1)]
-    y = np.array([r[0] for r in texts], float)
+def flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists as it lies in memory: where each row begins and the last ends, and all values."""
+    lists = lists.combine_chunks()
+    return np.asarray(lists.offsets), np.asarray(lists.values)
+
+
+def sparse(begins: np.ndarray, values: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row and place of each value that has one, and the number of rows; some rows at a time, as most values have none."""
+    n, row, column = len(begins) - 1, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low in range(0, n, SOME):
+        some = begins[low : low + SOME + 1]
+        at = place[values[some[0] : some[-1]]]
+        row.append(np.repeat(np.arange(low, low + len(some) - 1), np.diff(some))[at >= 0])
+        column.append(at[at >= 0].astype(np.int64))
+    return np.concatenate(row), np.concatenate(column), n
+
+
+def fit(sample, steps: int = 300, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[dict[int, float], float]:
+    """Weights by slot and the intercept; Adam on the loss, weighted by class, with the counterfactual penalty.
+
+    The sample is an Arrow table (y, plus, minus) with rising y, as of
+    sample_slots(); its lists are read where they lie, not as an object a row.
+    """
+    y = sample.column("y").to_numpy()
+    total = [int((y == k).sum()) for k in (0, 1)]
+    texts = sum(total)
+    y = y[:texts].astype(float)
     weight = np.where(y == 1, weights[1], weights[0])
-    if not len(texts) or len(set(y)) < 2:
-        return {}, float(np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1))) if len(texts) else 0.0
+    if not all(total):
+        return {}, float(np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1))) if texts else 0.0
     weight /= weight.sum()
-    n = [np.bincount(np.concatenate([np.asarray(r[2], np.int64) for r in texts if r[0] == k]), minlength=SPACE) for k in (0, 1)]
-    total = [(y == k).sum() for k in (0, 1)]
+    begins, values = flat(sample.column("plus"))
+    lost_begins, lost = flat(sample.column("minus"))
+    n = np.zeros((2, SPACE), np.int32)
+    for k, part in enumerate((slice(begins[0], begins[total[0]]), slice(begins[total[0]], begins[texts]))):
+        np.add.at(n[k], values[part], 1)
+    often = np.flatnonzero(n.sum(axis=0, dtype=np.int32) >= 3)
+    n = n[:, often].astype(np.int64)
     rate = [(n[k] + 0.5) / (total[k] + 1) for k in (0, 1)]
-    seen = n[0] + n[1]
-    pooled = seen / len(y)
+    pooled = (n[0] + n[1]) / texts
     z = np.abs(rate[1] - rate[0]) / np.sqrt(pooled * (1 - pooled) * (1 / total[0] + 1 / total[1]) + 1e-9)
-    z[(seen < 3) | (z < TELLING)] = 0
-    named = sorted({int(s) for r in rows if r[0] == 2 for s in (*r[2], *r[3])})
-    top = np.argsort(-z, kind="stable")[:FEATURES]
-    keep = {int(s): i for i, s in enumerate(dict.fromkeys([*named[: FEATURES // 2], *top[z[top] > 0].tolist()]))}
-    place = np.full(SPACE, -1)
+    often, z = often[z >= TELLING], z[z >= TELLING]
+    top = often[np.argsort(-z, kind="stable")[:FEATURES]].tolist()
+    named = np.unique(np.concatenate((values[begins[texts] : begins[-1]], lost[lost_begins[texts] : lost_begins[-1]]))).tolist()
+    keep = {s: i for i, s in enumerate(dict.fromkeys([*named[: FEATURES // 2], *top]))}
+    place = np.full(SPACE, -1, np.int32)
     place[list(keep)] = list(keep.values())
 
-    def sparse(parts):
-        out = [place[np.asarray(p, np.int64)] for p in parts]
-        out = [p[p >= 0] for p in out]
-        return np.repeat(np.arange(len(out)), [len(p) for p in out]), np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64), len(out)
-
-    pairs = [r for r in rows if r[0] == 2]
-    xr, xc, xn = sparse([r[2] for r in texts])
-    pr, pc, pn = sparse([r[2] for r in pairs])
-    mr, mc, _ = sparse([r[3] for r in pairs])
+    xr, xc, xn = sparse(begins[: texts + 1], values, place)
+    pr, pc, pn = sparse(begins[texts:], values, place)
+    mr, mc, _ = sparse(lost_begins[texts:], lost, place)
     w, b, m, v = np.zeros(len(keep)), 0.0, np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     for t in range(1, steps + 1):
         p = sigmoid(np.bincount(xr, w[xc], xn) + b)
@@ -171,13 +194,17 @@ def scores_of(weights: dict[int, float], intercept: float):
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, train: Column, groups=IDENTITY_TERMS) -> tuple[dict[int, float], float]:
     """Weights and intercept from a bounded sample of labels(doc_id, toxic)."""
+    import pyarrow as pa
+
     arrow_batches(docs.sparkSession)
     rows = labelled(docs, labels, "toxic", train, FIT_ROWS).select("doc_id", "text", "y").mapInArrow(sample_slots(groups), "y int, doc_id long, plus array<int>, minus array<int>").toArrow()
     rows = rows.sort_by([("y", "ascending"), ("doc_id", "ascending")])
-    cols = [rows.column("y").to_pylist(), rows.column("doc_id").to_pylist(), [np.asarray(x.values) for x in rows.column("plus")], [np.asarray(x.values) for x in rows.column("minus")]]
     counts = {r.y: r["count"] for r in label_ids(labels, "toxic", train).groupBy("y").count().collect()}
     # The sample's classes weigh as in all labels.
-    return fit(list(zip(*cols, strict=True)), weights=tuple(max(1.0, counts.get(y, 0) / FIT_ROWS) for y in (0, 1)))
+    model = fit(rows, weights=tuple(max(1.0, counts.get(y, 0) / FIT_ROWS) for y in (0, 1)))
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column, groups=IDENTITY_TERMS, hashed: bool = False) -> DataFrame:

@@ -176,6 +176,19 @@ def test_toxicity_held_out_and_fair(spark):
     assert found[1001] < 0.3 and abs(found[1001] - found[1002]) < 0.1 and found[1003] > 0.3
 
 
+def test_toxicity_fit_takes_little_of_the_driver(spark):
+    """Texts of many words: the driver holds the sample's slots as they come, not as an object a row, and no wide numbers for slots without use."""
+    import tracemalloc
+
+    docs, labels = labelled_texts(spark, lambda i: (" ".join(f"{'abcdefgh'[k % 8]}{'klmnopqr'[(i + k) % 8]}{'stuvwxyz'[k // 8 % 8]}{'aeiou'[(i + k // 64) % 5]}ra" for k in range(400)) + " vilestuff" * (i % 3 == 0), int(i % 3 == 0)))
+    toxicity.toxicity_model(docs, labels, F.col("doc_id") >= 0)
+    tracemalloc.start()
+    weights, _ = toxicity.toxicity_model(docs, labels, F.col("doc_id") >= 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert weights[toxicity.slot("vilestuff")] > 0 and peak < 64e6
+
+
 def test_fingerprints(spark, docs, rows):
     found = fingerprints(spark, docs).collect()
     order = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
