@@ -16,7 +16,9 @@ each pair so found, by chance too, is verified by its lengths and edit distance.
 
 Bigrams of an alphabet of 90 letters are 8,100 at most, so their order is an
 array in the expression; nothing else is gathered.  Texts are counted with
-partial sums before the shuffle.  Null texts have no words, a null id counts as
+partial sums before the shuffle.  All joins ask for a merge: Spark sizes a table
+of words by its packed file, and one of exploded keys no larger, so it would
+broadcast what does not fit the driver.  Null texts have no words, a null id counts as
 an empty one in a run's hash, repeated rows count each, ties go to the smaller
 word, an empty table gives none, and other columns are not looked at.
 """
@@ -106,7 +108,7 @@ def near_pairs(words: DataFrame, order: list[int]) -> DataFrame:
     short = rows.select(word.alias("a"), F.col("n").alias("n_a"), F.explode(mine).alias("key"))
     long = rows.select(word.alias("b"), F.col("n").alias("n_b"), F.explode(F.concat(at(size, F.concat("keys", ends)), longer)).alias("key"))
     more = F.length("b") - F.length("a")
-    met = short.join(long, "key").where((more == 1) | (more == 0) & (F.col("a") < F.col("b")))
+    met = short.join(long.hint("merge"), "key").where((more == 1) | (more == 0) & (F.col("a") < F.col("b")))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 
@@ -121,7 +123,7 @@ def with_roots(forms: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         step += 1
         on = links.select(F.col("word").alias("at"), F.col("root").alias("beyond"))
-        new = links.join(on, F.col("root") == F.col("at"), "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved"))
+        new = links.join(on.hint("merge"), F.col("root") == F.col("at"), "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved"))
         new = scratch.save(new, f"roots{step}")
         scratch.drop(f"roots{step - 1}")
         links = new.select("word", "root")
@@ -137,8 +139,8 @@ def spelling_variants(spark: SparkSession, docs: DataFrame) -> DataFrame:
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")).union(pairs.select("b", "a", "n_a"))
     # The struct's least is the greatest count, of equals the smallest word.
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
-    rows = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.m") >= TIMES * F.col("n"), F.col("best")).alias("best"))
+    rows = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("best.m") >= TIMES * F.col("n"), F.col("best")).alias("best"))
     rows = scratch.save(rows.select("word", F.col("best.other").alias("form"), "n", "n_near", (-F.col("best.m")).alias("form_n")), "forms")
     scratch.drop("pairs")
     roots = with_roots(rows.where("form is not null").select("word", "form"), scratch)
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
