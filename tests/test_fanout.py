@@ -49,3 +49,8 @@ def test_fanout_queries_are_not_broadcast(spark, tmp_path):
     found = one_page(spark, tmp_path)
     assert not broadcasts(found) and found.count() == len(intelligence.SEEDS)
     assert intelligence.fanout(spark.createDataFrame([], GROUND)).count() == 0
+
+
+def test_fanout_sites_are_not_broadcast(spark, tmp_path):
+    found = intelligence.fanout_by_site(one_page(spark, tmp_path))
+    assert not broadcasts(found) and [tuple(r) for r in found.collect()] == [("s", len(intelligence.SEEDS), 0, 0)]
