@@ -54,3 +54,8 @@ def test_fanout_queries_are_not_broadcast(spark, tmp_path):
 def test_fanout_sites_are_not_broadcast(spark, tmp_path):
     found = intelligence.fanout_by_site(one_page(spark, tmp_path))
     assert not broadcasts(found) and [tuple(r) for r in found.collect()] == [("s", len(intelligence.SEEDS), 0, 0)]
+
+
+def test_least_covered_queries_are_not_broadcast(spark, tmp_path):
+    found = intelligence.least_covered(one_page(spark, tmp_path))
+    assert not broadcasts(found) and sorted(r.place for r in found.collect()) == list(range(1, len(intelligence.SEEDS) + 1))
