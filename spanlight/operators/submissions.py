@@ -1,10 +1,11 @@
 """Addresses that search engines are told of: batches, a ledger of attempts, and what is to be tried again.
 
 Nothing is sent here.  ``batches`` packs each site's distinct addresses, in
-their order, into payloads of at most MOST; a site with very many is first
-dealt into parts by a hash, so no task sorts more than PART payloads.  A batch
-is known by the digest of its addresses, so the same addresses are the same
-batch whenever they are planned.  The ledger is only ever appended to, by runs
+their order, into payloads of MOST, of which only a site's last may have fewer.
+An address's place in its site is that in its range of a sorted table and what
+stands before the range, so no task sorts a site; PART payloads one after the
+other are a part.  A batch is known by the digest of its addresses, so the same
+addresses are the same batch whenever they are planned.  The ledger is only ever appended to, by runs
 that replace themselves when they are written again.
 
 Blank and null addresses are left out, repeated ones count once; a site
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlight.operators.reports import best
+from spanlight.sources.kept import fresh_folder
 
 #: Addresses of a payload; statuses from which a submission may be tried again.
 MOST, BUSY, BROKEN = 10_000, 429, 500
-#: Payloads that are cut from one sorted part.
+#: Payloads of a part.
 PART = 100
 LEDGER = "submitted_at timestamp, attempt int, endpoint string, site string, digest string, urls array<string>, status_code int, error string"
 ADDRESS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -44,13 +46,21 @@ def rejected(addresses: DataFrame) -> DataFrame:
 
 
 def batches(addresses: DataFrame, most: int = MOST) -> DataFrame:
-    """(site, part, number, digest, urls): payloads of the addresses that a site may submit."""
-    good = normalized(addresses).join(rejected(addresses).select("site", "url").distinct(), ["site", "url"], "left_anti")
-    sizes = good.groupBy("site").agg(F.ceil(F.count("*") / (PART * most)).cast("int").alias("parts"))
-    dealt = good.join(sizes, "site").select("site", "url", F.pmod(F.xxhash64("url"), F.col("parts")).cast("int").alias("part"))
-    nr = F.row_number().over(Window.partitionBy("site", "part").orderBy("url"))
-    packed = dealt.withColumn("number", F.floor((nr - 1) / most).cast("int")).groupBy("site", "part", "number").agg(F.array_sort(F.collect_list("url")).alias("urls"))
-    return packed.select("site", "part", "number", F.sha2(F.array_join("urls", "\n"), 256).alias("digest"), "urls")
+    """(site, part, number, digest, urls): payloads of the addresses that a site may submit, numbered in their order.
+
+    The sorted addresses are written once, as they are counted and then numbered.
+    """
+    spark = addresses.sparkSession
+    good = normalized(addresses).join(rejected(addresses).select("site", "url").distinct().hint("merge"), ["site", "url"], "left_anti")
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = good.repartitionByRange("site", "url").sortWithinPartitions("site", "url").select("site", "url", F.spark_partition_id().alias("range"), inside.alias("at"))
+    ranges.write.parquet(path := f"{fresh_folder(spark, 'addresses')}/rows")
+    rows = spark.read.schema(ranges.schema).parquet(path)
+    parts = rows.groupBy("site", "range").agg(F.count("*").alias("k"), F.min("at").alias("first"))
+    before = parts.select("site", "range", (F.sum("k").over(Window.partitionBy("site").orderBy("range")) - F.col("k") - F.col("first")).alias("before"))
+    number = F.floor((F.col("before") + F.col("at")) / most).cast("int")
+    packed = rows.join(before.hint("merge"), ["site", "range"]).groupBy("site", number.alias("number")).agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    return packed.select("site", F.floor(F.col("number") / PART).cast("int").alias("part"), "number", F.sha2(F.array_join("urls", "\n"), 256).alias("digest"), "urls")
 
 
 def attempts(planned: DataFrame, ledger: DataFrame, endpoint: str) -> DataFrame:

@@ -33,3 +33,17 @@ def test_payloads_attempts_and_retries(spark, tmp_path, monkeypatch):
     failed = read().withColumn("status_code", F.lit(None).cast("int"))
     assert {r.retryable for r in submissions.latest(failed).collect()} == {True}
     assert submissions.batches(addresses.limit(0)).count() == 0 and submissions.retries(none, 3).count() == 0
+
+
+def test_payloads_of_a_large_site_follow_each_other(spark, monkeypatch):
+    monkeypatch.setattr(submissions, "PART", 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a few addresses are sorted in several ranges
+    try:
+        urls = {site: [f"https://{site}/{k * 37 % 1000:03}" for k in range(n)] for site, n in (("a", 100), ("b", 1), ("c", 21))}
+        addresses = spark.createDataFrame([(site, url) for site, them in urls.items() for url in them], "site string, url string")
+        found = submissions.batches(addresses, most=3).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for site, them in urls.items():
+        rows = sorted((r.number, r.part, r.urls) for r in found if r.site == site)
+        assert rows == [(k, k // 2, sorted(them)[3 * k : 3 * k + 3]) for k in range(-(-len(them) // 3))]
